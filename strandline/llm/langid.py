@@ -85,52 +85,13 @@ def grams(codes: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
-@dataclass
-class Sorted:
-    """Keys in order of their hash, with an index of the hash's leading bits."""
-
-    hashes: np.ndarray
-    order: np.ndarray
-    first: np.ndarray
-    shift: np.uint64
-    deep: int
-
-    @staticmethod
-    def of(keys: np.ndarray) -> Sorted:
-        h = tv.mix(keys.astype(np.uint64) + np.uint64(1))
-        order = np.argsort(h)
-        h = h[order]
-        bits = max(4, int(np.ceil(np.log2(max(len(h), 1)))) + 1)
-        shift = np.uint64(64 - bits)
-        first = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << shift).astype(np.int32)
-        first = np.append(first, np.int32(len(h)))
-        return Sorted(np.append(h, np.uint64(0)), order.astype(np.int32), first, shift, int(np.diff(first).max(initial=0)))
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Position in hash order, or -1."""
-        h = tv.mix(keys.astype(np.uint64) + np.uint64(1))
-        bucket = (h >> self.shift).astype(np.int64)
-        at, end = self.first[bucket], self.first[bucket + 1]
-        hit = (self.hashes[at] == h) & (at < end)
-        out = np.where(hit, at, -1)
-        left = np.flatnonzero(~hit & (at + 1 < end))
-        step = 1
-        while len(left):
-            p = at[left] + step
-            same = self.hashes[p] == h[left]
-            out[left[same]] = p[same]
-            left = left[~same & (p + 1 < end[left])]
-            step += 1
-        return out
-
-
 @dataclass
 class Model:
     langs: list[str]
     uni: np.ndarray  # log2 P of a code, a column a language
-    index: list[Sorted]  # of the n-grams of orders 2 up
+    index: list[tv.Sorted]  # of the n-grams of orders 2 up
     logp: list[np.ndarray]
-    context: list[Sorted]
+    context: list[tv.Sorted]
     back: list[np.ndarray]
     limit: np.ndarray  # rejection: cross-entropy above mean + limit / sqrt(length)
     mean: np.ndarray
@@ -190,7 +151,7 @@ def train(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
             weight[np.searchsorted(ctx, c), i] = left
             p[np.searchsorted(keys, k), i] = share
         p += weight[np.searchsorted(ctx, keys >> BITS)] * lower[np.searchsorted(lower_keys, keys & MASK[n - 1])]
-        found, where = Sorted.of(keys), Sorted.of(ctx)
+        found, where = tv.Sorted.of(keys), tv.Sorted.of(ctx)
         index.append(found)
         logp.append(np.log2(p[found.order]).astype(np.float32))
         context.append(where)

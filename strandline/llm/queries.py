@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import langid, quality, toxicity
+from . import decontam, langid, parity_join, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_langid": lambda s, d: langid.op1_langid(table(s, d, "documents")),
         "op2_toxicity": lambda s, d: toxicity.op2_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op3_quality": lambda s, d: quality.op3_quality(table(s, d, "documents"), table(s, d, "labels")),
+        "op6_decontam": lambda s, d: decontam.op6_decontam(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op7_secrets": lambda s, d: secrets.op7_secrets(table(s, d, "documents")),
+        "op10_parity_join": lambda s, d: parity_join.op10_parity_join(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_secrets": secrets.OP7_SQL}

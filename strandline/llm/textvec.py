@@ -138,3 +138,42 @@ def row_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
     np.cumsum(values, axis=0, out=total[1:])
     return total[at[1:]] - total[at[:-1]]
+
+
+@dataclass
+class Sorted:
+    """Keys in order of their hash, with an index of the hash's leading bits."""
+
+    hashes: np.ndarray
+    order: np.ndarray
+    first: np.ndarray
+    shift: np.uint64
+    deep: int
+
+    @staticmethod
+    def of(keys: np.ndarray) -> Sorted:
+        h = mix(keys.astype(np.uint64) + np.uint64(1))
+        order = np.argsort(h)
+        h = h[order]
+        bits = max(4, int(np.ceil(np.log2(max(len(h), 1)))) + 1)
+        shift = np.uint64(64 - bits)
+        first = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << shift).astype(np.int32)
+        first = np.append(first, np.int32(len(h)))
+        return Sorted(np.append(h, np.uint64(0)), order.astype(np.int32), first, shift, int(np.diff(first).max(initial=0)))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Position in hash order, or -1."""
+        h = mix(keys.astype(np.uint64) + np.uint64(1))
+        bucket = (h >> self.shift).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        hit = (self.hashes[at] == h) & (at < end)
+        out = np.where(hit, at, -1)
+        left = np.flatnonzero(~hit & (at + 1 < end))
+        step = 1
+        while len(left):
+            p = at[left] + step
+            same = self.hashes[p] == h[left]
+            out[left[same]] = p[same]
+            left = left[~same & (p + 1 < end[left])]
+            step += 1
+        return out

@@ -25,8 +25,8 @@ from .samples import bounded, remainder
 
 BITS = 20
 #: Labelled rows of either class that the fit reads, at most.
-SAMPLE = 3000
-EPOCHS = 4
+SAMPLE = 6000
+EPOCHS = 10
 
 
 @dataclass
@@ -65,7 +65,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([key.slice(a, b - a), y.slice(a, b - a), pa.array([packed[at[i] : at[i + 1]].tobytes() for i in range(b - a)], pa.binary())], ["key", "y", "bins"])
 
 
-def ftrl(examples: list[tuple[int, np.ndarray]], bits: int = BITS, alpha: float = 0.1, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0, epochs: int = EPOCHS) -> Model:
+def ftrl(examples: list[tuple[int, np.ndarray]], bits: int = BITS, alpha: float = 0.5, beta: float = 1.0, l1: float = 16.0, l2: float = 0.01, epochs: int = EPOCHS) -> Model:
     """Per-coordinate FTRL-proximal over (label, distinct bins), in the order given; the bias is not regularised."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = 0.0
