@@ -22,3 +22,13 @@ def bounded(rows: DataFrame, by: str, key: str, bound: int, seed: int = 17) -> D
     share = F.coalesce(*[F.when(F.col(by) == v, F.lit(min(1.0, bound / n))) for v, n in sorted(counts.items(), key=str) if v is not None], F.lit(0.0))
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.where(draw < share)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, text, y) of a sample of `bound` rows at most of each value of a binary label.
+
+    The sample is drawn from the labels alone, so it is small whatever the texts
+    weigh, and goes to the texts by broadcast; no text is shuffled.
+    """
+    drawn = bounded(labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("y")).where("y in (0, 1)"), "y", "_key", bound)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(drawn), F.col("key") == F.col("_key")).select("key", "text", "y")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .samples import bounded, remainder
+from .samples import labelled, remainder
 
 BITS = 20
 #: Labelled rows of either class that the fit reads, at most.
@@ -86,10 +86,9 @@ def ftrl(examples: list[tuple[int, np.ndarray]], bits: int = BITS, alpha: float
     return Model(weights(z, n).astype(np.float32), float(-zb * alpha / (beta + nb**0.5)))
 
 
-def fit(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> Model | None:
     """Fits a sample bounded to `sample` rows of either label; None without rows."""
-    rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("int").alias("y")).where("y is not null")
-    got = bounded(rows, "y", "key", sample).mapInArrow(_examples, "key long, y int, bins binary").toArrow()
+    got = labelled(docs, labels, label, sample, text, key).mapInArrow(_examples, "key long, y int, bins binary").toArrow()
     if not got.num_rows:
         return None
     keys = got["key"].fill_null(0).to_numpy().astype(np.uint64)
@@ -122,5 +121,5 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[s
 
 def op2_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Toxicity of every whole text, learnt from labelled rows that are not held out."""
-    train = docs.select("doc_id", "text").where(remainder("doc_id", 5) != 0).join(labels.select("doc_id", "toxic"), "doc_id")
-    return score(docs, fit(train), keep=["doc_id"]).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    model = fit(docs, labels.where(remainder("doc_id", 5) != 0))
+    return score(docs, model, keep=["doc_id"]).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
