@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .samples import bounded, remainder
+from .samples import labelled, remainder
 
 BITS = 15
 RANK = 8
@@ -146,10 +146,9 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([key.slice(a, b - a), y.slice(a, b - a), *(pa.array(x, pa.binary()) for x in (*packed, *fixed))], ["key", "y", "bins", "vals", "stats", "meta"])
 
 
-def fit(rows: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", sample: int = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", sample: int = SAMPLE) -> Model | None:
     """Fits a sample bounded to `sample` rows of either label; None without rows."""
-    rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("int").alias("y")).where("y is not null")
-    got = bounded(rows, "y", "key", sample).mapInArrow(_examples, "key long, y int, bins binary, vals binary, stats binary, meta binary").toArrow().sort_by("key")
+    got = labelled(docs, labels, label, sample, text, key).mapInArrow(_examples, "key long, y int, bins binary, vals binary, stats binary, meta binary").toArrow().sort_by("key")
     if not got.num_rows:
         return None
     kinds = {"bins": np.uint16, "vals": np.float32, "stats": np.float64, "meta": np.int64}
@@ -179,5 +178,5 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[s
 
 def op3_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Quality of every whole text, learnt from labelled rows that are not held out."""
-    train_rows = docs.select("doc_id", "text").where(remainder("doc_id", 4) != 2).join(labels.select("doc_id", "quality"), "doc_id")
-    return score(docs, fit(train_rows), keep=["doc_id"]).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+    model = fit(docs, labels.where(remainder("doc_id", 4) != 2))
+    return score(docs, model, keep=["doc_id"]).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
