@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chat, decontam, langid, media, parity_join, quality, secrets, toxicity, urlfilter
+from . import chat, decontam, langid, media, parity_join, quality, secrets, spm, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_urlfilter": lambda s, d: urlfilter.op5_urlfilter(table(s, d, "pages")),
         "op6_decontam": lambda s, d: decontam.op6_decontam(table(s, d, "documents"), table(s, d, "benchmark")),
         "op7_secrets": lambda s, d: secrets.op7_secrets(table(s, d, "documents")),
+        "op8_spm": lambda s, d: spm.op8_spm(table(s, d, "documents")),
         "op9_media": lambda s, d: media.op9_media(table(s, d, "documents")),
         "op10_parity_join": lambda s, d: parity_join.op10_parity_join(table(s, d, "documents")),
     }
