@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pair_queries, retrieval_queries, review_queries, text_queries
+
 FLAGSHIP = "pair_evidence_summary"
+GROUPS = (pair_queries, retrieval_queries, review_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: plan for g in GROUPS for name, (plan, _) in g.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for g in GROUPS for name, (_, sql) in g.QUERIES.items() if sql}
