@@ -82,11 +82,16 @@ def char_grams(key: Column | str, sizes: Sequence[int] = (3, 4)) -> Column:
 def positions(text: Column, phrase: Column, offset: int = 0) -> Column:
     """All places of a phrase, overlaps too: array of struct(start, stop), from 0.
 
-    The text is cut at the phrase's first character, so only places that can match are compared.
+    The text is cut before each place by a look-ahead, so the work follows its
+    length and the number of places; the pieces' lengths give the places.
     """
     n = F.length(phrase)
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: (n > 0) & (F.substring(text, i, n) == phrase))
-    return F.transform(at, lambda i: F.struct((i - 1 + offset).alias("start"), (i - 1 + offset + n).alias("stop")))
+    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(phrase, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    pieces = F.transform(F.split(text, quoted, -1), lambda p: F.length(p))
+    start = F.struct(F.lit(0).alias("at"), F.when(F.startswith(text, phrase), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("out"))
+    step = lambda acc, p: F.struct((acc["at"] + p).alias("at"), F.concat(acc["out"], F.array(acc["at"] + p)).alias("out"))
+    found = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step)["out"]
+    return F.when((n > 0) & F.contains(text, phrase), F.transform(found, lambda i: F.struct((i + offset).alias("start"), (i + offset + n).alias("stop")))).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
 
 
 def first_rule(x: Column | str, rules: Sequence[tuple[str, str]], default: str | None = None) -> Column:

@@ -1,3 +1,100 @@
-"""Queries."""
+"""Queries over whole texts: spans, cues, entities, n-grams, turns."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import extract as X
+from ..operators import retrieval as R
+from ..session import table
+
+
+def cues(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents")
+    return docs.select("doc_id", *T.flags("text", digits="[0-9]", email=r"[A-Za-z0-9._]+@[A-Za-z0-9.]+", shouting="[A-Z]{4,}", lines="\n", url="https?://"), T.first_rule("text", (("password|secret|token", "secret"), (r"[0-9]{1,3}(\.[0-9]{1,3}){3}", "address"), ("!!", "loud")), "plain").alias("kind"))
+
+
+def bands(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents")
+    return docs.select("doc_id", T.bands(F.col("n_chars"), ((2000, "long"), (300, "middle")), "short").alias("band"), F.length(T.clean("text")).alias("clean_length"), F.sha1(T.norm_key("text")).alias("key"))
+
+
+def entities(s: SparkSession, d: str) -> DataFrame:
+    return X.matches(table(s, d, "documents"), ["doc_id"], "text", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|AKIA[A-Z0-9]+|[a-z0-9.]+@[a-z0-9.]+")
+
+
+def page_links(s: SparkSession, d: str) -> DataFrame:
+    return X.matches(table(s, d, "pages"), ["page_id"], "html", 'href="([^"]*)"', 1)
+
+
+def positions(s: SparkSession, d: str) -> DataFrame:
+    """Places of "th" and overlapping "anan" in every text, folded to counts and the first and last place."""
+    each = table(s, d, "documents").select("doc_id", F.explode(F.array(F.lit("anan"), F.lit("eses"))).alias("phrase"), "text").where(F.contains("text", "phrase"))
+    each = each.select("doc_id", "phrase", T.positions(F.col("text"), F.col("phrase")).alias("p"))
+    return each.select("doc_id", "phrase", F.size("p").cast("long").alias("times"), F.col("p")[0]["start"].cast("long").alias("first"), F.element_at("p", -1)["stop"].cast("long").alias("last"), F.when(F.size("p") == 1, "unique").otherwise("multiple").alias("status"))
+
+
+def turns(s: SparkSession, d: str) -> DataFrame:
+    """Each turn with the one before, its length and the conversation's running length."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    n = F.length("text").cast("long")
+    return table(s, d, "conversations").select("conv_id", "turn", "role", F.lag("role").over(w).alias("before"), n.alias("n"), F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+
+
+def document_terms(s: SparkSession, d: str) -> DataFrame:
+    """Document frequencies of words by language, of two documents or more."""
+    tf = R.terms(table(s, d, "documents"), "doc_id", "text", "lang")
+    return tf.groupBy("lang", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 2")
+
+
+def bigrams(s: SparkSession, d: str) -> DataFrame:
+    """Word pairs of the benchmark items."""
+    b = table(s, d, "benchmark").select("item_id", F.explode(T.word_ngrams(T.tokens("text"), 2, 3)).alias("gram"))
+    return b.groupBy("gram").agg(F.count_distinct("item_id").alias("items"), F.count("*").alias("times"))
+
+
+def sentence_spans(s: SparkSession, d: str) -> DataFrame:
+    return X.sentences(table(s, d, "documents"), "doc_id", "text")
+
+
+def long_sentences(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "benchmark").select("item_id", F.explode(X.sentence_array(F.col("text"))).alias("sentence"))
+    return docs.select("item_id", "sentence")
+
+
+def nested(s: SparkSession, d: str) -> DataFrame:
+    return X.nested_terms(table(s, d, "part").select("p_type", F.concat_ws(" ", "p_type", "p_brand").alias("term")).union(table(s, d, "part").select("p_type", F.col("p_type"))), ["p_type"], "term")
+
+
+def unpivoted(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "part").select("p_partkey", "p_type", "p_brand")
+    return p.unpivot("p_partkey", ["p_type", "p_brand"], "role", "value")
+
+
+QUERIES = {
+    "cue_flags": (
+        cues,
+        r"select doc_id, regexp_matches(text, '[0-9]') as digits, regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+') as email, regexp_matches(text, '[A-Z]{4,}') as shouting, contains(text, chr(10)) as lines, regexp_matches(text, 'https?://') as url, case when regexp_matches(text, 'password|secret|token') then 'secret' when regexp_matches(text, '[0-9]{1,3}(\.[0-9]{1,3}){3}') then 'address' when contains(text, '!!') then 'loud' else 'plain' end as kind from documents",
+    ),
+    "text_bands": (bands, "select doc_id, case when n_chars >= 2000 then 'long' when n_chars >= 300 then 'middle' else 'short' end as band, length(trim(regexp_replace(text, '\\s+', ' ', 'g')))::int as clean_length, sha1(trim(regexp_replace(regexp_replace(lower(text), '[–—−]', '-', 'g'), '[^a-z0-9]+', ' ', 'g'))) as key from documents"),
+    "entity_regex_extract": (entities, r"select doc_id, hit, count(*) as times from (select doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|AKIA[A-Z0-9]+|[a-z0-9.]+@[a-z0-9.]+')) as hit from documents) group by all"),
+    "page_links": (page_links, "select page_id, hit, count(*) as times from (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as hit from pages) group by all"),
+    "phrase_positions": (
+        positions,
+        "with e as (select doc_id, phrase, text from documents, (values ('anan'), ('eses')) p(phrase) where contains(text, phrase)), p as (select doc_id, phrase, list_filter(range(1, length(text) - 2), lambda i: substr(text, i, 4) = phrase) as p from e)"
+        " select doc_id, phrase, len(p) as times, p[1] - 1 as first, p[-1] + 3 as last, case when len(p) = 1 then 'unique' else 'multiple' end as status from p",
+    ),
+    "conversation_turns": (turns, "select conv_id, turn, role, lag(role) over w as before, length(text) as n, sum(length(text)) over (w rows unbounded preceding)::bigint as upto from conversations window w as (partition by conv_id order by turn)"),
+    "document_terms": (document_terms, "select lang, term, count(distinct doc_id) as df, count(*) as cf from (select lang, doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents) group by all having count(distinct doc_id) >= 2"),
+    "word_ngrams": (
+        bigrams,
+        "with t as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from benchmark), g as (select item_id, unnest(list_concat(list_transform(range(1, greatest(len(w), 1)), lambda i: array_to_string(w[i:i+1], ' ')), list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i+2], ' ')))) as gram from t)"
+        " select gram, count(distinct item_id) as items, count(*) as times from g group by 1",
+    ),
+    "sentence_spans": (sentence_spans, None),
+    "long_sentences": (long_sentences, None),
+    "nested_terms": (nested, "select distinct p_type, p_type as \"inner\", p_type || ' ' || p_brand as \"outer\" from part"),
+    "unpivot_roles": (unpivoted, "select p_partkey, 'p_type' as role, p_type as value from part union all select p_partkey, 'p_brand', p_brand from part"),
+}
