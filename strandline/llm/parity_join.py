@@ -13,10 +13,13 @@ the pigeonhole whole and leaves out cells that say little.
 1. Exact copies fall together by a hash of their set.
 2. Cells are matched in hashed shards of packed arrays.  Each task first folds
    what it has seen of a cell, so a hot cell adds at most a row a task there.
-3. Every cell's documents are compared with one of them, true sets are
-   intersected, and links merge documents into components; documents of one
-   cell that are still apart after that are all compared across components.
-So no link is lost, and a group of near copies costs a star, not a square.
+3. A cell's documents are compared with its best connected one, true sets are
+   intersected, and links merge documents into components.  What is still apart
+   in a cell is compared with some documents of the cell's largest component,
+   and what remains apart then with every document of another component there.
+   A bit sketch of 1,024 parities goes along: pairs whose Hamming distance is
+   above the bound are dropped within the join, before they become rows.
+So no link is lost, and a group of near copies costs a star, not a square of rows.
 
 Cases: a null or empty text, or one without words, has an empty set and links
 with nothing; fewer words than a shingle make one shingle of all.  Repeated rows
@@ -31,7 +34,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -42,7 +45,9 @@ KEY_BYTES = 6
 FLUSH = 1_000_000
 #: Ids of candidates that a semi-join may broadcast; more are shuffled.
 BROADCAST_ROWS = 2_000_000
-STARS = 3
+#: Documents of a cell's largest component that each document apart from it is compared with first.
+TARGETS = 16
+SKETCH = 16
 
 
 def token_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,13 +194,26 @@ def _match(rows: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(np.concatenate([hk[take], k[listed]]).astype(np.int64)), "sid": pa.array(np.concatenate([hs[take], s[listed]]))})
 
 
+def bit_sketch(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64 * SKETCH parity bits of each set: each token flips one."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    h = tv.mix(x ^ np.uint64(0xA24BAED4963EE407))
+    out = np.zeros((len(at) - 1) * SKETCH, np.uint64)
+    np.bitwise_xor.at(out, row * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64), np.uint64(1) << ((h >> np.uint64(32)) & np.uint64(63)))
+    return out.reshape(-1, SKETCH).view(np.int64)
+
+
 def _sets(n: int):
+    names = ["sid", "tokens", "n", *[f"b{i}" for i in range(SKETCH)]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, buf, offs in tv.chunks(batch.column("text")):
                 x, at = token_sets(buf, offs, n)
+                bits = bit_sketch(x, at)
                 # 48 bits tell apart the tokens of two sets
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(x, at)), pa.array([pack(x[at[i] : at[i + 1]] >> np.uint64(16)) for i in range(len(at) - 1)], pa.binary())], ["sid", "tokens"])
+                tokens = pa.array([pack(x[at[i] : at[i + 1]] >> np.uint64(16)) for i in range(len(at) - 1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(x, at)), tokens, pa.array(np.diff(at).astype(np.int64)), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH)]], names)
 
     return run
 
@@ -234,40 +252,55 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_i
     wanted = scratch.save(of_set.join(shared.select("sid").distinct(), "sid", "left_semi").select(F.col("first").alias("want")).distinct(), "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    sets = rows.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi").select("text").mapInArrow(_sets(n), "sid long, tokens binary")
-    sets = scratch.save(sets.groupBy("sid").agg(F.first("tokens").alias("tokens")), "sets")
+    bits = [f"b{i}" for i in range(SKETCH)]
+    sets = rows.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi").select("text").mapInArrow(_sets(n), "sid long, tokens binary, n long, " + ", ".join(f"{b} long" for b in bits))
+    sets = scratch.save(sets.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("tokens", "n", *bits)]), "sets")
 
     def links_of(pairs: DataFrame, name: str) -> DataFrame:
         left = sets.select(F.col("sid").alias("x"), F.col("tokens").alias("tx"))
         right = sets.select(F.col("sid").alias("y"), F.col("tokens").alias("ty"))
         return scratch.save(pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty").mapInArrow(_verify(percent), "x long, y long"), name)
 
-    tested, linked, cells = None, None, shared
-    labels = None
-    for turn in range(STARS + 1):
-        if turn:
-            member = shared.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("c"))
-            apart = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-            cells = scratch.save(member.join(apart, "key", "left_semi"), f"apart{turn}")
-            if cells.isEmpty():
-                break
-        if turn < STARS:
-            pick = F.min("sid") if turn == 0 else F.min_by("sid", F.xxhash64("sid", F.lit(turn)))
-            hubs = cells.groupBy("key").agg(pick.alias("hub"))
-            pairs = cells.join(hubs, "key").where("sid <> hub")
-            pairs = pairs.groupBy("sid", "hub").agg(F.count("*").alias("w"))
-            pairs = pairs.groupBy("sid").agg(F.max_by("hub", F.struct("w", "hub")).alias("hub"))
-            pairs = pairs.select(F.least("sid", "hub").alias("x"), F.greatest("sid", "hub").alias("y")).distinct()
+    def near() -> Column:
+        """Whether rows a and b may be linked, by sizes and sketches alone."""
+        apart = sum((F.bit_count(F.col(f"a.{b}").bitwiseXOR(F.col(f"b.{b}"))) for b in bits), F.lit(0))
+        both = F.col("a.n") + F.col("b.n")
+        return (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (apart <= F.floor(both * (100 - percent) / (100 + percent)))
+
+    # the best connected set of a cell is its star; parents come later in (w, sid), so there are no cycles
+    weighed = shared.join(shared.groupBy("sid").agg(F.count("*").alias("w")), "sid")
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("w", "sid")).alias("hub")).select("key", F.col("hub.sid").alias("hub"))
+    stars = shared.join(hubs, "key").where("sid <> hub").groupBy("sid", "hub").agg(F.count("*").alias("k")).groupBy("sid").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
+    found = links_of(stars.select(F.col("sid").alias("x"), F.col("hub").alias("y")), "stars")
+    labels = scratch.save(found.select(F.col("x").alias("sid"), F.col("y").alias("c")), "parents")
+    while True:
+        up = labels.select(F.col("sid").alias("c"), F.col("c").alias("top"))
+        if labels.join(up, "c", "left_semi").isEmpty():
+            break
+        labels = scratch.save(labels.join(up, "c", "left").select("sid", F.coalesce("top", "c").alias("c")), "parents")
+
+    for last in (False, True):
+        member = shared.join(labels, "sid", "left").select("key", "sid", F.coalesce("c", "sid").alias("c"))
+        apart = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        cells = scratch.save(member.join(apart, "key", "left_semi").join(sets.drop("tokens"), "sid"), f"apart{last}")
+        a = cells.alias("a")
+        if last:
+            pairs = a.join(cells.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.sid") < F.col("b.sid")) & near())
         else:
-            pairs = cells.alias("a").join(cells.alias("b"), "key").where("a.c <> b.c and a.sid < b.sid").select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs{turn}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = links_of(pairs, f"links{turn}")
-        linked = found if linked is None else linked.unionByName(found)
-        labels = scratch.save(connected_components(linked, scratch, "x", "y"), f"labels{turn}")
-    grouped = of_set.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "first", "n_copies", F.coalesce("component", "sid").alias("c"))
+            largest = cells.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("c"))
+            first = Window.partitionBy("key").orderBy(F.xxhash64("sid"), "sid")
+            targets = cells.join(largest, ["key", "c"]).withColumn("place", F.row_number().over(first)).where(F.col("place") <= TARGETS)
+            pairs = a.join(targets.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & near())
+        found = links_of(pairs.select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y")).distinct(), f"links{last}")
+        if found.isEmpty():
+            continue
+        of = lambda end: labels.select(F.col("sid").alias(end), F.col("c").alias(f"c{end}"))
+        between = found.join(of("x"), "x", "left").join(of("y"), "y", "left").select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y"))
+        merged = scratch.save(connected_components(between, scratch, "x", "y").select(F.col("node").alias("c"), "component"), f"merged{last}")
+        moved = labels.join(merged, "c", "left").select("sid", F.coalesce("component", "c").alias("c"))
+        alone = merged.join(labels.select(F.col("sid").alias("c")), "c", "left_anti").select(F.col("c").alias("sid"), F.col("component").alias("c"))
+        labels = scratch.save(moved.unionByName(alone), f"labels{last}")
+    grouped = of_set.join(labels, "sid", "left").select("sid", "first", "n_copies", F.coalesce("c", "sid").alias("c"))
     least = grouped.groupBy("c").agg(F.min("first").alias("component_id"))
     of = scratch.save(grouped.join(least, "c").select("sid", "component_id", "n_copies"), "classes")
     return every.join(of, "sid", "left").select(
