@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
+from .order import running_sums
 from .scratch import Scratch
 
 
@@ -79,10 +80,12 @@ def hard_negatives(rows: DataFrame, y: str, score: str, key: list[str], ratio: i
     most = ratio * positives.count()
     half = most // 2
     negatives = rows.where(F.col(y) == 0)
-    hard = negatives.orderBy(F.desc(score), *key).limit(half)
+    # a limit would bring all that it keeps to one task; running counts over a range partition do not
+    first = lambda frame, order, n: running_sums(frame.withColumn("_one", F.lit(1)), [*order, *[F.col(k) for k in key]], {"_one": "_place"}).where(F.col("_place") <= n).drop("_one", "_place")
+    hard = first(negatives, [F.desc(score)], half)
     rest = negatives.join(hard.select(*key), key, "left_anti")
     lot = F.sha2(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in key]), 256)
-    drawn = rest.orderBy(lot, *key).limit(most - half)
+    drawn = first(rest, [lot], most - half)
     return positives.withColumn("kind", F.lit("positive")).unionByName(hard.withColumn("kind", F.lit("hard"))).unionByName(drawn.withColumn("kind", F.lit("drawn")))
 
 

@@ -37,12 +37,12 @@ class Scratch:
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
-    def drop(self, *names: str) -> None:
-        """Deletes the tables of these names; nothing may read them any more."""
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but those of these names; nothing may read the others any more."""
         jvm = self.spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.root)
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if fs.exists(root):
             for status in fs.listStatus(root):
-                if status.getPath().getName().split("-", 1)[1] in names:
+                if status.getPath().getName().split("-", 1)[1] not in names:
                     fs.delete(status.getPath(), True)
