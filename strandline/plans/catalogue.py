@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pair_queries, retrieval_queries, review_queries, text_queries
+from . import model_queries, pair_queries, retrieval_queries, review_queries, text_queries
 
 FLAGSHIP = "pair_evidence_summary"
-GROUPS = (pair_queries, retrieval_queries, review_queries, text_queries)
+GROUPS = (model_queries, pair_queries, retrieval_queries, review_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
