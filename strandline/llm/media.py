@@ -242,7 +242,7 @@ def packet_table(rows: DataFrame, media: str = "media", keep: tuple[str, ...] =
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in keep), *columns], [*keep, *names])
 
     schema = rows.select(*keep).schema
-    for name, kind in zip(names, ("int", "long", "long", "long", "boolean", "int", "long"), strict=True):
+    for name, kind in zip(names, ("integer", "long", "long", "long", "boolean", "integer", "long"), strict=True):
         schema = schema.add(name, kind)
     return rows.select(*dict.fromkeys([*keep, media])).mapInArrow(run, schema)
 
