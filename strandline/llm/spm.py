@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textvec as tv
 
@@ -40,7 +41,7 @@ SAMPLES = 2
 TEMPERATURE = 0.5
 LEAST = 1e-5
 REACH = 16
-UNITS = 120_000
+UNITS = 100_000
 _R = np.uint64(0x9E3779B97F4A7C15)
 SAMPLE_TYPE = pa.list_(pa.struct([("rank", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())]))
 SAMPLE_SQL = "array<struct<rank:int,ids:array<int>,log_prob:double,perturbed:double,inclusion:double>>"
@@ -70,19 +71,24 @@ class Vocabulary:
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces share a hash")
         self.found = tv.Sorted.of(keys)
+        self.maybe = np.zeros(1 << 20, bool)  # most spans are no piece: one look tells
+        self.maybe[(tv.mix(keys) >> np.uint64(44)).astype(np.int64)] = True
         self.ids = np.array(plain, np.uint16)[self.found.order]
         self.weight = (-temperature * np.log(2 + np.maximum(0, -np.array([self.sp.get_score(i) for i in plain]))))[self.found.order]
         self.byte_ids = np.array([self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.uint16)
         self.byte_weight = -temperature * np.log(2.0 + n)
         self.space = self.sp.piece_to_id("▁")
+        self.release()
+
+    def release(self) -> None:
+        """Gives the store's memory back."""
+        self.share, self.edge = np.zeros((0, REACH), np.float32), np.zeros((0, REACH), np.uint16)
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[int, int] = {}
         self.text: list[str] = []
         self.rows = 0
-        if not hasattr(self, "share"):  # else the room stays, and each row is written before it is read
-            self.share, self.edge = np.zeros((1 << 16, REACH), np.float32), np.zeros((1 << 16, REACH), np.uint16)
         self.first, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.fixed, self.fixed_at, self.same = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
 
@@ -101,8 +107,10 @@ class Vocabulary:
         length = np.fromiter(map(len, units), np.int64, many)
         first = self.rows + np.cumsum(length) - length
         self.rows += int(length.sum())
-        while self.rows > len(self.share):
-            self.share, self.edge = np.concatenate([self.share, np.zeros_like(self.share)]), np.concatenate([self.edge, np.zeros_like(self.edge)])
+        if self.rows > len(self.share):  # the room stays when the store is cleared; each row is written before it is read
+            more = self.rows + self.rows // 8 - len(self.share)
+            self.share = np.concatenate([self.share, np.zeros((more, REACH), np.float32)])
+            self.edge = np.concatenate([self.edge, np.zeros((more, REACH), np.uint16)])
         self.first, self.length = np.concatenate([self.first, first]), np.concatenate([self.length, length])
         size = np.fromiter(map(len, ids), np.int64, many)
         self.fixed = np.concatenate([self.fixed, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
@@ -110,30 +118,41 @@ class Vocabulary:
         self.same = np.concatenate([self.same, np.fromiter((b == (u[1:] if u[0] == " " else u) for b, u in zip(back, units, strict=True)), bool, many)])
         for n in np.unique(length):
             mine = np.flatnonzero(length == n)
-            self._lattice("".join([units[i] for i in mine]), int(n), first[mine])
+            self._lattice("".join([units[i] for i in mine.tolist()]), int(n), first[mine])
 
     def _lattice(self, joined: str, n: int, first: np.ndarray) -> None:
         points = np.frombuffer(joined.replace(" ", "▁").encode("utf-32-le"), np.uint32).reshape(-1, n)
         h = _hash(points)
+        short = n <= 48  # products of so few weights stay far from the smallest float; longer units take logarithms
+        weight, none = (np.exp(self.weight), 0.0) if short else (self.weight, -np.inf)
         best = np.zeros((len(points), n + 1))
+        best[:, 0] = 1.0 if short else 0.0
         power = np.array([pow(int(_R), k, 1 << 64) for k in range(REACH + 1)], np.uint64)
         for end in range(1, n + 1):
             spans = np.arange(1, min(REACH, end) + 1)
             part = h[:, end][:, None] - h[:, end - spans] * power[spans][None, :]
-            at = self.found.find(part.ravel()).reshape(part.shape)
+            at = np.full(part.size, -1)
+            look = np.flatnonzero(self.maybe[(tv.mix(part.ravel()) >> np.uint64(44)).astype(np.int64)])
+            at[look] = self.found.find(part.ravel()[look])
+            at = at.reshape(part.shape)
             hit = at >= 0
-            score = np.where(hit, self.weight[at], -np.inf)
+            score = np.where(hit, weight[at], none)
             ids = np.where(hit, self.ids[at], 0)
             lone = ~hit[:, 0]
             if lone.any():
                 p = points[lone, end - 1]
-                score[lone, 0] = self.byte_weight * (1 + (p > 0x7F) + (p > 0x7FF) + (p > 0xFFFF))
+                spelt = self.byte_weight * (1 + (p > 0x7F) + (p > 0x7FF) + (p > 0xFFFF))
+                score[lone, 0] = np.exp(spelt) if short else spelt
                 ids[lone, 0] = np.where(p < 0x80, self.byte_ids[np.minimum(p, 255)], 0)  # longer ones are spelt out later
-            score += best[:, end - spans]
-            top = score.max(1)
-            part = np.exp(score - top[:, None])
-            run = np.cumsum(part, 1)
-            best[:, end] = top + np.log(run[:, -1])
+            if short:
+                score *= best[:, end - spans]
+                run = np.cumsum(score, 1)
+                best[:, end] = run[:, -1]
+            else:
+                score += best[:, end - spans]
+                top = score.max(1)
+                run = np.cumsum(np.exp(score - top[:, None]), 1)
+                best[:, end] = top + np.log(run[:, -1])
             rows = first + end - 1
             self.share[rows, len(spans) - 1 :] = 1.0
             self.share[rows, : len(spans) - 1] = run[:, :-1] / run[:, -1:]
@@ -190,7 +209,8 @@ class Chunk:
         new = [k for k, x in enumerate(known) if x not in v.slot]
         if new:
             raw = text.tobytes()
-            v.add([known[k] for k in new], [raw[start[at[k]] : end[at[k]]].decode("utf-8", "replace") for k in new])
+            where = at[np.array(new)]
+            v.add([known[k] for k in new], [raw[i:j].decode("utf-8", "replace") for i, j in zip(start[where].tolist(), end[where].tolist(), strict=True)])
         self.unit = np.array([v.slot[x] for x in known], np.int64)[inverse] if known else np.zeros(0, np.int64)
 
     def fixed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,13 +231,13 @@ class Chunk:
         live, step = np.arange(len(occ)), 0
         while len(live):
             row = first[live] + pos[live] - 1
-            share = v.share[row]
-            span = (share < self.draws(doc[live], stream, place[live], step)[:, None]).sum(1)
-            span = np.minimum(span, REACH - 1)
-            p = share[np.arange(len(live)), span] - np.where(span > 0, share[np.arange(len(live)), span - 1], 0)
+            share = np.take(v.share, row, axis=0)
+            span = (share >= self.draws(doc[live], stream, place[live], step).astype(np.float32)[:, None]).argmax(1)
+            flat, cell = share.ravel(), np.arange(len(live)) * REACH + span
+            p = flat[cell] - np.where(span > 0, flat[cell - 1], 0)
             logp[live] += np.log(np.maximum(p, 1e-30))
             code[live] += tv.mix((pos[live] * REACH + span + 1).astype(np.uint64))
-            steps.append((live, v.edge[row, span].astype(np.int32), pos[live] - 1))
+            steps.append((live, np.take(v.edge.ravel(), row * REACH + span).astype(np.int32), pos[live] - 1))
             pos[live] -= span + 1
             live, step = live[pos[live] > 0], step + 1
         if not steps:
@@ -373,10 +393,10 @@ def encode(docs: DataFrame, samples: int = SAMPLES, model: str = MODEL, temperat
                 ids, begin, same = chunk.fixed()
                 columns = [pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids)), pa.array(np.diff(begin).astype(np.int64)), pa.array(same), _samples(chunk, samples)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in own), *columns], [*own, *made])
+        v.release()  # the worker serves other stages next
 
-    schema = docs.select(*own).schema
-    for name, kind in zip(made, ("array<int>", "bigint", "boolean", SAMPLE_SQL), strict=True):
-        schema = schema.add(name, kind)
+    added = StructType.fromDDL(f"ids array<int>, n_tokens bigint, round_trip boolean, samples {SAMPLE_SQL}")
+    schema = StructType([*docs.select(*own).schema.fields, *added.fields])
     seed = F.coalesce(F.xxhash64(F.col(key)), F.lit(0)).alias("_seed")
     return docs.select(*dict.fromkeys([*own, text]), seed).mapInArrow(run, schema)
 
