@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -464,7 +465,7 @@ def test_sql_of_queries(spark, sf_dir):
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, sf_dir).toPandas()
         want = con.sql(sql).df()[list(got.columns)]
-        show = lambda f: sorted(tuple("" if x is None or x != x else str(int(x) if isinstance(x, float) else x) for x in r) for r in f.itertuples(index=False))
+        show = lambda f: sorted(tuple("" if pd.isna(x) else str(int(x) if isinstance(x, float) else x) for x in r) for r in f.itertuples(index=False))
         assert show(got) == show(want), name
 
 
