@@ -87,11 +87,25 @@ class Vocabulary:
 
     def clear(self) -> None:
         self.slot: dict[int, int] = {}
+        self.hash: list[int] = []
         self.text: list[str] = []
         self.rows = 0
         self.first, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.fixed, self.fixed_at, self.same = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
 
+    def shrink(self, keep: np.ndarray) -> None:
+        """Only the units of these slots stay: those met before and again are the common ones."""
+        rows = _take(np.arange(self.rows), self.first[keep], self.length[keep])
+        self.share[: len(rows)], self.edge[: len(rows)] = np.take(self.share, rows, axis=0), np.take(self.edge, rows, axis=0)
+        at = self.fixed_at[keep]
+        size = self.fixed_at[keep + 1] - at
+        self.fixed, self.fixed_at = _take(self.fixed, at, size), np.concatenate([[0], np.cumsum(size)])
+        self.rows, self.length, self.same = len(rows), self.length[keep], self.same[keep]
+        self.first = np.cumsum(self.length) - self.length
+        slots = keep.tolist()
+        self.text, self.hash = [self.text[i] for i in slots], [self.hash[i] for i in slots]
+        self.slot = dict(zip(self.hash, range(len(slots)), strict=True))
+
     def encode(self, units: list[str]) -> list[list[int]]:
         """Ids of units; the first space is the one that the library puts before a text."""
         got = self.sp.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
@@ -104,6 +118,7 @@ class Vocabulary:
         back = self.sp.decode(ids)
         self.slot.update(zip(hashes, range(base, base + many), strict=True))
         self.text += units
+        self.hash += hashes
         length = np.fromiter(map(len, units), np.int64, many)
         first = self.rows + np.cumsum(length) - length
         self.rows += int(length.sum())
@@ -203,9 +218,9 @@ class Chunk:
         self.place = np.arange(self.n) - self.ptr[:-1][self.doc]
         self.draws = Draws(keys)
         uniq, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(v.slot) + len(uniq) > UNITS:
-            v.clear()
         known = uniq.tolist()
+        if len(v.slot) + len(known) > UNITS:
+            v.shrink(np.array([v.slot[x] for x in known if x in v.slot], np.int64))
         new = [k for k, x in enumerate(known) if x not in v.slot]
         if new:
             raw = text.tobytes()
