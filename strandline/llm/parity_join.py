@@ -303,6 +303,7 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_i
     grouped = of_set.join(labels, "sid", "left").select("sid", "first", "n_copies", F.coalesce("c", "sid").alias("c"))
     least = grouped.groupBy("c").agg(F.min("first").alias("component_id"))
     of = scratch.save(grouped.join(least, "c").select("sid", "component_id", "n_copies"), "classes")
+    scratch.keep("rows", "classes")
     return every.join(of, "sid", "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("sid") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies")
     )
