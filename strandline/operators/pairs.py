@@ -103,13 +103,37 @@ def hinges(source: DataFrame, target: DataFrame, top: int = 20) -> DataFrame:
 
     Both sides are cut by rank first (a group limit), so a hub concept adds at most top * top rows.
     """
+    ends = lambda bank, name: _ends(bank, name).where(F.col(f"{name}_rank") <= top)
+    return ends(source, "source").join(ends(target, "target"), "shared").where("source_other <> target_other")
 
-    def ends(bank: DataFrame, name: str) -> DataFrame:
-        each = bank.select(F.explode(F.array(F.struct(F.col("u").alias("shared"), F.col("v").alias("other")), F.struct(F.col("v").alias("shared"), F.col("u").alias("other")))).alias("x"), "papers").select("x.*", "papers")
-        w = Window.partitionBy("shared").orderBy(F.desc("papers"), "other")
-        return each.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top).select("shared", F.col("other").alias(f"{name}_other"), F.col("papers").alias(f"{name}_papers"), F.col("k").alias(f"{name}_rank"))
 
-    return ends(source, "source").join(ends(target, "target"), "shared").where("source_other <> target_other")
+def _ends(bank: DataFrame, name: str) -> DataFrame:
+    each = bank.select(F.explode(F.array(F.struct(F.col("u").alias("shared"), F.col("v").alias("other")), F.struct(F.col("v").alias("shared"), F.col("u").alias("other")))).alias("x"), "papers").select("x.*", "papers")
+    w = Window.partitionBy("shared").orderBy(F.desc("papers"), "other")
+    return each.select("shared", F.col("other").alias(f"{name}_other"), F.col("papers").alias(f"{name}_papers"), F.row_number().over(w).alias(f"{name}_rank"))
+
+
+def all_tiers(source: DataFrame, target: DataFrame, strong: int = 3, chunk: int = 256) -> DataFrame:
+    """The rows of `tiers` over every source x target combination of a shared concept, none cut.
+
+    A combination's tier and place depend on its two paper counts and names alone,
+    so tier ranks come from running sums over the source ends and are not sorted
+    out of the combinations.  Target ends of a concept and count are dealt in
+    chunks, so a hub concept is joined in many parts.
+    """
+    s, t = _ends(source, "source"), _ends(target, "target")
+    t = t.withColumn("place", F.row_number().over(Window.partitionBy("shared", "target_papers").orderBy("target_other")))
+    own = t.select("shared", F.col("target_other").alias("source_other"), F.col("target_papers").alias("own_papers"), F.col("place").alias("own_place"))
+    kinds = t.groupBy("shared", "target_papers").agg(F.count("*").alias("n"))
+    low, high = F.least("source_papers", "target_papers"), F.greatest("source_papers", "target_papers")
+    itself = F.coalesce(F.col("own_papers") == F.col("target_papers"), F.lit(False))
+    blocks = s.join(own, ["shared", "source_other"], "left").join(kinds, "shared").withColumns({"tier": F.when(low >= strong, "A").when(high >= strong, "B").otherwise("C"), "support": low, "own_place": F.when(itself, F.col("own_place"))})
+    before = Window.partitionBy("shared", "tier").orderBy(F.desc("support"), F.desc(high), "source_other").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum(F.col("n") - itself.cast("int")).over(before), F.lit(0)))
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int")))).drop("own_papers", "n")
+    out = blocks.join(t.withColumn("part", F.floor((F.col("place") - 1) / chunk).cast("int")), ["shared", "target_papers", "part"]).where("source_other <> target_other")
+    rank = F.col("before") + F.col("place") - F.coalesce(F.col("own_place") < F.col("place"), F.lit(False)).cast("int")
+    return out.select("shared", "source_other", "source_papers", "source_rank", "target_other", "target_papers", "target_rank", "tier", "support", rank.alias("tier_rank"))
 
 
 def tiers(candidates: DataFrame, strong: int = 3) -> DataFrame:

@@ -221,6 +221,10 @@ def tiered(s: SparkSession, d: str) -> DataFrame:
     return P.tiers(P.hinges(P.pair_summary(evidence(s, d, "source")), P.pair_summary(evidence(s, d, "target")), 3), 2)
 
 
+def all_tiered(s: SparkSession, d: str) -> DataFrame:
+    return P.all_tiers(P.pair_summary(evidence(s, d, "source")), P.pair_summary(evidence(s, d, "target")), 2)
+
+
 TIERED = """,
 ends as (select layer, u as shared, v as other, papers from sums union all select layer, v, u, papers from sums),
 cut as (select *, row_number() over (partition by layer, shared order by papers desc, other) as k from ends where layer <> 'hybrid' qualify k <= 3),
@@ -228,6 +232,7 @@ hin as (select a.shared, a.other as source_other, a.papers as source_papers, a.k
 tier as (select *, least(source_papers, target_papers) as support, case when least(source_papers, target_papers) >= 2 then 'A' when greatest(source_papers, target_papers) >= 2 then 'B' else 'C' end as tier from hin),
 tiers as (select *, row_number() over (partition by shared, tier order by support desc, greatest(source_papers, target_papers) desc, source_other, target_other) as tier_rank from tier)
 """
+TIERED_ALL, TIERED_20 = TIERED.replace(" qualify k <= 3", ""), TIERED.replace("k <= 3", "k <= 20")
 
 
 def ranks(s: SparkSession, d: str) -> DataFrame:
@@ -342,6 +347,9 @@ select u, n as v, coalesce((select min(d) from hop where x = n.n), 9)::int as di
     "hinge_candidates": (lambda s, d: P.hinges(P.pair_summary(evidence(s, d, "source")), P.pair_summary(evidence(s, d, "target")), 3), WITH + TIERED + "select * from hin"),
     "tiered_candidates": (tiered, WITH + TIERED + "select * from tiers"),
     "balanced_queue": (lambda s, d: P.balanced_queue(tiered(s, d), 2), WITH + TIERED + "select * from tiers where tier <> 'C' or tier_rank <= 2"),
+    "hinge_candidates_20": (lambda s, d: P.hinges(P.pair_summary(evidence(s, d, "source")), P.pair_summary(evidence(s, d, "target"))), WITH + TIERED_20 + "select * from hin"),
+    "tiered_candidates_all": (all_tiered, WITH + TIERED_ALL + "select * from tiers"),
+    "balanced_queue_all": (lambda s, d: P.balanced_queue(all_tiered(s, d), 2), WITH + TIERED_ALL + "select * from tiers where tier <> 'C' or tier_rank <= 2"),
     "average_ranks": (
         ranks,
         f"with n as (select o_custkey, o_orderpriority, count(*) as n from orders group by all) select *, round({_pct('n', 'o_orderpriority')}, 9) as pct, round(case when count(*) over (partition by o_orderpriority) <= 1 then 0 else (rank() over (partition by o_orderpriority order by n) + (count(*) over (partition by o_orderpriority, n) - 1) / 2.0 - 1) / (count(*) over (partition by o_orderpriority) - 1) end, 9) as r01 from n",

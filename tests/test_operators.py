@@ -54,6 +54,15 @@ def test_competing_risks_add_up(spark):
         assert r.survival + r.cif_target + r.cif_hybrid + r.cif_ambiguous == pytest.approx(1)
 
 
+def test_all_tiers_of_a_hub(spark):
+    bank = lambda names, n: spark.createDataFrame([("h", x, 1 + (i + n) % 3) for i, x in enumerate(names)], "u string, v string, papers long")
+    s, t = bank("pqrstv", 0), bank("qstvwxy", 1)
+    rows = lambda out: sorted(tuple(r) for r in out.where("shared = 'h'").select("source_other", "target_other", "tier", "support", "tier_rank", "source_rank", "target_rank").collect())
+    got = rows(pairs.all_tiers(s, t, 2, chunk=2))
+    assert len(got) == 6 * 7 - 4 and got == rows(pairs.tiers(pairs.hinges(s, t, 100), 2))
+    assert len(rows(pairs.tiers(pairs.hinges(s, t, 3), 2))) == 3 * 3 - 1
+
+
 def test_status_cascade(spark):
     s = spark.createDataFrame([("a", str(k), 2000, 1) for k in range(4)], "u string, v string, first_year int, papers int")
     t = spark.createDataFrame([("a", "1", 1999, 1), ("a", "2", 2000, 1), ("a", "3", 2001, 1), ("a", "9", 2001, 1)], "u string, v string, first_year int, papers int")
