@@ -95,3 +95,41 @@ GRAPH_WEIGHTS = {"aa": 0.24, "cn": 0.18, "jaccard": 0.12, "pa": 0.12}
 def graph_score(featured: DataFrame, by: list[str], weights: dict[str, float] = GRAPH_WEIGHTS) -> DataFrame:
     """Weighted sum of average-tie percentile ranks within each frame `by`."""
     return featured.withColumn("graph_score", sum((w * pct_rank(c, by) for c, w in weights.items()), F.lit(0.0)))
+
+
+#: All seven terms of the reference's score; `closeness` is the negative distance.
+GRAPH_WEIGHTS_ALL = {**GRAPH_WEIGHTS, "closeness": 0.12, "cosine": 0.12, "recent_sum": 0.10}
+
+
+def cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(u, v, cosine) of pairs over sparse vectors (node, dim, x); 0 where nothing is shared."""
+    norm = vectors.groupBy("node").agg(F.sum(F.col("x") * F.col("x")).alias("q"))
+    end = lambda c: vectors.select(F.col("node").alias(c), "dim", F.col("x").alias(f"x_{c}"))
+    q = lambda c: norm.select(F.col("node").alias(c), F.col("q").alias(f"q_{c}"))
+    dot = pairs.select("u", "v").join(end("u"), "u").join(end("v"), ["v", "dim"]).groupBy("u", "v").agg(F.sum(F.col("x_u") * F.col("x_v")).alias("dot"))
+    out = dot.join(q("u"), "u").join(q("v"), "v").select("u", "v", (F.col("dot") / F.sqrt(F.col("q_u") * F.col("q_v"))).alias("cosine"))
+    return pairs.select("u", "v").join(out, ["u", "v"], "left").na.fill(0, ["cosine"])
+
+
+def label_vectors(facts: DataFrame) -> DataFrame:
+    """(node, dim, x): counts of the character trigrams of each concept's label and type."""
+    label = F.lower(F.concat_ws(" | ", "concept_id", "concept_type"))
+    each = facts.select("concept_id", "concept_type").distinct().select(F.col("concept_id").alias("node"), label.alias("l"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("l") - 2), lambda i: F.substring(F.col("l"), i, F.lit(3)))
+    return each.where(F.length("l") >= 3).select("node", F.explode(grams).alias("dim")).groupBy("node", "dim").agg(F.count("*").alias("x"))
+
+
+def further_features(featured: DataFrame, edges: DataFrame, facts: DataFrame, cutoff: int, vectors: DataFrame) -> DataFrame:
+    """Adds distance (9 beyond 8 hops), closeness, recent_sum and cosine to rows of `neighbour_features`.
+
+    Joined pairs are one hop apart and others with a common neighbour two; only the rest are searched.
+    """
+    rows = Scratch(featured.sparkSession, "further").save(featured, "featured")
+    joined = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().withColumn("joined", F.lit(True))
+    near = rows.select("u", "v", "cn").join(joined, ["u", "v"], "left").withColumn("near", F.when(F.col("u") == F.col("v"), 0).when(F.col("joined"), 1).when(F.col("cn") > 0, 2))
+    far = distances(near.where("near is null"), edges)
+    dist = near.where("near is not null").select("u", "v", F.col("near").alias("distance")).unionByName(far)
+    recent = facts.where(F.col("year").between(cutoff - 2, cutoff)).groupBy("concept_id").agg(F.count_distinct("paper_id").alias("n"))
+    end = lambda c: recent.select(F.col("concept_id").alias(c), F.col("n").alias(f"recent_{c}"))
+    out = rows.join(dist, ["u", "v"]).join(cosines(rows, vectors), ["u", "v"]).join(end("u"), "u", "left").join(end("v"), "v", "left").na.fill(0, ["recent_u", "recent_v"])
+    return out.withColumns({"closeness": -F.col("distance"), "recent_sum": F.col("recent_u") + F.col("recent_v")}).drop("recent_u", "recent_v")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features as G
 from ..operators import metrics as M
 from ..operators import models as L
 from ..operators.scratch import Scratch
@@ -15,12 +14,8 @@ FEATURES = ("cn", "aa", "ra", "jaccard", "pa", "balance", "deg_u", "deg_v")
 
 
 def frames(s: SparkSession, d: str) -> DataFrame:
-    """Featured candidates of all cutoffs with the graph score, written once."""
-    out = None
-    for c in P.CUTOFFS:
-        one = P.featured(s, d, c).withColumn("cutoff", F.lit(c))
-        out = one if out is None else out.unionByName(one)
-    return Scratch(s, "frames").save(G.graph_score(out, ["cutoff"]).withColumnRenamed("label", "y"), "frames")
+    """Featured candidates of all cutoffs with the seven-term graph score, written once."""
+    return Scratch(s, "frames").save(P.scored_all(s, d, P.CUTOFFS).withColumnRenamed("label", "y"), "frames")
 
 
 def link_prediction(s: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,22 +133,80 @@ def folds(s: SparkSession, d: str) -> DataFrame:
     return G.graph_score(out, ["cutoff"]).select("cutoff", "u", "v", F.col("label").alias("y"), F.round("graph_score", 9).alias("score"))
 
 
+def featured_all(s: SparkSession, d: str, cutoff: int = CUTOFF) -> DataFrame:
+    """Candidates with all features of the seven-term score; labels' trigrams stand in for the reference's sentence vectors."""
+    edges, target = G.edges_until(evidence(s, d, "target"), cutoff), P.layer_facts(facts(s, d), "target", "exclusive")
+    out = G.further_features(_rounded(featured(s, d, cutoff)), edges, target, cutoff, G.label_vectors(facts(s, d)))
+    return out.withColumn("cosine", F.round("cosine", 9))
+
+
+def scored_all(s: SparkSession, d: str, cutoffs: tuple[int, ...] = (CUTOFF,)) -> DataFrame:
+    out = None
+    for c in cutoffs:
+        one = featured_all(s, d, c).withColumn("cutoff", F.lit(c))
+        out = one if out is None else out.unionByName(one)
+    return G.graph_score(out, ["cutoff"], G.GRAPH_WEIGHTS_ALL)
+
+
+def folds_all(s: SparkSession, d: str) -> DataFrame:
+    return scored_all(s, d, CUTOFFS).select("cutoff", "u", "v", F.col("label").alias("y"), F.round("graph_score", 9).alias("score"))
+
+
+def graph_score_rank_all(s: SparkSession, d: str) -> DataFrame:
+    return scored_all(s, d).select("u", "v", "label", "distance", "recent_sum", "cosine", F.round("graph_score", 9).alias("graph_score"))
+
+
+def _further_sql(c: int) -> str:
+    """CTEs after _features_sql(c): fx{c} has distance, recent_sum and cosine too."""
+    return f""",
+hop{c}(s, x, d) as (select distinct u, u, 0 from f{c} where cn = 0 union select s, b, d + 1 from hop{c} join bw{c} on a = x where d < 8),
+sd{c} as (select s, x, min(d) as d from hop{c} group by 1, 2), rc{c} as (select concept_id, count(distinct paper_id) as n from facts where layer = 'target' and year between {c - 2} and {c} group by 1),
+lb{c} as (select distinct concept_id, lower(concept_id || ' | ' || concept_type) as l from facts), gm{c} as (select concept_id, gram, count(*) as x from (select concept_id, unnest(list_transform(range(1, length(l) - 1), lambda i: substr(l, i, 3))) as gram from lb{c}) group by 1, 2),
+nm{c} as (select concept_id, sum(x * x)::double as q from gm{c} group by 1), dt{c} as (select f.u, f.v, sum(a.x * b.x)::double as dot from f{c} f join gm{c} a on a.concept_id = f.u join gm{c} b on b.concept_id = f.v and a.gram = b.gram group by 1, 2),
+fx{c} as (select f.*, (case when cn > 0 then 2 else coalesce(sd.d, 9) end)::int as distance, -(case when cn > 0 then 2 else coalesce(sd.d, 9) end) as closeness, coalesce(ru.n, 0) + coalesce(rv.n, 0) as recent_sum, round(coalesce(dot / sqrt(nu.q * nv.q), 0), 9) as cosine
+  from f{c} f left join sd{c} sd on sd.s = f.u and sd.x = f.v left join rc{c} ru on ru.concept_id = f.u left join rc{c} rv on rv.concept_id = f.v left join dt{c} dt on dt.u = f.u and dt.v = f.v left join nm{c} nu on nu.concept_id = f.u left join nm{c} nv on nv.concept_id = f.v)"""
+
+
+_SCORE_ALL = " + ".join(f"{w} * {_pct(f'round({c}, 9)' if c in ('aa', 'jaccard') else c, 'cutoff')}" for c, w in G.GRAPH_WEIGHTS_ALL.items())
+FOLDS_ALL = "".join(_features_sql(c) + _further_sql(c) for c in CUTOFFS) + ", folds as (select cutoff, u, v, label as y, round(" + _SCORE_ALL + ", 9) as score from (" + " union all ".join(f"select {c} as cutoff, * from fx{c}" for c in CUTOFFS) + "))"
+
+
+def risk_set_all(s: SparkSession, d: str) -> DataFrame:
+    target = P.layer_facts(facts(s, d), "target", "exclusive")
+    return S.risk_set_all(evidence(s, d, "source"), evidence(s, d, "target"), target, list(CUTOFFS)).withColumn("readiness", F.round("readiness", 9))
+
+
+def _risk_sql() -> str:
+    parts = "".join(
+        f""",
+tn{c} as (select concept_id, count(distinct paper_id) as n from facts where layer = 'target' and year <= {c} group by 1), te{c} as (select distinct u, v from tgt where year <= {c}), bw{c} as (select u as a, v as b from te{c} union all select v, u from te{c}), dg{c} as (select a as node, count(*) as degree from bw{c} group by 1),
+g{c} as (select u, v, count(distinct paper_id) as source_papers, count(distinct case when year > {c} - 3 then paper_id end) as recent_papers from src where year <= {c} group by 1, 2),
+k{c} as (select g.*, least(p.n, q.n) as target_frequency_min from g{c} g join tn{c} p on p.concept_id = g.u join tn{c} q on q.concept_id = g.v where not exists (from te{c} t where t.u = g.u and t.v = g.v)),
+cm{c} as (select k.u, k.v, count(*) as cn from k{c} k join bw{c} x on x.a = k.u join bw{c} y on y.a = k.v and y.b = x.b group by 1, 2),
+r{c} as (select {c} as cutoff, k.*, coalesce(cn, 0) as target_common_neighbors, round(coalesce(cn, 0) / greatest(1, coalesce(p.degree, 0) + coalesce(q.degree, 0) - coalesce(cn, 0)), 9) as target_jaccard,
+  (exists (from tgt t where t.year = {c + 1} and t.u = k.u and t.v = k.v))::int as next_year from k{c} k left join cm{c} m on m.u = k.u and m.v = k.v left join dg{c} p on p.node = k.u left join dg{c} q on q.node = k.v)"""
+        for c in CUTOFFS
+    )
+    ranks = " + ".join(_pct(x, "cutoff") for x in ("source_papers", "recent_papers", "target_frequency_min", "target_common_neighbors", "target_jaccard"))
+    return parts + ", r as (" + " union all by name ".join(f"select * from r{c}" for c in CUTOFFS) + f") select *, round(({ranks}) / 5, 9) as readiness from r"
+
+
 FOLDS = "".join(_features_sql(c) for c in CUTOFFS) + ", folds as (select cutoff, u, v, label as y, round(" + _SCORE + ", 9) as score from (" + " union all ".join(f"select {c} as cutoff, * from f{c}" for c in CUTOFFS) + "))"
 
 
-def backtest(s: SparkSession, d: str) -> DataFrame:
-    out = M.auc_ap(folds(s, d), ["cutoff"])
+def backtest(s: SparkSession, d: str, rows: Callable = folds) -> DataFrame:
+    out = M.auc_ap(rows(s, d), ["cutoff"])
     return out.select("cutoff", "positives", "rows", *[F.round(c, 9).alias(c) for c in ("auc", "ap", "lift")])
 
 
-def ranking_at_k(s: SparkSession, d: str) -> DataFrame:
-    out = M.at_k(folds(s, d), ["cutoff"], [10, 25, 50], ["u", "v"])
+def ranking_at_k(s: SparkSession, d: str, rows: Callable = folds) -> DataFrame:
+    out = M.at_k(rows(s, d), ["cutoff"], [10, 25, 50], ["u", "v"])
     return out.select("cutoff", "k", "hits", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "ndcg")])
 
 
-def layer_metrics(s: SparkSession, d: str) -> DataFrame:
+def layer_metrics(s: SparkSession, d: str, rows: Callable = folds) -> DataFrame:
     kinds = F.when(F.substring("u", 7, 1) == F.substring("v", 7, 1), "same").otherwise("mixed")
-    out = M.auc_ap(folds(s, d).withColumn("kind", kinds), ["cutoff", "kind"])
+    out = M.auc_ap(rows(s, d).withColumn("kind", kinds), ["cutoff", "kind"])
     return out.select("cutoff", "kind", "positives", "rows", *[F.round(c, 9).alias(c) for c in ("auc", "ap", "lift")])
 
 
@@ -157,11 +217,15 @@ select {by}, sum(tp)::bigint as positives, sum(n)::bigint as rows, round(case wh
   round(sum(tp * ctp / cn) / sum(tp), 9) as ap, round(sum(tp * ctp / cn) / sum(tp) / (sum(tp) / sum(n)), 9) as lift from cum group by all"""
 
 
-def stability(s: SparkSession, d: str) -> DataFrame:
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    return G.graph_score(_rounded(featured(s, d)).withColumn("cutoff", F.lit(CUTOFF)), ["cutoff"])
+
+
+def stability(s: SparkSession, d: str, rows: Callable = _scored) -> DataFrame:
     """Overlap of the first k by graph score and by common neighbours."""
     from pyspark.sql import Window
 
-    scored = G.graph_score(_rounded(featured(s, d)).withColumn("cutoff", F.lit(CUTOFF)), ["cutoff"]).withColumn("pair", F.concat_ws("~", "u", "v"))
+    scored = rows(s, d).withColumn("pair", F.concat_ws("~", "u", "v"))
     top = lambda c: scored.orderBy(F.desc(F.round(c, 9)), "pair").limit(100).select("pair", F.row_number().over(Window.orderBy(F.desc(F.round(c, 9)), "pair")).alias("r"))
     return M.topk_overlap(top("graph_score"), top("cn"), [10, 25, 50, 100], "pair", "r").select("k", F.round("overlap", 9).alias("overlap"))
 
@@ -355,3 +419,20 @@ select u, n as v, coalesce((select min(d) from hop where x = n.n), 9)::int as di
         f"with n as (select o_custkey, o_orderpriority, count(*) as n from orders group by all) select *, round({_pct('n', 'o_orderpriority')}, 9) as pct, round(case when count(*) over (partition by o_orderpriority) <= 1 then 0 else (rank() over (partition by o_orderpriority order by n) + (count(*) over (partition by o_orderpriority, n) - 1) / 2.0 - 1) / (count(*) over (partition by o_orderpriority) - 1) end, 9) as r01 from n",
     ),
 }
+
+
+def _whole(name: str, old: str, new: str) -> str:
+    """SQL of a query with another table of scores."""
+    sql = QUERIES[name][1]
+    assert old in sql
+    return sql.replace(old, new)
+
+
+QUERIES |= {
+    "annual_risk_set_all": (risk_set_all, WITH + _risk_sql()),
+    "graph_score_rank_all": (graph_score_rank_all, WITH + _features_sql(CUTOFF) + _further_sql(CUTOFF) + f" select u, v, label, distance, recent_sum, cosine, round({_SCORE_ALL}, 9) as graph_score from (select {CUTOFF} as cutoff, * from fx{CUTOFF})"),
+    "rolling_backtest_metrics_all": (lambda s, d: backtest(s, d, folds_all), _whole("rolling_backtest_metrics", FOLDS, FOLDS_ALL)),
+    "ranking_at_k_all": (lambda s, d: ranking_at_k(s, d, folds_all), _whole("ranking_at_k", FOLDS, FOLDS_ALL)),
+    "layer_metrics_all": (lambda s, d: layer_metrics(s, d, folds_all), _whole("layer_metrics", FOLDS, FOLDS_ALL)),
+    "topk_stability_all": (lambda s, d: stability(s, d, scored_all), _whole("topk_stability", _SCORE, _SCORE_ALL).replace(_features_sql(CUTOFF), _features_sql(CUTOFF) + _further_sql(CUTOFF)).replace(f"* from f{CUTOFF})", f"* from fx{CUTOFF})")),
+}

@@ -83,6 +83,27 @@ def test_neighbour_features(spark):
     assert (r.aa, r.ra, r.jaccard) == pytest.approx((1 / math.log(2), 0.5, 1 / 3))
 
 
+def test_seven_terms_of_the_graph_score(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "u string, v string")
+    f = spark.createDataFrame([(1, "a", "t", 1998), (2, "a", "t", 1998), (3, "d", "t", 1990)], "paper_id int, concept_id string, concept_type string, year int")
+    v = spark.createDataFrame([("a", "x", 3), ("a", "y", 4), ("d", "x", 1), ("c", "z", 1)], "node string, dim string, x int")
+    want = spark.createDataFrame([("a", "c"), ("a", "d"), ("a", "b"), ("a", "q")], "u string, v string")
+    got = features.further_features(features.neighbour_features(want, e), e, f, 1998, v)
+    assert {(r.v, r.distance, r.recent_sum, round(r.cosine, 6)) for r in got.collect()} == {("c", 2, 2, 0), ("d", 3, 2, 0.6), ("b", 1, 2, 0), ("q", 9, 2, 0)}
+    assert sum(features.GRAPH_WEIGHTS_ALL.values()) == pytest.approx(1)
+    top = features.graph_score(got, [], features.GRAPH_WEIGHTS_ALL).orderBy(F.desc("graph_score")).first()
+    assert top.v == "c"
+
+
+def test_five_ranks_of_readiness(spark):
+    pair = "u string, v string, year int, paper_id int"
+    s = spark.createDataFrame([("a", "b", 1997, 1), ("a", "x", 1997, 2)], pair)
+    t = spark.createDataFrame([("a", "w", 1997, 3), ("b", "w", 1997, 4)], pair)
+    f = spark.createDataFrame([(3, "a", 1997), (3, "w", 1997), (4, "b", 1997), (4, "w", 1997)], "paper_id int, concept_id string, year int")
+    got = [tuple(r) for r in survival.risk_set_all(s, t, f, [1997]).select("u", "v", "target_frequency_min", "target_common_neighbors", "target_jaccard", "readiness").collect()]
+    assert got == [("a", "b", 1, 1, 1.0, 1.0)]
+
+
 def test_distances(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "u string, v string")
     want = spark.createDataFrame([("a", "d"), ("a", "y"), ("a", "a")], "u string, v string")
