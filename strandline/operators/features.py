@@ -63,6 +63,20 @@ def distances(pairs: DataFrame, edges: DataFrame, most: int = 8, default: int =
     return want.join(found, ["u", "v"], "left").select("u", "v", F.coalesce("d", F.lit(default)).alias("distance"))
 
 
+def all_distances(edges: DataFrame, most: int = 8) -> DataFrame:
+    """(u, v, distance) of all ordered pairs of nodes within `most` hops, a node and itself too; other pairs are further apart."""
+    scratch = Scratch(edges.sparkSession, "hops")
+    both = scratch.save(both_ways(edges).distinct(), "edges")
+    seen = front = scratch.save(both.select(F.col("a").alias("s"), F.col("a").alias("x")).distinct().withColumn("d", F.lit(0)), "hop0")
+    for hop in range(1, most + 1):
+        front = front.select("s", F.col("x").alias("a")).join(both, "a").select("s", F.col("b").alias("x")).distinct().join(seen, ["s", "x"], "left_anti").withColumn("d", F.lit(hop))
+        front = scratch.save(front, f"hop{hop}")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen.select(F.col("s").alias("u"), F.col("x").alias("v"), F.col("d").alias("distance"))
+
+
 def transfer_candidates(source: DataFrame, target: DataFrame, facts: DataFrame, cutoff: int, horizon: int, least: int = 2) -> DataFrame:
     """Source pairs up to the cutoff with frequent ends that target lacks; the label says whether target has them within the horizon."""
     frequent = facts.where(F.col("year") <= cutoff).groupBy("concept_id").agg(F.count_distinct("paper_id").alias("n")).where(F.col("n") >= least)

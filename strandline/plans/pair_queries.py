@@ -231,7 +231,7 @@ def stability(s: SparkSession, d: str, rows: Callable = _scored) -> DataFrame:
 
 
 def bfs(s: SparkSession, d: str) -> DataFrame:
-    """Hops between nations over pairs of nations with many common part brands ordered in the same month."""
+    """Hops from the first part of the graph of `brand_edges` to every other; `bounded_bfs_distance_all` has all pairs."""
     edges = brand_edges(s, d)
     nodes = edges.select(F.col("u").alias("n")).union(edges.select("v")).distinct()
     hub = nodes.agg(F.min("n").alias("u"))
@@ -429,6 +429,10 @@ def _whole(name: str, old: str, new: str) -> str:
 
 
 QUERIES |= {
+    "bounded_bfs_distance_all": (
+        lambda s, d: G.all_distances(brand_edges(s, d)),
+        EDGES + ", hop(s, x, d) as (select distinct a, a, 0 from bw union select s, b, d + 1 from hop join bw on a = x where d < 8) select s as u, x as v, min(d)::int as distance from hop group by all",
+    ),
     "annual_risk_set_all": (risk_set_all, WITH + _risk_sql()),
     "graph_score_rank_all": (graph_score_rank_all, WITH + _features_sql(CUTOFF) + _further_sql(CUTOFF) + f" select u, v, label, distance, recent_sum, cosine, round({_SCORE_ALL}, 9) as graph_score from (select {CUTOFF} as cutoff, * from fx{CUTOFF})"),
     "rolling_backtest_metrics_all": (lambda s, d: backtest(s, d, folds_all), _whole("rolling_backtest_metrics", FOLDS, FOLDS_ALL)),

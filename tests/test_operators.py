@@ -104,6 +104,12 @@ def test_five_ranks_of_readiness(spark):
     assert got == [("a", "b", 1, 1, 1.0, 1.0)]
 
 
+def test_distances_of_all_pairs(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "u string, v string")
+    got = {(r.u, r.v): r.distance for r in features.all_distances(e, 2).collect()}
+    assert got == {(x, y): abs(ord(x) - ord(y)) for x in "abcdxy" for y in "abcdxy" if abs(ord(x) - ord(y)) <= 2}
+
+
 def test_distances(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "u string, v string")
     want = spark.createDataFrame([("a", "d"), ("a", "y"), ("a", "a")], "u string, v string")
