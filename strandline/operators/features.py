@@ -102,6 +102,14 @@ def self_candidates(target: DataFrame, facts: DataFrame, cutoff: int, horizon: i
     return pairs.join(future, ["u", "v"], "left").select("u", "v", F.coalesce("label", F.lit(0)).alias("label"))
 
 
+def all_self_candidates(target: DataFrame, facts: DataFrame, cutoff: int, horizon: int, least: int = 2) -> DataFrame:
+    """All pairs of frequent concepts that target has not joined by the cutoff, however far apart; their number grows with the square of the concepts."""
+    frequent = facts.where(F.col("year") <= cutoff).groupBy("concept_id").agg(F.count_distinct("paper_id").alias("n")).where(F.col("n") >= least)
+    pairs = frequent.select(F.col("concept_id").alias("u")).crossJoin(frequent.select(F.col("concept_id").alias("v"))).where("u < v").join(edges_until(target, cutoff), ["u", "v"], "left_anti")
+    future = target.where(F.col("year").between(cutoff + 1, cutoff + horizon)).select("u", "v").distinct().withColumn("label", F.lit(1))
+    return pairs.join(future, ["u", "v"], "left").select("u", "v", F.coalesce("label", F.lit(0)).alias("label"))
+
+
 #: Weights of the percentile ranks in the graph score.
 GRAPH_WEIGHTS = {"aa": 0.24, "cn": 0.18, "jaccard": 0.12, "pa": 0.12}
 

@@ -429,6 +429,11 @@ def _whole(name: str, old: str, new: str) -> str:
 
 
 QUERIES |= {
+    "link_candidates_self_all": (
+        lambda s, d: G.all_self_candidates(evidence(s, d, "source"), facts(s, d), 1996, 2),
+        WITH + """, el as (select concept_id from facts where year <= 1996 group by 1 having count(distinct paper_id) >= 2), k as (select distinct u, v from src where year <= 1996), fu as (select distinct u, v from src where year between 1997 and 1998)
+select a.concept_id as u, b.concept_id as v, (fu.u is not null)::int as label from el a join el b on a.concept_id < b.concept_id left join k on k.u = a.concept_id and k.v = b.concept_id left join fu on fu.u = a.concept_id and fu.v = b.concept_id where k.u is null""",
+    ),
     "bounded_bfs_distance_all": (
         lambda s, d: G.all_distances(brand_edges(s, d)),
         EDGES + ", hop(s, x, d) as (select distinct a, a, 0 from bw union select s, b, d + 1 from hop join bw on a = x where d < 8) select s as u, x as v, min(d)::int as distance from hop group by all",

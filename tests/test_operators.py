@@ -104,6 +104,13 @@ def test_five_ranks_of_readiness(spark):
     assert got == [("a", "b", 1, 1, 1.0, 1.0)]
 
 
+def test_self_candidates_without_a_common_neighbour(spark):
+    e = spark.createDataFrame([("a", "b", 1990), ("c", "d", 1990), ("a", "c", 1992)], "u string, v string, year int")
+    f = spark.createDataFrame([(i, c, 1990) for i in (1, 2) for c in "abcd"], "paper_id int, concept_id string, year int")
+    got = sorted(tuple(r) for r in features.all_self_candidates(e, f, 1990, 2).collect())
+    assert got == [("a", "c", 1), ("a", "d", 0), ("b", "c", 0), ("b", "d", 0)]
+
+
 def test_distances_of_all_pairs(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "u string, v string")
     got = {(r.u, r.v): r.distance for r in features.all_distances(e, 2).collect()}
