@@ -60,8 +60,25 @@ def sentence_spans(s: SparkSession, d: str) -> DataFrame:
 
 
 def long_sentences(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "benchmark").select("item_id", F.explode(X.sentence_array(F.col("text"))).alias("sentence"))
-    return docs.select("item_id", "sentence")
+    """Sentences of seven words or more."""
+    return table(s, d, "documents").select("doc_id", F.explode(X.sentence_array(F.col("text"))).alias("sentence"))
+
+
+def document_bigrams(s: SparkSession, d: str) -> DataFrame:
+    """Word pairs and triples of the documents."""
+    words = table(s, d, "documents").select("doc_id", T.tokens("text").alias("words"))
+    g = words.select("doc_id", F.explode(T.word_ngrams(F.col("words"), 2, 3)).alias("gram"))
+    return g.groupBy("gram").agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("times"))
+
+
+def benchmark_positions(s: SparkSession, d: str) -> DataFrame:
+    """Places of every benchmark text in every document; pairs without one have status none, so there is a row for each pair."""
+    pairs = table(s, d, "documents").select("doc_id", "text").crossJoin(table(s, d, "benchmark").select("item_id", F.col("text").alias("phrase")))
+    held = F.coalesce(F.contains("text", "phrase") & (F.length("phrase") > 0), F.lit(False))
+    hits = pairs.where(held).select("doc_id", "item_id", T.positions(F.col("text"), F.col("phrase")).alias("p"))
+    hits = hits.select("doc_id", "item_id", F.size("p").cast("long").alias("times"), F.col("p")[0]["start"].cast("long").alias("first"), F.element_at("p", -1)["stop"].cast("long").alias("last"), F.when(F.size("p") == 1, "unique").otherwise("multiple").alias("status"))
+    none = F.lit(None).cast("long")
+    return hits.unionByName(pairs.where(~held).select("doc_id", "item_id", F.lit(0).cast("long").alias("times"), none.alias("first"), none.alias("last"), F.lit("none").alias("status")))
 
 
 def nested(s: SparkSession, d: str) -> DataFrame:
@@ -93,6 +110,16 @@ QUERIES = {
         "with t as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from benchmark), g as (select item_id, unnest(list_concat(list_transform(range(1, greatest(len(w), 1)), lambda i: array_to_string(w[i:i+1], ' ')), list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i+2], ' ')))) as gram from t)"
         " select gram, count(distinct item_id) as items, count(*) as times from g group by 1",
     ),
+    "word_ngrams_documents": (
+        document_bigrams,
+        "with t as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents), g as (select doc_id, unnest(list_concat(list_transform(range(1, greatest(len(w), 1)), lambda i: array_to_string(w[i:i+1], ' ')), list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i+2], ' ')))) as gram from t)"
+        " select gram, count(distinct doc_id) as docs, count(*) as times from g group by 1",
+    ),
+    "phrase_positions_benchmark": (
+        benchmark_positions,
+        "with e as (select doc_id, item_id, d.text, b.text as phrase, coalesce(contains(d.text, b.text) and length(b.text) > 0, false) as held from documents d, benchmark b), p as (select doc_id, item_id, length(phrase) as n, list_filter(range(1, length(text) - length(phrase) + 2), lambda i: substr(text, i, length(phrase)) = phrase) as p from e where held)"
+        " select doc_id, item_id, len(p) as times, p[1] - 1 as first, p[-1] - 1 + n as last, case when len(p) = 1 then 'unique' else 'multiple' end as status from p union all select doc_id, item_id, 0, null, null, 'none' from e where not held",
+    ),
     "sentence_spans": (sentence_spans, None),
     "long_sentences": (long_sentences, None),
     "nested_terms": (nested, "select distinct p_type, p_type as \"inner\", p_type || ' ' || p_brand as \"outer\" from part"),

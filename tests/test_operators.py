@@ -240,3 +240,15 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     batch = windows.windowed(events, "1 hour")
     key = lambda r: (r.start, r.event_type, r.n, round(r.total, 6))
     assert sorted(map(key, spark.table("w").collect())) == sorted(map(key, batch.collect()))
+
+
+def test_text_queries_read_the_documents(spark, tmp_path):
+    from strandline.plans import text_queries as Q
+
+    spark.createDataFrame([(1, "one two three four five six seven. Eight nine."), (2, "aXaXa b"), (3, "nothing")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "aXa"), (8, "three four")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): (r.times, r.first, r.last, r.status) for r in Q.benchmark_positions(spark, str(tmp_path)).collect()}
+    none = (0, None, None, "none")
+    assert got == {(1, 7): none, (1, 8): (1, 8, 18, "unique"), (2, 7): (2, 0, 5, "multiple"), (2, 8): none, (3, 7): none, (3, 8): none}
+    assert [(r.doc_id, r.sentence) for r in Q.long_sentences(spark, str(tmp_path)).collect()] == [(1, "one two three four five six seven.")]
+    assert ("axaxa b", 1, 1) in {tuple(r) for r in Q.document_bigrams(spark, str(tmp_path)).collect()}
