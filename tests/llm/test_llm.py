@@ -236,6 +236,14 @@ def test_tiling_is_greedy_string_tiling(spark):
     assert {(r.doc_id, round(r.coverage, 9)) for r in other} == {(r.doc_id, round(r.coverage, 9)) for r in got.values() if r.coverage >= 0.3}
 
 
+def test_decontamination_paths_agree_on_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    bench = spark.createDataFrame([(1, "one two three four five six"), (1, long), (2, "one two three four five six")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "zz one two three four five six"), (7, "one two three four five six"), (7, "one two three four five six"), (7, long), (8, None)], "doc_id long, text string")
+    small, large = (sorted((r.doc_id or 0, r.item_id, r.coverage, r.n_tiles) for r in decontam.contaminated(docs, bench, 3, 0.8, size).collect()) for size in (1 << 20, 0))
+    assert small == large and len(small) == 7
+
+
 def test_decontamination_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (None, "straße ÉTÉ 日本語 😀 no id"), (4, "one two three four five six")], "item_id long, text string")
     extra = spark.createDataFrame([(50, "Four, FIVE six! one two three", "en", "s", 0, "c", 1), (51, "zz one two three four five zz", "en", "s", 0, "c", 1)], odd.schema)
