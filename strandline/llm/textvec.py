@@ -7,13 +7,14 @@ own.  Null counts as the empty text.  No text is ever shortened.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 18
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
 _pow: dict[str, np.ndarray] = {}
@@ -29,6 +30,15 @@ NON_WORD = np.ones(256, bool)
 NON_WORD[48:58] = NON_WORD[65:91] = NON_WORD[97:123] = NON_WORD[128:] = False
 
 
+def release() -> None:
+    """Gives freed memory back to the system; a worker that waits for its next task should not hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU system
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -43,7 +53,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, base, np.uint64)
             p[0] = 1
             _pow[key] = np.cumprod(p, dtype=np.uint64)
-        if size > 8 * CHUNK_BYTES:
+        if size > 16 << 20:
             up, down = _pow.pop("up"), _pow.pop("down")
             return up, down
     return _pow["up"], _pow["down"]
