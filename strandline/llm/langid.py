@@ -8,13 +8,23 @@ in one array sorted by hash, with a column of log probabilities a language.
 Where a language has not seen an n-gram, its column holds the interpolated
 back-off already, so one probe serves all languages.
 
+Four fifths of all labelled rows are counted, summed within tasks first.  An
+n-gram whose share of its language is too small counts as unseen and its mass
+goes to the back-off, so that all models together hold GRAMS n-grams of an order
+at most, however much text was counted.
+
 The language with the lowest cross-entropy per character wins.  A text is
-rejected when it has no letter, or when that cross-entropy lies above what
-calibration texts of the language reached, with slack that shrinks with length.
+rejected when it has no letter, or when that cross-entropy lies above the
+language's limit, with slack that shrinks with length.  The limit comes from the
+other fifth of the rows: halfway from the most that the language's own texts
+need (QUANTILE) to the least that texts of the other languages need (FOREIGN)
+which would win here if their own language were not learnt.
 
 Cases: a null text, an empty text and one without letters give `und`, score 0
 and are rejected.  With no training rows every text gives `und`.  Rows repeat
 as often as they come; ties go to the language that sorts first.  Any length.
+A language with fewer than ROWS calibration rows takes the limits pooled over
+all languages; where there is no calibration row at all, DEFAULT holds.
 """
 
 from __future__ import annotations
@@ -25,20 +35,31 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scratch import Scratch
 from . import textvec as tv
-from .samples import bounded, remainder
+from .samples import remainder
 
 ORDER = 5
 BITS = 12
 SPACE = 32
 MASK = [(1 << (BITS * k)) - 1 for k in range(ORDER + 1)]
-#: Rows a language that counts are taken from, at most; every fifth calibrates.
-SAMPLE = 1200
-SLACK = 3.0
-QUANTILE = 0.995
+#: N-grams of an order that the models of all languages hold together, at most.
+GRAMS = 1 << 23
+#: Counts that a task holds before it gives some out.
+FLUSH = 500_000
+QUANTILE, FOREIGN = 0.995, 0.01
+ROWS = 20
+#: Cross-entropy and slack where nothing could be measured.
+DEFAULT = (4.0, 8.0)
+
+
+def _code(c: str) -> int:
+    x = ord(c.lower()[0])
+    return x if x < 2048 else 2048 + (x * 2654435761 >> 7) % 2048
 
 
 @cache
@@ -46,11 +67,8 @@ def _codes() -> np.ndarray:
     """Twelve-bit code of each code point up to 0xFFFF: its lower-case letter, or a space."""
     out = np.full(0x10000, SPACE, np.uint16)
     for i in range(0x10000):
-        c = chr(i)
-        if c.isalpha():
-            low = c.lower()
-            x = ord(low[0])
-            out[i] = x if x < 4096 else 2048 + (x * 2654435761 >> 7) % 2048
+        if chr(i).isalpha():
+            out[i] = _code(chr(i))
     return out
 
 
@@ -64,8 +82,9 @@ def letters(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     table = _codes()
     big = points > 0xFFFF
     codes = table[np.where(big, 0, points)]
-    if big.any():  # letters beyond the first plane are told apart by range only
-        codes[big] = np.where((points[big] >= 0x20000), 4095, SPACE)
+    if big.any():  # beyond the first plane few code points come up, so each is asked by itself
+        some, at_some = np.unique(points[big], return_inverse=True)
+        codes[big] = np.array([_code(chr(x)) if chr(x).isalpha() else SPACE for x in some.tolist()], np.uint16)[at_some]
     row = np.repeat(np.arange(len(offs) - 1), np.diff(at))
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != SPACE) | (codes[:-1] != SPACE) | (row[1:] != row[:-1])
@@ -114,33 +133,71 @@ class Model:
         return out
 
 
-def _kneser_ney(keys: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+#: Of one order: keys in order, their counts, and the counts of their contexts with what is left out.
+Level = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _kneser_ney(levels: list[Level]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For orders 1 up: keys, discounted share of each, contexts, weight that each context leaves to the lower order."""
     out = []
-    for n in range(ORDER, 0, -1):
+    for keys, counts, totals in levels:
+        if not len(keys):
+            out.append((keys, np.zeros(0), keys, np.zeros(0)))
+            continue
         context = keys >> BITS
         starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        sizes = np.diff(np.append(starts, len(keys)))
-        total = np.add.reduceat(counts, starts).astype(np.float64)
+        total = totals[starts].astype(np.float64)
         n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
         d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        out.append((keys, np.maximum(counts - d, 0) / np.repeat(total, sizes), context[starts], d * sizes / total))
+        share = np.maximum(counts - d, 0) / totals
+        left = 1 - np.add.reduceat(share, starts)
+        out.append((keys, share, context[starts], np.maximum(left, d / total)))
+    return out
+
+
+def levels(keys: np.ndarray, counts: np.ndarray) -> list[Level]:
+    """Counts of all orders from those of the highest: a shorter n-gram counts the characters that come before it."""
+    out = []
+    for n in range(ORDER, 0, -1):
+        context = keys >> BITS
+        starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        out.append((keys, counts, np.repeat(np.add.reduceat(counts, starts), np.diff(np.append(starts, len(keys))))))
         if n > 1:
             keys, counts = np.unique(keys & MASK[n - 1], return_counts=True)
     return out[::-1]
 
 
-def train(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """counts: for each language the sorted keys of order five and how often each came."""
+def train(counts: dict[str, list[Level]]) -> Model:
+    """counts: for each language the levels of orders 1 up."""
     langs = sorted(counts)
-    per = [_kneser_ney(*counts[x]) for x in langs]
+    per = [_kneser_ney(counts[x]) for x in langs]
     uni = np.zeros((1 << BITS, len(langs)))
     for i, orders in enumerate(per):
         keys, share, _, left = orders[0]
         uni[:, i] = left[0] / (1 << BITS)
         uni[keys, i] += share
     index, logp, context, back = [], [], [], []
-    lower_keys, lower = np.arange(1 << BITS), uni
+    made: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def below(n: int, keys: np.ndarray) -> np.ndarray:
+        """Probabilities by order n: what is not held backs off."""
+        if n == 1:
+            return uni[keys & MASK[1]]
+        held, p, contexts, weight = made[n - 2]
+        out = np.zeros((len(keys), len(langs)))
+        at = np.minimum(np.searchsorted(held, keys), max(len(held) - 1, 0))
+        hit = held[at] == keys if len(held) else np.zeros(len(keys), bool)
+        out[hit] = p[at[hit]]
+        rest = keys[~hit]
+        if len(rest):
+            w = np.ones((len(rest), len(langs)))
+            if len(contexts):
+                at = np.minimum(np.searchsorted(contexts, rest >> BITS), len(contexts) - 1)
+                same = contexts[at] == rest >> BITS
+                w[same] = weight[at[same]]
+            out[~hit] = w * below(n - 1, rest & MASK[n - 1])
+        return out
+
     for n in range(2, ORDER + 1):
         keys = np.unique(np.concatenate([o[n - 1][0] for o in per]))
         ctx = np.unique(np.concatenate([o[n - 1][2] for o in per]))
@@ -150,13 +207,14 @@ def train(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
             k, share, c, left = o[n - 1]
             weight[np.searchsorted(ctx, c), i] = left
             p[np.searchsorted(keys, k), i] = share
-        p += weight[np.searchsorted(ctx, keys >> BITS)] * lower[np.searchsorted(lower_keys, keys & MASK[n - 1])]
+        if len(keys):
+            p += weight[np.searchsorted(ctx, keys >> BITS)] * below(n - 1, keys & MASK[n - 1])
+        made.append((keys, p, ctx, weight))
         found, where = tv.Sorted.of(keys), tv.Sorted.of(ctx)
         index.append(found)
         logp.append(np.log2(p[found.order]).astype(np.float32))
         context.append(where)
         back.append(np.log2(np.maximum(weight[where.order], 1e-12)).astype(np.float32))
-        lower_keys, lower = keys, p
     return Model(langs, np.log2(uni).astype(np.float32), index, logp, context, back, np.full(len(langs), np.inf), np.zeros(len(langs)))
 
 
@@ -173,50 +231,118 @@ def entropies(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, n
     return many, seen, ce
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, langs = batch.column("text"), batch.column("lang").to_pylist()
-        for a, b, buf, offs in tv.chunks(texts):
-            codes, row = letters(buf, offs)
-            keys = grams(codes, row)
-            own = np.array(langs[a:b], object)
-            for lang in set(langs[a:b]):
-                k, c = np.unique(keys[(own == lang)[row]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(c.astype(np.int64))], ["lang", "key", "n"])
+def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of distinct keys, summed."""
+    k, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    order = np.argsort(k, kind="stable")
+    k, n = k[order], n[order]
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[starts], np.add.reduceat(n, starts)
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model | None:
-    """Counts from a sample of `rows` bounded to `sample` a language; None if there is nothing to learn from."""
-    rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key")).where("text is not null and lang is not null")
-    chosen = bounded(rows, "lang", "key", sample)
-    fold = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(5))
-    counted = chosen.where(fold != 0).select("text", "lang").mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
-    if not counted.num_rows:
-        return None
-    names, keys, counts = np.array(counted["lang"].to_pylist(), object), counted["key"].to_numpy(), counted["n"].to_numpy()
-    split = {}
-    for x in sorted(set(names)):
-        own = names == x
-        order = np.argsort(keys[own])
-        split[x] = keys[own][order], counts[own][order]
-    model = train(split)
+def _count(langs: list[str]):
+    """(lang, key, n): how often each n-gram of order five came in each language, summed as far as a task can hold."""
+
+    def out(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            k, n = _sum(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), lang, np.int32)), pa.array(k), pa.array(n)], ["lang", "key", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        many = 0
+        for batch in batches:
+            own = pc.index_in(batch.column("lang"), pa.array(langs, pa.string())).to_numpy(zero_copy_only=False)
+            for a, b, buf, offs in tv.chunks(batch.column("text")):
+                codes, row = letters(buf, offs)
+                keys = grams(codes, row)
+                for lang in np.unique(own[a:b]).tolist():
+                    k, n = np.unique(keys[(own[a:b] == lang)[row]], return_counts=True)
+                    if len(k):
+                        held.setdefault(lang, []).append((k, n.astype(np.int64)))
+                        many += len(k)
+                if many > 2 * FLUSH:
+                    held = {lang: [_sum(parts)] for lang, parts in held.items()}
+                    many = sum(len(parts[0][0]) for parts in held.values())
+                    if many > FLUSH:
+                        yield from out(held)
+                        held, many = {}, 0
+        yield from out(held)
+        tv.release()
+
+    return run
+
+
+def _counts(rows: DataFrame, langs: list[str], scratch: Scratch, most: int) -> dict[str, list[Level]]:
+    """For each language and order the n-grams that are frequent enough, `most` together at most in an order."""
+    level = rows.select("text", "lang").mapInArrow(_count(langs), "lang int, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    out: dict[str, list[Level]] = {}
+    for n in range(ORDER, 0, -1):
+        level = scratch.save(level, f"grams{n}")
+        totals = {r.lang: r.n for r in level.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        if not totals:
+            return {}
+        least = F.element_at(F.create_map(*[F.lit(x) for lang, total in totals.items() for x in (lang, total * len(totals) / most)]), F.col("lang"))
+        context = F.shiftright("key", BITS).alias("context")
+        of_context = level.groupBy("lang", context).agg(F.sum("n").alias("total"))
+        kept = level.where(F.col("n") >= least).select("*", context).join(of_context, ["lang", "context"])
+        got = kept.select("lang", "key", "n", "total").toArrow()
+        lang, *columns = (got[c].to_numpy() for c in ("lang", "key", "n", "total"))
+        for i in totals:
+            own = np.flatnonzero(lang == i)
+            own = own[np.argsort(columns[0][own])]
+            out.setdefault(langs[i], []).insert(0, tuple(c[own] for c in columns))
+        level = level.groupBy("lang", F.col("key").bitwiseAND(F.lit(MASK[n - 1])).alias("key")).agg(F.count("*").alias("n"))
+    return out
+
+
+def _calibrate(rows: DataFrame, model: Model, scratch: Scratch) -> None:
+    """Sets the limits of rejection from texts that were not counted."""
     held = rows.sparkSession.sparkContext.broadcast(model)
 
-    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
             many, seen, ce = entropies(batch.column("text"), m)
-            own = np.array([m.langs.index(x) if x in m.langs else -1 for x in batch.column("lang").to_pylist()])
-            ok = (many > 0) & (own >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(seen[ok]), pa.array(ce[ok, own[ok]])], ["lang", "n", "ce"])
-
-    seen = chosen.where(fold == 0).select("text", "lang").mapInArrow(reach, "lang long, n long, ce double").toArrow()
-    own, n, ce = (seen[c].to_numpy() for c in ("lang", "n", "ce"))
+            own = np.array([m.langs.index(x) if x in m.langs else -1 for x in batch.column("lang").to_pylist()], np.int32)
+            ok = np.flatnonzero((many > 0) & (own >= 0))
+            own, ce = own[ok], ce[ok]
+            each = np.arange(len(ok))
+            least = ce[each, own]
+            if len(m.langs) > 1:
+                ce[each, own] = np.inf
+            other = ce.argmin(1) if len(ok) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(seen[ok]), pa.array(least), pa.array(other.astype(np.int32)), pa.array(ce[each, other])], ["own", "n", "ce", "other", "ce_other"])
+        tv.release()
+
+    got = scratch.save(rows.select("text", "lang").mapInArrow(run, "own int, n long, ce double, other int, ce_other double"), "calibration")
+    middle = {r.own: (r.k, r.m) for r in got.groupBy("own").agg(F.count("*").alias("k"), F.percentile_approx("ce", 0.5, 10_000).alias("m")).collect()}
+    enough = {i: m for i, (k, m) in middle.items() if k >= ROWS}
+    pooled = sum(k * m for k, m in middle.values()) / max(sum(k for k, _ in middle.values()), 1) if middle else DEFAULT[0]
+    model.mean[:] = [enough.get(i, pooled) for i in range(len(model.langs))]
+    mean = lambda c: F.element_at(F.array(*[F.lit(float(x)) for x in model.mean]), F.col(c) + 1)
+    root = F.sqrt(F.col("n").cast("double"))
+    z = got.select("own", "other", ((F.col("ce") - mean("own")) * root).alias("z"), ((F.col("ce_other") - mean("other")) * root).alias("far"))
+    near = {r.own: r.z for r in z.groupBy("own").agg(F.percentile_approx("z", QUANTILE, 10_000).alias("z")).collect()}
+    far = {r.other: r.z for r in z.where("own <> other").groupBy("other").agg(F.percentile_approx("far", FOREIGN, 10_000).alias("z")).collect()}
+    pool = max(near.values(), default=DEFAULT[1])
     for i in range(len(model.langs)):
-        here = own == i
-        if here.sum() >= 20:
-            model.mean[i] = np.median(ce[here])
-            model.limit[i] = SLACK * max(np.quantile((ce[here] - model.mean[i]) * np.sqrt(n[here]), QUANTILE), 1.0)
+        low = max(near[i] if i in enough else pool, 1.0)
+        model.limit[i] = low + max(far.get(i, low) - low, 0.0) / 2
+    held.destroy()
+
+
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = GRAMS) -> Model | None:
+    """Models of all languages of `rows`; None if there is nothing to learn from."""
+    rows = rows.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).alias("key")).where("text is not null and lang is not null")
+    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    fold = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(5))
+    scratch = Scratch(rows.sparkSession, "langid")
+    counts = _counts(rows.where(fold != 0), langs, scratch, most)
+    model = train(counts) if counts else None
+    if model:
+        _calibrate(rows.where(fold == 0), model, scratch)
+    scratch.keep()
     return model
 
 
@@ -249,6 +375,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
                 continue
             made_columns = [pa.array(best, pa.string()), pa.array(score), pa.array(least), pa.array(out)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made_columns], [*kept, *made])
+        tv.release()
 
     columns = list(dict.fromkeys([*kept, text]))
     schema = docs.select(*kept).schema if kept else docs.select().schema

@@ -63,12 +63,74 @@ def test_bounded_samples(spark):
 def test_kneser_ney_sums_to_one():
     codes, row = langid.letters(*_one("the cat sat on the mat and the rat ran to the hat"))
     keys, n = np.unique(langid.grams(codes, row), return_counts=True)
-    m = langid.train({"x": (keys, n)})
+    m = langid.train({"x": langid.levels(keys, n)})
     for context in (keys[3] >> 12, keys[9] >> 12, 99999):
         p = 2.0 ** m.score((context << 12) + np.arange(4096)).astype(float)
         assert p.sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_kneser_ney_is_the_plain_one():
+    """Probabilities of two languages against dictionaries and the textbook formula."""
+    texts = {"a": "der hund und die katze und der rabe an der wand", "b": "the cat sat on the mat and the rat ran to the hat"}
+    counts, plain = {}, {}
+    for lang, text in texts.items():
+        keys, n = np.unique(langid.grams(*langid.letters(*_one(text))), return_counts=True)
+        counts[lang] = langid.levels(keys, n)
+        orders = [dict(zip(keys.tolist(), n.tolist(), strict=True))]
+        for k in range(langid.ORDER - 1, 0, -1):
+            orders.insert(0, dict(collections.Counter(x & langid.MASK[k] for x in orders[0])))
+        plain[lang] = orders
+
+    def p(orders, key, n):
+        if n == 0:
+            return 1 / 4096
+        seen = orders[n - 1]
+        context = (key & langid.MASK[n]) >> 12
+        of = {k: c for k, c in seen.items() if k >> 12 == context}
+        n1, n2 = (sum(c == v for c in seen.values()) for v in (1, 2))
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        if not of:
+            return p(orders, key, n - 1)
+        total = sum(of.values())
+        return max(of.get(key & langid.MASK[n], 0) - d, 0) / total + d * len(of) / total * p(orders, key, n - 1)
+
+    m = langid.train(counts)
+    probes = langid.grams(*langid.letters(*_one("the hand und that katz zzz under")))
+    got = m.score(probes)
+    for i, lang in enumerate(m.langs):
+        want = [math.log2(p(plain[lang], int(k), langid.ORDER)) for k in probes]
+        assert np.allclose(got[:, i], want, atol=1e-3)
+
+
+def test_letters_beyond_the_first_plane():
+    for text, many in (("𐌰𐌱𐌲", 3), ("𝒜𝒷", 2), ("𠀀", 1), ("\U000e0041\U000f0000😀", 0), ("é1ß", 2)):
+        codes, _ = langid.letters(*_one(text))
+        assert (codes != langid.SPACE).sum() == many
+
+
+def test_rare_grams_count_as_unseen(spark, docs):
+    few = docs.where("lang is not null and text is not null")
+    small, whole = langid.fit(few, most=2000), langid.fit(few)
+    assert sum(len(x.order) for x in small.index[3:]) <= 2000 < len(whole.index[3].order)
+    context = np.array([int(k) >> 12 for k in langid.grams(*langid.letters(*_one("the house and the")))])
+    for c in context:
+        p = 2.0 ** small.score((int(c) << 12) + np.arange(4096)).astype(float)
+        assert np.allclose(p.sum(0), 1, atol=0.02)
+    got = langid.predict(few, small).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.9 * len(got)
+
+
+def test_unseen_languages_are_rejected(spark):
+    """Each language in turn is left out; most of its texts are told to be none of the others, and few known ones go."""
+    d = table(spark, "/root/testdata/sf0.01", "documents").where("text is not null and lang is not null")
+    for lang in [r.lang for r in d.select("lang").distinct().collect()]:
+        model = langid.fit(d.where(F.col("lang") != lang))
+        got = langid.predict(d.where(F.col("lang") == lang), model).where("n_chars > 100").agg(F.avg(F.col("rejected").cast("double"))).first()[0]
+        known = langid.predict(d.where(F.col("lang") != lang), model).agg(F.avg(F.col("rejected").cast("double"))).first()[0]
+        print(lang, got, known)
+        assert got > 0.8 and known < 0.03
+
+
 def _one(text):
     ((_, _, buf, offs),) = list(textvec.chunks(pa.array([text])))
     return buf, offs
@@ -309,7 +371,7 @@ def processor():
 
 
 def test_encoding_is_the_librarys(spark, docs, odd, processor):
-    few = docs.select("doc_id", "text").limit(60).unionByName(odd.select("doc_id", F.substring("text", 1, 3000).alias("text"))).unionByName(spark.createDataFrame([(70, "  a  b\n The\tx ﬁ é "), (71, "a▁b"), (72, "\n\nx ")], "doc_id long, text string"))
+    few = docs.select("doc_id", "text").limit(60).unionByName(odd.select("doc_id", "text")).unionByName(spark.createDataFrame([(70, "  a  b\n The\tx ﬁ é "), (71, "a▁b"), (72, "\n\nx ")], "doc_id long, text string"))
     got = spm.encode(few, samples=3).collect()
     for r in got:
         want = processor.encode(r.text or "")
@@ -340,6 +402,68 @@ def test_samples_follow_the_law():
         assert abs(k / n - want) < 5 * math.sqrt(want / n)
 
 
+def _segmentations(v, unit):
+    """Every segmentation of a text of known characters, with its log weight."""
+    piece = {v.sp.id_to_piece(int(i)): float(w) for i, w in zip(v.ids, v.weight, strict=True)}
+    unit = unit.replace(" ", "▁")
+
+    def rest(at):
+        if at == len(unit):
+            yield (), 0.0
+        for end in range(at + 1, min(len(unit), at + spm.REACH) + 1):
+            if unit[at:end] in piece:
+                for tail, w in rest(end):
+                    yield (unit[at:end], *tail), piece[unit[at:end]] + w
+
+    return dict(rest(0))
+
+
+@pytest.mark.parametrize("text", ["the cat", "of, to", "a", "été 12"])
+def test_samples_are_those_of_the_enumerated_lattice(text):
+    with open(spm.MODEL, "rb") as f:
+        v = spm.Vocabulary(f.read())
+    every = _segmentations(v, " " + text)
+    total = np.logaddexp.reduce(list(every.values()))
+    k = min(len(every), 40) + 1
+    keys = np.arange(3, dtype=np.uint64)
+    ((_, _, buf, offs),) = list(textvec.chunks(pa.array([text] * 3)))
+    for rows in spm._samples(spm.Chunk(v, buf, offs, keys), k).to_pylist():
+        seen = [tuple(v.sp.id_to_piece(i) for i in s["ids"]) for s in rows]
+        assert len(seen) == min(k, len(every)) == len(set(seen))
+        for s, pieces in zip(rows, seen, strict=True):
+            assert s["log_prob"] == pytest.approx(every[pieces] - total, abs=1e-4)
+        if k > len(every):
+            assert sum(math.exp(s["log_prob"]) for s in rows) == pytest.approx(1, abs=1e-4)
+            assert all(s["inclusion"] == 1 for s in rows)
+
+
+def test_inclusion_scores_weigh_samples_without_bias():
+    """Sums over k samples of f / inclusion estimate the sum of p f: here the share of one-piece words."""
+    with open(spm.MODEL, "rb") as f:
+        v = spm.Vocabulary(f.read())
+    n, text = 4000, "the cat"
+    every = _segmentations(v, " " + text)
+    total = np.logaddexp.reduce(list(every.values()))
+    want = sum(math.exp(w - total) * len(p) for p, w in every.items())
+    ((_, _, buf, offs),) = list(textvec.chunks(pa.array([text] * n)))
+    got = [sum(math.exp(s["log_prob"]) / s["inclusion"] * len(s["ids"]) for s in r) for r in spm._samples(spm.Chunk(v, buf, offs, np.arange(n, dtype=np.uint64)), 3).to_pylist()]
+    assert abs(np.mean(got) - want) < 5 * np.std(got) / math.sqrt(n)
+
+
+def test_store_of_units_is_bounded(monkeypatch):
+    monkeypatch.setattr(spm, "UNITS", 40)
+    with open(spm.MODEL, "rb") as f:
+        v = spm.Vocabulary(f.read())
+    words = ["alpha beta", "gamma 12, delta", "日本語 x▁y"] + [f"w{i}q{i * 7919 % 97} zz{i}" for i in range(60)]
+    for turn in range(2):
+        for w in words:
+            ((_, _, buf, offs),) = list(textvec.chunks(pa.array([w])))
+            c = spm.Chunk(v, buf, offs, np.zeros(1, np.uint64))
+            assert c.fixed()[0].tolist() == v.sp.encode(w)
+            assert all(v.sp.decode(s["ids"]) == w.replace("▁", " ") for s in spm._samples(c, 2).to_pylist()[0])
+    assert v.uses.n < 60
+
+
 # --- 9 Matroska
 
 
