@@ -16,10 +16,12 @@ the pigeonhole whole and leaves out cells that say little.
 3. A cell's documents are compared with its best connected one, true sets are
    intersected, and links merge documents into components.  What is still apart
    in a cell is compared with some documents of the cell's largest component,
-   and what remains apart then with every document of another component there.
+   and what remains apart then with every document of another component and a
+   size in reach there, large cells dealt out over tasks.
    A bit sketch of 1,024 parities goes along: pairs whose Hamming distance is
    above the bound are dropped within the join, before they become rows.
-So no link is lost, and a group of near copies costs a star, not a square of rows.
+So no link between components is lost, and a group of near copies costs a star,
+not a square of rows.  `links` gives every single link instead.
 
 Cases: a null or empty text, or one without words, has an empty set and links
 with nothing; fewer words than a shingle make one shingle of all.  Repeated rows
@@ -42,7 +44,10 @@ from ..operators.scratch import Scratch
 from . import textvec as tv
 
 KEY_BYTES = 6
-FLUSH = 1_000_000
+#: Cells that a publishing task holds, and that a matching task takes at once.
+FLUSH, SHARD = 300_000, 1_000_000
+#: Rows of a cell that are compared in one task; larger cells are dealt out.
+BLOCK = 512
 #: Ids of candidates that a semi-join may broadcast; more are shuffled.
 BROADCAST_ROWS = 2_000_000
 #: Documents of a cell's largest component that each document apart from it is compared with first.
@@ -128,6 +133,7 @@ def _sizes(n: int):
             for a, b, buf, offs in tv.chunks(batch.column("text")):
                 x, at = token_sets(buf, offs, n)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(np.diff(at).astype(np.int64)), pa.array(set_ids(x, at))], ["id", "n", "sid"])
+        tv.release()
 
     return run
 
@@ -173,6 +179,7 @@ def _publish(n: int, percent: int, shards: int):
                     keys, sids, held = [], [], 0
         if held:
             yield from out(keys, sids)
+        tv.release()
 
     return run
 
@@ -214,6 +221,7 @@ def _sets(n: int):
                 # 48 bits tell apart the tokens of two sets
                 tokens = pa.array([pack(x[at[i] : at[i + 1]] >> np.uint64(16)) for i in range(len(at) - 1)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(x, at)), tokens, pa.array(np.diff(at).astype(np.int64)), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH)]], names)
+        tv.release()
 
     return run
 
@@ -234,38 +242,80 @@ def _verify(percent: int):
                 common = int(both.sum())
                 ok[i] = 100 * common >= percent * (len(small) + len(large) - common)
             yield batch.select(["x", "y"]).filter(pa.array(ok))
+        tv.release()
 
     return run
 
 
-def components(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a row of `docs`: the key, n_shingles, component_id (smallest key in reach of links) and n_copies (rows with the same set)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "parity")
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    every = scratch.save(rows.mapInArrow(_sizes(n), f"id {kind}, n long, sid long"), "rows")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    published = rows.select("text").mapInArrow(_publish(n, percent, shards), "shard int, kind int, keys binary, sids binary")
-    shared = scratch.save(published.groupBy("shard").applyInArrow(_match, "key long, sid long"), "cells")
-    of_set = every.where("sid <> 0").groupBy("sid").agg(F.min("id").alias("first"), F.count("*").alias("n_copies"))
-    wanted = scratch.save(of_set.join(shared.select("sid").distinct(), "sid", "left_semi").select(F.col("first").alias("want")).distinct(), "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    bits = [f"b{i}" for i in range(SKETCH)]
-    sets = rows.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi").select("text").mapInArrow(_sets(n), "sid long, tokens binary, n long, " + ", ".join(f"{b} long" for b in bits))
-    sets = scratch.save(sets.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("tokens", "n", *bits)]), "sets")
-
-    def links_of(pairs: DataFrame, name: str) -> DataFrame:
-        left = sets.select(F.col("sid").alias("x"), F.col("tokens").alias("tx"))
-        right = sets.select(F.col("sid").alias("y"), F.col("tokens").alias("ty"))
-        return scratch.save(pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty").mapInArrow(_verify(percent), "x long, y long"), name)
-
-    def near() -> Column:
+class _Join:
+    """What both results share: sets by row, cells with two sets or more, and the sets that lie in them."""
+
+    def __init__(self, docs: DataFrame, n: int, percent: int, key: str, text: str):
+        spark = docs.sparkSession
+        self.percent, self.scratch = percent, Scratch(spark, "parity")
+        save = self.scratch.save
+        rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+        kind = rows.schema["id"].dataType.simpleString()
+        self.every = save(rows.mapInArrow(_sizes(n), f"id {kind}, n long, sid long"), "rows")
+        # a set publishes a cell more than the bound on its difference, for two levels at most
+        cells = self.every.agg(F.sum(4 * F.col("n") * (100 - percent) / (100 + percent) + 4)).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(cells) // SHARD + 1)
+        published = rows.select("text").mapInArrow(_publish(n, percent, shards), "shard int, kind int, keys binary, sids binary")
+        self.shared = save(published.groupBy("shard").applyInArrow(_match, "key long, sid long"), "cells")
+        self.of_set = self.every.where("sid <> 0").groupBy("sid").agg(F.min("id").alias("first"), F.count("*").alias("n_copies"))
+        wanted = save(self.of_set.join(self.shared.select("sid").distinct(), "sid", "left_semi").select(F.col("first").alias("want")).distinct(), "wanted")
+        if wanted.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        self.bits = [f"b{i}" for i in range(SKETCH)]
+        sets = rows.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi").select("text").mapInArrow(_sets(n), "sid long, tokens binary, n long, " + ", ".join(f"{b} long" for b in self.bits))
+        self.sets = save(sets.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("tokens", "n", *self.bits)]), "sets")
+
+    def links_of(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (x, y) that are links."""
+        left = self.sets.select(F.col("sid").alias("x"), F.col("tokens").alias("tx"))
+        right = self.sets.select(F.col("sid").alias("y"), F.col("tokens").alias("ty"))
+        return self.scratch.save(pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty").mapInArrow(_verify(self.percent), "x long, y long"), name)
+
+    def near(self) -> Column:
         """Whether rows a and b may be linked, by sizes and sketches alone."""
-        apart = sum((F.bit_count(F.col(f"a.{b}").bitwiseXOR(F.col(f"b.{b}"))) for b in bits), F.lit(0))
+        apart = sum((F.bit_count(F.col(f"a.{b}").bitwiseXOR(F.col(f"b.{b}"))) for b in self.bits), F.lit(0))
         both = F.col("a.n") + F.col("b.n")
-        return (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (apart <= F.floor(both * (100 - percent) / (100 + percent)))
+        return (100 * F.least("a.n", "b.n") >= self.percent * F.greatest("a.n", "b.n")) & (apart <= F.floor(both * (100 - self.percent) / (100 + self.percent)))
+
+    def within_cells(self, cells: DataFrame, test: Column) -> DataFrame:
+        """Distinct pairs (x, y) of sets that share a cell, may be linked and pass a test of rows a and b.
+
+        Sets meet only those of their size band and the next one, and a cell of more than
+        BLOCK rows is dealt out: one side over its parts, the other to all of them.
+        """
+        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / self.percent) + 1e-9))
+        parts = cells.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        cells = cells.join(parts, "key").withColumn("band", band)
+        small = cells.select("*", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), F.explode(F.array("band", F.col("band") + 1)).alias("meets")).alias("a")
+        large = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).alias("b")
+        met = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.meets") == F.col("b.band"))
+        order = F.struct("a.n", "a.sid") < F.struct("b.n", "b.sid")
+        return small.join(large, met & order & self.near() & test).select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y")).distinct()
+
+
+def links(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links, members): all pairs (x, y) of different sets that are linked, and the rows (key, sid, n_shingles) of each set.
+
+    No link between different texts is lost and copies are not expanded; the pairs
+    of a group of near copies grow with its square, which `components` avoids.
+    """
+    join = _Join(docs, n, percent, key, text)
+    pairs = join.within_cells(join.shared.join(join.sets.drop("tokens"), "sid"), F.lit(True))
+    found = join.links_of(pairs, "links")
+    members = join.every.where("sid <> 0").select(F.col("id").alias(key), "sid", F.col("n").alias("n_shingles"))
+    join.scratch.keep("rows", "links")
+    return found, members
+
+
+def components(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a row of `docs`: the key, n_shingles, component_id (smallest key in reach of links) and n_copies (rows with the same set)."""
+    join = _Join(docs, n, percent, key, text)
+    scratch, every, shared, of_set, sets, links_of, near = join.scratch, join.every, join.shared, join.of_set, join.sets, join.links_of, join.near
 
     # the best connected set of a cell is its star; parents come later in (w, sid), so there are no cycles
     weighed = shared.join(shared.groupBy("sid").agg(F.count("*").alias("w")), "sid")
@@ -283,15 +333,15 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_i
         member = shared.join(labels, "sid", "left").select("key", "sid", F.coalesce("c", "sid").alias("c"))
         apart = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         cells = scratch.save(member.join(apart, "key", "left_semi").join(sets.drop("tokens"), "sid"), f"apart{last}")
-        a = cells.alias("a")
         if last:
-            pairs = a.join(cells.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.sid") < F.col("b.sid")) & near())
+            pairs = join.within_cells(cells, F.col("a.c") != F.col("b.c"))
         else:
             largest = cells.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("c"))
             first = Window.partitionBy("key").orderBy(F.xxhash64("sid"), "sid")
             targets = cells.join(largest, ["key", "c"]).withColumn("place", F.row_number().over(first)).where(F.col("place") <= TARGETS)
-            pairs = a.join(targets.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & near())
-        found = links_of(pairs.select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y")).distinct(), f"links{last}")
+            pairs = cells.alias("a").join(targets.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & near())
+            pairs = pairs.select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y")).distinct()
+        found = links_of(pairs, f"links{last}")
         if found.isEmpty():
             continue
         of = lambda end: labels.select(F.col("sid").alias(end), F.col("c").alias(f"c{end}"))
