@@ -5,8 +5,9 @@ of `least` words are hashed as Karp and Rabin do; windows that a document
 shares with a benchmark item are its seeds.  Equal windows in a row on one
 diagonal are a maximal match.  The longest match whose words are unmarked on
 both sides becomes a tile and marks them; what is left of an overlapped match
-goes back to the queue while it has `least` words.  Tiles may come in any
-order, so a reordered passage is still covered.  The share of an item's words
+goes back to the queue while it has `least` words.  Where a text repeats itself
+and equal positions would multiply, the same tiles are found row by row.  Tiles
+may come in any order, so a reordered passage is still covered.  The share of an item's words
 under tiles is its coverage, and from `coverage` up the document is
 contaminated.
 
@@ -30,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.scratch import Scratch
 from . import textvec as tv
@@ -37,6 +39,8 @@ from . import textvec as tv
 LEAST = 5
 COVERAGE = 0.5
 BROADCAST_BYTES = 32 << 20
+#: Pairs of equal positions that are listed; beyond that an item is tiled a row of matches at a time.
+PAIRS_AT_ONCE = 1 << 20
 
 PAIRS = "item_id {kind}, coverage double, n_tiles int, longest int, tiles array<struct<item_start:int,doc_start:int,length:int>>"
 
@@ -72,6 +76,35 @@ def tile(i: np.ndarray, j: np.ndarray, least: int) -> list[tuple[int, int, int]]
     return tiles
 
 
+def tile_by_rows(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The same tiles from the window hashes of both sides, a row of matches at a time.
+
+    For texts that repeat themselves: equal positions multiply, rows do not.
+    `doc` may hold zeros where a window is no seed.
+    """
+    free_i, free_j = np.ones(len(item), bool), doc != 0
+    tiles = []
+    while True:
+        best, run = (0, 0, 0), np.zeros(len(doc) + 1, np.int64)
+        for i in range(len(item)):
+            if not free_i[i]:
+                run[:] = 0
+                continue
+            run[1:] = np.where((doc == item[i]) & free_j, run[:-1] + 1, 0)
+            top = int(run.max())
+            j = int(run.argmax()) - 1
+            # the longest; of equals the one that begins first in the item, then in the document
+            if top and (top, top - i, top - j) > best:
+                best = (top, top - i, top - j)
+        n = best[0]
+        if not n:
+            return tiles
+        a, b = 1 - best[1], 1 - best[2]
+        tiles.append((a, b, n + least - 1))
+        free_i[max(a - least + 1, 0) : a + n + least - 1] = False
+        free_j[max(b - least + 1, 0) : b + n + least - 1] = False
+
+
 @dataclass
 class Seeds:
     """Windows of all items: where each hash occurs."""
@@ -82,6 +115,8 @@ class Seeds:
     first: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    whole: np.ndarray  # the items' windows in order, and where each item's begin
+    begin: np.ndarray
 
 
 def _windows(column: pa.Array, least: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -105,29 +140,62 @@ def seeds_of(ids: list, texts: pa.Array, least: int) -> Seeds:
     found = tv.Sorted.of(np.unique(x))
     at = found.find(x)
     order = np.argsort(at, kind="stable")
-    return Seeds(ids, sizes, found, np.searchsorted(at[order], np.arange(len(found.hashes))), item[order], place[order])
+    return Seeds(ids, sizes, found, np.searchsorted(at[order], np.arange(len(found.hashes))), item[order], place[order], x, np.searchsorted(item, np.arange(len(ids) + 1)))
 
 
 def _judge(x: np.ndarray, place: np.ndarray, hit: np.ndarray, s: Seeds, least: int, coverage: float) -> Iterator[tuple]:
     """(id, coverage, tiles) of the items that one document covers; hit: positions of x's seeds."""
     n = s.first[hit + 1] - s.first[hit]
-    at = np.repeat(s.first[hit], n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
-    item, i, j = s.item[at], s.place[at], np.repeat(place, n)
+    seeds, times = np.unique(hit, return_counts=True)
+    many = s.first[seeds + 1] - s.first[seeds]
+    if int((many * times).sum()) <= PAIRS_AT_ONCE:
+        at = np.repeat(s.first[hit], n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+        item, i, j = s.item[at], s.place[at], np.repeat(place, n)
+        order = np.argsort(item, kind="stable")
+        item, i, j = item[order], i[order], j[order]
+        starts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
+        for a, b in zip(starts, np.append(starts[1:], len(item)), strict=True):
+            if _reach(i[a:b], int(s.sizes[item[a]]), least, coverage):
+                yield from _covered(tile(i[a:b], j[a:b], least), int(item[a]), s, coverage)
+        return
+    # places of seeds in the items, without their places in the document
+    at = np.repeat(s.first[seeds], many) + (np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many))
+    item, i, weight = s.item[at], s.place[at], np.repeat(times, many)
     order = np.argsort(item, kind="stable")
-    item, i, j = item[order], i[order], j[order]
+    item, i, weight = item[order], i[order], weight[order]
     starts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
+    dense = np.zeros(int(place.max()) + 1, np.uint64)
+    dense[place] = x
     for a, b in zip(starts, np.append(starts[1:], len(item)), strict=True):
-        size = int(s.sizes[item[a]])
-        reach = np.zeros(size + 1, np.int64)  # tiles cover no more words than the seeds do
-        mine = np.unique(i[a:b])
-        np.add.at(reach, mine, 1)
-        np.add.at(reach, np.minimum(mine + least, size), -1)
-        if (np.cumsum(reach)[:size] > 0).sum() < coverage * size:
+        k = int(item[a])
+        if not _reach(i[a:b], int(s.sizes[k]), least, coverage):
             continue
-        tiles = tile(i[a:b], j[a:b], least)
-        share = sum(t[2] for t in tiles) / size
-        if share >= coverage:
-            yield s.ids[item[a]], share, tiles
+        whole = s.whole[s.begin[k] : s.begin[k + 1]]
+        if int(weight[a:b].sum()) <= PAIRS_AT_ONCE:
+            here = np.flatnonzero(np.isin(x, whole))
+            low, high = np.sort(whole), np.argsort(whole, kind="stable")
+            first, last = np.searchsorted(low, x[here], "left"), np.searchsorted(low, x[here], "right")
+            size = last - first
+            ii = high[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+            tiles = tile(ii, np.repeat(place[here], size), least)
+        else:
+            tiles = tile_by_rows(whole, dense, least)
+        yield from _covered(tiles, k, s, coverage)
+
+
+def _reach(i: np.ndarray, size: int, least: int, coverage: float) -> bool:
+    """Whether the seeds cover enough words of an item; tiles cover no more."""
+    reach = np.zeros(size + 1, np.int64)
+    mine = np.unique(i)
+    np.add.at(reach, mine, 1)
+    np.add.at(reach, np.minimum(mine + least, size), -1)
+    return (np.cumsum(reach)[:size] > 0).sum() >= coverage * size
+
+
+def _covered(tiles: list[tuple[int, int, int]], k: int, s: Seeds, coverage: float) -> Iterator[tuple]:
+    share = sum(t[2] for t in tiles) / int(s.sizes[k])
+    if share >= coverage:
+        yield s.ids[k], share, tiles
 
 
 def _rows(key: pa.Array, found: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -198,7 +266,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cove
     docs = docs.select("doc_id", "text")
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     kind = items.schema["item_id"].dataType
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
+    item_type = to_arrow_type(kind)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + PAIRS.format(kind=kind.simpleString())
     size = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     if (size[0] or 0) + 16 * size[1] <= broadcast_bytes:
