@@ -4,16 +4,17 @@ Three base kinds are found in every text by pattern: assignments, access keys
 and long hex strings.  The method adds a fourth, opaque tokens (20 characters
 or more with letters and at least three digits, outside every base span).  The
 hash of each candidate's value is counted over the whole corpus by distinct
-repositories and owners.  A value that more than EXAMPLE_OWNERS owners hold is
-a widely copied example; one that fewer hold is owner-specific and looks live.
-Base spans stay either way; an opaque token is a span only if it looks live.
+repositories and owners.  A value is a widely copied example if more than
+EXAMPLE_OWNERS owners hold it, or if its owners hold it in more than
+EXAMPLE_REPOSITORIES repositories each on average, as a template does; any other
+is owner-specific and looks live.  Base spans stay either way; an opaque token is a span only if it looks live.
 
 Positions come from the pieces between matches: a match starts where the
 lengths of all pieces and matches before it end, counted in code points.
 
 Cases: a null text is the empty text and has no spans; null repositories and
 owners count as one.  Equal rows give equal rows, counted once in ownership
-because distinct owners count, not rows.  Empty tables give empty results.
+because distinct owners and repositories count, not rows.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ HEX = r"[0-9a-f]{16,}"
 OPAQUE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "opaque")
 EXAMPLE_OWNERS = 2
+EXAMPLE_REPOSITORIES = 25
 
 _SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
@@ -68,7 +70,7 @@ def _line(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["kind"]], x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "source", text: str = "text", keys: tuple[str, ...] = ("doc_id",), most: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", text: str = "text", keys: tuple[str, ...] = ("doc_id",), most: int = EXAMPLE_OWNERS, each_most: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """`keys` of every row, text_hash, base and spans (arrays of start, kind, stop, live), n_live and n_copied."""
     scratch = Scratch(docs.sparkSession, "secrets")
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -81,7 +83,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "source", tex
     each = rows.select("_row", "_owner", "_repository", F.explode(F.concat("_base", "_opaque")).alias("x")).select("_row", "_owner", "_repository", "x.*")
     # one row an owner and repository first, so a value that every row holds is counted from few rows
     held = each.select("hash", "_owner", "_repository").distinct().groupBy("hash").agg(F.count_distinct("_owner").alias("owners"), F.count_distinct("_repository").alias("repositories"))
-    judged = each.join(held, "hash").select("_row", F.struct("start", "kind", "stop", ((F.col("owners") <= most) & (F.col("repositories") <= most)).alias("live")).alias("x"))
+    judged = each.join(held, "hash").select("_row", F.struct("start", "kind", "stop", ((F.col("owners") <= most) & (F.col("repositories") <= each_most * F.col("owners"))).alias("live")).alias("x"))
     judged = judged.where("x.kind < 3 or x.live").groupBy("_row").agg(F.array_sort(F.collect_list("x")).alias("spans"))
     out = rows.join(judged, "_row", "left")
     none = F.array().cast("array<struct<start:int,kind:int,stop:int,live:boolean>>")
@@ -115,7 +117,7 @@ def redact(docs: DataFrame, **how) -> DataFrame:
 
 
 def op7_secrets(docs: DataFrame) -> DataFrame:
-    """Digest of the spans of every whole text; a document's source is its repository and its owner."""
+    """Digest of the spans of every whole text; a document is a repository, its source the owner."""
     found = scan(docs.select("doc_id", "text", "source"))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_line(F.col("base")), 256).alias("base_sha256"), _line(F.col("spans")).alias("spans"), F.col("n_live").cast("long").alias("n_live"), F.col("n_copied").cast("long").alias("n_copied"))
@@ -139,8 +141,9 @@ base as (
 opaque as (select * from ({_duck_spans(OPAQUE, 3)}) o where length(regexp_replace(val, '[^0-9]', '', 'g')) >= 3 and regexp_matches(val, '[A-Za-z]')
   and not exists (select 1 from base b where b.rid = o.rid and b.start < o.stop and o.start < b.stop)),
 cand as (select * from base union all select * from opaque),
-held as (select val, count(distinct owner) as owners from cand join d using (rid) group by val),
-judged as (select c.*, owners <= {EXAMPLE_OWNERS} as live from cand c join held using (val) where kind < 3 or owners <= {EXAMPLE_OWNERS}),
+held as (select val, count(distinct owner) as owners, count(distinct coalesce(doc_id::varchar, '')) as repositories from cand join d using (rid) group by val),
+weighed as (select val, owners <= {EXAMPLE_OWNERS} and repositories <= {EXAMPLE_REPOSITORIES} * owners as live from held),
+judged as (select c.*, live from cand c join weighed using (val) where kind < 3 or live),
 lined as (select rid, kind, live, start, ['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || start || ':' || stop as line from judged),
 agg as (select rid, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
   string_agg(line, ',' order by start, kind) filter (kind < 3) as base_line, string_agg(line, ',' order by start, kind) as spans,
