@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import running_sums
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 BLOCK = 256
 
@@ -33,13 +35,14 @@ def _plain(text: Column) -> Column:
 def segments(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """(conv_id, perspective, turn, segment, start, stop, mask_start, mask_stop); the mask is null where nothing is learnt."""
     said = turns.where("conv_id is not null").select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), _plain(F.col("text")).alias("text")).distinct()
+    # places come from a sorted deal of all turns, so that equal turn numbers do not gather in one task
+    said = running_sums(said.withColumn("one", F.lit(1).cast("long")), [F.col(c) for c in ("turn", "role", "text")], {"one": "place"}, ["conv_id"], [F.col("turn"), F.col("role"), F.substring("text", 1, 256)]).drop("one")
     people = said.where("role <> 'system'").select("conv_id", F.col("role").alias("perspective")).distinct()
     own = F.col("role") == F.col("perspective")
     head = F.when(own, F.lit(f"{OPEN}assistant\n")).when(F.col("role") == "system", F.lit(f"{OPEN}system\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), F.regexp_replace("role", r"[\s<|>]", "_"), F.lit("\n")))
     each = said.join(people, "conv_id").withColumn("head", head).withColumn("segment", F.concat("head", "text", F.lit(CLOSE)))
-    each = each.select("*", F.length("segment").cast("long").alias("size"), F.floor(F.col("turn") / block).alias("block"), own.alias("own"))
-    order = [F.col(c) for c in ("turn", "role", "text")]
-    within = Window.partitionBy("conv_id", "perspective", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.select("*", F.length("segment").cast("long").alias("size"), F.floor((F.col("place") - 1) / block).alias("block"), own.alias("own"))
+    within = Window.partitionBy("conv_id", "perspective", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # totals come from narrow rows: lengths are summed before they are shuffled
     totals = each.groupBy("conv_id", "perspective", "block").agg(F.sum("size").alias("total")).select("conv_id", "perspective", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
