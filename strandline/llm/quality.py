@@ -8,7 +8,9 @@ so scoring is linear in the number of inputs.  The model has a fixed size
 (2^15 words by 9 floats), so it is broadcast.
 
 Cases: null and empty texts have zero words and the statistics of an empty text.
-Without training rows every score is 0.  Repeated rows score alike; any length.
+Without training rows every score is 0.  Repeated rows score alike, and equal
+scores stay equal; any length.  Keys may have any type; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scratch import Scratch
 from . import textvec as tv
-from .samples import labelled, remainder
+from .samples import labelled, remainder, within_bytes
 
 BITS = 15
 RANK = 8
@@ -30,6 +33,8 @@ STATS = 16
 BUCKETS = 24
 #: Labelled rows of either class that the fit reads, at most.
 SAMPLE = 3000
+#: Bytes of inputs that the fit takes to the driver, at most; texts beyond that are left out of the sample.
+BYTES = 96 << 20
 EPOCHS = 12
 
 _UPPER = np.zeros(256, bool)
@@ -147,8 +152,12 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", sample: int = SAMPLE) -> Model | None:
-    """Fits a sample bounded to `sample` rows of either label; None without rows."""
-    got = labelled(docs, labels, label, sample, text, key).mapInArrow(_examples, "key long, y int, bins binary, vals binary, stats binary, meta binary").toArrow().sort_by("key")
+    """Fits a sample bounded to `sample` rows of either label and to BYTES of inputs; None without rows."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = labelled(docs, labels, label, sample, text, key)
+    rows = scratch.save(rows.select(F.xxhash64("key").alias("key"), "text", "y").mapInArrow(_examples, "key long, y int, bins binary, vals binary, stats binary, meta binary"), "examples")
+    got = within_bytes(rows, ["bins", "vals"], "key", BYTES).toArrow().sort_by([("key", "ascending"), ("y", "ascending"), ("stats", "ascending")])
+    scratch.keep()
     if not got.num_rows:
         return None
     kinds = {"bins": np.uint16, "vals": np.float32, "stats": np.float64, "meta": np.int64}
@@ -172,6 +181,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[s
                     z, _ = raw(*rows_of(bins, value, own, std, meta), b - a, m)
                     out[a:b] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own_columns), pa.array(out)], [*own_columns, "score"])
+        tv.release()
 
     return docs.select(*dict.fromkeys([*own_columns, text])).mapInArrow(run, docs.select(*own_columns).schema.add("score", "double"))
 

@@ -32,3 +32,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, text: s
     """
     drawn = bounded(labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("y")).where("y in (0, 1)"), "y", "_key", bound)
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(drawn), F.col("key") == F.col("_key")).select("key", "text", "y")
+
+
+def within_bytes(rows: DataFrame, packed: list[str], key: str, bound: int, seed: int = 23) -> DataFrame:
+    """All of `rows` if their binary columns weigh `bound` bytes at most, else about that much, chosen by a hash of `key`."""
+    total = rows.agg(F.sum(sum((F.octet_length(c) for c in packed), F.lit(64)).cast("long"))).first()[0] or 0
+    if total <= bound:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * bound / total))

@@ -6,11 +6,13 @@ keeps most weights at zero.  The model is one float32 array (4 MB at any input
 size), so it is broadcast.
 
 Cases: null and empty texts have no feature and score the bias alone.  Without
-training rows every score is 0.  Repeated rows score alike; any length.
+training rows every score is 0.  Repeated rows score alike; any length.  Keys
+may have any type; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,12 +22,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scratch import Scratch
 from . import textvec as tv
-from .samples import labelled, remainder
+from .samples import labelled, remainder, within_bytes
 
 BITS = 20
 #: Labelled rows of either class that the fit reads, at most.
 SAMPLE = 6000
+#: Bytes of features that the fit takes to the driver, at most; texts beyond that are left out of the sample.
+BYTES = 96 << 20
 EPOCHS = 10
 
 
@@ -87,14 +92,17 @@ def ftrl(examples: list[tuple[int, np.ndarray]], bits: int = BITS, alpha: float
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> Model | None:
-    """Fits a sample bounded to `sample` rows of either label; None without rows."""
-    got = labelled(docs, labels, label, sample, text, key).mapInArrow(_examples, "key long, y int, bins binary").toArrow()
+    """Fits a sample bounded to `sample` rows of either label and to BYTES of features; None without rows."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = labelled(docs, labels, label, sample, text, key)
+    rows = scratch.save(rows.select(F.xxhash64("key").alias("key"), "text", "y").mapInArrow(_examples, "key long, y int, bins binary"), "examples")
+    got = within_bytes(rows, ["bins"], "key", BYTES).toArrow()
+    scratch.keep()
     if not got.num_rows:
         return None
-    keys = got["key"].fill_null(0).to_numpy().astype(np.uint64)
     y = got["y"].to_numpy()
-    order = np.lexsort((got["key"].fill_null(0).to_numpy(), tv.mix(keys)))
     packed = got["bins"]
+    order = np.lexsort((np.array([zlib.crc32(x.as_py()) for x in packed]), y, got["key"].to_numpy()))
     return ftrl([(int(y[i]), np.frombuffer(packed[int(i)].as_py(), np.uint32).astype(np.int64)) for i in order])
 
 
@@ -115,6 +123,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[s
                     total = np.bincount(row, m.weights[bins.astype(np.int64)], b - a)
                     out[a:b] = 1 / (1 + np.exp(-np.clip(total + m.bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(out)], [*own, "score"])
+        tv.release()
 
     return docs.select(*dict.fromkeys([*own, text])).mapInArrow(run, docs.select(*own).schema.add("score", "double"))
 
