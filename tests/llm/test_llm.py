@@ -237,6 +237,20 @@ def test_chat_perspectives(spark):
         at = s.stop
 
 
+def test_chat_without_turn_numbers(spark):
+    """Null and equal turns go by role and text; places stay whole however many there are."""
+    rows = [(1, None, "a", f"t{i:04d}") for i in range(700)] + [(1, 5, "b", "late"), (1, 5, "b", "early"), (2, 1, "a", "x" * 200_000), (2, 2, "b", "y")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for persp in ("a", "b"):
+        at = 0
+        for s in chat.segments(turns, 64).where(f"conv_id = 1 and perspective = '{persp}'").orderBy("start").collect():
+            assert s.start == at
+            at = s.stop
+    texts = [s.segment for s in chat.segments(turns, 64).where("conv_id = 1 and perspective = 'b'").orderBy("start").collect()]
+    assert "t0000" in texts[0] and "t0699" in texts[-3] and "early" in texts[-2] and "late" in texts[-1]
+    assert max(s.stop for s in chat.segments(turns).where("conv_id = 2").collect()) > 200_000
+
+
 # --- 5 URLs
 
 
@@ -317,6 +331,41 @@ def test_decontamination_odd_rows(spark, odd):
     assert decontam.contaminated(every, bench.limit(0)).count() == 0 and decontam.contaminated(every.limit(0), bench).count() == 0
 
 
+def test_tiles_row_by_row_are_the_same(monkeypatch):
+    rng = random.Random(9)
+    for turn in range(60):
+        words = "a" if turn % 3 == 0 else "abc"
+        item, doc = ([rng.choice(words) for _ in range(rng.randrange(6, 40))] for _ in range(2))
+        doc += ["q"] * 3 + doc[:7] + item[3:9]
+        want = _plain_tiles(item, doc, 4)
+        seeds = decontam.seeds_of([5], pa.array([" ".join(item)]), 4)
+        ((_, _, x, _, place, _),) = list(decontam._windows(pa.array([" ".join(doc)]), 4))
+        at = seeds.found.find(x)
+        hit = np.flatnonzero(at >= 0)
+        for most in (1 << 20, 0):
+            monkeypatch.setattr(decontam, "PAIRS_AT_ONCE", most)
+            got = [t for _, _, t in decontam._judge(x[hit], place[hit], at[hit], seeds, 4, 0.0001)] if len(hit) else []
+            assert (got[0] if got else []) == want
+
+
+def test_long_runs_of_one_word_are_tiled():
+    seeds = decontam.seeds_of([1], pa.array(["la " * 3000]), 5)
+    ((_, _, x, _, place, _),) = list(decontam._windows(pa.array(["la " * 20_000 + "end"]), 5))
+    at = seeds.found.find(x)
+    hit = np.flatnonzero(at >= 0)
+    ((_, share, tiles),) = list(decontam._judge(x[hit], place[hit], at[hit], seeds, 5, 0.5))
+    assert share == 1 and tiles == [(0, 0, 3000)]
+
+
+def test_decontamination_takes_any_id(spark):
+    text = "one two three four five six seven eight"
+    for ids in (["a", "b"], [1.5, 2.5]):
+        bench = spark.createDataFrame([(ids[0], text), (ids[1], "no words of it at all here")], f"item_id {'string' if ids[0] == 'a' else 'double'}, text string")
+        docs = spark.createDataFrame([("x", "so: " + text), ("y", "else")], "doc_id string, text string")
+        for size in (1 << 20, 0):
+            assert [(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench, broadcast_bytes=size).collect()] == [("x", ids[0])]
+
+
 # --- 7 secrets
 
 
@@ -348,6 +397,15 @@ def test_secrets_against_plain(spark):
     assert len(got[901]) == 2 and secrets.op7_secrets(docs.limit(0)).count() == 0
 
 
+def test_many_repositories_of_one_owner(spark):
+    """A value that one owner has in very many repositories is a template; in few, it is a credential."""
+    few, many = "Zx81q0W4pLmN7vB2tYe6", "Ab12Cd34Ef56Gh78Ij90"
+    rows = [(i, f"a {many} b" + (f" {few}" if i < 3 else ""), "one") for i in range(secrets.EXAMPLE_REPOSITORIES + 1)] + [(900, "x" * 200_000 + f" {few} token={'z' * 50_000}", None)]
+    got = {r.doc_id: r for r in secrets.op7_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0].spans == f"opaque:{len(many) + 5}:{len(many) + 5 + len(few)}" and got[0].n_live == 1 and got[20].spans == ""
+    assert (got[900].n_assign, got[900].n_live) == (1, 2) and got[900].spans.endswith("assign:200022:250028")
+
+
 def test_ownership(spark):
     live, copied = "Zx81q0W4pLmN7vB2tYe6", "Ab12Cd34Ef56Gh78Ij90"
     rows = [(1, f"key {live} end", "a"), (1, f"key {live} end", "a")] + [(10 + i, f"use {copied} here password={'q' * 12}", f"s{i}") for i in range(4)]
@@ -559,6 +617,27 @@ def test_components_against_plain(spark, n, percent, seed):
     assert got == _plain_components(rows, n, percent)
 
 
+def test_links_against_plain(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "BLOCK", 3)
+    monkeypatch.setattr(parity_join, "SHARD", 200)
+    rows = _near(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found, members = parity_join.links(docs, 3, 90)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.sid, []).append(r.doc_id)
+    got = {frozenset((min(of[r.x]), min(of[r.y]))) for r in found.collect()}
+    sets = {}
+    for i, t in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        if w:
+            sets.setdefault(frozenset([tuple(w)] if len(w) < 3 else [tuple(w[k : k + 3]) for k in range(len(w) - 2)]), i)
+    want = {frozenset((i, j)) for (a, i), (b, j) in itertools.combinations(sets.items(), 2) if 100 * len(a & b) >= 90 * len(a | b)}
+    assert got == want and len(want) > 10 and sum(map(len, of.values())) == sum(bool((t or "").split()) for _, t in rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.components(docs, 3, 90).collect()}
+    assert got == _plain_components(rows, 3, 90)
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
@@ -637,3 +716,23 @@ def test_only_this_subpackage_knows_itself():
                 if name.endswith(".py"):
                     with open(os.path.join(d, name), encoding="utf-8") as f:
                         assert "llm" not in f.read(), name
+
+
+def test_pipeline_over_odd_tables(spark, sf_dir, tmp_path):
+    """Nulls, empty and long texts, repeated and missing ids, clashing columns, and an empty benchmark."""
+    import corpus_pipeline
+
+    some = table(spark, sf_dir, "documents").limit(60)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ids string, samples int, score string, n int, _row int"
+    rows = [(i, t, None if (i or 0) % 2 else "en", None if i == 3 else "s", None, "clash", 1, "clash", 7, 1) for i, t in ODD]
+    long = some.first().text
+    rows += [(500, (long + " ") * (200_000 // len(long) + 1), "en", "s", 1, "x", 1, "x", 1, 1), (500, "again the same id with other words in it", "en", "s", 1, "x", 1, "x", 1, 1)]
+    more = some.select("*", *[F.lit(None).cast(k).alias(c) for c, k in (("ids", "string"), ("samples", "int"), ("score", "string"), ("n", "int"), ("_row", "int"))])
+    spark.createDataFrame(rows, schema).unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, sf_dir, "benchmark").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert got and {r.doc_id for r in got} <= {r.doc_id for r in some.collect()} | {500, None, 5, 6}
+    assert all(r.n_tokens == len(r.ids) and r.samples for r in got)
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    table(spark, sf_dir, "benchmark").write.parquet(f"{tmp_path}/empty/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
