@@ -1,11 +1,10 @@
-"""Neighbourhood features, bounded distances, candidates and graph scores over time-cut edge tables."""
+"""Degrees, bounded distances and cosines over edge tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import pct_rank
 from .scratch import Scratch
 
 
@@ -21,25 +20,6 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy("a").agg(F.count("*").alias("degree")).withColumnRenamed("a", "node")
 
 
-def neighbour_features(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Degrees, common neighbours, Jaccard, Adamic-Adar, resource allocation, preferential attachment and balance of each pair.
-
-    The wedge join starts at the pairs, not at the hubs: a pair brings the
-    neighbours of its first end, and each is looked up with the second.
-    """
-    both = both_ways(edges)
-    deg = degrees(edges)
-    wedge = pairs.select("u", "v").join(both.select(F.col("a").alias("u"), F.col("b").alias("w")), "u").join(both.select(F.col("a").alias("v"), F.col("b").alias("w")), ["v", "w"])
-    wedge = wedge.join(deg.select(F.col("node").alias("w"), "degree"), "w")
-    d = F.greatest(F.lit(2), F.col("degree"))
-    common = wedge.groupBy("u", "v").agg(F.count("*").alias("cn"), F.sum(1 / F.log(d)).alias("aa"), F.sum(1 / F.greatest(F.lit(1), F.col("degree"))).alias("ra"))
-    out = pairs.join(common, ["u", "v"], "left").na.fill(0, ["cn", "aa", "ra"])
-    for end in ("u", "v"):
-        out = out.join(deg.select(F.col("node").alias(end), F.col("degree").alias(f"deg_{end}")), end, "left").na.fill(0, [f"deg_{end}"])
-    union = F.greatest(F.lit(1), F.col("deg_u") + F.col("deg_v") - F.col("cn"))
-    return out.withColumns({"jaccard": F.col("cn") / union, "pa": F.col("deg_u") * F.col("deg_v"), "balance": F.least("deg_u", "deg_v") / F.greatest(F.lit(1), F.greatest("deg_u", "deg_v"))})
-
-
 def distances(pairs: DataFrame, edges: DataFrame, most: int = 8, default: int = 9) -> DataFrame:
     """(u, v, distance) by breadth-first frontiers of at most `most` hops; unreached pairs get `default`.
 
@@ -77,52 +57,6 @@ def all_distances(edges: DataFrame, most: int = 8) -> DataFrame:
     return seen.select(F.col("s").alias("u"), F.col("x").alias("v"), F.col("d").alias("distance"))
 
 
-def transfer_candidates(source: DataFrame, target: DataFrame, facts: DataFrame, cutoff: int, horizon: int, least: int = 2) -> DataFrame:
-    """Source pairs up to the cutoff with frequent ends that target lacks; the label says whether target has them within the horizon."""
-    frequent = facts.where(F.col("year") <= cutoff).groupBy("concept_id").agg(F.count_distinct("paper_id").alias("n")).where(F.col("n") >= least)
-    ok = lambda c: frequent.select(F.col("concept_id").alias(c))
-    pairs = edges_until(source, cutoff).join(ok("u"), "u", "left_semi").join(ok("v"), "v", "left_semi").join(edges_until(target, cutoff), ["u", "v"], "left_anti")
-    future = target.where(F.col("year").between(cutoff + 1, cutoff + horizon)).select("u", "v").distinct().withColumn("label", F.lit(1))
-    return pairs.join(future, ["u", "v"], "left").select("u", "v", F.coalesce("label", F.lit(0)).alias("label"))
-
-
-def self_candidates(target: DataFrame, facts: DataFrame, cutoff: int, horizon: int, least: int = 2) -> DataFrame:
-    """Pairs of frequent concepts two steps apart that target has not joined yet.
-
-    All unjoined pairs would grow with the square of the concepts; those with a
-    common neighbour are the ones that neighbourhood scores can tell apart.
-    """
-    frequent = facts.where(F.col("year") <= cutoff).groupBy("concept_id").agg(F.count_distinct("paper_id").alias("n")).where(F.col("n") >= least)
-    known = edges_until(target, cutoff)
-    both = both_ways(known)
-    wedge = both.select(F.col("b").alias("w"), F.col("a").alias("u")).join(both.select(F.col("b").alias("w"), F.col("a").alias("v")), "w").where("u < v").select("u", "v").distinct()
-    ok = lambda c: frequent.select(F.col("concept_id").alias(c))
-    pairs = wedge.join(ok("u"), "u", "left_semi").join(ok("v"), "v", "left_semi").join(known, ["u", "v"], "left_anti")
-    future = target.where(F.col("year").between(cutoff + 1, cutoff + horizon)).select("u", "v").distinct().withColumn("label", F.lit(1))
-    return pairs.join(future, ["u", "v"], "left").select("u", "v", F.coalesce("label", F.lit(0)).alias("label"))
-
-
-def all_self_candidates(target: DataFrame, facts: DataFrame, cutoff: int, horizon: int, least: int = 2) -> DataFrame:
-    """All pairs of frequent concepts that target has not joined by the cutoff, however far apart; their number grows with the square of the concepts."""
-    frequent = facts.where(F.col("year") <= cutoff).groupBy("concept_id").agg(F.count_distinct("paper_id").alias("n")).where(F.col("n") >= least)
-    pairs = frequent.select(F.col("concept_id").alias("u")).crossJoin(frequent.select(F.col("concept_id").alias("v"))).where("u < v").join(edges_until(target, cutoff), ["u", "v"], "left_anti")
-    future = target.where(F.col("year").between(cutoff + 1, cutoff + horizon)).select("u", "v").distinct().withColumn("label", F.lit(1))
-    return pairs.join(future, ["u", "v"], "left").select("u", "v", F.coalesce("label", F.lit(0)).alias("label"))
-
-
-#: Weights of the percentile ranks in the graph score.
-GRAPH_WEIGHTS = {"aa": 0.24, "cn": 0.18, "jaccard": 0.12, "pa": 0.12}
-
-
-def graph_score(featured: DataFrame, by: list[str], weights: dict[str, float] = GRAPH_WEIGHTS) -> DataFrame:
-    """Weighted sum of average-tie percentile ranks within each frame `by`."""
-    return featured.withColumn("graph_score", sum((w * pct_rank(c, by) for c, w in weights.items()), F.lit(0.0)))
-
-
-#: All seven terms of the reference's score; `closeness` is the negative distance.
-GRAPH_WEIGHTS_ALL = {**GRAPH_WEIGHTS, "closeness": 0.12, "cosine": 0.12, "recent_sum": 0.10}
-
-
 def cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """(u, v, cosine) of pairs over sparse vectors (node, dim, x); 0 where nothing is shared."""
     norm = vectors.groupBy("node").agg(F.sum(F.col("x") * F.col("x")).alias("q"))
@@ -139,19 +73,3 @@ def label_vectors(facts: DataFrame) -> DataFrame:
     each = facts.select("concept_id", "concept_type").distinct().select(F.col("concept_id").alias("node"), label.alias("l"))
     grams = F.transform(F.sequence(F.lit(1), F.length("l") - 2), lambda i: F.substring(F.col("l"), i, F.lit(3)))
     return each.where(F.length("l") >= 3).select("node", F.explode(grams).alias("dim")).groupBy("node", "dim").agg(F.count("*").alias("x"))
-
-
-def further_features(featured: DataFrame, edges: DataFrame, facts: DataFrame, cutoff: int, vectors: DataFrame) -> DataFrame:
-    """Adds distance (9 beyond 8 hops), closeness, recent_sum and cosine to rows of `neighbour_features`.
-
-    Joined pairs are one hop apart and others with a common neighbour two; only the rest are searched.
-    """
-    rows = Scratch(featured.sparkSession, "further").save(featured, "featured")
-    joined = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().withColumn("joined", F.lit(True))
-    near = rows.select("u", "v", "cn").join(joined, ["u", "v"], "left").withColumn("near", F.when(F.col("u") == F.col("v"), 0).when(F.col("joined"), 1).when(F.col("cn") > 0, 2))
-    far = distances(near.where("near is null"), edges)
-    dist = near.where("near is not null").select("u", "v", F.col("near").alias("distance")).unionByName(far)
-    recent = facts.where(F.col("year").between(cutoff - 2, cutoff)).groupBy("concept_id").agg(F.count_distinct("paper_id").alias("n"))
-    end = lambda c: recent.select(F.col("concept_id").alias(c), F.col("n").alias(f"recent_{c}"))
-    out = rows.join(dist, ["u", "v"]).join(cosines(rows, vectors), ["u", "v"]).join(end("u"), "u", "left").join(end("v"), "v", "left").na.fill(0, ["recent_u", "recent_v"])
-    return out.withColumns({"closeness": -F.col("distance"), "recent_sum": F.col("recent_u") + F.col("recent_v")}).drop("recent_u", "recent_v")

@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running_sums
+
 
 def ties(scored: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
-    """Positives and rows of each score, and both cumulated from the top: ties are folded before they are ordered."""
+    """Positives and rows of each score, and both cumulated from the top.
+
+    Ties are folded before they are ordered, and distinct scores are dealt by range, so no group is ordered in one task.
+    """
     each = scored.groupBy(*by, score).agg(F.sum(y).alias("tp"), F.count("*").alias("n"))
-    top = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return each.withColumns({"ctp": F.sum("tp").over(top), "cn": F.sum("n").over(top)})
+    return running_sums(each, [F.desc(score)], {"tp": "ctp", "n": "cn"}, by)
+
+
+def first_rows(rows: DataFrame, score: str, key: str, k: int) -> DataFrame:
+    """(key, r) of the k rows with the highest score; ties go by key.  Only k rows are numbered."""
+    order = [F.desc(score), F.asc(key)]
+    return rows.orderBy(*order).limit(k).select(key, F.row_number().over(Window.orderBy(*order)).alias("r"))
 
 
 def auc_ap(scored: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import pct_rank
 from . import metrics as M
+from .order import pct_ranks
 
 
 def make(name: str, features: Sequence[str], label: str = "y", weight: str | None = None, **params) -> Pipeline:
@@ -35,26 +35,39 @@ def score(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
     return model.transform(rows).withColumn(name, vector_to_array("probability")[1]).drop("raw", "x", "rawPrediction", "probability", "prediction")
 
 
-def fit_or_fallback(train: DataFrame, test: DataFrame, name: str, features: Sequence[str], fallback: str, label: str = "y", **params) -> DataFrame:
+def fit_or_fallback(train: DataFrame, test: DataFrame, name: str, features: Sequence[str], fallback: str, label: str = "y", key: Sequence[str] = ("cutoff", "u", "v"), **params) -> DataFrame:
     """`test` with a column `name`: the model's probability, or the percentile rank of `fallback` if training has one class."""
     if train.select(label).distinct().count() < 2:
-        return test.withColumn(name, pct_rank(fallback))
+        ranks = pct_ranks(test.withColumn("_all", F.lit(1)), key, [fallback], "_all").drop("_all")
+        return test.join(ranks.withColumnRenamed(f"pr_{fallback}", name), list(key))
     return score(make(name, features, label, "w", **params).fit(balanced(train, label)), test, name)
 
 
-def blends(scored: DataFrame, a: str, b: str, by: Sequence[str], steps: int = 10) -> DataFrame:
+def blends(scored: DataFrame, a: str, b: str, by: str, key: Sequence[str] = ("u", "v"), steps: int = 10) -> DataFrame:
     """Every weight of a grid: score = w rank(a) + (1 - w) rank(b), ranked within each fold."""
-    ranked = scored.withColumns({"_ra": pct_rank(a, by), "_rb": pct_rank(b, by)})
+    ranked = scored.join(pct_ranks(scored, key, [a, b], by).withColumnsRenamed({f"pr_{a}": "_ra", f"pr_{b}": "_rb"}), [*key, by])
     grid = scored.sparkSession.createDataFrame([(i / steps,) for i in range(steps + 1)], "blend double")
-    return ranked.join(F.broadcast(grid)).withColumn("score", F.col("blend") * F.col("_ra") + (1 - F.col("blend")) * F.col("_rb")).drop("_ra", "_rb")
+    return ranked.join(F.broadcast(grid)).withColumn("score", F.round(F.col("blend") * F.col("_ra") + (1 - F.col("blend")) * F.col("_rb"), 12)).drop("_ra", "_rb")
+
+
+#: Weights of the objective by which a choice is made on the folds before the holdout.
+OBJECTIVE = {"ap": 0.4, "p10": 0.2, "p25": 0.2, "p50": 0.2}
+SPREAD = 0.1
+
+
+def fold_metrics(scored: DataFrame, by: Sequence[str], key: Sequence[str] = ("u", "v")) -> DataFrame:
+    """(by, auc, ap, p10, p25, p50, objective) of each fold and choice; precision counts as 0 where a fold has fewer rows."""
+    by = list(by)
+    at = M.at_k(scored, by, [10, 25, 50], list(key)).groupBy(*by).agg(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col("precision"))), F.lit(0.0)).alias(f"p{k}") for k in (10, 25, 50)])
+    return M.auc_ap(scored, by).join(at, by).withColumn("objective", sum((w * F.coalesce(F.col(c), F.lit(0.0)) for c, w in OBJECTIVE.items()), F.lit(0.0)))
 
 
 def select(scored: DataFrame, fold: str, choice: str, holdout: int) -> DataFrame:
-    """(choice, mean_ap, spread, holdout_ap): the choice with the best mean AP, less a tenth of its spread, on the folds before the holdout."""
-    ap = M.auc_ap(scored, [fold, choice])
-    early = ap.where(F.col(fold) < holdout).groupBy(choice).agg(F.avg("ap").alias("mean_ap"), F.stddev_pop("ap").alias("spread"))
-    best = early.orderBy(F.desc(F.col("mean_ap") - 0.1 * F.col("spread")), choice).limit(1)
-    return best.join(ap.where(F.col(fold) == holdout).select(choice, F.col("ap").alias("holdout_ap"), F.col("auc").alias("holdout_auc")), choice, "left")
+    """The choice with the best mean objective, less a tenth of its spread, on the folds before the holdout, and its figures there."""
+    each = fold_metrics(scored, [fold, choice])
+    early = each.where(F.col(fold) < holdout).groupBy(choice).agg(F.avg("objective").alias("mean_objective"), F.stddev_pop("objective").alias("spread"))
+    best = early.orderBy(F.desc(F.round(F.col("mean_objective") - SPREAD * F.col("spread"), 9)), choice).limit(1)
+    return best.join(each.where(F.col(fold) == holdout).select(choice, F.col("ap").alias("holdout_ap"), F.col("auc").alias("holdout_auc")), choice, "left")
 
 
 def platt(train: DataFrame, rows: DataFrame, score_column: str, label: str = "y") -> DataFrame:

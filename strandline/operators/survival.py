@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import pct_rank, wilson
-from .features import neighbour_features
+from ..functions.ranks import wilson
 from .pairs import kth_support, pair_summary
 
 
@@ -56,28 +55,3 @@ def type_rates(events: DataFrame, types: DataFrame, horizon: int, freeze: int) -
     out = full.groupBy(pair.alias("type_pair")).agg(F.count("*").alias("n"), F.sum(hit.cast("int")).alias("hits"))
     low, high = wilson(F.col("hits"), F.col("n"))
     return out.withColumns({"rate": F.col("hits") / F.col("n"), "low": low, "high": high})
-
-
-def risk_set(source: DataFrame, target: DataFrame, cutoffs: list[int]) -> DataFrame:
-    """Pairs seen in source and not yet in target at each cutoff, with readiness ranks and whether the next year brings them."""
-    years = source.sparkSession.createDataFrame([(c,) for c in cutoffs], "cutoff int")
-    s = source.join(F.broadcast(years), F.col("year") <= F.col("cutoff")).groupBy("cutoff", "u", "v").agg(F.count_distinct("paper_id").alias("source_papers"), F.count_distinct(F.when(F.col("year") > F.col("cutoff") - 3, F.col("paper_id"))).alias("recent_papers"))
-    first = pair_summary(target).select("u", "v", F.col("first_year").alias("t"))
-    both = s.join(first, ["u", "v"], "left").where("t is null or t > cutoff")
-    each = both.select("cutoff", "u", "v", "source_papers", "recent_papers", F.coalesce(F.col("t") == F.col("cutoff") + 1, F.lit(False)).cast("int").alias("next_year"))
-    ranks = {c: pct_rank(c, ["cutoff"]) for c in ("source_papers", "recent_papers")}
-    return each.withColumn("readiness", sum(ranks.values(), F.lit(0.0)) / len(ranks))
-
-
-def risk_set_all(source: DataFrame, target: DataFrame, target_facts: DataFrame, cutoffs: list[int]) -> DataFrame:
-    """The risk set of pairs whose ends target knows by the cutoff, with the mean of all five readiness ranks."""
-    known, out = risk_set(source, target, cutoffs).drop("readiness"), None
-    for c in cutoffs:
-        df = target_facts.where(F.col("year") <= c).groupBy("concept_id").agg(F.count_distinct("paper_id").alias("n"))
-        end = lambda e: df.select(F.col("concept_id").alias(e), F.col("n").alias(f"n_{e}"))  # noqa: B023, E731
-        pairs = known.where(F.col("cutoff") == c).join(end("u"), "u").join(end("v"), "v")
-        rows = neighbour_features(pairs, target.where(F.col("year") <= c).select("u", "v").distinct())
-        one = rows.select("cutoff", "u", "v", "source_papers", "recent_papers", "next_year", F.least("n_u", "n_v").alias("target_frequency_min"), F.col("cn").alias("target_common_neighbors"), F.round("jaccard", 9).alias("target_jaccard"))
-        out = one if out is None else out.unionByName(one)
-    ranks = [pct_rank(c, ["cutoff"]) for c in ("source_papers", "recent_papers", "target_frequency_min", "target_common_neighbors", "target_jaccard")]
-    return out.withColumn("readiness", sum(ranks, F.lit(0.0)) / len(ranks))

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import models as L
 from ..operators.scratch import Scratch
-from . import pair_queries as P
+from . import link_queries as P
 
-FEATURES = ("cn", "aa", "ra", "jaccard", "pa", "balance", "deg_u", "deg_v")
+FEATURES = (
+    "degree_min", "degree_max", "common_neighbors", "jaccard", "adamic_adar", "resource_allocation", "preferential_attachment", "shortest_path", "semantic_similarity",
+    "frequency_min", "frequency_max", "frequency_balance", "recent_frequency_sum", "trend_u", "trend_v", "age_u", "age_v", "target_frequency_sum", "target_both_seen", "same_type",
+)
 
 
 def frames(s: SparkSession, d: str) -> DataFrame:
     """Featured candidates of all cutoffs with the seven-term graph score, written once."""
-    return Scratch(s, "frames").save(P.scored_all(s, d, P.CUTOFFS).withColumnRenamed("label", "y"), "frames")
+    return Scratch(s, "frames").save(P.scored(s, d, P.CUTOFFS).withColumnRenamed("label", "y"), "frames")
 
 
 def link_prediction(s: SparkSession, d: str) -> DataFrame:
@@ -38,7 +41,25 @@ def calibration(s: SparkSession, d: str) -> DataFrame:
 
 def blend_selection(s: SparkSession, d: str) -> DataFrame:
     """The blend of common neighbours and preferential attachment that the early cutoffs choose, on the last one."""
-    return L.select(L.blends(frames(s, d), "cn", "pa", ["cutoff"]), "cutoff", "blend", P.CUTOFFS[-1])
+    return L.select(L.blends(frames(s, d), "common_neighbors", "preferential_attachment", "cutoff"), "cutoff", "blend", P.CUTOFFS[-1])
 
 
-QUERIES = {"ml_link_prediction": (link_prediction, None), "ml_calibration_brier": (calibration, None), "blend_selection": (blend_selection, None)}
+BLEND_SQL = (
+    P._FOLDS.rsplit(", folds as (", 1)[0]
+    + ", rows_ as (" + " union all ".join(f"select * from fx{c}" for c in P.CUTOFFS) + f"), rk as (select cutoff, u, v, label as y, {P.pct_sql('common_neighbors', 'cutoff')} as ra, {P.pct_sql('preferential_attachment', 'cutoff')} as rb from rows_),"
+    " sc as (select cutoff, i / 10.0::double as blend, u, v, y, i / 10.0::double * ra + (1 - i / 10.0::double) * rb as score from rk, range(11) t(i)),"
+    " tie as (select cutoff, blend, round(score, 12) as score, sum(y)::bigint as tp, count(*) as n from sc group by all), cum as (select *, sum(tp) over w as ctp, sum(n) over w as cn from tie window w as (partition by cutoff, blend order by score desc rows unbounded preceding)),"
+    " m as (select cutoff, blend, sum((n - tp) * (ctp - tp / 2)) / (sum(tp) * sum(n - tp)) as auc, sum(tp * ctp / cn) / sum(tp) as ap from cum group by all),"
+    " o as (select cutoff, blend, y, row_number() over (partition by cutoff, blend order by round(score, 12) desc, u, v) as r from sc),"
+    " p as (select cutoff, blend, sum(y) filter (r <= 10) / 10 as p10, sum(y) filter (r <= 25) / 25 as p25, sum(y) filter (r <= 50) / 50 as p50 from o group by all),"
+    " f as (select *, 0.4 * ap + 0.2 * (p10 + p25 + p50) as objective from m join p using (cutoff, blend)), e as (select blend, avg(objective) as mean_objective, stddev_pop(objective) as spread from f where cutoff < 1999 group by 1)"
+    " select b.blend, round(mean_objective, 9) as mean_objective, round(spread, 9) as spread, round(ap, 9) as holdout_ap, round(auc, 9) as holdout_auc from (select * from e order by round(mean_objective - 0.1 * spread, 9) desc, blend limit 1) b join f on f.blend = b.blend and cutoff = 1999"
+)
+
+
+def blend_query(s: SparkSession, d: str) -> DataFrame:
+    out = blend_selection(s, d)
+    return out.select("blend", *[F.round(c, 9).alias(c) for c in out.columns if c != "blend"])
+
+
+QUERIES = {"ml_link_prediction": (link_prediction, None), "ml_calibration_brier": (calibration, None), "blend_selection": (blend_query, BLEND_SQL)}

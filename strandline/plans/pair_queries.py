@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranks import pct_rank, rank01
 from ..operators import features as G
-from ..operators import metrics as M
 from ..operators import pairs as P
 from ..operators import survival as S
 from ..operators.graph import connected_components
@@ -17,8 +14,7 @@ from ..operators.scratch import Scratch
 from ..session import table
 
 FREEZE = 2000
-CUTOFF, HORIZON = 1998, 2
-CUTOFFS = (1997, 1998, 1999)
+CUTOFF = 1998
 
 
 def facts(s: SparkSession, d: str) -> DataFrame:
@@ -30,14 +26,14 @@ def evidence(s: SparkSession, d: str, layer: str, membership: str = "exclusive")
 
 
 FACTS = """
-facts as (select distinct o_orderkey as paper_id, p_brand || '|' || p_size as concept_id, 'T' || substr(p_brand, 7, 1) as concept_type, year(o_orderdate)::int as year,
+facts as materialized (select distinct o_orderkey as paper_id, p_brand || '|' || p_size as concept_id, 'T' || substr(p_brand, 7, 1) as concept_type, year(o_orderdate)::int as year,
   case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'source' when o_orderpriority in ('4-NOT SPECIFIED', '5-LOW') then 'target' else 'hybrid' end as layer
   from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey),
-ev as (select a.concept_id as u, b.concept_id as v, a.concept_type as u_type, b.concept_type as v_type, a.year, a.paper_id, a.layer from facts a join facts b on a.paper_id = b.paper_id and a.concept_id < b.concept_id),
+ev as materialized (select a.concept_id as u, b.concept_id as v, a.concept_type as u_type, b.concept_type as v_type, a.year, a.paper_id, a.layer from facts a join facts b on a.paper_id = b.paper_id and a.concept_id < b.concept_id),
 src as (select * from ev where layer = 'source'), tgt as (select * from ev where layer = 'target'),
 sums as (select layer, u, v, min(year) as first_year, max(year) as last_year, count(distinct paper_id) as papers, arg_min(paper_id, year * 1000000000000 + paper_id) as first_paper from ev group by all)
 """
-WITH = "with recursive " + FACTS
+WITH = "with " + FACTS
 
 
 def pair_outer_status(s: SparkSession, d: str) -> DataFrame:
@@ -76,166 +72,13 @@ def competing(s: SparkSession, d: str) -> DataFrame:
     return out.select("t", "at_risk", *[F.round(c, 9).alias(c) for c in out.columns if c not in ("t", "at_risk")])
 
 
-def risk_set(s: SparkSession, d: str) -> DataFrame:
-    out = S.risk_set(evidence(s, d, "source"), evidence(s, d, "target"), list(CUTOFFS))
-    return out.withColumn("readiness", F.round("readiness", 9))
-
-
-def candidates(s: SparkSession, d: str, cutoff: int = CUTOFF) -> DataFrame:
-    return G.transfer_candidates(evidence(s, d, "source"), evidence(s, d, "target"), facts(s, d), cutoff, HORIZON)
-
-
-def featured(s: SparkSession, d: str, cutoff: int = CUTOFF) -> DataFrame:
-    return G.neighbour_features(candidates(s, d, cutoff), G.edges_until(evidence(s, d, "target"), cutoff))
-
-
-def graph_features(s: SparkSession, d: str) -> DataFrame:
-    out = featured(s, d)
-    return out.select("u", "v", "label", "cn", F.round("aa", 9).alias("aa"), F.round("ra", 9).alias("ra"), "deg_u", "deg_v", F.round("jaccard", 9).alias("jaccard"), "pa", F.round("balance", 9).alias("balance"))
-
-
-def _features_sql(c: int) -> str:
-    """CTEs with suffix c: candidates and their features at cutoff c."""
-    return f""",
-el{c} as (select concept_id from facts where year <= {c} group by 1 having count(distinct paper_id) >= 2),
-te{c} as (select distinct u, v from tgt where year <= {c}), se{c} as (select distinct u, v from src where year <= {c}),
-fu{c} as (select distinct u, v from tgt where year between {c + 1} and {c + HORIZON}),
-cand{c} as (select u, v, (fu{c}.u is not null)::int as label from se{c} left join fu{c} using (u, v) where u in (select concept_id from el{c}) and v in (select concept_id from el{c}) and (u, v) not in (select (u, v) from te{c})),
-bw{c} as (select u as a, v as b from te{c} union all select v, u from te{c}), dg{c} as (select a as node, count(*) as degree from bw{c} group by 1),
-cm{c} as (select c.u, c.v, count(*) as cn, sum(1 / ln(greatest(2, d.degree))) as aa, sum(1 / greatest(1, d.degree)) as ra from cand{c} c join bw{c} x on x.a = c.u join bw{c} y on y.a = c.v and y.b = x.b join dg{c} d on d.node = x.b group by 1, 2),
-ft{c} as (select c.u, c.v, label, coalesce(cn, 0) as cn, coalesce(aa, 0) as aa, coalesce(ra, 0) as ra, coalesce(p.degree, 0) as deg_u, coalesce(q.degree, 0) as deg_v
-  from cand{c} c left join cm{c} m on m.u = c.u and m.v = c.v left join dg{c} p on p.node = c.u left join dg{c} q on q.node = c.v),
-f{c} as (select *, cn / greatest(1, deg_u + deg_v - cn) as jaccard, deg_u * deg_v as pa, least(deg_u, deg_v) / greatest(1, greatest(deg_u, deg_v)) as balance from ft{c})"""
-
-
-def _pct(x: str, by: str) -> str:
+def pct_sql(x: str, by: str) -> str:
     return f"((rank() over (partition by {by} order by {x}) + (count(*) over (partition by {by}, {x}) - 1) / 2.0) / count(*) over (partition by {by}))"
 
 
-def _rounded(rows: DataFrame) -> DataFrame:
-    """Ranks compare rounded values, so that a different order of summing cannot split a tie."""
-    return rows.withColumns({c: F.round(c, 9) for c in ("aa", "jaccard")})
-
-
-def graph_score_rank(s: SparkSession, d: str) -> DataFrame:
-    scored = G.graph_score(_rounded(featured(s, d)).withColumn("cutoff", F.lit(CUTOFF)), ["cutoff"])
-    return scored.select("u", "v", "label", F.round("graph_score", 9).alias("graph_score"))
-
-
-_SCORE = " + ".join(f"{w} * {_pct(f'round({c}, 9)' if c in ('aa', 'jaccard') else c, 'cutoff')}" for c, w in G.GRAPH_WEIGHTS.items())
-
-
-def folds(s: SparkSession, d: str) -> DataFrame:
-    out = None
-    for c in CUTOFFS:
-        one = _rounded(featured(s, d, c)).withColumn("cutoff", F.lit(c))
-        out = one if out is None else out.unionByName(one)
-    return G.graph_score(out, ["cutoff"]).select("cutoff", "u", "v", F.col("label").alias("y"), F.round("graph_score", 9).alias("score"))
-
-
-def featured_all(s: SparkSession, d: str, cutoff: int = CUTOFF) -> DataFrame:
-    """Candidates with all features of the seven-term score; labels' trigrams stand in for the reference's sentence vectors."""
-    edges, target = G.edges_until(evidence(s, d, "target"), cutoff), P.layer_facts(facts(s, d), "target", "exclusive")
-    out = G.further_features(_rounded(featured(s, d, cutoff)), edges, target, cutoff, G.label_vectors(facts(s, d)))
-    return out.withColumn("cosine", F.round("cosine", 9))
-
-
-def scored_all(s: SparkSession, d: str, cutoffs: tuple[int, ...] = (CUTOFF,)) -> DataFrame:
-    out = None
-    for c in cutoffs:
-        one = featured_all(s, d, c).withColumn("cutoff", F.lit(c))
-        out = one if out is None else out.unionByName(one)
-    return G.graph_score(out, ["cutoff"], G.GRAPH_WEIGHTS_ALL)
-
-
-def folds_all(s: SparkSession, d: str) -> DataFrame:
-    return scored_all(s, d, CUTOFFS).select("cutoff", "u", "v", F.col("label").alias("y"), F.round("graph_score", 9).alias("score"))
-
-
-def graph_score_rank_all(s: SparkSession, d: str) -> DataFrame:
-    return scored_all(s, d).select("u", "v", "label", "distance", "recent_sum", "cosine", F.round("graph_score", 9).alias("graph_score"))
-
-
-def _further_sql(c: int) -> str:
-    """CTEs after _features_sql(c): fx{c} has distance, recent_sum and cosine too."""
-    return f""",
-hop{c}(s, x, d) as (select distinct u, u, 0 from f{c} where cn = 0 union select s, b, d + 1 from hop{c} join bw{c} on a = x where d < 8),
-sd{c} as (select s, x, min(d) as d from hop{c} group by 1, 2), rc{c} as (select concept_id, count(distinct paper_id) as n from facts where layer = 'target' and year between {c - 2} and {c} group by 1),
-lb{c} as (select distinct concept_id, lower(concept_id || ' | ' || concept_type) as l from facts), gm{c} as (select concept_id, gram, count(*) as x from (select concept_id, unnest(list_transform(range(1, length(l) - 1), lambda i: substr(l, i, 3))) as gram from lb{c}) group by 1, 2),
-nm{c} as (select concept_id, sum(x * x)::double as q from gm{c} group by 1), dt{c} as (select f.u, f.v, sum(a.x * b.x)::double as dot from f{c} f join gm{c} a on a.concept_id = f.u join gm{c} b on b.concept_id = f.v and a.gram = b.gram group by 1, 2),
-fx{c} as (select f.*, (case when cn > 0 then 2 else coalesce(sd.d, 9) end)::int as distance, -(case when cn > 0 then 2 else coalesce(sd.d, 9) end) as closeness, coalesce(ru.n, 0) + coalesce(rv.n, 0) as recent_sum, round(coalesce(dot / sqrt(nu.q * nv.q), 0), 9) as cosine
-  from f{c} f left join sd{c} sd on sd.s = f.u and sd.x = f.v left join rc{c} ru on ru.concept_id = f.u left join rc{c} rv on rv.concept_id = f.v left join dt{c} dt on dt.u = f.u and dt.v = f.v left join nm{c} nu on nu.concept_id = f.u left join nm{c} nv on nv.concept_id = f.v)"""
-
-
-_SCORE_ALL = " + ".join(f"{w} * {_pct(f'round({c}, 9)' if c in ('aa', 'jaccard') else c, 'cutoff')}" for c, w in G.GRAPH_WEIGHTS_ALL.items())
-FOLDS_ALL = "".join(_features_sql(c) + _further_sql(c) for c in CUTOFFS) + ", folds as (select cutoff, u, v, label as y, round(" + _SCORE_ALL + ", 9) as score from (" + " union all ".join(f"select {c} as cutoff, * from fx{c}" for c in CUTOFFS) + "))"
-
-
-def risk_set_all(s: SparkSession, d: str) -> DataFrame:
-    target = P.layer_facts(facts(s, d), "target", "exclusive")
-    return S.risk_set_all(evidence(s, d, "source"), evidence(s, d, "target"), target, list(CUTOFFS)).withColumn("readiness", F.round("readiness", 9))
-
-
-def _risk_sql() -> str:
-    parts = "".join(
-        f""",
-tn{c} as (select concept_id, count(distinct paper_id) as n from facts where layer = 'target' and year <= {c} group by 1), te{c} as (select distinct u, v from tgt where year <= {c}), bw{c} as (select u as a, v as b from te{c} union all select v, u from te{c}), dg{c} as (select a as node, count(*) as degree from bw{c} group by 1),
-g{c} as (select u, v, count(distinct paper_id) as source_papers, count(distinct case when year > {c} - 3 then paper_id end) as recent_papers from src where year <= {c} group by 1, 2),
-k{c} as (select g.*, least(p.n, q.n) as target_frequency_min from g{c} g join tn{c} p on p.concept_id = g.u join tn{c} q on q.concept_id = g.v where not exists (from te{c} t where t.u = g.u and t.v = g.v)),
-cm{c} as (select k.u, k.v, count(*) as cn from k{c} k join bw{c} x on x.a = k.u join bw{c} y on y.a = k.v and y.b = x.b group by 1, 2),
-r{c} as (select {c} as cutoff, k.*, coalesce(cn, 0) as target_common_neighbors, round(coalesce(cn, 0) / greatest(1, coalesce(p.degree, 0) + coalesce(q.degree, 0) - coalesce(cn, 0)), 9) as target_jaccard,
-  (exists (from tgt t where t.year = {c + 1} and t.u = k.u and t.v = k.v))::int as next_year from k{c} k left join cm{c} m on m.u = k.u and m.v = k.v left join dg{c} p on p.node = k.u left join dg{c} q on q.node = k.v)"""
-        for c in CUTOFFS
-    )
-    ranks = " + ".join(_pct(x, "cutoff") for x in ("source_papers", "recent_papers", "target_frequency_min", "target_common_neighbors", "target_jaccard"))
-    return parts + ", r as (" + " union all by name ".join(f"select * from r{c}" for c in CUTOFFS) + f") select *, round(({ranks}) / 5, 9) as readiness from r"
-
-
-FOLDS = "".join(_features_sql(c) for c in CUTOFFS) + ", folds as (select cutoff, u, v, label as y, round(" + _SCORE + ", 9) as score from (" + " union all ".join(f"select {c} as cutoff, * from f{c}" for c in CUTOFFS) + "))"
-
-
-def backtest(s: SparkSession, d: str, rows: Callable = folds) -> DataFrame:
-    out = M.auc_ap(rows(s, d), ["cutoff"])
-    return out.select("cutoff", "positives", "rows", *[F.round(c, 9).alias(c) for c in ("auc", "ap", "lift")])
-
-
-def ranking_at_k(s: SparkSession, d: str, rows: Callable = folds) -> DataFrame:
-    out = M.at_k(rows(s, d), ["cutoff"], [10, 25, 50], ["u", "v"])
-    return out.select("cutoff", "k", "hits", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "ndcg")])
-
-
-def layer_metrics(s: SparkSession, d: str, rows: Callable = folds) -> DataFrame:
-    kinds = F.when(F.substring("u", 7, 1) == F.substring("v", 7, 1), "same").otherwise("mixed")
-    out = M.auc_ap(rows(s, d).withColumn("kind", kinds), ["cutoff", "kind"])
-    return out.select("cutoff", "kind", "positives", "rows", *[F.round(c, 9).alias(c) for c in ("auc", "ap", "lift")])
-
-
-def _auc_sql(by: str, source: str) -> str:
-    return f""", tie as (select {by}, score, sum(y)::bigint as tp, count(*) as n from {source} group by all),
-cum as (select *, sum(tp) over w as ctp, sum(n) over w as cn from tie window w as (partition by {by} order by score desc rows unbounded preceding))
-select {by}, sum(tp)::bigint as positives, sum(n)::bigint as rows, round(case when sum(tp) > 0 and sum(n - tp) > 0 then sum((n - tp) * (ctp - tp / 2)) / (sum(tp) * sum(n - tp)) end, 9) as auc,
-  round(sum(tp * ctp / cn) / sum(tp), 9) as ap, round(sum(tp * ctp / cn) / sum(tp) / (sum(tp) / sum(n)), 9) as lift from cum group by all"""
-
-
-def _scored(s: SparkSession, d: str) -> DataFrame:
-    return G.graph_score(_rounded(featured(s, d)).withColumn("cutoff", F.lit(CUTOFF)), ["cutoff"])
-
-
-def stability(s: SparkSession, d: str, rows: Callable = _scored) -> DataFrame:
-    """Overlap of the first k by graph score and by common neighbours."""
-    from pyspark.sql import Window
-
-    scored = rows(s, d).withColumn("pair", F.concat_ws("~", "u", "v"))
-    top = lambda c: scored.orderBy(F.desc(F.round(c, 9)), "pair").limit(100).select("pair", F.row_number().over(Window.orderBy(F.desc(F.round(c, 9)), "pair")).alias("r"))
-    return M.topk_overlap(top("graph_score"), top("cn"), [10, 25, 50, 100], "pair", "r").select("k", F.round("overlap", 9).alias("overlap"))
-
-
-def bfs(s: SparkSession, d: str) -> DataFrame:
-    """Hops from the first part of the graph of `brand_edges` to every other; `bounded_bfs_distance_all` has all pairs."""
-    edges = brand_edges(s, d)
-    nodes = edges.select(F.col("u").alias("n")).union(edges.select("v")).distinct()
-    hub = nodes.agg(F.min("n").alias("u"))
-    return G.distances(nodes.join(F.broadcast(hub)).select("u", F.col("n").alias("v")), edges, most=8)
+def all_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Hops between all pairs of parts within 8 steps."""
+    return G.all_distances(brand_edges(s, d))
 
 
 def brand_edges(s: SparkSession, d: str) -> DataFrame:
@@ -281,10 +124,6 @@ def levers(s: SparkSession, d: str) -> DataFrame:
     return P.cooccurrence(held, "o_orderkey", "p_brand").withColumn("jaccard", F.round("jaccard", 9))
 
 
-def tiered(s: SparkSession, d: str) -> DataFrame:
-    return P.tiers(P.hinges(P.pair_summary(evidence(s, d, "source")), P.pair_summary(evidence(s, d, "target")), 3), 2)
-
-
 def all_tiered(s: SparkSession, d: str) -> DataFrame:
     return P.all_tiers(P.pair_summary(evidence(s, d, "source")), P.pair_summary(evidence(s, d, "target")), 2)
 
@@ -360,39 +199,6 @@ select t, at_risk, round(survival, 9) as survival, round(sum(before * target / a
         WITH + EVENTS + """, ct as (select distinct concept_id, concept_type from facts), f as (select least(a.concept_type, b.concept_type) || '+' || greatest(a.concept_type, b.concept_type) as type_pair, (event = 1 and duration <= 3)::int as hit from ets join ct a on a.concept_id = u join ct b on b.concept_id = v where support_year + 3 <= 2000),
 w as (select type_pair, count(*) as n, sum(hit)::bigint as hits, sum(hit) / count(*) as p, 1.959963984540054 as z from f group by 1)
 select type_pair, n, hits, round(p, 9) as rate, round(greatest(0, (p + z*z/(2*n)) / (1 + z*z/n) - z * sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n)), 9) as low, round(least(1, (p + z*z/(2*n)) / (1 + z*z/n) + z * sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n)), 9) as high from w""",
-    ),
-    "annual_risk_set": (
-        risk_set,
-        WITH + f""", c as (select * from (values (1997), (1998), (1999)) x(cutoff)), g as (select cutoff::int as cutoff, u, v, count(distinct paper_id) as source_papers, count(distinct case when year > cutoff - 3 then paper_id end) as recent_papers from src join c on year <= cutoff group by all),
-j as (select g.*, first_year as t from g left join (select * from sums where layer = 'target') b using (u, v) where first_year is null or first_year > cutoff)
-select cutoff, u, v, source_papers, recent_papers, coalesce(t = cutoff + 1, false)::int as next_year, round(({_pct('source_papers', 'cutoff')} + {_pct('recent_papers', 'cutoff')}) / 2, 9) as readiness from j""",
-    ),
-    "link_candidates_transfer": (candidates, WITH + _features_sql(CUTOFF) + f" select * from cand{CUTOFF}"),
-    "link_candidates_self": (
-        lambda s, d: G.self_candidates(evidence(s, d, "source"), facts(s, d), 1996, 2).groupBy("label").agg(F.count("*").alias("pairs")),
-        WITH + """, el as (select concept_id from facts where year <= 1996 group by 1 having count(distinct paper_id) >= 2), k as (select distinct u, v from src where year <= 1996), bw as (select u as a, v as b from k union all select v, u from k),
-w as (select distinct x.a as u, y.a as v from bw x join bw y on x.b = y.b and x.a < y.a), fu as (select distinct u, v from src where year between 1997 and 1998)
-select (fu.u is not null)::int as label, count(*) as pairs from w left join fu using (u, v) where (u, v) not in (select (u, v) from k) and u in (select concept_id from el) and v in (select concept_id from el) group by 1""",
-    ),
-    "graph_features": (graph_features, WITH + _features_sql(CUTOFF) + f" select u, v, label, cn, round(aa, 9) as aa, round(ra, 9) as ra, deg_u, deg_v, round(jaccard, 9) as jaccard, pa, round(balance, 9) as balance from f{CUTOFF}"),
-    "graph_score_rank": (graph_score_rank, WITH + _features_sql(CUTOFF) + f" select u, v, label, round({_SCORE}, 9) as graph_score from (select {CUTOFF} as cutoff, * from f{CUTOFF})"),
-    "rolling_backtest_metrics": (backtest, WITH + FOLDS + _auc_sql("cutoff", "folds")),
-    "ranking_at_k": (
-        ranking_at_k,
-        WITH + FOLDS + """, o as (select *, row_number() over (partition by cutoff order by score desc, u, v) as r from folds), tot as (select cutoff, sum(y)::bigint as positives, count(*) as rows from folds group by 1),
-g as (select cutoff, k::int as k, sum(y)::bigint as hits, sum(y / log2(r + 1)) as dcg from o join (values (10), (25), (50)) x(k) on r <= k group by all)
-select cutoff, k, hits, case when rows >= k then hits / k end as precision, round(hits / positives, 9) as recall, round(dcg / (select sum(1 / log2(i + 1)) from range(1, greatest(least(k, positives), 1) + 1) t(i)), 9) as ndcg from g join tot using (cutoff)""",
-    ),
-    "layer_metrics": (layer_metrics, WITH + FOLDS + ", kinds as (select *, case when substr(u, 7, 1) = substr(v, 7, 1) then 'same' else 'mixed' end as kind from folds)" + _auc_sql("cutoff, kind", "kinds")),
-    "topk_stability": (
-        stability,
-        WITH + _features_sql(CUTOFF) + f""", sc as (select u || '~' || v as pair, cn, round({_SCORE}, 9) as score from (select {CUTOFF} as cutoff, * from f{CUTOFF})), rk as (select pair, row_number() over (order by score desc, pair) as ra, row_number() over (order by cn desc, pair) as rb from sc)
-select k::int as k, round(count(pair) / k, 9) as overlap from (values (10), (25), (50), (100)) x(k) left join rk on ra <= k and rb <= k group by k""",
-    ),
-    "bounded_bfs_distance": (
-        bfs,
-        EDGES + """, n as (select distinct a as n from bw), h as (select min(n) as u from n), hop(x, d) as (select u, 0 from h union select b, d + 1 from hop join bw on a = x where d < 8)
-select u, n as v, coalesce((select min(d) from hop where x = n.n), 9)::int as distance from n, h""",
     ),
     "connected_components": (
         components,
@@ -408,40 +214,15 @@ select u, n as v, coalesce((select min(d) from hop where x = n.n), 9)::int as di
         levers,
         "with h as (select distinct l_orderkey as g, p_brand as i from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey), n as (select i, count(*) as n from h group by 1), b as (select x.i as a, y.i as b, count(*) as \"both\" from h x join h y on x.g = y.g and x.i < y.i group by all) select a, b, \"both\", p.n as n_a, q.n as n_b, round(\"both\" / (p.n + q.n - \"both\"), 9) as jaccard from b join n p on p.i = a join n q on q.i = b",
     ),
-    "hinge_candidates": (lambda s, d: P.hinges(P.pair_summary(evidence(s, d, "source")), P.pair_summary(evidence(s, d, "target")), 3), WITH + TIERED + "select * from hin"),
-    "tiered_candidates": (tiered, WITH + TIERED + "select * from tiers"),
-    "balanced_queue": (lambda s, d: P.balanced_queue(tiered(s, d), 2), WITH + TIERED + "select * from tiers where tier <> 'C' or tier_rank <= 2"),
-    "hinge_candidates_20": (lambda s, d: P.hinges(P.pair_summary(evidence(s, d, "source")), P.pair_summary(evidence(s, d, "target"))), WITH + TIERED_20 + "select * from hin"),
-    "tiered_candidates_all": (all_tiered, WITH + TIERED_ALL + "select * from tiers"),
-    "balanced_queue_all": (lambda s, d: P.balanced_queue(all_tiered(s, d), 2), WITH + TIERED_ALL + "select * from tiers where tier <> 'C' or tier_rank <= 2"),
+    "hinge_candidates": (lambda s, d: P.hinges(P.pair_summary(evidence(s, d, "source")), P.pair_summary(evidence(s, d, "target"))), WITH + TIERED_20 + "select * from hin"),
+    "tiered_candidates": (all_tiered, WITH + TIERED_ALL + "select * from tiers"),
+    "balanced_queue": (lambda s, d: P.balanced_queue(all_tiered(s, d), 2), WITH + TIERED_ALL + "select * from tiers where tier <> 'C' or tier_rank <= 2"),
     "average_ranks": (
         ranks,
-        f"with n as (select o_custkey, o_orderpriority, count(*) as n from orders group by all) select *, round({_pct('n', 'o_orderpriority')}, 9) as pct, round(case when count(*) over (partition by o_orderpriority) <= 1 then 0 else (rank() over (partition by o_orderpriority order by n) + (count(*) over (partition by o_orderpriority, n) - 1) / 2.0 - 1) / (count(*) over (partition by o_orderpriority) - 1) end, 9) as r01 from n",
-    ),
-}
-
-
-def _whole(name: str, old: str, new: str) -> str:
-    """SQL of a query with another table of scores."""
-    sql = QUERIES[name][1]
-    assert old in sql
-    return sql.replace(old, new)
-
-
-QUERIES |= {
-    "link_candidates_self_all": (
-        lambda s, d: G.all_self_candidates(evidence(s, d, "source"), facts(s, d), 1996, 2),
-        WITH + """, el as (select concept_id from facts where year <= 1996 group by 1 having count(distinct paper_id) >= 2), k as (select distinct u, v from src where year <= 1996), fu as (select distinct u, v from src where year between 1997 and 1998)
-select a.concept_id as u, b.concept_id as v, (fu.u is not null)::int as label from el a join el b on a.concept_id < b.concept_id left join k on k.u = a.concept_id and k.v = b.concept_id left join fu on fu.u = a.concept_id and fu.v = b.concept_id where k.u is null""",
+        f"with n as (select o_custkey, o_orderpriority, count(*) as n from orders group by all) select *, round({pct_sql('n', 'o_orderpriority')}, 9) as pct, round(case when count(*) over (partition by o_orderpriority) <= 1 then 0 else (rank() over (partition by o_orderpriority order by n) + (count(*) over (partition by o_orderpriority, n) - 1) / 2.0 - 1) / (count(*) over (partition by o_orderpriority) - 1) end, 9) as r01 from n",
     ),
-    "bounded_bfs_distance_all": (
-        lambda s, d: G.all_distances(brand_edges(s, d)),
+    "bounded_bfs_distance": (
+        all_pairs,
         EDGES + ", hop(s, x, d) as (select distinct a, a, 0 from bw union select s, b, d + 1 from hop join bw on a = x where d < 8) select s as u, x as v, min(d)::int as distance from hop group by all",
     ),
-    "annual_risk_set_all": (risk_set_all, WITH + _risk_sql()),
-    "graph_score_rank_all": (graph_score_rank_all, WITH + _features_sql(CUTOFF) + _further_sql(CUTOFF) + f" select u, v, label, distance, recent_sum, cosine, round({_SCORE_ALL}, 9) as graph_score from (select {CUTOFF} as cutoff, * from fx{CUTOFF})"),
-    "rolling_backtest_metrics_all": (lambda s, d: backtest(s, d, folds_all), _whole("rolling_backtest_metrics", FOLDS, FOLDS_ALL)),
-    "ranking_at_k_all": (lambda s, d: ranking_at_k(s, d, folds_all), _whole("ranking_at_k", FOLDS, FOLDS_ALL)),
-    "layer_metrics_all": (lambda s, d: layer_metrics(s, d, folds_all), _whole("layer_metrics", FOLDS, FOLDS_ALL)),
-    "topk_stability_all": (lambda s, d: stability(s, d, scored_all), _whole("topk_stability", _SCORE, _SCORE_ALL).replace(_features_sql(CUTOFF), _features_sql(CUTOFF) + _further_sql(CUTOFF)).replace(f"* from f{CUTOFF})", f"* from fx{CUTOFF})")),
 }
