@@ -119,7 +119,7 @@ def neighbour_features(pairs: DataFrame, edges: DataFrame, scratch: Scratch | No
     total = lambda f: F.aggregate("common", F.lit(0.0), lambda s, x: s + f(deg(x)))
     out = out.withColumn("common", common).na.fill(0, ["degree_u", "degree_v"])
     out = out.withColumns({
-        "common_neighbors": F.size("common"), "adamic_adar": total(lambda d: 1 / F.log(F.greatest(F.lit(2.0), d))), "resource_allocation": total(lambda d: 1 / F.greatest(F.lit(1.0), d)),
+        "common_neighbors": F.size("common").cast("long"), "adamic_adar": total(lambda d: 1 / F.log(F.greatest(F.lit(2.0), d))), "resource_allocation": total(lambda d: 1 / F.greatest(F.lit(1.0), d)),
         "preferential_attachment": F.col("degree_u") * F.col("degree_v"), "degree_balance": F.least("degree_u", "degree_v") / F.greatest(F.lit(1), F.greatest("degree_u", "degree_v")),
     })
     union = F.greatest(F.lit(1), F.col("degree_u") + F.col("degree_v") - F.col("common_neighbors"))

@@ -100,7 +100,7 @@ def bipartite(s: SparkSession, d: str) -> DataFrame:
     """Market segment by part type: papers and customers, unseen pairs too, and the popularity baseline."""
     held = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     seen = held.groupBy(F.col("c_mktsegment").alias("lever"), F.concat_ws("|", "p_type", "p_brand").alias("target"), F.year("o_orderdate").alias("year")).agg(F.count_distinct("o_orderkey").alias("papers"))
-    grid = seen.select("lever").distinct().join(F.broadcast(seen.select("target").distinct()))
+    grid = seen.select("lever").distinct().crossJoin(seen.select("target").distinct())
     upto = seen.where(F.col("year") <= CUTOFF).groupBy("lever", "target").agg(F.sum("papers").alias("papers"), F.min("year").alias("first_year"))
     out = grid.join(upto, ["lever", "target"], "left").na.fill(0, ["papers"])
     lever = upto.groupBy("lever").agg(F.sum("papers").alias("lever_papers"))
