@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import link_queries, model_queries, pair_queries, retrieval_queries, review_queries, summary_queries, text_queries
+from . import link_queries, model_queries, pair_queries, retrieval_queries, review_queries, summary_queries, text_queries, transfer_queries
 
 FLAGSHIP = "pair_evidence_summary"
-GROUPS = (link_queries, model_queries, pair_queries, retrieval_queries, review_queries, summary_queries, text_queries)
+GROUPS = (link_queries, model_queries, pair_queries, retrieval_queries, review_queries, summary_queries, text_queries, transfer_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
