@@ -96,22 +96,6 @@ def components(s: SparkSession, d: str) -> DataFrame:
     return connected_components(brand_edges(s, d), Scratch(s, "parts"), "u", "v")
 
 
-def bipartite(s: SparkSession, d: str) -> DataFrame:
-    """Market segment by part type: papers and customers, unseen pairs too, and the popularity baseline."""
-    held = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    seen = held.groupBy(F.col("c_mktsegment").alias("lever"), F.concat_ws("|", "p_type", "p_brand").alias("target"), F.year("o_orderdate").alias("year")).agg(F.count_distinct("o_orderkey").alias("papers"))
-    grid = seen.select("lever").distinct().crossJoin(seen.select("target").distinct())
-    upto = seen.where(F.col("year") <= CUTOFF).groupBy("lever", "target").agg(F.sum("papers").alias("papers"), F.min("year").alias("first_year"))
-    out = grid.join(upto, ["lever", "target"], "left").na.fill(0, ["papers"])
-    lever = upto.groupBy("lever").agg(F.sum("papers").alias("lever_papers"))
-    target = upto.groupBy("target").agg(F.sum("papers").alias("target_papers"))
-    out = out.join(lever, "lever", "left").join(target, "target", "left")
-    return out.select("lever", "target", "papers", "first_year", F.round(F.log1p(F.coalesce("lever_papers", F.lit(0))) * F.log1p(F.coalesce("target_papers", F.lit(0))), 6).alias("popularity"))
-
-
-HELD = "held as (select c_mktsegment as lever, p_type || '|' || p_brand as target, year(o_orderdate)::int as year, o_orderkey from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey)"
-
-
 def matrix_wide(s: SparkSession, d: str) -> DataFrame:
     """Papers by part type (rows) and layer (columns)."""
     typed = P.facts_from_orders(table(s, d, "orders"), table(s, d, "lineitem"), table(s, d, "part"))
@@ -204,11 +188,6 @@ select type_pair, n, hits, round(p, 9) as rate, round(greatest(0, (p + z*z/(2*n)
         components,
         EDGES + ", reach(node, c) as (select a, a from bw union select bw.b, c from reach join bw on bw.a = node where c < bw.b) select n.node, least(n.node, coalesce(min(r.c), n.node)) as component from (select distinct a as node from bw) n left join reach r on r.node = n.node group by n.node",
     ),
-    "bipartite_snapshot": (
-        bipartite,
-        f"with {HELD}, seen as (select lever, target, year, count(distinct o_orderkey) as papers from held group by all), up as (select lever, target, sum(papers)::bigint as papers, min(year) as first_year from seen where year <= 1998 group by all), l as (select lever, sum(papers) as lp from up group by 1), t as (select target, sum(papers) as tp from up group by 1)"
-        " select lever, target, coalesce(papers, 0) as papers, first_year, round(ln(1 + coalesce(lp, 0)) * ln(1 + coalesce(tp, 0)), 6) as popularity from (select distinct lever from seen) cross join (select distinct target from seen) left join up using (lever, target) left join l using (lever) left join t using (target)",
-    ),
     "matrix_wide": (matrix_wide, WITH + "select concept_type, count(distinct case when layer = 'hybrid' then paper_id end) as hybrid, count(distinct case when layer = 'source' then paper_id end) as source, count(distinct case when layer = 'target' then paper_id end) as target from facts group by 1"),
     "lever_cooccurrence": (
         levers,
