@@ -45,9 +45,11 @@ TEMPERATURE = 0.5
 #: The longest piece that the lattice looks for.
 REACH = 16
 #: Units that a worker's store holds; beyond that the less frequent half goes.
-UNITS = 200_000
+UNITS = 120_000
 #: Bytes of texts handled at once, and of new units that the library gets in one string.
-CHUNK, JOIN = 1 << 20, 1 << 13
+CHUNK, JOIN = 1 << 19, 1 << 13
+#: New units whose lattices are built at once.
+FRESH = 15_000
 #: Units up to this length are summed as products, longer ones as logarithms.
 PLAIN = 48
 BAR = 0x2581
@@ -174,7 +176,7 @@ class Vocabulary:
         self.uses, self.first, self.length, self.fixed_at, self.fixed_n = (Column(np.int64) for _ in range(5))
         self.same = Column(bool)
         self.fixed, self.point = Column(np.int32), Column(np.uint32)
-        self.edge_at, self.edges, self.rest = Column(np.int64), Column(np.uint8), Column(np.float32)
+        self.edge_at, self.edges, self.rest = Column(np.int32), Column(np.uint8), Column(np.float32)
         self.p, self.span, self.id = Column(np.float32), Column(np.uint8), Column(np.uint16)
 
     def shrink(self) -> None:
@@ -446,8 +448,10 @@ class Chunk:
             slots = v.find(uniq)
         new = np.flatnonzero(slots < 0)
         if len(new):
-            size = end[at[new]] - start[at[new]]
-            v.add(uniq[new], _take(text, start[at[new]], size), size)
+            for k in range(0, len(new), FRESH):
+                some = new[k : k + FRESH]
+                size = end[at[some]] - start[at[some]]
+                v.add(uniq[some], _take(text, start[at[some]], size), size)
             slots[new] = v.uses.n - len(new) + np.arange(len(new))
         v.uses.all[slots] += 1
         self.unit = slots[inverse]
@@ -629,7 +633,7 @@ def encode(docs: DataFrame, samples: int = SAMPLES, model: str = MODEL, temperat
     added = StructType.fromDDL(f"ids array<int>, n_tokens bigint, round_trip boolean, samples {SAMPLE_SQL}")
     schema = StructType([*docs.select(*own).schema.fields, *added.fields])
     seed = F.coalesce(F.xxhash64(F.col(key)), F.lit(0)).alias("_seed")
-    return docs.select(*dict.fromkeys([*own, text]), seed).mapInArrow(run, schema)
+    return tv.arrow(docs.select(*dict.fromkeys([*own, text]), seed)).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, ids: str = "ids", out: str = "text", model: str = MODEL) -> DataFrame:
@@ -647,7 +651,7 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "text", model: str = MO
             texts = sp.decode([x or [] for x in got]) if got else []
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array([None if x is None else t for x, t in zip(got, texts, strict=True)], pa.string())], [*own, out])
 
-    return rows.select(*dict.fromkeys([*own, ids])).mapInArrow(run, rows.select(*own).schema.add(out, "string"))
+    return tv.arrow(rows.select(*dict.fromkeys([*own, ids]))).mapInArrow(run, rows.select(*own).schema.add(out, "string"))
 
 
 def op8_spm(docs: DataFrame) -> DataFrame:
