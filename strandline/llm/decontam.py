@@ -273,18 +273,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cove
         table = items.toArrow()
         texts = table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string())
         held = spark.sparkContext.broadcast(seeds_of(table["item_id"].to_pylist(), texts, least))
-        return docs.mapInArrow(_scan(held, least, coverage, item_type), schema)
+        return tv.arrow(docs).mapInArrow(_scan(held, least, coverage, item_type), schema)
     scratch = Scratch(spark, "tiling")
     # ids may be null or come again, so rows are numbered, and written so that their numbers stay
     docs = scratch.save(docs.where("text is not null").withColumn("doc_row", F.monotonically_increasing_id()), "docs")
     items = scratch.save(items.withColumn("item_row", F.monotonically_increasing_id()), "items")
-    ours = items.mapInArrow(_seed_rows(least, "item_row"), "item_row long, seed long, times long, words long")
-    theirs = docs.mapInArrow(_seed_rows(least, "doc_row"), "doc_row long, seed long, times long, words long").select("doc_row", "seed")
+    ours = tv.arrow(items).mapInArrow(_seed_rows(least, "item_row"), "item_row long, seed long, times long, words long")
+    theirs = tv.arrow(docs).mapInArrow(_seed_rows(least, "doc_row"), "doc_row long, seed long, times long, words long").select("doc_row", "seed")
     # each window covers `least` words at most, so fewer windows than this cannot reach the coverage
     pairs = theirs.join(ours, "seed").groupBy("doc_row", "item_row").agg(F.sum("times").alias("n"), F.max("words").alias("words")).where(F.col("n") * least >= F.col("words") * coverage)
     pairs = scratch.save(pairs.select("doc_row", "item_row"), "pairs")
     met = pairs.join(docs, "doc_row").join(items.withColumnRenamed("text", "item_text"), "item_row")
-    return met.select("doc_id", "item_id", "text", "item_text").mapInArrow(_pairwise(least, coverage, item_type), schema)
+    return tv.arrow(met.select("doc_id", "item_id", "text", "item_text")).mapInArrow(_pairwise(least, coverage, item_type), schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

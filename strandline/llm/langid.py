@@ -275,7 +275,7 @@ def _count(langs: list[str]):
 
 def _counts(rows: DataFrame, langs: list[str], scratch: Scratch, most: int) -> dict[str, list[Level]]:
     """For each language and order the n-grams that are frequent enough, `most` together at most in an order."""
-    level = rows.select("text", "lang").mapInArrow(_count(langs), "lang int, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    level = tv.arrow(rows.select("text", "lang")).mapInArrow(_count(langs), "lang int, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     out: dict[str, list[Level]] = {}
     for n in range(ORDER, 0, -1):
         level = scratch.save(level, f"grams{n}")
@@ -315,7 +315,7 @@ def _calibrate(rows: DataFrame, model: Model, scratch: Scratch) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(seen[ok]), pa.array(least), pa.array(other.astype(np.int32)), pa.array(ce[each, other])], ["own", "n", "ce", "other", "ce_other"])
         tv.release()
 
-    got = scratch.save(rows.select("text", "lang").mapInArrow(run, "own int, n long, ce double, other int, ce_other double"), "calibration")
+    got = scratch.save(tv.arrow(rows.select("text", "lang")).mapInArrow(run, "own int, n long, ce double, other int, ce_other double"), "calibration")
     middle = {r.own: (r.k, r.m) for r in got.groupBy("own").agg(F.count("*").alias("k"), F.percentile_approx("ce", 0.5, 10_000).alias("m")).collect()}
     enough = {i: m for i, (k, m) in middle.items() if k >= ROWS}
     pooled = sum(k * m for k, m in middle.values()) / max(sum(k for k, _ in middle.values()), 1) if middle else DEFAULT[0]
@@ -382,7 +382,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
     if not only_known:
         for name, kind in zip(made, ("string", "double", "double", "boolean"), strict=True):
             schema = schema.add(name, kind)
-    return docs.select(*columns).mapInArrow(run, schema)
+    return tv.arrow(docs.select(*columns)).mapInArrow(run, schema)
 
 
 def op1_langid(docs: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textvec as tv
+
 UNIT = 576
 RATE = 8000
 LACE = 8
@@ -220,7 +222,7 @@ def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> Dat
                 part = batch.slice(k, 256)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array([mux(payload_of(t.as_py())[1]) for t in part.column(text)], pa.binary())], [*own, media])
 
-    return docs.select(*dict.fromkeys([*own, text])).mapInArrow(run, docs.select(*own).schema.add(media, "binary"))
+    return tv.arrow(docs.select(*dict.fromkeys([*own, text]))).mapInArrow(run, docs.select(*own).schema.add(media, "binary"))
 
 
 def packet_table(rows: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -244,7 +246,7 @@ def packet_table(rows: DataFrame, media: str = "media", keep: tuple[str, ...] =
     schema = rows.select(*keep).schema
     for name, kind in zip(names, ("integer", "long", "long", "long", "boolean", "integer", "long"), strict=True):
         schema = schema.add(name, kind)
-    return rows.select(*dict.fromkeys([*keep, media])).mapInArrow(run, schema)
+    return tv.arrow(rows.select(*dict.fromkeys([*keep, media]))).mapInArrow(run, schema)
 
 
 def read_back(data: bytes, m: Media, track: int = 1) -> bytes:
@@ -273,4 +275,4 @@ def op9_media(docs: DataFrame) -> DataFrame:
     schema = docs.select("doc_id").schema
     for name, kind in (("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")):
         schema = schema.add(name, kind)
-    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(_digest, schema)
+    return tv.arrow(docs.select(F.col("doc_id"), F.col("text"))).mapInArrow(_digest, schema)

@@ -256,25 +256,25 @@ class _Join:
         save = self.scratch.save
         rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
         kind = rows.schema["id"].dataType.simpleString()
-        self.every = save(rows.mapInArrow(_sizes(n), f"id {kind}, n long, sid long"), "rows")
+        self.every = save(tv.arrow(rows).mapInArrow(_sizes(n), f"id {kind}, n long, sid long"), "rows")
         # a set publishes a cell more than the bound on its difference, for two levels at most
         cells = self.every.agg(F.sum(4 * F.col("n") * (100 - percent) / (100 + percent) + 4)).first()[0] or 0
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(cells) // SHARD + 1)
-        published = rows.select("text").mapInArrow(_publish(n, percent, shards), "shard int, kind int, keys binary, sids binary")
-        self.shared = save(published.groupBy("shard").applyInArrow(_match, "key long, sid long"), "cells")
+        published = tv.arrow(rows.select("text")).mapInArrow(_publish(n, percent, shards), "shard int, kind int, keys binary, sids binary")
+        self.shared = save(tv.arrow(published).groupBy("shard").applyInArrow(_match, "key long, sid long"), "cells")
         self.of_set = self.every.where("sid <> 0").groupBy("sid").agg(F.min("id").alias("first"), F.count("*").alias("n_copies"))
         wanted = save(self.of_set.join(self.shared.select("sid").distinct(), "sid", "left_semi").select(F.col("first").alias("want")).distinct(), "wanted")
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
         self.bits = [f"b{i}" for i in range(SKETCH)]
-        sets = rows.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi").select("text").mapInArrow(_sets(n), "sid long, tokens binary, n long, " + ", ".join(f"{b} long" for b in self.bits))
+        sets = tv.arrow(rows.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi").select("text")).mapInArrow(_sets(n), "sid long, tokens binary, n long, " + ", ".join(f"{b} long" for b in self.bits))
         self.sets = save(sets.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("tokens", "n", *self.bits)]), "sets")
 
     def links_of(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (x, y) that are links."""
         left = self.sets.select(F.col("sid").alias("x"), F.col("tokens").alias("tx"))
         right = self.sets.select(F.col("sid").alias("y"), F.col("tokens").alias("ty"))
-        return self.scratch.save(pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty").mapInArrow(_verify(self.percent), "x long, y long"), name)
+        return self.scratch.save(tv.arrow(pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty")).mapInArrow(_verify(self.percent), "x long, y long"), name)
 
     def near(self) -> Column:
         """Whether rows a and b may be linked, by sizes and sketches alone."""

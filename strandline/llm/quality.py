@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     """Fits a sample bounded to `sample` rows of either label and to BYTES of inputs; None without rows."""
     scratch = Scratch(docs.sparkSession, "quality")
     rows = labelled(docs, labels, label, sample, text, key)
-    rows = scratch.save(rows.select(F.xxhash64("key").alias("key"), "text", "y").mapInArrow(_examples, "key long, y int, bins binary, vals binary, stats binary, meta binary"), "examples")
+    rows = scratch.save(tv.arrow(rows.select(F.xxhash64("key").alias("key"), "text", "y")).mapInArrow(_examples, "key long, y int, bins binary, vals binary, stats binary, meta binary"), "examples")
     got = within_bytes(rows, ["bins", "vals"], "key", BYTES).toArrow().sort_by([("key", "ascending"), ("y", "ascending"), ("stats", "ascending")])
     scratch.keep()
     if not got.num_rows:
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[s
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own_columns), pa.array(out)], [*own_columns, "score"])
         tv.release()
 
-    return docs.select(*dict.fromkeys([*own_columns, text])).mapInArrow(run, docs.select(*own_columns).schema.add("score", "double"))
+    return tv.arrow(docs.select(*dict.fromkeys([*own_columns, text]))).mapInArrow(run, docs.select(*own_columns).schema.add("score", "double"))
 
 
 def op3_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

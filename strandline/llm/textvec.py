@@ -13,8 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 18
+#: Bytes of an Arrow batch on its way to Python: long texts would make batches of ten thousand rows very large.
+BATCH_BYTES = 4 << 20
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
 _pow: dict[str, np.ndarray] = {}
@@ -30,6 +33,15 @@ NON_WORD = np.ones(256, bool)
 NON_WORD[48:58] = NON_WORD[65:91] = NON_WORD[97:123] = NON_WORD[128:] = False
 
 
+def arrow(frame: DataFrame) -> DataFrame:
+    """`frame`, in a session whose Arrow batches are bounded to BATCH_BYTES unless a smaller bound is set."""
+    conf = frame.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name, "67108864b").rstrip("b")) > BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return frame
+
+
 def release() -> None:
     """Gives freed memory back to the system; a worker that waits for its next task should not hold it."""
     pa.default_memory_pool().release_unused()

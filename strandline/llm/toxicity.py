@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     """Fits a sample bounded to `sample` rows of either label and to BYTES of features; None without rows."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     rows = labelled(docs, labels, label, sample, text, key)
-    rows = scratch.save(rows.select(F.xxhash64("key").alias("key"), "text", "y").mapInArrow(_examples, "key long, y int, bins binary"), "examples")
+    rows = scratch.save(tv.arrow(rows.select(F.xxhash64("key").alias("key"), "text", "y")).mapInArrow(_examples, "key long, y int, bins binary"), "examples")
     got = within_bytes(rows, ["bins"], "key", BYTES).toArrow()
     scratch.keep()
     if not got.num_rows:
@@ -125,7 +125,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[s
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(out)], [*own, "score"])
         tv.release()
 
-    return docs.select(*dict.fromkeys([*own, text])).mapInArrow(run, docs.select(*own).schema.add("score", "double"))
+    return tv.arrow(docs.select(*dict.fromkeys([*own, text]))).mapInArrow(run, docs.select(*own).schema.add("score", "double"))
 
 
 def op2_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
