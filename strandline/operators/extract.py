@@ -7,34 +7,40 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import positions
+
 #: Fixed value: abbreviations whose full stop ends no sentence.
 ABBREVIATIONS = ("e.g.", "i.e.", "et al.", "Fig.", "vs.", "Dr.", "etc.", "No.")
 
 
+_GUARD = re.compile("|".join(re.escape(a) for a in ABBREVIATIONS))
+_END = re.compile(r"[.!?]+(?=\s|$)")
+
+
+def sentence_spans_of(text: str, guard: re.Pattern = _GUARD) -> list[tuple[int, int]]:
+    """Exact spans of a text's sentences; stops in abbreviations and numbers end nothing."""
+    shut = {m.end() for m in guard.finditer(text)}
+    out, at = [], 0
+    for cut in [m.end() for m in _END.finditer(text) if m.end() not in shut] + [len(text)]:
+        piece = text[at:cut]
+        start = at + len(piece) - len(piece.lstrip())
+        if piece.strip():
+            out.append((start, start + len(piece.strip())))
+        at = cut
+    return out
+
+
 def sentences(docs: DataFrame, key: str, text: str, abbreviations: Sequence[str] = ABBREVIATIONS) -> DataFrame:
-    """(key, sentence_id, start, stop, sentence): exact code-point spans; stops in abbreviations and numbers end nothing."""
+    """(key, sentence_id, start, stop, sentence): exact code-point spans, in Arrow batches."""
     guard = re.compile("|".join(re.escape(a) for a in abbreviations))
-    end = re.compile(r"[.!?]+(?=\s|$)")
     kind = docs.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for k, t in zip(f["k"], f["t"], strict=True):
-                t = t or ""
-                shut = {m.end() for m in guard.finditer(t)}
-                at, n = 0, 0
-                for cut in [m.end() for m in end.finditer(t) if m.end() not in shut] + [len(t)]:
-                    piece = t[at:cut]
-                    start = at + len(piece) - len(piece.lstrip())
-                    stop = start + len(piece.strip())
-                    if stop > start:
-                        out.append((k, n, start, stop, t[start:stop]))
-                        n += 1
-                    at = cut
+            out = [(k, n, a, b, t[a:b]) for k, t in zip(f["k"], f["t"], strict=True) if t for n, (a, b) in enumerate(sentence_spans_of(t, guard))]
             yield pd.DataFrame(out, columns=[key, "sentence_id", "start", "stop", "sentence"])
 
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} {kind}, sentence_id int, start int, stop int, sentence string")
@@ -51,8 +57,24 @@ def matches(rows: DataFrame, keep: Sequence[str], text: str, pattern: str, group
     return hits.groupBy(*keep, "hit").agg(F.count("*").alias("times"))
 
 
-#: Cues of an assertion's status, in order of precedence.
-ASSERTION = ((r"(?i)\b(not|no|never|without|nicht|pas|sin)\b", "negated"), (r"(?i)\b(to|for|pour|para|um)\s+\w+", "purpose"), (r"(?i)\b(may|might|could|would)\b", "modal"))
+def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, item, p): all places of each phrase (column `phrase`) in each text (column `text`) that holds it.
+
+    A text that holds a phrase holds the words within it, so phrases of four words or
+    more meet texts by a pair of inner words, the one with the smallest hash; pairs are
+    verified.  Shorter phrases are looked for in every text.
+    """
+    word = r"([\p{L}\p{N}]+)"
+    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1)))
+    items = phrases.where(F.length("phrase") > 0).select(item, "phrase", F.regexp_extract_all("phrase", F.lit(word), F.lit(1)).alias("w"))
+    inner = F.slice("w", 2, F.size("w") - 2)
+    long = items.where(F.size("w") >= 4).select(item, "phrase", F.array_min(pairs(inner)).alias("h"))
+    seen = docs.select(key, "text", F.regexp_extract_all("text", F.lit(word), F.lit(1)).alias("w")).where(F.size("w") >= 2).select(key, "text", F.explode(F.array_distinct(pairs(F.col("w")))).alias("h"))
+    asked = long.select("h").distinct()
+    met = seen.join(asked, "h", "left_semi").join(long, "h").select(key, item, "text", "phrase")
+    short = items.where(F.size("w") < 4).select(item, "phrase")
+    met = met.unionByName(docs.select(key, "text").join(short, F.contains("text", "phrase")).select(key, item, "text", "phrase"))
+    return met.where(F.contains("text", "phrase")).select(key, item, positions(F.col("text"), F.col("phrase")).alias("p"))
 
 
 def nested_terms(terms: DataFrame, by: Sequence[str], term: str) -> DataFrame:
@@ -64,27 +86,12 @@ def nested_terms(terms: DataFrame, by: Sequence[str], term: str) -> DataFrame:
     return met.where((F.size(F.array_except("wi", "wo")) == 0) & (F.size(F.array_distinct("wi")) < F.size(F.array_distinct("wo")))).select(*by, "inner", "outer")
 
 
-def greedy_terms(terms: DataFrame, by: str, term: str, score: str, top: int = 20) -> DataFrame:
-    """The best `top` terms a group by score, none within one already taken: a fold in score order."""
-    order = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(term).alias("t"))))
-    w = Window.partitionBy(by).orderBy(F.desc(score), term)
-    few = terms.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= 10 * top)  # bounds the fold's array
-    step = lambda acc, x: F.when((F.size(acc) >= top) | F.exists(acc, lambda a: F.contains(a, x["t"])), acc).otherwise(F.concat(acc, F.array(x["t"])))
-    return few.groupBy(by).agg(order.alias("x")).select(by, F.posexplode(F.aggregate("x", F.array().cast("array<string>"), step)).alias("place", term))
-
-
 def similar_labels(pairs: DataFrame, a: str, b: str, least: float = 0.88) -> DataFrame:
-    """Pairs of labels whose matching-blocks ratio reaches `least`, in Arrow batches."""
+    """Pairs of labels whose matching-blocks ratio reaches `least`; lengths that cannot reach it are dropped before Python sees them."""
+    bound = 2 * F.least(F.length(a), F.length(b)) / F.greatest(F.length(a) + F.length(b), F.lit(1))
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)])
-
-    return pairs.withColumn("ratio", ratio(F.col(a), F.col(b))).where(F.col("ratio") >= least)
-
+        return pd.Series([difflib.SequenceMatcher(None, p, q, autojunk=False).ratio() for p, q in zip(x, y, strict=True)])
 
-def relations(sentence: Column, verbs: str, reach: int = 180) -> Column:
-    """array<struct(left, verb, right)>: the words next to each verb within reach, in the JVM."""
-    hits = F.regexp_extract_all(sentence, F.lit(rf"(\w+)\s+({verbs})\s+(\w+)"), F.lit(0))
-    parts = F.transform(hits, lambda h: F.split(h, r"\s+"))
-    return F.filter(F.transform(parts, lambda p: F.struct(p[0].alias("left"), p[1].alias("verb"), p[2].alias("right"))), lambda r: F.length(F.concat(r["left"], r["verb"], r["right"])) <= reach)
+    return pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (bound >= least)).withColumn("ratio", ratio(F.col(a), F.col(b))).where(F.col("ratio") >= least)

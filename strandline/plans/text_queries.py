@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import concepts as C
 from ..operators import extract as X
 from ..operators import retrieval as R
+from ..operators.scratch import Scratch
 from ..session import table
+from .pair_queries import WITH as PAIRS
 
 
 def cues(s: SparkSession, d: str) -> DataFrame:
@@ -29,13 +32,6 @@ def page_links(s: SparkSession, d: str) -> DataFrame:
     return X.matches(table(s, d, "pages"), ["page_id"], "html", 'href="([^"]*)"', 1)
 
 
-def positions(s: SparkSession, d: str) -> DataFrame:
-    """Places of "th" and overlapping "anan" in every text, folded to counts and the first and last place."""
-    each = table(s, d, "documents").select("doc_id", F.explode(F.array(F.lit("anan"), F.lit("eses"))).alias("phrase"), "text").where(F.contains("text", "phrase"))
-    each = each.select("doc_id", "phrase", T.positions(F.col("text"), F.col("phrase")).alias("p"))
-    return each.select("doc_id", "phrase", F.size("p").cast("long").alias("times"), F.col("p")[0]["start"].cast("long").alias("first"), F.element_at("p", -1)["stop"].cast("long").alias("last"), F.when(F.size("p") == 1, "unique").otherwise("multiple").alias("status"))
-
-
 def turns(s: SparkSession, d: str) -> DataFrame:
     """Each turn with the one before, its length and the conversation's running length."""
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -71,14 +67,81 @@ def document_bigrams(s: SparkSession, d: str) -> DataFrame:
     return g.groupBy("gram").agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("times"))
 
 
-def benchmark_positions(s: SparkSession, d: str) -> DataFrame:
-    """Places of every benchmark text in every document; pairs without one have status none, so there is a row for each pair."""
-    pairs = table(s, d, "documents").select("doc_id", "text").crossJoin(table(s, d, "benchmark").select("item_id", F.col("text").alias("phrase")))
-    held = F.coalesce(F.contains("text", "phrase") & (F.length("phrase") > 0), F.lit(False))
-    hits = pairs.where(held).select("doc_id", "item_id", T.positions(F.col("text"), F.col("phrase")).alias("p"))
-    hits = hits.select("doc_id", "item_id", F.size("p").cast("long").alias("times"), F.col("p")[0]["start"].cast("long").alias("first"), F.element_at("p", -1)["stop"].cast("long").alias("last"), F.when(F.size("p") == 1, "unique").otherwise("multiple").alias("status"))
+def positions(s: SparkSession, d: str) -> DataFrame:
+    """Places of every benchmark text in the documents: status unique or multiple by document, and none (without a document) where no document has it."""
+    docs, items = table(s, d, "documents").select("doc_id", "text"), table(s, d, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    hits = X.phrase_hits(docs, items, "doc_id", "item_id")
+    found = hits.select("doc_id", "item_id", F.size("p").cast("long").alias("times"), F.col("p")[0]["start"].cast("long").alias("first"), F.element_at("p", -1)["stop"].cast("long").alias("last"), F.when(F.size("p") == 1, "unique").otherwise("multiple").alias("status"))
+    found = Scratch(s, "phrases").save(found, "found")
     none = F.lit(None).cast("long")
-    return hits.unionByName(pairs.where(~held).select("doc_id", "item_id", F.lit(0).cast("long").alias("times"), none.alias("first"), none.alias("last"), F.lit("none").alias("status")))
+    rest = items.join(found.select("item_id").distinct(), "item_id", "left_anti").select(none.alias("doc_id"), "item_id", F.lit(0).cast("long").alias("times"), none.alias("first"), none.alias("last"), F.lit("none").alias("status"))
+    return found.unionByName(rest)
+
+
+#: Endings of the documents' words that stand for heads, and common verbs of their languages that stand for predicates.
+LEXICON = C.Lexicon(
+    heads=(("[^\\W\\d]+(?:tion|ción|ung)", "mechanism_or_process"), ("[^\\W\\d]+(?:ent|ment|eit)", "material_or_structure"), ("[^\\W\\d]+(?:er|eur|or)", "outcome_or_property")),
+    boundary=frozenset("the of and to in a de la le der die das und en el les des et un une".split()), alone=frozenset(("reaction", "element")), predicates=((r"\b(?:is|are|was)\b", "be"), (r"\b(?:est|sont)\b", "be"), (r"\b(?:ist|sind)\b", "be"), (r"\b(?:es|son)\b", "be")),
+)
+
+
+class Found:
+    """Concepts, chosen concepts and relations of the documents, each written once."""
+
+    def __init__(self, s: SparkSession, d: str):
+        self.scratch, self.docs = Scratch(s, "concepts"), table(s, d, "documents")
+        self.candidates = self.scratch.save(C.candidates(self.docs, "doc_id", "text", LEXICON), "candidates")
+        self.chosen = self.scratch.save(C.select(C.weighed(self.candidates, "doc_id"), "doc_id"), "chosen")
+
+    def relations(self) -> DataFrame:
+        return self.scratch.save(C.relations(self.docs, "doc_id", "text", self.chosen, LEXICON), "relations")
+
+    def pairs(self) -> DataFrame:
+        return self.scratch.save(C.sentence_pairs(self.chosen, "doc_id", self.relations()), "pairs")
+
+
+def concept_candidates(s: SparkSession, d: str) -> DataFrame:
+    return C.candidates(table(s, d, "documents"), "doc_id", "text", LEXICON)
+
+
+def selected_concepts(s: SparkSession, d: str) -> DataFrame:
+    return Found(s, d).chosen.select("doc_id", "sentence_id", "start", "stop", "label", "category", "times", "df", "score")
+
+
+def concept_relations(s: SparkSession, d: str) -> DataFrame:
+    return Found(s, d).relations()
+
+
+def assertion_status(s: SparkSession, d: str) -> DataFrame:
+    """Relations by assertion status, strictness and number of risks."""
+    rows = Found(s, d).relations()
+    return rows.groupBy("status", "strict", F.size("risks").alias("risks")).agg(F.count("*").alias("n"))
+
+
+def sentence_pair_bank(s: SparkSession, d: str) -> DataFrame:
+    """The bank of sentence pairs; a document's hundreds stand for years."""
+    f = Found(s, d)
+    return C.sentence_bank(f.pairs(), "doc_id", f.docs.select("doc_id", F.floor(F.col("doc_id") / 100).alias("year")))
+
+
+def pair_support(s: SparkSession, d: str) -> DataFrame:
+    f = Found(s, d)
+    return C.support_rows(f.pairs(), f.relations(), "doc_id")
+
+
+ROLE_ORDER = ("T1", "T2", "T3", "T4", "T5")
+
+
+def cross_roles(s: SparkSession, d: str) -> DataFrame:
+    from .pair_queries import facts
+
+    return C.cross_role_edges(facts(s, d).where("layer = 'source'"), "paper_id", "concept_id", "concept_type", ROLE_ORDER)
+
+
+def contrasts(s: SparkSession, d: str) -> DataFrame:
+    """The first number of each text that no minus stands before and no per cent after, and whether an address stands in contrast."""
+    docs = table(s, d, "documents").where("text is not null")
+    return docs.select("doc_id", C.affirmed_match(F.col("text"), "[0-9]+", "[-.]", "[%.]").alias("number"))
 
 
 def nested(s: SparkSession, d: str) -> DataFrame:
@@ -98,30 +161,38 @@ QUERIES = {
     "text_bands": (bands, "select doc_id, case when n_chars >= 2000 then 'long' when n_chars >= 300 then 'middle' else 'short' end as band, length(trim(regexp_replace(text, '\\s+', ' ', 'g')))::int as clean_length, sha1(trim(regexp_replace(regexp_replace(lower(text), '[–—−]', '-', 'g'), '[^a-z0-9]+', ' ', 'g'))) as key from documents"),
     "entity_regex_extract": (entities, r"select doc_id, hit, count(*) as times from (select doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|AKIA[A-Z0-9]+|[a-z0-9.]+@[a-z0-9.]+')) as hit from documents) group by all"),
     "page_links": (page_links, "select page_id, hit, count(*) as times from (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as hit from pages) group by all"),
-    "phrase_positions": (
-        positions,
-        "with e as (select doc_id, phrase, text from documents, (values ('anan'), ('eses')) p(phrase) where contains(text, phrase)), p as (select doc_id, phrase, list_filter(range(1, length(text) - 2), lambda i: substr(text, i, 4) = phrase) as p from e)"
-        " select doc_id, phrase, len(p) as times, p[1] - 1 as first, p[-1] + 3 as last, case when len(p) = 1 then 'unique' else 'multiple' end as status from p",
-    ),
     "conversation_turns": (turns, "select conv_id, turn, role, lag(role) over w as before, length(text) as n, sum(length(text)) over (w rows unbounded preceding)::bigint as upto from conversations window w as (partition by conv_id order by turn)"),
     "document_terms": (document_terms, "select lang, term, count(distinct doc_id) as df, count(*) as cf from (select lang, doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents) group by all having count(distinct doc_id) >= 2"),
     "word_ngrams": (
-        bigrams,
-        "with t as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from benchmark), g as (select item_id, unnest(list_concat(list_transform(range(1, greatest(len(w), 1)), lambda i: array_to_string(w[i:i+1], ' ')), list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i+2], ' ')))) as gram from t)"
-        " select gram, count(distinct item_id) as items, count(*) as times from g group by 1",
-    ),
-    "word_ngrams_documents": (
         document_bigrams,
         "with t as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents), g as (select doc_id, unnest(list_concat(list_transform(range(1, greatest(len(w), 1)), lambda i: array_to_string(w[i:i+1], ' ')), list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i+2], ' ')))) as gram from t)"
         " select gram, count(distinct doc_id) as docs, count(*) as times from g group by 1",
     ),
-    "phrase_positions_benchmark": (
-        benchmark_positions,
-        "with e as (select doc_id, item_id, d.text, b.text as phrase, coalesce(contains(d.text, b.text) and length(b.text) > 0, false) as held from documents d, benchmark b), p as (select doc_id, item_id, length(phrase) as n, list_filter(range(1, length(text) - length(phrase) + 2), lambda i: substr(text, i, length(phrase)) = phrase) as p from e where held)"
-        " select doc_id, item_id, len(p) as times, p[1] - 1 as first, p[-1] - 1 + n as last, case when len(p) = 1 then 'unique' else 'multiple' end as status from p union all select doc_id, item_id, 0, null, null, 'none' from e where not held",
+    "phrase_positions": (
+        positions,
+        "with e as (select doc_id, item_id, d.text, b.text as phrase from documents d, benchmark b where contains(d.text, b.text) and length(b.text) > 0), p as (select doc_id, item_id, length(phrase) as n, list_filter(range(1, length(text) - length(phrase) + 2), lambda i: substr(text, i, length(phrase)) = phrase) as p from e)"
+        " select doc_id, item_id, len(p) as times, p[1] - 1 as first, p[-1] - 1 + n as last, case when len(p) = 1 then 'unique' else 'multiple' end as status from p union all select null, item_id, 0, null, null, 'none' from benchmark where item_id not in (select item_id from p)",
+    ),
+    "concept_candidates": (concept_candidates, None),
+    "selected_concepts": (selected_concepts, None),
+    "concept_relations": (concept_relations, None),
+    "assertion_status": (assertion_status, None),
+    "sentence_pair_bank": (sentence_pair_bank, None),
+    "pair_support_rows": (pair_support, None),
+    "cross_role_edges": (
+        cross_roles,
+        PAIRS + "select a.concept_id as a, b.concept_id as b, a.concept_type as role_a, b.concept_type as role_b, count(distinct a.paper_id) as papers from facts a join facts b on a.paper_id = b.paper_id and a.concept_type < b.concept_type where a.layer = 'source' and a.concept_type in ('T1', 'T2', 'T3', 'T4', 'T5') and b.concept_type in ('T1', 'T2', 'T3', 'T4', 'T5') group by all",
+    ),
+    "affirmed_matches": (
+        contrasts,
+        "with h as (select doc_id, text, regexp_extract_all(text, '[0-9]+') as h, regexp_split_to_array(text, '[0-9]+') as g from documents where text is not null), s as (select doc_id, text, list_transform(range(1, len(h) + 1), lambda i: {'at': list_sum(list_transform(g[1:i], lambda q: length(q))) + coalesce(list_sum(list_transform(h[1:i-1], lambda q: length(q))), 0), 'hit': h[i]}) as x from h)"
+        " select doc_id, list_filter(x, lambda y: not (y.at > 0 and substr(text, y.at::bigint, 1) in ('-', '.')) and substr(text, (y.at + length(y.hit) + 1)::bigint, 1) not in ('%', '.'))[1].hit as number from s",
     ),
     "sentence_spans": (sentence_spans, None),
-    "long_sentences": (long_sentences, None),
+    "long_sentences": (
+        long_sentences,
+        "with s as (select doc_id, unnest(string_split(regexp_replace(text, '([.!?])\\s+([\\p{Lu}0-9])', '\\1' || chr(31) || '\\2', 'g'), chr(31))) as sentence from documents) select doc_id, sentence from s where len(regexp_split_to_array(sentence, '\\s+')) >= 7",
+    ),
     "nested_terms": (nested, "select distinct p_type, p_type as \"inner\", p_type || ' ' || p_brand as \"outer\" from part"),
     "unpivot_roles": (unpivoted, "select p_partkey, 'p_type' as role, p_type as value from part union all select p_partkey, 'p_brand', p_brand from part"),
 }

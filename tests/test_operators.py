@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import ranks, text
-from strandline.operators import extract, features, linkframe, metrics, models, order, pairs, retrieval, review, survival
+from strandline.operators import concepts, extract, features, linkframe, metrics, models, order, pairs, retrieval, review, survival
 from strandline.operators.graph import connected_components
 from strandline.operators.scratch import Scratch
 from strandline.sources import files
@@ -218,7 +218,6 @@ def test_extract(spark):
     assert all(d.where(f"id = {r.id}").first().t[r.start : r.stop] == r.sentence for r in got)
     t = spark.createDataFrame([("g", "a b", 3.0), ("g", "a", 2.0), ("g", "c", 1.0)], "g string, term string, score double")
     assert [(r.inner, r.outer) for r in extract.nested_terms(t, ["g"], "term").collect()] == [("a", "a b")]
-    assert sorted(r.term for r in extract.greedy_terms(t, "g", "term", "score").collect()) == ["a b", "c"]
     assert extract.similar_labels(spark.createDataFrame([("abcdefgh", "abcdefgi"), ("a", "z")], "a string, b string"), "a", "b", 0.8).count() == 1
 
 
@@ -263,10 +262,80 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
 def test_text_queries_read_the_documents(spark, tmp_path):
     from strandline.plans import text_queries as Q
 
-    spark.createDataFrame([(1, "one two three four five six seven. Eight nine."), (2, "aXaXa b"), (3, "nothing")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(7, "aXa"), (8, "three four")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {(r.doc_id, r.item_id): (r.times, r.first, r.last, r.status) for r in Q.benchmark_positions(spark, str(tmp_path)).collect()}
+    spark.createDataFrame([(1, "one two three four five six seven. Eight nine."), (2, "aXaXa b"), (3, "nothing"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "aXa"), (8, "three four"), (9, "o three four five s"), (10, "two three four five"), (11, "never to be seen here"), (12, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): (r.times, r.first, r.last, r.status) for r in Q.positions(spark, str(tmp_path)).collect()}
     none = (0, None, None, "none")
-    assert got == {(1, 7): none, (1, 8): (1, 8, 18, "unique"), (2, 7): (2, 0, 5, "multiple"), (2, 8): none, (3, 7): none, (3, 8): none}
+    assert got == {(1, 8): (1, 8, 18, "unique"), (2, 7): (2, 0, 5, "multiple"), (1, 9): (1, 6, 25, "unique"), (1, 10): (1, 4, 23, "unique"), (None, 11): none, (None, 12): none}
     assert [(r.doc_id, r.sentence) for r in Q.long_sentences(spark, str(tmp_path)).collect()] == [(1, "one two three four five six seven.")]
     assert ("axaxa b", 1, 1) in {tuple(r) for r in Q.document_bigrams(spark, str(tmp_path)).collect()}
+
+
+LEXICON = concepts.Lexicon(
+    heads=(("diffusion|transport", "mechanism_or_process"), ("electrode|membrane", "material_or_structure"), ("power|voltage", "outcome_or_property")),
+    boundary=frozenset(("the", "of", "and", "a", "in", "increases", "limits")), alone=frozenset(("voltage",)), plurals=(("electrodes", "electrode"),), blocked=frozenset(("H2",)),
+    predicates=((r"\bincreases?\b", "increase"), (r"\blimits?\b", "limit")),
+)
+
+
+def test_labels_and_formulae():
+    assert concepts.normal_label("Porous–Carbon  α-Electrodes.", LEXICON.plurals) == ("porous carbon alpha electrode", ("unicode_dash_to_ascii", "greek_transliteration", "lowercase", "hyphen_to_space", "simple_plural_to_singular"))
+    assert concepts.normal_label("plain") == ("plain", ("identity",))
+    assert [x for x in ("NaI", "Fe3+", "K4Fe(CN)6", "SEM", "word", "CuSO4", "DNA") if concepts.formula_like(x)] == ["NaI", "Fe3+", "K4Fe(CN)6", "CuSO4"]
+
+
+def test_concepts_of_a_text():
+    text = "The fast ion diffusion, in the porous electrodes (NaCl) of H2 limits voltage. Power of CuSO4 and redox-active films."
+    got = [(n, text[a:b], label, kind, how) for n, a, b, _, label, kind, _, how in concepts.concepts_of(text, LEXICON)]
+    assert got == [
+        (0, "fast ion diffusion", "fast ion diffusion", "mechanism_or_process", "head_noun_phrase"), (0, "porous electrodes", "porous electrode", "material_or_structure", "head_noun_phrase"),
+        (0, "voltage", "voltage", "outcome_or_property", "head_noun_phrase"), (1, "CuSO4", "cuso4", "literal_formula", "literal_formula"), (1, "redox-active", "redox active", "untyped_extractive_keyword", "generic_hyphenated_keyword"),
+    ]
+
+
+def test_greedy_choice_against_plain():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(200):
+        rows = [(" ".join(rng.sample("abcd", rng.randrange(1, 4))), rng.choice("hk"), rng.randrange(2)) for _ in range(12)]
+        taken = []
+        for label, head, n in rows:
+            w = set(label.split())
+            if len(taken) < 4 and not any(head == h and n == m and (w < x or x < w) for _, x, h, m in taken):
+                taken.append((label, w, head, n))
+        assert concepts.choose(rows, 4) == [t[0] for t in taken]
+
+
+def test_assertions_and_risks():
+    at = lambda s: concepts.assertion_status(s, s.index("increases"))
+    cases = {
+        "heat increases power": "observed_assertion", "heat never really increases power": "negated", "not only heat increases power": "observed_assertion", "built to increases power": "purpose_or_design", "was found to increases power": "observed_assertion",
+        "results suggest heat increases power": "hypothetical_or_epistemic", "this may be how heat increases power": "hypothetical_or_modal", "it may be; heat increases power": "observed_assertion",
+    }
+    assert {s: at(s) for s in cases} == cases
+    s = "ion diffusion, while slow, increases in membrane power"
+    span = (s.index("increases"), s.index("increases") + 9)
+    assert concepts.risk_flags(s, span, "increase", (0, 13), (s.index("membrane"), len(s)), [span]) == ["nominal_predicate", "cross_clause"]
+
+
+def test_relations_pairs_and_bank(spark):
+    docs = spark.createDataFrame([(1, "Ion diffusion increases cell voltage. Ion diffusion limits cell voltage, but a membrane helps."), (2, "Ion diffusion increases cell voltage."), (3, None), (4, "")], "id long, t string")
+    found = concepts.candidates(docs, "id", "t", LEXICON)
+    chosen = concepts.select(concepts.weighed(found, "id"), "id")
+    rel = concepts.relations(docs, "id", "t", chosen, LEXICON)
+    got = {(r.id, r.sentence_id, r.predicate, r.source, r.target, r.strict) for r in rel.collect()}
+    assert got == {(i, n, p, "ion diffusion", "cell voltage", True) for i, n, p in ((1, 0, "increase"), (1, 1, "limit"), (2, 0, "increase"))}
+    pairs_ = concepts.sentence_pairs(chosen, "id", rel)
+    bank = concepts.sentence_bank(pairs_, "id", docs.select("id", (F.col("id") + 2000).alias("year")))
+    assert [tuple(r) for r in bank.collect()] == [("cell voltage", "ion diffusion", 2, 3, 2, 2001, 2002, "1; 2")]
+    assert concepts.candidates(docs.limit(0), "id", "t", LEXICON).count() == 0
+    assert concepts.support_rows(pairs_, rel, "id").where("kind = 'cooccurrence_only'").count() + concepts.support_rows(pairs_, rel, "id").where("relation_id <> ''").count() == concepts.support_rows(pairs_, rel, "id").count()
+
+
+def test_negated_and_contrastive_cues(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    hit = lambda t: one(concepts.affirmed_match(F.lit(t), "[Rr]edox", r"\b(?:without|no)\s+(?:\w+ ){0,3}", r"\s*-?free"))
+    assert hit("without any redox; a Redox pair") == "Redox" and hit("redox-free film") is None and hit("none") is None
+    cue = lambda t: one(concepts.contrastive(F.lit(t), F.lit(t.index("X")), F.lit(t.index("X") + 1)))
+    assert cue("unlike the X here") and cue("an X was negligible") and not cue("an X was here. All absent")
