@@ -3,11 +3,12 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import ranks, text
-from strandline.operators import concepts, extract, features, linkframe, metrics, models, order, pairs, retrieval, review, survival
+from strandline.operators import communities, concepts, extract, features, linkframe, metrics, models, order, pairs, retrieval, review, survival, transfer, workflow
 from strandline.operators.graph import connected_components
 from strandline.operators.scratch import Scratch
 from strandline.sources import files
@@ -339,3 +340,105 @@ def test_negated_and_contrastive_cues(spark):
     assert hit("without any redox; a Redox pair") == "Redox" and hit("redox-free film") is None and hit("none") is None
     cue = lambda t: one(concepts.contrastive(F.lit(t), F.lit(t.index("X")), F.lit(t.index("X") + 1)))
     assert cue("unlike the X here") and cue("an X was negligible") and not cue("an X was here. All absent")
+
+
+def test_louvain_finds_cliques_and_never_lowers_modularity(spark):
+    import itertools
+
+    edges = [(a, b, 1.0) for k in range(4) for a, b in itertools.combinations(range(5 * k, 5 * k + 5), 2)] + [(0, 5, 1.0), (5, 10, 1.0), (10, 15, 1.0), (3, 3, 9.0)]
+    e = spark.createDataFrame(edges, "u long, v long, weight double")
+    got = communities.louvain(e, [1, 2, 3]).collect()
+    for seed in (1, 2, 3):
+        assert {r.node: r.part for r in got if r.seed == seed} == {i: i // 5 * 5 for i in range(20)}
+    parts = spark.createDataFrame([(r.node, r.part) for r in got if r.seed == 1], "node long, part long")
+    alone = parts.select("node", F.col("node").alias("part"))
+    plain = e.where("u <> v")
+    assert communities.modularity(plain, parts).first().modularity > 0.6 > communities.modularity(plain, alone).first().modularity
+    with pytest.raises(ValueError):
+        communities.louvain(e, [1], most=3)
+
+
+def test_modularity_by_hand(spark):
+    e = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "d", 2)], "u string, v string, weight int")
+    p = spark.createDataFrame([(x, x in "ab") for x in "abcd"], "node string, part boolean")
+    assert communities.modularity(e, p).first().modularity == pytest.approx(3 / 4 - (3 / 8) ** 2 - (5 / 8) ** 2)
+    rows = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (2, "y")], "a int, b string")
+    assert communities.adjusted_rand(rows, "a", "b").first().ari == pytest.approx(1)
+
+
+def test_average_linkage_against_plain(spark):
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        v = rng.normal(size=(9, 3))
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        groups = [[i] for i in range(9)]
+        while len(groups) > 1:
+            score, i, j = max((np.mean([u[a] @ u[b] for a in groups[i] for b in groups[j]]), -i, -j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+            if score < 0.4:
+                break
+            groups[-i] += groups.pop(-j)
+        want = {frozenset(g) for g in groups}
+        label = communities.average_linkage(v, 0.4)
+        assert {frozenset(np.flatnonzero(label == c).tolist()) for c in np.unique(label)} == want
+    d = spark.createDataFrame([("g", i, [float(i < 2), float(i >= 2)]) for i in range(4)], "g string, i int, v array<double>")
+    assert {r.i: (r.theme, r.medoid) for r in communities.themes(d, "g", "i", "v", 0.5).collect()} == {0: (0, 0), 1: (0, 0), 2: (2, 2), 3: (2, 2)}
+
+
+def test_packing_against_plain(spark):
+    import random
+
+    rng = random.Random(3)
+    for _ in range(50):
+        items = [(i, [(e, 10 + e) for e in rng.sample(range(12), rng.randrange(1, 5))]) for i in range(15)]
+        batches, current, pool = [], [], set()
+        for i, ev in items:
+            grown = pool | set(ev)
+            if current and (len(current) >= 4 or sum(n for _, n in grown) > 90):
+                batches.append(current)
+                current, grown = [], set(ev)
+            current.append(i)
+            pool = grown
+        batches.append(current)
+        assert workflow.pack(items, 4, 90) == [k for k, b in enumerate(batches) for _ in b]
+    rows = spark.createDataFrame([("g", i, e, 10) for i in range(9) for e in (i, i + 1)], "g string, i int, e int, s int")
+    got = {r.i: r.batch for r in workflow.packed(rows, "g", "i", "e", "s", 3, 10**6, ["i"]).collect()}
+    assert got == {i: i // 3 for i in range(9)}
+
+
+def test_resumable_chunks(spark, tmp_path):
+    rows, path, seen = spark.range(200), f"file://{tmp_path}/out", []
+
+    def work(part):
+        seen.append(part.count())
+        if len(seen) == 3:
+            raise RuntimeError("lost")
+        return part.select("id", (F.col("id") * 2).alias("x"))
+
+    with pytest.raises(RuntimeError):
+        list(workflow.resumable(rows, "id", path, 5, work))
+    assert len(list(workflow.resumable(rows, "id", path, 5, work))) == 3
+    assert list(workflow.resumable(rows, "id", path, 5, work)) == []
+    assert spark.read.parquet(path).count() == 200 and len(list(workflow.resumable(spark.range(210), "id", path, 5, work))) >= 1
+    assert spark.read.parquet(path).select("id").distinct().count() == 210
+
+
+def test_workflow_guards(spark, tmp_path):
+    rows, parent = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1,)], "p int")
+    with pytest.raises(ValueError):
+        workflow.require_keys(rows, "k", parent, "p")
+    assert workflow.load_or_start(spark, f"file://{tmp_path}/none", "id", ["verdict"]).columns == ["id", "verdict"]
+    names, coded = workflow.repeats(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "i int, q string"), "q")
+    assert names.count() == 1 and {(r.i, r.q) for r in workflow.unrepeat(names, coded, "q").collect()} == {(1, "a"), (2, "a"), (3, "b"), (4, None)}
+    docs = spark.createDataFrame([(1, "hello world")], "id int, t string")
+    spans = spark.createDataFrame([(1, 0, 5, "hello"), (1, 6, 11, "World"), (2, 0, 1, "x")], "id int, start int, stop int, surface string")
+    assert sorted((r.id, r.surface) for r in workflow.span_failures(spans, docs, "id", "t").collect()) == [(1, "World"), (2, "x")]
+
+
+def test_grades_by_hand(spark):
+    one = lambda *c: tuple(spark.range(1).select(*[x.alias(f"c{i}") for i, x in enumerate(c)]).first())
+    assert [one(*transfer.grade(F.lit(a), F.lit(b)))[1] for a, b in ((3, 3), (2, 3), (1, 2), (1, 1))] == [0, 1, 2, 3]
+    assert one(*transfer.side_review(F.array(F.lit("rejected"), F.lit(None)))) == (2, "strict_syntax_pending_semantic_review")
+    assert one(*transfer.side_review(F.array().cast("array<string>")))[0] == 1
+    assert one(transfer.cross_bucket(F.lit("in"), F.lit("?"), ("out", "out"), ("in", "in")))[0] == "unknown_or_not_evaluated_quarantine"
+    assert one(transfer.bridge_score(F.lit("family_mechanism_completion"), F.lit(1.0), F.lit(1.0), F.lit(1), F.lit(0.5)))[0] == pytest.approx(round((0.66 + 0.035 + 0.025 + 0.035) * 0.94, 4))
+    assert one(transfer.production_eligible(F.lit(True), F.lit("observed_assertion"), F.lit("accepted"), F.lit(True), F.lit(None).cast("boolean"), F.lit("affirmed")))[0] is False
