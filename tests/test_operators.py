@@ -11,7 +11,7 @@ from strandline.functions import ranks, text
 from strandline.operators import communities, concepts, extract, features, linkframe, metrics, models, order, pairs, retrieval, review, survival, transfer, workflow
 from strandline.operators.graph import connected_components
 from strandline.operators.scratch import Scratch
-from strandline.sources import files
+from strandline.sources import files, graphml
 from strandline.streaming import windows
 
 
@@ -236,8 +236,6 @@ def test_sources(spark, tmp_path):
     assert {r.key: r.value.v for r in files.json_map(spark, f"file://{tmp_path}/m.json", "struct<v:int>").collect()} == {"k1": 1, "k2": 2}
     (tmp_path / "u.jsonl").write_text('{"type":"turn.completed","usage":{"a":1,"b":2}}\n{"type":"other","usage":{"a":9}}\n{"type":"turn.completed","usage":{"a":4}}\n')
     assert {r.key: r.total for r in files.usage(spark, f"file://{tmp_path}/u.jsonl").collect()} == {"a": 5, "b": 2}
-    files.write_graphml(spark.createDataFrame([("a", "A&"), ("b", None)], "id string, label string"), spark.createDataFrame([("b", "a")], "u string, v string"), f"{tmp_path}/g.graphml")
-    assert [tuple(r) for r in files.read_graphml(spark, f"file://{tmp_path}/g.graphml").collect()] == [("a", "b")]
     out = f"file://{tmp_path}/p"
     files.guarded_overwrite(spark.createDataFrame([(1, "")], "id int, human string"), out, ["human"])
     files.guarded_overwrite(spark.createDataFrame([(1, "yes")], "id int, human string"), out, ["human"])
@@ -442,3 +440,74 @@ def test_grades_by_hand(spark):
     assert one(transfer.cross_bucket(F.lit("in"), F.lit("?"), ("out", "out"), ("in", "in")))[0] == "unknown_or_not_evaluated_quarantine"
     assert one(transfer.bridge_score(F.lit("family_mechanism_completion"), F.lit(1.0), F.lit(1.0), F.lit(1), F.lit(0.5)))[0] == pytest.approx(round((0.66 + 0.035 + 0.025 + 0.035) * 0.94, 4))
     assert one(transfer.production_eligible(F.lit(True), F.lit("observed_assertion"), F.lit("accepted"), F.lit(True), F.lit(None).cast("boolean"), F.lit("affirmed")))[0] is False
+
+
+def test_more_sources(spark, tmp_path):
+    import decimal
+    import zipfile
+
+    base = f"file://{tmp_path}"
+    (tmp_path / "a.csv").write_text("\ufeffid,n\n1,2\n2,x\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("id\n1\n")
+    assert [r.n for r in files.read_typed(spark, f"{base}/a.csv", "id int, n int", ["n"]).collect()] == [2, None]
+    assert dict(files.read_inferred(spark, f"{base}/b.csv").dtypes)["id"] == "int"
+    assert files.load_all(spark, base, {"a": ["id"], "b": ["id"]})["a"].columns == ["id"]
+    with pytest.raises(ValueError, match="a.z, c"):
+        files.load_all(spark, base, {"a": ["z"], "c": ["id"]})
+    d = spark.createDataFrame([(1, "2000"), (1, "x"), (2, None), (3, "2030")], "id int, year string")
+    assert files.contract(d, ["id"], ["id"], ["year"]) == {"year_empty": 1, "key_repeated": 1}
+    assert [tuple(r) for r in files.years(d, "year", 1990, 2026, 2025).collect()] == [(1, 2000)]
+    u = files.union_sources({"p": d, "q": spark.createDataFrame([(9,)], "id int")}, "id")
+    assert u.where("source = 'q'").first().row_id == "q:9" and u.count() == 5
+    files.publish_json(spark, f"{base}/x.json", {"b": 1, "a": [1, 2]})
+    assert files.get_text(spark, f"{base}/x.json") == '{"a":[1,2],"b":1}'
+    with pytest.raises(ValueError):
+        files.publish_json(spark, f"{base}/x.json", {}, overwrite=False)
+    assert [files.scalar(x) for x in (None, float("nan"), np.int64(3), decimal.Decimal("1.5"), " a  b ", True)] == ["", "", 3, 1.5, "a b", True]
+    rows = spark.createDataFrame([(2, "b|\n"), (1, None)], "id int, t string")
+    assert files.csv_sha256(rows, ["id"]) == files.csv_sha256(rows.repartition(3), ["id"]) != files.csv_sha256(rows.limit(1), ["id"])
+    assert files.markdown(rows, ["id"]) == "| id | t |\n|-|-|\n| 1 |  |\n| 2 | b\\| |\n"
+    assert files.write_one_csv(rows, f"{tmp_path}/one.csv", ["id"]) == 2 and (tmp_path / "one.csv").read_bytes().startswith(b"\xef\xbb\xbfid,t\n1,")
+    files.write_xlsx(f"{tmp_path}/w.xlsx", {"first": rows, "a/b": d}, {"first": ["id"], "a/b": ["id", "year"]})
+    with zipfile.ZipFile(tmp_path / "w.xlsx") as z:
+        sheet = z.read("xl/worksheets/sheet1.xml").decode()
+        assert z.testzip() is None and "frozen" in sheet and sheet.count("<row>") == 3 and 'name="a_b"' in z.read("xl/workbook.xml").decode()
+    paths = files.write_report(spark, base, "rep", rows, ["id"], {"rows": 2})
+    assert spark.read.parquet(paths["table"]).count() == 2 and "| 1 |" in files.get_text(spark, paths["page"])
+    stamp = files.input_stamp(rows, ["id", "t"], "model")
+    files.save_vectors(spark.createDataFrame([(1, [1.0])], "id int, v array<double>"), f"{base}/cache", stamp, "id", "v")
+    assert files.load_vectors(spark, f"{base}/cache", stamp).count() == 1
+    with pytest.raises(ValueError, match="stale"):
+        files.load_vectors(spark, f"{base}/cache", "other")
+    assert files.contract_hash(rows.withColumn("z", F.lit(1)), ["id", "t"]) == files.contract_hash(rows, ["id", "t"])
+    assert [files.next_attempt(spark, f"{base}/runs").rsplit("/", 1)[1] for _ in range(2)] == ["attempt-001", "attempt-002"]
+    spark.createDataFrame([(1, "s")], "id int, stamp string").write.parquet(f"{base}/plan")
+    spark.createDataFrame([(7, "s")], "id int, stamp string").write.parquet(f"{base}/done")
+    with pytest.raises(ValueError, match="1 decisions"):
+        files.load_state(spark, f"{base}/plan", f"{base}/done", "id", "s")
+
+
+def test_graphml(spark, tmp_path):
+    import xml.etree.ElementTree as E
+
+    nodes = spark.createDataFrame([("a", "A&", 1), ("b", None, 2)], "id string, label string, n int")
+    edges = spark.createDataFrame([("b", "a", 0.5), ("b", "a", 1.5)], "u string, v string, w double")
+    graphml.write_graphml({"g1": (nodes, edges), "g2": (nodes, edges.limit(0))}, f"{tmp_path}/g.graphml", multi=True)
+    root = E.parse(f"{tmp_path}/g.graphml").getroot()
+    ns = {"g": "http://graphml.graphdrawing.org/xmlns"}
+    assert {(k.get("for"), k.get("attr.name"), k.get("attr.type")) for k in root.findall("g:key", ns)} == {("node", "label", "string"), ("node", "n", "int"), ("edge", "w", "double")}
+    assert [len(g.findall("g:edge", ns)) for g in root.findall("g:graph", ns)] == [2, 0]
+    assert [tuple(r) for r in graphml.read_graphml(spark, f"file://{tmp_path}/g.graphml").distinct().collect()] == [("a", "b")]
+    with pytest.raises(ValueError, match="parallel"):
+        graphml.write_graphml({"g": (nodes, edges)}, f"{tmp_path}/h.graphml")
+    sig = graphml.signatures(spark.createDataFrame([("b", "a", "k", False), ("a", "b", "k", False), ("b", "a", "k", True)], "s string, t string, kind string, d boolean"), "s", "t", "kind", "d")
+    assert sorted(tuple(r) for r in sig.collect()) == [("a", "b", "k"), ("b", "a", "k")]
+
+
+def test_command_line():
+    from strandline import cli
+
+    args = cli.parser().parse_args(["km_curve", "--data", "x", "--freeze", "1999"])
+    assert (args.name, args.freeze, args.cutoff) == ("km_curve", 1999, None)
+    with pytest.raises(SystemExit):
+        cli.main(["no_such_query", "--data", "x"])
