@@ -206,3 +206,32 @@ def risk_set(pairs: DataFrame, papers: DataFrame, states: DataFrame, cutoffs: Se
     rows = scratch.save(rows, "featured")
     ranks = ("source_papers", "recent_papers", "target_frequency_min", "target_common_neighbors", "target_jaccard")
     return weighted_ranks(rows, ["u", "v"], dict.fromkeys(ranks, 0.2), "cutoff", "readiness")
+
+
+def policy_candidates(pairs: DataFrame, states: DataFrame, cutoffs: Sequence[int], policy: str, least: int = 2, years: str = "source_years") -> DataFrame:
+    """(cutoff, u, v) of unjoined pairs of known concepts under a policy.
+
+    frontier: at least one end is recent (first seen within three years); near: two or
+    three hops apart; broad: all.  The near pairs come from the graph, not from a grid.
+    """
+    edges = cut_edges(pairs, cutoffs, years)
+    ok = states.where(F.col("papers") >= least)
+    end = lambda c: ok.select("cutoff", F.col("node").alias(c), F.col("first_year").alias(f"first_{c}"))
+    if policy == "near":
+        both = edges.unionByName(edges.select("cutoff", F.col("v").alias("u"), F.col("u").alias("v")))
+        hop = lambda rows: rows.withColumnRenamed("v", "w").join(both.withColumnRenamed("u", "w"), ["cutoff", "w"]).select("cutoff", "u", "v").distinct()
+        two = hop(both)
+        grid = two.unionByName(hop(two)).distinct().where("u < v").join(end("u"), ["cutoff", "u"]).join(end("v"), ["cutoff", "v"])
+    else:
+        grid = end("u").join(end("v"), "cutoff").where("u < v")
+    if policy == "frontier":
+        grid = grid.where((F.col("first_u") > F.col("cutoff") - 3) | (F.col("first_v") > F.col("cutoff") - 3))
+    return grid.select("cutoff", "u", "v").join(edges, ["cutoff", "u", "v"], "left_anti")
+
+
+def donor_anchor(states: DataFrame, similar: DataFrame, cutoffs: Sequence[int], least: float, donors: Sequence[str], anchors: Sequence[str]) -> DataFrame:
+    """(cutoff, donor, anchor, cosine): concepts of donor types that the target lacks beside similar concepts of anchor types that it has; pairs come from the similar ones, not from a grid."""
+    d = states.where(F.col("type").isin(*donors) & (F.col("papers") > 0) & (F.col("other_papers") == 0)).select("cutoff", F.col("node").alias("donor"))
+    a = states.where(F.col("type").isin(*anchors) & (F.col("other_papers") > 0)).select("cutoff", F.col("node").alias("anchor"))
+    near = similar.where(F.col("cosine") >= least).select(F.col("a").alias("donor"), F.col("b").alias("anchor"), "cosine")
+    return near.join(d, "donor").join(a, ["cutoff", "anchor"]).select("cutoff", "donor", "anchor", "cosine")

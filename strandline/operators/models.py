@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, FMClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -15,13 +16,34 @@ from . import metrics as M
 from .order import pct_ranks
 
 
+#: The model families: the estimator and parameters that make it repeatable.
+FAMILIES = {
+    "logistic": (LogisticRegression, {}), "ridge": (LogisticRegression, {"regParam": 0.1}), "lasso": (LogisticRegression, {"regParam": 0.01, "elasticNetParam": 1.0}), "forest": (RandomForestClassifier, {"seed": 27}), "boosted": (GBTClassifier, {"seed": 27}),
+    "tree": (DecisionTreeClassifier, {"seed": 27}), "svm": (LinearSVC, {}), "bayes": (NaiveBayes, {"modelType": "gaussian"}), "machine": (FMClassifier, {"seed": 27}), "perceptron": (MultilayerPerceptronClassifier, {"seed": 27}),
+}
+#: What a search tries for each family.
+GRIDS = {"logistic": {"regParam": [0.0, 0.01, 0.1]}, "forest": {"numTrees": [20, 50], "maxDepth": [3, 5]}, "boosted": {"maxIter": [10, 20], "maxDepth": [2, 3]}, "tree": {"maxDepth": [3, 5, 7]}, "svm": {"regParam": [0.01, 0.1]}, "machine": {"factorSize": [2, 4]}}
+UNWEIGHTED = ("machine", "perceptron")
+
+
 def make(name: str, features: Sequence[str], label: str = "y", weight: str | None = None, **params) -> Pipeline:
-    """A pipeline of one model family: logistic, forest or boosted."""
-    kinds = {"logistic": LogisticRegression, "forest": RandomForestClassifier, "boosted": GBTClassifier}
-    model = kinds[name](featuresCol="x", labelCol=label, **({"weightCol": weight} if weight else {}), **params)
+    """A pipeline of one model family over standardised features."""
+    kind, fixed = FAMILIES[name]
+    own = {**fixed, **params}
+    if name == "perceptron":
+        own.setdefault("layers", [len(features), 8, 2])
+    if weight and name not in UNWEIGHTED:
+        own["weightCol"] = weight
+    model = kind(featuresCol="x", labelCol=label, **own)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), model])
 
 
+def grid(name: str) -> list[dict[str, object]]:
+    """Every combination of a family's parameters, in a fixed order."""
+    names = sorted(GRIDS.get(name, {}))
+    return [dict(zip(names, values, strict=True)) for values in product(*[GRIDS[name][n] for n in names])]
+
+
 def balanced(rows: DataFrame, label: str = "y") -> DataFrame:
     """Adds `w`: both classes weigh the same in sum."""
     n = rows.agg(F.sum(label).alias("p"), F.count("*").alias("n")).first()
@@ -32,7 +54,10 @@ def balanced(rows: DataFrame, label: str = "y") -> DataFrame:
 
 
 def score(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
-    return model.transform(rows).withColumn(name, vector_to_array("probability")[1]).drop("raw", "x", "rawPrediction", "probability", "prediction")
+    out = model.transform(rows)
+    # a margin stands in where a family has no probabilities: only its order counts
+    value = vector_to_array("probability" if "probability" in out.columns else "rawPrediction")[1]
+    return out.withColumn(name, value).drop("raw", "x", "rawPrediction", "probability", "prediction")
 
 
 def fit_or_fallback(train: DataFrame, test: DataFrame, name: str, features: Sequence[str], fallback: str, label: str = "y", key: Sequence[str] = ("cutoff", "u", "v"), **params) -> DataFrame:
@@ -74,3 +99,32 @@ def platt(train: DataFrame, rows: DataFrame, score_column: str, label: str = "y"
     """`rows` with `p`: a logistic curve through the score, fitted on `train`."""
     model = make("logistic", [score_column], label).fit(train)
     return score(model, rows, "p")
+
+
+def tuned(rows: DataFrame, name: str, features: Sequence[str], fold: str, holdout: int, label: str = "y", tried: Sequence[dict[str, object]] | None = None) -> dict[str, object]:
+    """The parameters whose models, each fitted on the folds before one and judged on it, have the best mean objective on the folds before the holdout."""
+    folds = sorted(r[0] for r in rows.where(F.col(fold) < holdout).select(fold).distinct().collect())
+    best, best_score = None, float("-inf")
+    for params in tried or grid(name) or [{}]:
+        scores = []
+        for f in folds[1:]:
+            train, test = rows.where(F.col(fold) < f), rows.where(F.col(fold) == f)
+            got = fit_or_fallback(train, test, name, features, features[0], label, **params)
+            scores.append(fold_metrics(got.select(fold, "u", "v", F.col(label).alias("y"), F.col(name).alias("score")), [fold]).first()["objective"])
+        if scores and sum(scores) / len(scores) > best_score + 1e-9:
+            best, best_score = params, sum(scores) / len(scores)
+    return best or {}
+
+
+def hybrid(scored: DataFrame, model: str, graph: str, by: str, weight: float, key: Sequence[str] = ("u", "v")) -> DataFrame:
+    """Adds hybrid: the weighted sum of the ranks of a model and of the graph score within each fold."""
+    ranks = pct_ranks(scored, key, [model, graph], by).withColumn("hybrid", F.round(weight * F.col(f"pr_{model}") + (1 - weight) * F.col(f"pr_{graph}"), 12))
+    return scored.join(ranks.select(*key, by, "hybrid"), [*key, by])
+
+
+def type_priors(scored: DataFrame, a: str, b: str, score: str, priors: dict[tuple[str, str], float], default: float = 1.0) -> DataFrame:
+    """Adds prior_score: the score times the prior of its unordered pair of types."""
+    kind = F.concat_ws("+", F.least(a, b), F.greatest(a, b))
+    table = {"+".join(sorted(k)): v for k, v in priors.items()}
+    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[kind], F.lit(default)) if table else F.lit(default)
+    return scored.withColumn("prior_score", F.col(score) * weight)

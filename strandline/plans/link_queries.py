@@ -176,7 +176,41 @@ r{c} as (select {c} as cutoff, k.*, coalesce(cn, 0) as target_common_neighbors,
     return "with " + FACTS_IN + pairs + parts + ", r as (" + " union all by name ".join(f"select * from r{c}" for c in CUTOFFS) + f") select *, round(({ranks}) / 5, 9) as readiness from r"
 
 
+def policies(s: SparkSession, d: str) -> DataFrame:
+    """Candidates under each policy at two cutoffs, over exclusive source papers of finished years."""
+    t = Tables(s, d, (1995, SELF_CUTOFF))
+    out = None
+    for name in ("frontier", "near", "broad"):
+        one = L.policy_candidates(t.pairs, t.states, t.cutoffs, name).select(F.lit(name).alias("policy"), "cutoff", "u", "v")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("policy", "cutoff", F.substring("u", 1, 8).alias("brand")).agg(F.count("*").alias("pairs"))
+
+
+def donors(s: SparkSession, d: str) -> DataFrame:
+    """Source concepts that the target lacks by 1995 beside similar ones that it has, by the trigrams of their names."""
+    from ..operators import retrieval as R
+
+    t = Tables(s, d, (1995,))
+    names = t.facts.select("concept_id").distinct()
+    similar = R.gram_neighbours(R.gram_weights(names, "concept_id", "concept_id", 1.0), "concept_id", 0.3, 1_000_000)
+    out = L.donor_anchor(t.states, similar, (1995,), 0.3, MATERIALS, MECHANISMS + MATERIALS)
+    return out.select("cutoff", "donor", "anchor", F.round("cosine", 6).alias("cosine"))
+
+
+def _policy_sql(c: int) -> str:
+    known = f"st{c} x join st{c} y on x.concept_id < y.concept_id where x.papers >= 2 and y.papers >= 2 and (x.concept_id, y.concept_id) not in (select (u, v) from se{c})"
+    return f""" select 'broad' as policy, {c} as cutoff, x.concept_id as u from {known} union all select 'frontier', {c}, x.concept_id from {known} and (x.first_year > {c} - 3 or y.first_year > {c} - 3)
+union all select 'near', {c}, u from (select distinct a as u, v from (select p.a, q.b as v from bw{c} p join bw{c} q on p.b = q.a union select p.a, r.b from bw{c} p join bw{c} q on p.b = q.a join bw{c} r on q.b = r.a)) n where u < v and u in (select concept_id from st{c} where papers >= 2) and v in (select concept_id from st{c} where papers >= 2) and (u, v) not in (select (u, v) from se{c})"""
+
+
 QUERIES = {
+    "candidate_policies": (policies, HEAD + _frame_sql(1995, True) + _frame_sql(SELF_CUTOFF, True) + ", al as (" + " union all ".join(f"select * from ({_policy_sql(c)})" for c in (1995, SELF_CUTOFF)) + ") select policy, cutoff, substr(u, 1, 8) as brand, count(*) as pairs from al group by all"),
+    "donor_anchors": (
+        donors,
+        HEAD + _frame_sql(1995) + """, nm as (select distinct concept_id as k from facts), g as (select distinct k, unnest(list_concat(list_transform(range(1, greatest(length(k) + 1, 1)), lambda i: substr('^' || k || '$', i, 3)), list_transform(range(1, greatest(length(k), 1)), lambda i: substr('^' || k || '$', i, 4)))) as gram from nm),
+df as (select gram, ln((1 + n) / (1 + count(*))) + 1 as idf from g, (select count(*) as n from nm) group by gram, n), w0 as (select k, gram, idf from g join df using (gram)), nn as (select k, sqrt(sum(idf * idf)) as norm from w0 group by 1), w as (select k, gram, idf / norm as w from w0 join nn using (k)), cg as (select x.k as a, y.k as b, sum(x.w * y.w) as cosine from w x join w y on x.gram = y.gram and x.k <> y.k group by all having round(sum(x.w * y.w), 12) >= 0.3)
+select 1995 as cutoff, a as donor, b as anchor, round(cosine, 6) as cosine from cg join st1995 x on x.concept_id = a join st1995 y on y.concept_id = b where x.concept_type in ('T1', 'T2') and x.papers > 0 and x.other_papers = 0 and y.concept_type in ('T1', 'T2', 'T3', 'T4', 'T5') and y.other_papers > 0""",
+    ),
     "link_candidates_transfer": (transfer, HEAD + "".join(_frame_sql(c) for c in CUTOFFS) + " " + " union all ".join(f"select {c} as cutoff, * from cand{c}" for c in CUTOFFS)),
     "link_candidates_self": (selves, HEAD + _frame_sql(SELF_CUTOFF, True) + f" select {SELF_CUTOFF} as cutoff, * from cand{SELF_CUTOFF}"),
     "graph_features": (link_frame, HEAD + _frame_sql(CUTOFF) + f" select * from fx{CUTOFF}"),

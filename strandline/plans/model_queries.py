@@ -44,6 +44,32 @@ def blend_selection(s: SparkSession, d: str) -> DataFrame:
     return L.select(L.blends(frames(s, d), "common_neighbors", "preferential_attachment", "cutoff"), "cutoff", "blend", P.CUTOFFS[-1])
 
 
+def families(s: SparkSession, d: str) -> DataFrame:
+    """AUC and AP on the last cutoff of every model family, trained on the cutoffs before with fifteen negatives a positive."""
+    from ..operators.review import hard_negatives
+
+    rows = frames(s, d)
+    train, test = rows.where(F.col("cutoff") < P.CUTOFFS[-1]), rows.where(F.col("cutoff") == P.CUTOFFS[-1])
+    few = Scratch(s, "train").save(hard_negatives(train, "y", "graph_score", ["cutoff", "u", "v"], 3).drop("kind"), "train")
+    params = {"forest": {"numTrees": 20, "maxDepth": 4}, "boosted": {"maxIter": 5, "maxDepth": 3}, "machine": {"maxIter": 20, "factorSize": 2}, "perceptron": {"maxIter": 30}, "svm": {"maxIter": 20}}
+    for name in L.FAMILIES:
+        test = Scratch(s, "families").save(L.fit_or_fallback(few, test, name, FEATURES, "graph_score", **params.get(name, {})), name)
+    long = test.unpivot(["u", "v", "y"], [*L.FAMILIES, "graph_score"], "model", "score")
+    return M.auc_ap(long.select("model", "score", F.col("y").cast("int").alias("y")), ["model"])
+
+
+def future(s: SparkSession, d: str) -> DataFrame:
+    """The last cutoff's pairs by a logistic model of the ones before, blended with the graph score and weighed by the types' priors: the best 100 of each pair layer that are not joined yet."""
+    rows = frames(s, d)
+    train, test = rows.where(F.col("cutoff") < P.CUTOFFS[-1]), rows.where(F.col("cutoff") == P.CUTOFFS[-1])
+    out = L.hybrid(L.fit_or_fallback(train, test, "logistic", FEATURES, "graph_score", maxIter=50), "logistic", "graph_score", "cutoff", 0.6)
+    out = L.type_priors(out, "u_type", "v_type", "hybrid", {("T1", "T2"): 1.2, ("T1", "T1"): 0.8})
+    from ..operators.bipartite import best_per_layer
+
+    ranked = best_per_layer(out.where("y = 0").withColumn("layer", P.kind_of("u_type", "v_type")), "layer", "prior_score", ["u", "v"], 100)
+    return ranked.select("layer", "place", "u", "v", F.round("prior_score", 6).alias("prior_score"))
+
+
 BLEND_SQL = (
     P._FOLDS.rsplit(", folds as (", 1)[0]
     + ", rows_ as (" + " union all ".join(f"select * from fx{c}" for c in P.CUTOFFS) + f"), rk as (select cutoff, u, v, label as y, {P.pct_sql('common_neighbors', 'cutoff')} as ra, {P.pct_sql('preferential_attachment', 'cutoff')} as rb from rows_),"
@@ -62,4 +88,4 @@ def blend_query(s: SparkSession, d: str) -> DataFrame:
     return out.select("blend", *[F.round(c, 9).alias(c) for c in out.columns if c != "blend"])
 
 
-QUERIES = {"ml_link_prediction": (link_prediction, None), "ml_calibration_brier": (calibration, None), "blend_selection": (blend_query, BLEND_SQL)}
+QUERIES = {"ml_link_prediction": (link_prediction, None), "ml_calibration_brier": (calibration, None), "ml_model_families": (families, None), "ml_future_pairs": (future, None), "blend_selection": (blend_query, BLEND_SQL)}

@@ -123,6 +123,17 @@ def sessionize(s: SparkSession, d: str) -> DataFrame:
     return E.session_numbers(table(s, d, "events"), 1800).select("user_id", "session", F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "n")
 
 
+def event_sessions(s: SparkSession, d: str) -> DataFrame:
+    """Sessions by event time as a stream would close them."""
+    out = E.sessions(table(s, d, "events"), "30 minutes")
+    return out.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+def rollup(s: SparkSession, d: str) -> DataFrame:
+    """Counts by language and source, by language, and over all."""
+    return table(s, d, "documents").rollup("lang", "source").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
 def usage(s: SparkSession, d: str) -> DataFrame:
     """Sums of the numeric keys of the events' properties, by type."""
     e = table(s, d, "events").select("event_type", F.explode(F.from_json("props", "map<string,double>")).alias("key", "value"))
@@ -186,5 +197,10 @@ m as (select rep, sum(w * quality) / sum(w) as m from w group by 1) select round
         sessionize,
         "with g as (select user_id, ts, sum(case when epoch_us(ts) - epoch_us(p) > 1800000000 or p is null then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint as session from (select *, lag(ts) over (partition by user_id order by ts, event_id) as p from events)) select user_id, session, epoch_us(min(ts)) as start, count(*) as n from g group by all",
     ),
+    "ext_session_windows": (
+        event_sessions,
+        "with g as (select user_id, ts, value, sum(case when epoch_us(ts) - epoch_us(p) >= 1800000000 or p is null then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from (select *, lag(ts) over (partition by user_id order by ts, event_id) as p from events)) select user_id, epoch_us(min(ts)) as start, count(*) as n, round(sum(value), 4) as total from g group by user_id, k",
+    ),
+    "ext_rollup": (rollup, "select lang, source, grouping_id(lang, source) as level, count(*) as n, sum(n_chars)::bigint as chars from documents group by rollup (lang, source)"),
     "usage_sums": (usage, "select event_type, key, sum(value) as total, count(*) as n from (select event_type, unnest(json_keys(props)) as key, (json_extract(props, '$.' || unnest(json_keys(props))))::double as value from events) group by all"),
 }

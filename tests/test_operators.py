@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import ranks, text
-from strandline.operators import communities, concepts, extract, features, linkframe, metrics, models, order, pairs, retrieval, review, survival, transfer, workflow
+from strandline.operators import communities, concepts, extract, features, linkframe, metrics, models, order, pairs, retrieval, review, survival, transfer, vocabulary, workflow
 from strandline.operators.graph import connected_components
 from strandline.operators.scratch import Scratch
 from strandline.sources import files, graphml
@@ -511,3 +511,45 @@ def test_command_line():
     assert (args.name, args.freeze, args.cutoff) == ("km_curve", 1999, None)
     with pytest.raises(SystemExit):
         cli.main(["no_such_query", "--data", "x"])
+
+
+def test_roles_and_overlaps(spark):
+    import itertools
+    import random
+
+    assert vocabulary.choose_roles([[0.5, 0.9], [0.2, 0.9], [0.0, 0.0]]) == [1, 0, None]
+    rng = random.Random(2)
+    for _ in range(100):
+        scores = [[rng.choice((0.0, 0.1, 0.4)) for _ in range(4)] for _ in range(3)]
+        taken, want = [], []
+        for role in scores:
+            free = [i for i in range(4) if i not in taken and role[i] > 0]
+            best = min(free, key=lambda i: (-role[i], i)) if free else None
+            want.append(best)
+            taken += [best] if best is not None else []
+        assert vocabulary.choose_roles(scores) == want
+    docs = spark.createDataFrame([(1, "We heat it. The power rose and rose."), (2, None)], "id int, t string")
+    got = vocabulary.role_sentences(docs, "id", "t", {"act": (("heat",), 0.0), "out": (("rose",), 0.0)})
+    assert {(r.role, r.start, r.stop) for r in got.collect()} == {("act", 0, 11), ("out", 12, 36)}
+    labels = ["red film", "red", "thin red film", "red films", "blue gas"]
+    v = spark.createDataFrame([(x, "r") for x in labels] + [("red", "other")], "l string, r string")
+    found = {(r.a, r.b, r.kind) for r in vocabulary.overlap_audit(v, "l", "r", 0.9).collect()}
+    nested = {(a, b, "nested") for a, b in itertools.permutations(labels, 2) if set(a.split()) < set(b.split())}
+    assert found == nested | {("red", "red", "same_label"), ("red film", "red films", "alike")}
+
+
+def test_model_families(spark):
+    rng = np.random.default_rng(3)
+    rows = [(1990 + i % 3, f"u{i}", "v", int(x + 0.3 * rng.normal() > 0.5), float(x), float(rng.normal())) for i, x in enumerate(rng.random(240))]
+    d = spark.createDataFrame(rows, "cutoff int, u string, v string, y int, a double, b double")
+    train, test = d.where("cutoff < 1992"), d.where("cutoff = 1992")
+    small = {"forest": {"numTrees": 5}, "boosted": {"maxIter": 3}, "machine": {"maxIter": 20}, "perceptron": {"maxIter": 30}}
+    for name in models.FAMILIES:
+        got = models.fit_or_fallback(train, test, name, ["a", "b"], "a", **small.get(name, {}))
+        auc = metrics.auc_ap(got.select(F.lit(1).alias("g"), F.col(name).alias("score"), "y"), ["g"]).first().auc
+        assert auc > 0.7, name
+    assert models.tuned(d, "tree", ["a", "b"], "cutoff", 1992) in models.grid("tree") and models.grid("svm") == [{"regParam": 0.01}, {"regParam": 0.1}]
+    one = models.fit_or_fallback(train.where("y = 1"), test, "logistic", ["a", "b"], "a")
+    assert one.orderBy(F.desc("logistic")).first().a == max(r[4] for r in rows if r[0] == 1992)
+    w = models.type_priors(spark.createDataFrame([("x", "w", 2.0), ("q", "q", 2.0)], "s string, t string, z double"), "s", "t", "z", {("w", "x"): 0.5})
+    assert sorted(r.prior_score for r in w.collect()) == [1.0, 2.0]
