@@ -52,6 +52,8 @@ BLOCK = 512
 BROADCAST_ROWS = 2_000_000
 #: Documents of a cell's largest component that each document apart from it is compared with first.
 TARGETS = 16
+#: Parts over which the rows of a cell are dealt for that.
+PARTS = 16
 SKETCH = 16
 
 
@@ -336,10 +338,16 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_i
         if last:
             pairs = join.within_cells(cells, F.col("a.c") != F.col("b.c"))
         else:
+            # a hot cell's rows are dealt over parts; what is chosen from it goes to all of them
             largest = cells.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("c"))
-            first = Window.partitionBy("key").orderBy(F.xxhash64("sid"), "sid")
-            targets = cells.join(largest, ["key", "c"]).withColumn("place", F.row_number().over(first)).where(F.col("place") <= TARGETS)
-            pairs = cells.alias("a").join(targets.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & near())
+            all_parts = F.explode(F.array(*[F.lit(i) for i in range(PARTS)])).alias("part")
+            dealt = cells.withColumn("part", F.pmod(F.xxhash64("sid", F.lit(3)), F.lit(PARTS)).cast("int"))
+            lot = [F.xxhash64("sid"), F.col("sid")]
+            place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*lot))
+            near_it = dealt.join(largest.select("key", "c", all_parts), ["key", "part", "c"])
+            few = near_it.withColumn("place", place("key", "part")).where(F.col("place") <= TARGETS).drop("part", "place")
+            targets = few.withColumn("place", place("key")).where(F.col("place") <= TARGETS).select("*", all_parts)
+            pairs = dealt.alias("a").join(targets.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.c") != F.col("b.c")) & near())
             pairs = pairs.select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y")).distinct()
         found = links_of(pairs, f"links{last}")
         if found.isEmpty():
