@@ -53,11 +53,11 @@ def pct_ranks(rows: DataFrame, key: Sequence[str], columns: Sequence[str], by: s
     return wide.agg(*[F.max(F.when(F.col("l.what") == c, F.col("rank"))).alias(f"pr_{c}") for c in columns])
 
 
-def ranked(rows: DataFrame, column: str, by: Sequence[str] = (), name: str = "avg_rank") -> DataFrame:
-    """Adds the average-tie rank (from 1, ascending) and `n`; ties are folded before anything is ordered."""
+def ranked(rows: DataFrame, column: str, by: Sequence[str] = (), name: str = "avg_rank", total: str = "rows") -> DataFrame:
+    """Adds the average-tie rank (from 1, ascending) and the group's rows; ties are folded before anything is ordered."""
     groups = rows.groupBy(*by, column).agg(F.count("*").alias("_ties"))
     placed = running_sums(groups, [F.col(column)], {"_ties": "_upto"}, by)
-    n = groups.groupBy(*by).agg(F.sum("_ties").alias("n")) if by else groups.agg(F.sum("_ties").alias("n"))
+    n = groups.groupBy(*by).agg(F.sum("_ties").alias(total))
     placed = placed.select(*by, column, (F.col("_upto") - (F.col("_ties") - 1) / 2).alias(name))
     out = rows.join(placed, [*by, column])
-    return out.join(n, list(by)) if by else out.join(F.broadcast(n))
+    return out.join(n, list(by)) if by else out.join(F.broadcast(n))  # one row

@@ -6,12 +6,34 @@ setting is missing, as in local tests, a temporary folder of the driver is used.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
+
+
+@atexit.register
+def _leave() -> None:
+    for path in _own.values():
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+def mark() -> int:
+    """A place in the list of scratch folders, for `drop_since`."""
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, place: int) -> None:
+    """Deletes the scratch folders made since `place`; nothing may read them any more."""
+    for root in _made[place:]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[place:]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +52,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.serial = 0
+        _made.append(self.root)
 
     def save(self, frame: DataFrame, name: str) -> DataFrame:
         self.serial += 1

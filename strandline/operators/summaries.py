@@ -153,8 +153,8 @@ def support_table(rows: DataFrame, by: str, paper: str, weight: Column) -> DataF
 def axis_order(rows: DataFrame, end: str) -> DataFrame:
     """Ends of scored pairs in display order: predicted, positives, best score, rows."""
     n = rows.groupBy(F.col(end).alias("label")).agg(F.sum("predicted").alias("predicted"), F.sum("y").alias("positives"), F.max("score").alias("best"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("predicted"), F.desc("positives"), F.desc("best"), F.desc("n"), "label")
-    return n.orderBy(F.desc("predicted"), F.desc("positives"), F.desc("best"), F.desc("n"), "label").limit(1000).withColumn("place", F.row_number().over(w))
+    order = [F.desc("predicted"), F.desc("positives"), F.desc("best"), F.desc("n"), F.asc("label")]
+    return running_sums(n.withColumn("_one", F.lit(1).cast("long")), order, {"_one": "place"}).drop("_one")
 
 
 def bounded_ngrams(docs: DataFrame, key: str, words: Column, sizes: tuple[int, int], least: int, most_share: float, stop: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_id
+from .order import running_sums
 from .review import audit, first_per_key
 
 
@@ -137,9 +138,8 @@ def verification_queue(events: DataFrame, evidence: DataFrame, examples: int = 5
 
 def novelty(predictions: DataFrame, seen: DataFrame, score: str) -> DataFrame:
     """Predictions that the wider corpus does not hold, with their new places."""
-    left = predictions.join(seen.select("u", "v").distinct(), ["u", "v"], "left_anti")
-    order = [F.desc(score), F.asc("u"), F.asc("v")]
-    return left.orderBy(*order).limit(1000).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    left = predictions.join(seen.select("u", "v").distinct(), ["u", "v"], "left_anti").withColumn("_one", F.lit(1).cast("long"))
+    return running_sums(left, [F.desc(score), F.asc("u"), F.asc("v")], {"_one": "place"}).drop("_one")
 
 
 def next_unreviewed(rows: DataFrame, done: DataFrame, key: str, score: str, count: int, possible: float, strong: float) -> DataFrame:

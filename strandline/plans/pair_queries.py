@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ranks import pct_rank, rank01
 from ..operators import features as G
 from ..operators import pairs as P
 from ..operators import survival as S
 from ..operators.graph import connected_components
+from ..operators.order import ranked
 from ..operators.scratch import Scratch
 from ..session import table
 
@@ -125,7 +125,9 @@ TIERED_ALL, TIERED_20 = TIERED.replace(" qualify k <= 3", ""), TIERED.replace("k
 def ranks(s: SparkSession, d: str) -> DataFrame:
     """Average-tie ranks of order priorities' totals by customer."""
     n = table(s, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
-    return n.select("o_custkey", "o_orderpriority", "n", F.round(pct_rank("n", ["o_orderpriority"]), 9).alias("pct"), F.round(rank01("n", ["o_orderpriority"]), 9).alias("r01"))
+    at = ranked(n, "n", ["o_orderpriority"], "place").withColumnRenamed("rows", "total")
+    r01 = F.when(F.col("total") <= 1, F.lit(0.0)).otherwise((F.col("place") - 1) / (F.col("total") - 1))
+    return at.select("o_custkey", "o_orderpriority", "n", F.round(F.col("place") / F.col("total"), 9).alias("pct"), F.round(r01, 9).alias("r01"))
 
 
 QUERIES = {

@@ -167,7 +167,7 @@ select f.u, f.v, papers, first_paper, coalesce(d, 9)::int as early_distance from
     ),
     "axis_order": (
         axis,
-        "with n as (select c_mktsegment as label, sum((o_orderstatus = 'F')::int)::bigint as predicted, sum((o_orderpriority = '1-URGENT')::int)::bigint as positives, max(o_totalprice::double) as best, count(*) as n from orders join customer on o_custkey = c_custkey group by 1) select *, row_number() over (order by predicted desc, positives desc, best desc, n desc, label)::int as place from n",
+        "with n as (select c_mktsegment as label, sum((o_orderstatus = 'F')::int)::bigint as predicted, sum((o_orderpriority = '1-URGENT')::int)::bigint as positives, max(o_totalprice::double) as best, count(*) as n from orders join customer on o_custkey = c_custkey group by 1) select *, row_number() over (order by predicted desc, positives desc, best desc, n desc, label) as place from n",
     ),
     "bounded_ngrams": (
         bounded_ngrams,

@@ -99,7 +99,7 @@ def verification(s: SparkSession, d: str) -> DataFrame:
 
 def novelty(s: SparkSession, d: str) -> DataFrame:
     src = P.pair_summary(evidence(s, d, "source"))
-    return W.novelty(src.select("u", "v", F.col("papers").alias("score")), evidence(s, d, "target"), "score").select("u", "v", "score", F.col("place").cast("long").alias("place"))
+    return W.novelty(src.select("u", "v", F.col("papers").alias("score")), evidence(s, d, "target"), "score").select("u", "v", "score", "place")
 
 
 def unreviewed(s: SparkSession, d: str) -> DataFrame:
@@ -199,7 +199,7 @@ union all select 'text_missing', (select count(*) from documents where text is n
         WITH + """, sup as (select u, v, year as support_year from src qualify row_number() over (partition by u, v order by year, paper_id) = 1), tf as (select u, v, first_year as t from sums where layer = 'target'), e as (select u, v, support_year from sup join tf using (u, v) where support_year <= 2000 and t > support_year and t <= 2000),
 m as (select e.u, e.v, support_year, paper_id, row_number() over (partition by e.u, e.v order by year, paper_id) as k from e join src on src.u = e.u and src.v = e.v and year <= support_year) select u, v, support_year, count(*) as n, string_agg(paper_id::varchar, '; ' order by k) filter (k <= 5) as papers from m group by all""",
     ),
-    "novelty_filter": (novelty, WITH + ", n as (select u, v, papers as score from sums where layer = 'source' and (u, v) not in (select (u, v) from sums where layer = 'target')) select *, row_number() over (order by score desc, u, v) as place from n qualify place <= 1000"),
+    "novelty_filter": (novelty, WITH + ", n as (select u, v, papers as score from sums where layer = 'source' and (u, v) not in (select (u, v) from sums where layer = 'target')) select *, row_number() over (order by score desc, u, v) as place from n"),
     "next_unreviewed": (unreviewed, "with r as (select doc_id, round(ln(n_chars + 1), 6) as score from documents where doc_id not in (select doc_id from labels) order by score desc, doc_id limit 50) select *, case when score >= 8 then 'strong' when score >= 6 then 'possible' else 'below' end as band from r"),
     "repeated_quotes": (repeated_quotes, "with q as (select doc_id, sha256(text) as quote from documents where text is not null), n as (select quote from q group by 1 having count(*) > 1) select doc_id, case when n.quote is null then q.quote end as quote, case when n.quote is not null then '$' || substr(sha256(q.quote), 1, 16) end as ref from q left join n using (quote)"),
     "revisions": (
