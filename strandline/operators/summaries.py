@@ -161,7 +161,8 @@ def bounded_ngrams(docs: DataFrame, key: str, words: Column, sizes: tuple[int, i
     """(gram, df) of word n-grams in `least` documents or more and at most a share of all; n-grams of stop words at either end are left out."""
     from ..functions.text import word_ngrams
 
-    grams = docs.select(key, F.explode(F.array_distinct(word_ngrams(words, *sizes))).alias("gram"))
+    split = docs.select(key, words.alias("words"))  # once a text, not once an n-gram
+    grams = split.select(key, F.explode(F.array_distinct(word_ngrams(F.col("words"), *sizes))).alias("gram"))
     parts = F.split("gram", " ")
     grams = grams.where(~F.element_at(parts, 1).isin(*stop) & ~F.element_at(parts, -1).isin(*stop))
     df = grams.groupBy("gram").agg(F.count("*").alias("df"))

@@ -20,8 +20,8 @@ def clauses(text: Column) -> Column:
 
 def phrases(docs: DataFrame, key: str, text: str, sizes: tuple[int, int], stop: Sequence[str], domain: str | None = None) -> DataFrame:
     """(key, phrase, times): word n-grams within a clause, no stop word at an end, with a word of the domain if one is given."""
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    each = docs.select(key, F.explode(clauses(F.col(text))).alias("clause")).select(key, F.explode(word_ngrams(words(F.col("clause")), *sizes)).alias("phrase"))
+    each = docs.select(key, F.explode(clauses(F.col(text))).alias("clause")).select(key, tokens("clause").alias("words"))
+    each = each.select(key, F.explode(word_ngrams(F.col("words"), *sizes)).alias("phrase"))
     parts = F.split("phrase", " ")
     ok = ~F.element_at(parts, 1).isin(*stop) & ~F.element_at(parts, -1).isin(*stop)
     each = each.where(ok & F.col("phrase").rlike(domain) if domain else ok)
@@ -72,7 +72,8 @@ def term_lookup(concepts: DataFrame, aliases: DataFrame, manual: DataFrame, merg
 
 def text_concepts(docs: DataFrame, key: str, text: str, terms: DataFrame, most_words: int = 3) -> DataFrame:
     """(key, concept): concepts whose terms are runs of words in a text.  The runs of each text meet the terms by equality."""
-    grams = docs.select(key, F.explode(F.array_distinct(F.concat(tokens(text), word_ngrams(tokens(text), 2, most_words)))).alias("term"))
+    split = docs.select(key, tokens(text).alias("words"))
+    grams = split.select(key, F.explode(F.array_distinct(F.concat("words", word_ngrams(F.col("words"), 2, most_words)))).alias("term"))
     return grams.join(terms, "term").select(key, "concept").distinct()
 
 
