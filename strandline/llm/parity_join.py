@@ -282,22 +282,31 @@ class _Join:
         both = F.col("a.n") + F.col("b.n")
         return (100 * F.least("a.n", "b.n") >= self.percent * F.greatest("a.n", "b.n")) & (apart <= F.floor(both * (100 - self.percent) / (100 + self.percent)))
 
+    def sketched(self, rows: DataFrame) -> DataFrame:
+        """Rows of cells (key, sid, parts and others) with the size and sketch of their set."""
+        return rows.join(self.sets.drop("tokens"), "sid")
+
     def within_cells(self, cells: DataFrame, test: Column) -> DataFrame:
         """Distinct pairs (x, y) of sets that share a cell, may be linked and pass a test of rows a and b.
 
-        Sets meet only those of their size band and the next one, and a cell of more than
-        BLOCK rows is dealt out: one side over its parts, the other to all of them.
+        A cell of more than BLOCK rows has several parts: one side is dealt over them, the
+        other goes to all, and sets meet only those of their size band and the next one.
         """
         band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / self.percent) + 1e-9))
-        parts = cells.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-        cells = cells.join(parts, "key").withColumn("band", band)
-        small = cells.select("*", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), F.explode(F.array("band", F.col("band") + 1)).alias("meets")).alias("a")
+        hot = F.col("parts") > 1
+        cells = cells.withColumn("band", F.when(hot, band).otherwise(0))
+        small = cells.select("*", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), F.explode(F.when(hot, F.array("band", F.col("band") + 1)).otherwise(F.array("band"))).alias("meets")).alias("a")
         large = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).alias("b")
         met = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.meets") == F.col("b.band"))
         order = F.struct("a.n", "a.sid") < F.struct("b.n", "b.sid")
         return small.join(large, met & order & self.near() & test).select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y")).distinct()
 
 
+def _parts() -> Column:
+    """Into how many parts a cell is dealt, by its rows."""
+    return F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")
+
+
 def links(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(links, members): all pairs (x, y) of different sets that are linked, and the rows (key, sid, n_shingles) of each set.
 
@@ -305,7 +314,8 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", t
     of a group of near copies grow with its square, which `components` avoids.
     """
     join = _Join(docs, n, percent, key, text)
-    pairs = join.within_cells(join.shared.join(join.sets.drop("tokens"), "sid"), F.lit(True))
+    parts = join.shared.groupBy("key").agg(_parts())
+    pairs = join.within_cells(join.sketched(join.shared.join(parts, "key")), F.lit(True))
     found = join.links_of(pairs, "links")
     members = join.every.where("sid <> 0").select(F.col("id").alias(key), "sid", F.col("n").alias("n_shingles"))
     join.scratch.keep("rows", "links")
@@ -331,8 +341,8 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_i
 
     for last in (False, True):
         member = shared.join(labels, "sid", "left").select("key", "sid", F.coalesce("c", "sid").alias("c"))
-        apart = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        cells = scratch.save(member.join(apart, "key", "left_semi").join(sets.drop("tokens"), "sid"), f"apart{last}")
+        apart = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), _parts()).where("lo <> hi").select("key", "parts")
+        cells = scratch.save(join.sketched(member.join(apart, "key")), f"apart{last}")
         if last:
             pairs = join.within_cells(cells, F.col("a.c") != F.col("b.c"))
         else:
