@@ -553,3 +553,18 @@ def test_model_families(spark):
     assert one.orderBy(F.desc("logistic")).first().a == max(r[4] for r in rows if r[0] == 1992)
     w = models.type_priors(spark.createDataFrame([("x", "w", 2.0), ("q", "q", 2.0)], "s string, t string, z double"), "s", "t", "z", {("w", "x"): 0.5})
     assert sorted(r.prior_score for r in w.collect()) == [1.0, 2.0]
+
+
+def test_scratch_folders_go(spark):
+    import os
+
+    from strandline.operators import scratch
+
+    kept = Scratch(spark, "kept")
+    kept.save(spark.range(3), "a")
+    place = scratch.mark()
+    gone = Scratch(spark, "gone")
+    gone.save(spark.range(3), "a")
+    scratch.drop_since(spark, place)
+    there = lambda s: os.path.isdir(s.root.removeprefix("file://"))
+    assert there(kept) and not there(gone) and scratch.mark() == place
