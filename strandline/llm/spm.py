@@ -45,11 +45,11 @@ TEMPERATURE = 0.5
 #: The longest piece that the lattice looks for.
 REACH = 16
 #: Units that a worker's store holds; beyond that the less frequent half goes.
-UNITS = 120_000
+UNITS = 80_000
 #: Bytes of texts handled at once, and of new units that the library gets in one string.
-CHUNK, JOIN = 1 << 19, 1 << 13
+CHUNK, JOIN = 1 << 18, 1 << 13
 #: New units whose lattices are built at once.
-FRESH = 15_000
+FRESH = 8_000
 #: Units up to this length are summed as products, longer ones as logarithms.
 PLAIN = 48
 BAR = 0x2581
