@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chat, decontam, langid, media, parity_join, quality, secrets, spm, toxicity, urlfilter
+from . import changepoints, chat, decontam, langid, media, parity_join, quality, secrets, spm, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_spm": lambda s, d: spm.op8_spm(table(s, d, "documents")),
         "op9_media": lambda s, d: media.op9_media(table(s, d, "documents")),
         "op10_parity_join": lambda s, d: parity_join.op10_parity_join(table(s, d, "documents")),
+        "op11_changepoints": lambda s, d: changepoints.op11_changepoints(table(s, d, "sale_lines")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.OP4_SQL, "op5_urlfilter": urlfilter.op5_sql(), "op7_secrets": secrets.OP7_SQL}
+    return {"op4_chat": chat.OP4_SQL, "op5_urlfilter": urlfilter.op5_sql(), "op7_secrets": secrets.OP7_SQL, "op11_changepoints": changepoints.OP11_SQL}
