@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import changepoints, chat, decontam, langid, media, parity_join, quality, runs, secrets, spm, toxicity, urlfilter
+from . import changepoints, chat, decontam, langid, media, packing, parity_join, quality, runs, secrets, spm, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_parity_join": lambda s, d: parity_join.op10_parity_join(table(s, d, "documents")),
         "op11_changepoints": lambda s, d: changepoints.op11_changepoints(table(s, d, "sale_lines")),
         "op12_runs": lambda s, d: runs.op12_runs(table(s, d, "documents")),
+        "op13_packing": lambda s, d: packing.op13_packing(table(s, d, "documents")),
     }
 
 

@@ -177,17 +177,6 @@ def find(word: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return row[order], start[order], length[order], p[order]
 
 
-def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """(word numbers, the words they stand for, where each row's words begin); words are runs of other bytes than ASCII white space."""
-    lists = pc.ascii_split_whitespace(texts)
-    words, row = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
-    full = pc.binary_length(words).to_numpy() > 0
-    coded = words.filter(pa.array(full)).dictionary_encode()
-    ptr = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(np.bincount(row[full], minlength=len(texts)), out=ptr[1:])
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, ptr
-
-
 def plant(word: np.ndarray, ptr: np.ndarray, h: np.ndarray) -> np.ndarray:
     """The words, with those of each row with h >= 0 and h % 10 = 0 repeating a stretch from one place on."""
     out = word.copy()
@@ -212,7 +201,7 @@ def periodic_runs(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("d
             column = batch.column("_text").cast(pa.large_string()).fill_null("")
             h = batch.column("_h").to_numpy()
             for a, b, _, _ in tv.chunks(column):
-                word, names, ptr = split(column.slice(a, b - a))
+                word, names, ptr = tv.split(column.slice(a, b - a))
                 word = plant(word, ptr, h[a:b])
                 row, start, length, period = find(word, ptr)
                 edge = np.zeros(len(word) + 1, np.int64)

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from strandline.llm import runs
+from strandline.llm import runs, textvec
 from strandline.session import table
 
 
@@ -100,7 +100,7 @@ def test_range_minima():
 
 def test_words_are_runs_of_other_bytes():
     texts = ["a b\tc\n\x0b\x0c\rd", "", " \t ", None, "\x1ca\x1d b c 　", " x"]
-    word, names, ptr = runs.split(pa.array(texts, pa.large_string()).fill_null(""))
+    word, names, ptr = textvec.split(pa.array(texts, pa.large_string()).fill_null(""))
     got = [[names[int(i)].as_py() for i in word[a:b]] for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
     assert got == [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
 
