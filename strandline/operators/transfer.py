@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.ranks import strength
 from ..functions.text import lookup
 from .order import running_sums
+from .scratch import Scratch
 
 #: Grade and its order by the weaker side's level, and by the stronger side's where the weaker has 1.
 GRADES = {3: ("G3_dual_human_confirmed_relations", 0), 2: ("G2_dual_strict_syntax_candidates", 1), 1: ("G1_single_strict_syntax_candidate", 2), 0: ("G0_cooccurrence_only", 3)}
@@ -81,45 +83,97 @@ def ends(bank: DataFrame, name: str, top: int | None = None) -> DataFrame:
     return out.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top).drop("_k")
 
 
-def wedge(source: DataFrame, target: DataFrame, top: int | None = 20, allowed: Column | None = None) -> DataFrame:
-    """Source and target pairs on a shared node with different far ends; `allowed` gates nodes by category before the best `top` a side are taken."""
+def wedge(source: DataFrame, target: DataFrame, top: int | None = None, allowed: Column | None = None, block: int = 1024) -> DataFrame:
+    """Every source and target pair on a shared node with different far ends.
+
+    `allowed` gates nodes by category; with `top`, the best `top` a side of each node
+    meet.  A node's ends are dealt into parts of about `block` on either side and
+    every part meets every other, so a hub is joined in many tasks.
+    """
     s, t = source, target
     if allowed is not None:
         s, t = s.where(allowed), t.where(allowed)
-    return ends(s, "source", top).join(ends(t, "target", top), "shared").where("source_other <> target_other")
+    return met(ends(s, "source", top), ends(t, "target", top), block).where("source_other <> target_other")
+
+
+def met(s: DataFrame, t: DataFrame, block: int = 1024) -> DataFrame:
+    """`s` and `t` joined on `shared`, nodes with many rows on a side in parts of about `block`."""
+    parts = lambda f, name: f.groupBy("shared").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    grid = parts(s, "_sn").join(parts(t, "_tn"), "shared")
+    place = lambda name, n: F.pmod(F.xxhash64(f"{name}_other"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = s.join(grid, "shared").withColumn("_i", place("source", "_sn")).withColumn("_j", every("_tn")).drop("_sn", "_tn")
+    b = t.join(grid, "shared").withColumn("_j", place("target", "_tn")).withColumn("_i", every("_sn")).drop("_sn", "_tn")
+    return a.join(b, ["shared", "_i", "_j"]).drop("_i", "_j")
 
 
 #: The support order: thirteen keys with the shared node, all but the last two descending.
 SUPPORT = ("floor", "ceiling", "min_humans", "sum_humans", "min_relations", "sum_relations", "min_papers", "sum_papers", "min_sentences", "sum_sentences")
 
 
-def graded(candidates: DataFrame, focus: Column) -> DataFrame:
-    """Levels, grade, tier and support sums of each candidate, its closing pair, and whether it is in focus."""
+#: What an end's support consists of.
+COUNTS = ("humans", "relations", "papers", "sentences")
+
+
+def graded(candidates: DataFrame) -> DataFrame:
+    """Adds levels, grade, tier and support sums to rows with the counts of a source and a target side."""
     c = candidates.withColumns({"source_level": side_level(F.col("source_relations"), F.col("source_humans")), "target_level": side_level(F.col("target_relations"), F.col("target_humans"))})
     c = c.withColumns({"floor": F.least("source_level", "target_level"), "ceiling": F.greatest("source_level", "target_level")})
     (g, order), (name, side) = grade(F.col("floor"), F.col("ceiling")), tier(F.col("source_relations"), F.col("target_relations"))
     both = {}
-    for x in ("humans", "relations", "papers", "sentences"):
+    for x in COUNTS:
         both |= {f"min_{x}": F.least(f"source_{x}", f"target_{x}"), f"sum_{x}": F.col(f"source_{x}") + F.col(f"target_{x}")}
-    closure = F.concat_ws("::", F.least("source_other", "target_other"), F.greatest("source_other", "target_other"))
-    return c.withColumns({**both, "grade": g, "grade_order": order, "tier": name, "relation_side": side, "closure": closure, "focus": focus})
+    return c.withColumns({**both, "grade": g, "grade_order": order, "tier": name, "relation_side": side})
+
 
+def graded_candidates(source: DataFrame, target: DataFrame, in_focus: DataFrame, chunk: int = 256, salt: int = 16) -> DataFrame:
+    """Every combination of a source and a target pair on a shared node, with levels, grade, tier and four places; none is cut.
 
-def support_ranks(rows: DataFrame, focus: str = "focus") -> DataFrame:
-    """Places by support within the shared node and within node and tier, over all and over those in focus; path counts.
+    Places by support: within the shared node and within node and tier, over all
+    combinations and over those in focus.  in_focus: (node, shared_focus, other_focus);
+    a combination is in focus if its shared node and both far ends are.
 
-    Places come from running counts over a range partition, so a hub node is not ranked in one task.
+    The ten support keys of a combination depend on the two ends' counts alone, and
+    a source end with the keys gives the target's counts.  So combinations are first
+    blocks: a source end with all target ends of the same counts.  Blocks are ordered and
+    summed up over a range partition; within a block the place is the target end's
+    place among its equals, less one if the source's own far end comes before it.  Rows are made
+    last, in chunks of target ends.
     """
-    order = [*[F.desc(c) for c in SUPPORT], F.asc("source_pair"), F.asc("target_pair")]
-    key = ["shared", "source_pair", "target_pair"]
-    one = rows.withColumn("_one", F.lit(1).cast("long"))
-    out = running_sums(running_sums(one, order, {"_one": "node_rank"}, ["shared"]), order, {"_one": "tier_rank"}, ["shared", "tier"])
-    inside = one.where(F.col(focus)).select("_one", "tier", *key, *SUPPORT)
-    inside = running_sums(running_sums(inside, order, {"_one": "focus_rank"}, ["shared"]), order, {"_one": "focus_tier_rank"}, ["shared", "tier"])
-    out = out.join(inside.select(*key, "focus_rank", "focus_tier_rank"), key, "left")
-    for by, name in (("closure", "closure_paths"), ("shared", "shared_paths")):
-        out = out.join(rows.groupBy(by).agg(F.count("*").alias(name)), by)
-    return out.drop("_one")
+    scratch = Scratch(source.sparkSession, "graded")
+    shared_ok = in_focus.select(F.col("node").alias("shared"), "shared_focus")
+    flags = lambda side: in_focus.select(F.col("node").alias(f"{side}_other"), F.col("other_focus").cast("long").alias(f"{side}_focus"))
+    one = F.lit(1).cast("long")
+    s = ends(source, "source").join(flags("source"), "source_other")
+    t = ends(target, "target").join(flags("target"), "target_other").withColumn("_one", one)
+    like = ["shared", *[f"target_{c}" for c in COUNTS]]
+    t = scratch.save(running_sums(t, [F.col("target_pair")], {"_one": "place", "target_focus": "focus_place"}, like).drop("_one"), "targets")
+    kinds = t.groupBy(*like).agg(F.count("*").alias("n"), F.sum("target_focus").alias("nf")).join(shared_ok, "shared")
+    kinds = kinds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    own = t.select("shared", F.col("target_other").alias("source_other"), *[F.col(f"target_{c}").alias(f"_{c}") for c in COUNTS], F.col("place").alias("own_place"), F.col("target_focus").alias("own_focus"))
+    blocks = s.join(own, ["shared", "source_other"], "left").withColumn("_salt", F.pmod(F.xxhash64("source_other"), F.lit(salt)).cast("int")).join(kinds, ["shared", "_salt"])
+    itself = F.coalesce(reduce(lambda x, y: x & y, [F.col(f"_{c}") == F.col(f"target_{c}") for c in COUNTS]), F.lit(False))
+    blocks = blocks.withColumns({"own_place": F.when(itself, F.col("own_place")), "own_focus": F.when(itself, F.col("own_focus")).otherwise(0)}).drop("_salt", *[f"_{c}" for c in COUNTS])
+    sought = F.col("shared_focus") & (F.col("source_focus") == 1)
+    blocks = graded(blocks).withColumns({"here": F.col("n") - F.col("own_place").isNotNull().cast("long"), "here_focus": F.when(sought, F.col("nf") - F.col("own_focus")).otherwise(0)})
+    order = [*[F.desc(c) for c in SUPPORT], F.asc("source_pair")]
+    blocks = running_sums(blocks, order, {"here": "upto", "here_focus": "upto_focus"}, ["shared"])
+    blocks = running_sums(blocks, order, {"here": "upto_tier", "here_focus": "upto_focus_tier"}, ["shared", "tier"])
+    total = blocks.groupBy("shared").agg(F.sum("here").alias("shared_paths"))
+    blocks = blocks.join(total, "shared").withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))))
+    rows = blocks.join(t.withColumn("part", F.floor((F.col("place") - 1) / chunk).cast("int")), [*like, "part"]).where("source_other <> target_other")
+    ahead = F.coalesce(F.col("own_place") < F.col("place"), F.lit(False)).cast("long")
+    focus = sought & (F.col("target_focus") == 1)
+    rank = lambda upto: F.col(upto) - F.col("here") + F.col("place") - ahead
+    inner = lambda upto: F.when(focus, F.col(upto) - F.col("here_focus") + F.col("focus_place") - ahead * F.col("own_focus"))
+    rows = rows.withColumns({"focus": focus, "node_rank": rank("upto"), "tier_rank": rank("upto_tier"), "focus_rank": inner("upto_focus"), "focus_tier_rank": inner("upto_focus_tier")})
+    return rows.drop("part", "n", "nf", "place", "focus_place", "own_place", "own_focus", "here", "here_focus", "upto", "upto_tier", "upto_focus", "upto_focus_tier", "shared_focus", "source_focus", "target_focus")
+
+
+def closure_paths(source: DataFrame, target: DataFrame) -> DataFrame:
+    """(a, b, paths): how many combinations would close each pair of far ends."""
+    pair = F.least("source_other", "target_other").alias("a"), F.greatest("source_other", "target_other").alias("b")
+    return met(ends(source.select("u", "v"), "source"), ends(target.select("u", "v"), "target")).where("source_other <> target_other").groupBy(*pair).agg(F.count("*").alias("paths"))
 
 
 def bridge_score(link_type: Column, source_strength: Column, target_strength: Column, endpoint_df: Column, similarity: Column | None = None) -> Column:
@@ -179,12 +233,12 @@ def temporal_alignment(source_year: Column, target_year: Column) -> Column:
     return F.when(source_year.isNull() | target_year.isNull(), "unknown").when(source_year <= target_year, "source_precedes_or_same_year").otherwise("source_observed_after_target_pair")
 
 
-def exact_links(source: DataFrame, target: DataFrame, roles: DataFrame, df: DataFrame, top: int | None = 20) -> DataFrame:
+def exact_links(source: DataFrame, target: DataFrame, roles: DataFrame, df: DataFrame) -> DataFrame:
     """Direct overlaps and shared-node links of two banks with their type, bridge score, closing ends and order in time.
 
     `roles` has node and role, `df` node and shared_df (papers of the target that have it).
     """
-    far = wedge(source, target, top).withColumn("same", F.lit(False))
+    far = wedge(source, target).withColumn("same", F.lit(False))
     s, t = ends(source, "source"), ends(target, "target")
     same = s.join(t, (s["shared"] == t["shared"]) & (s["source_pair"] == t["target_pair"])).drop(t["shared"]).where("shared < source_other").withColumn("same", F.lit(True))
     links = far.unionByName(same).join(roles.select(F.col("node").alias("shared"), "role"), "shared", "left").join(df.select(F.col("node").alias("shared"), "shared_df"), "shared", "left")

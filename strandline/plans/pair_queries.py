@@ -31,7 +31,7 @@ facts as materialized (select distinct o_orderkey as paper_id, p_brand || '|' ||
   from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey),
 ev as materialized (select a.concept_id as u, b.concept_id as v, a.concept_type as u_type, b.concept_type as v_type, a.year, a.paper_id, a.layer from facts a join facts b on a.paper_id = b.paper_id and a.concept_id < b.concept_id),
 src as (select * from ev where layer = 'source'), tgt as (select * from ev where layer = 'target'),
-sums as (select layer, u, v, min(year) as first_year, max(year) as last_year, count(distinct paper_id) as papers, arg_min(paper_id, year * 1000000000000 + paper_id) as first_paper from ev group by all)
+sums as materialized (select layer, u, v, min(year) as first_year, max(year) as last_year, count(distinct paper_id) as papers, arg_min(paper_id, year * 1000000000000 + paper_id) as first_paper from ev group by all)
 """
 WITH = "with " + FACTS
 
@@ -113,8 +113,8 @@ def all_tiered(s: SparkSession, d: str) -> DataFrame:
 
 
 TIERED = """,
-ends as (select layer, u as shared, v as other, papers from sums union all select layer, v, u, papers from sums),
-cut as (select *, row_number() over (partition by layer, shared order by papers desc, other) as k from ends where layer <> 'hybrid' qualify k <= 3),
+ends as materialized (select layer, u as shared, v as other, papers from sums union all select layer, v, u, papers from sums),
+cut as materialized (select *, row_number() over (partition by layer, shared order by papers desc, other) as k from ends where layer <> 'hybrid' qualify k <= 3),
 hin as (select a.shared, a.other as source_other, a.papers as source_papers, a.k as source_rank, b.other as target_other, b.papers as target_papers, b.k as target_rank from cut a join cut b on a.shared = b.shared and a.layer = 'source' and b.layer = 'target' and a.other <> b.other),
 tier as (select *, least(source_papers, target_papers) as support, case when least(source_papers, target_papers) >= 2 then 'A' when greatest(source_papers, target_papers) >= 2 then 'B' else 'C' end as tier from hin),
 tiers as (select *, row_number() over (partition by shared, tier order by support desc, greatest(source_papers, target_papers) desc, source_other, target_other) as tier_rank from tier)
@@ -141,11 +141,11 @@ select u, v, min(year) as first_year, max(year) as last_year, count(distinct pap
     ),
     "direct_pair_overlap": (
         lambda s, d: P.overlap(P.pair_summary(evidence(s, d, "source")), P.pair_summary(evidence(s, d, "target"))),
-        WITH + "select a.u, a.v, a.papers as source_papers, a.first_year as source_first, b.papers as target_papers, b.first_year as target_first from sums a join sums b on a.u = b.u and a.v = b.v and a.layer = 'source' and b.layer = 'target'",
+        WITH + ", a as materialized (select u, v, papers as source_papers, first_year as source_first from sums where layer = 'source'), b as materialized (select u, v, papers as target_papers, first_year as target_first from sums where layer = 'target') select u, v, source_papers, source_first, target_papers, target_first from a join b using (u, v)",
     ),
     "pair_outer_status": (
         pair_outer_status,
-        WITH + """, a as (select u, v, first_year as source_year, papers as source_papers from sums where layer = 'source'), b as (select u, v, first_year as target_year, papers as target_papers from sums where layer = 'target')
+        WITH + """, a as materialized (select u, v, first_year as source_year, papers as source_papers from sums where layer = 'source'), b as materialized (select u, v, first_year as target_year, papers as target_papers from sums where layer = 'target')
 select u, v, source_year, source_papers, target_year, target_papers, case when source_year is null then 'target_only' when target_year is null then 'not_in_target' when target_year < source_year then 'target_before_source' when target_year = source_year then 'same_year' else 'source_then_target' end as status,
   case when target_year > source_year then target_year - source_year end as lag_years from a full join b using (u, v)""",
     ),

@@ -32,6 +32,7 @@ class Banks:
         self.source, self.target = (bank.where(F.col("layer") == x).drop("layer") for x in ("source", "target"))
 
     def links(self) -> DataFrame:
+        """All links with their scores; brands stand for programs, of which one is curated."""
         kind = self.facts.select(F.col("concept_id").alias("node"), lookup(F.col("concept_type"), ROLES, "outcome_property").alias("role")).distinct()
         own = self.facts.where("layer = 'target'")
         df = own.groupBy(F.col("concept_id").alias("node")).agg(F.count_distinct("paper_id").alias("shared_df"))
@@ -43,15 +44,21 @@ class Banks:
             "curated": curated, "family": F.when(curated, F.when(F.col("shared").rlike(r"\|[0-9]$"), "any").otherwise("sized")).otherwise(none), "program_status": F.when(curated, "direct_precedent_upgrade_candidate").otherwise(none),
             "source_roles": F.array("role", F.lit("intervention")), "target_roles": F.array("role", F.lit("material_system")), "link_id": F.concat_ws("/", "source_pair", "target_pair"),
         })
-        return self.scratch.save(X.scored_links(out, F.lit(float(total))), "links")
+        return X.scored_links(out, F.lit(float(total)))
 
 
 def graded(s: SparkSession, d: str) -> DataFrame:
+    """Every combination with its grade, tier and places; small sizes are no far ends in focus."""
     b = Banks(s, d)
-    kind = b.facts.select(F.col("concept_id").alias("shared"), "concept_type").distinct()
-    rows = X.graded(X.wedge(b.source, b.target).join(kind, "shared"), F.col("concept_type").isin(*FOCUS))
-    out = X.support_ranks(b.scratch.save(rows, "graded"))
-    return out.select("shared", "source_pair", "target_pair", "floor", "ceiling", "grade", "grade_order", "tier", "relation_side", "closure", "closure_paths", "shared_paths", "node_rank", "tier_rank", "focus_rank", "focus_tier_rank")
+    kind = F.col("concept_type").isin(*FOCUS)
+    nodes = b.facts.select(F.col("concept_id").alias("node"), kind.alias("shared_focus"), ~F.col("concept_id").rlike(r"\|[0-9]$")).distinct().toDF("node", "shared_focus", "other_focus")
+    out = X.graded_candidates(b.source, b.target, nodes)
+    return out.select("shared", "source_other", "target_other", F.substring("tier", 1, 1).alias("tier"), "relation_side", "floor", "grade_order", "shared_paths", "node_rank", "tier_rank", "focus_rank", "focus_tier_rank")
+
+
+def closures(s: SparkSession, d: str) -> DataFrame:
+    b = Banks(s, d)
+    return X.closure_paths(b.source, b.target)
 
 
 def gated_hinges(s: SparkSession, d: str) -> DataFrame:
@@ -77,13 +84,19 @@ def reviewed(s: SparkSession, d: str) -> DataFrame:
     return out.select("u", "v", "source_level", "source_status", "target_level", "target_status", g.alias("grade"), order.alias("grade_order"), bucket.alias("bucket"))
 
 
-SHOWN = ("shared", "source_pair", "target_pair", "link_type", "bridge_score", "closure_source", "closure_target", "temporal_alignment", "hub_penalty", "transfer_score", "score_cap_reason", "inference_status", "novelty_status")
+SHOWN = ("shared", "source_other", "target_other", "link_type", "bridge_score", "transfer_score")
+STATUSES = ("link_type", "hub_penalty", "transfer_score", "score_cap_reason", "inference_status", "novelty_status", "temporal_alignment")
 
 
 def links(s: SparkSession, d: str) -> DataFrame:
     return Banks(s, d).links().select(*SHOWN)
 
 
+def link_statuses(s: SparkSession, d: str) -> DataFrame:
+    """How many links have which scores and statuses, and how many have no pair left to close."""
+    return Banks(s, d).links().groupBy(*STATUSES).agg(F.count("*").alias("links"), F.count_if((F.col("closure_source") == "") & (F.col("closure_target") == "")).alias("closed"))
+
+
 def bridges(s: SparkSession, d: str) -> DataFrame:
     return X.top_bridges(Banks(s, d).links()).select("source_pair", "target_pair", "transfer_score", "rank_within_target", "global_rank")
 
@@ -102,28 +115,32 @@ BANKS = WITH.rsplit("src as", 1)[0] + """
 fl as (select o_orderkey as paper_id, o_orderstatus as st, o_orderstatus = 'F' as rel, o_orderstatus = 'F' and o_totalprice::double > 300000 as hum from orders),
 el as materialized (select ev.*, st, rel, hum from ev join fl using (paper_id) where layer <> 'hybrid'),
 bk as materialized (select layer, u, v, count(distinct paper_id) as papers, count(distinct paper_id) filter (rel) as relations, count(distinct paper_id) filter (hum) as humans, count(distinct year) as sentences, min(year) as first_year from el group by all),
-en as (select layer, u as shared, v as other, u || '~' || v as pair, papers, relations, humans, sentences, first_year from bk union all select layer, v, u, u || '~' || v, papers, relations, humans, sentences, first_year from bk)"""
-_CUT = """,
-cut as materialized (select * from {en} qualify row_number() over (partition by layer, shared order by papers desc, relations desc, other) <= 20),
-w as materialized (select a.shared, a.other as source_other, a.pair as source_pair, a.papers as source_papers, a.relations as source_relations, a.humans as source_humans, a.sentences as source_sentences, a.first_year as source_first_year,
+en as materialized (select layer, u as shared, v as other, u || '~' || v as pair, papers, relations, humans, sentences, first_year from bk union all select layer, v, u, u || '~' || v, papers, relations, humans, sentences, first_year from bk)"""
+_WEDGE = """,
+cut as materialized (select * from {en}),
+w as (select a.shared, a.other as source_other, a.pair as source_pair, a.papers as source_papers, a.relations as source_relations, a.humans as source_humans, a.sentences as source_sentences, a.first_year as source_first_year,
   b.other as target_other, b.pair as target_pair, b.papers as target_papers, b.relations as target_relations, b.humans as target_humans, b.sentences as target_sentences, b.first_year as target_first_year from cut a join cut b on a.shared = b.shared and a.layer = 'source' and b.layer = 'target' and a.other <> b.other)"""
-CUT = _CUT.format(en="en")
-_ORDER = "floor desc, ceiling desc, min_humans desc, sum_humans desc, min_relations desc, sum_relations desc, min_papers desc, sum_papers desc, min_sentences desc, sum_sentences desc, source_pair, target_pair"
+WEDGE = _WEDGE.format(en="en")
+_BEST = "(select * from {en} qualify row_number() over (partition by layer, shared order by papers desc, relations desc, other) <= 20)"
+_ORDER = "floor desc, ceiling desc, min_humans desc, sum_humans desc, min_relations desc, sum_relations desc, min_papers desc, sum_papers desc, min_sentences desc, sum_sentences desc"
 _LEVEL = "case when {0}_humans > 0 then 3 when {0}_relations > 0 then 2 else 1 end"
-GRADED = CUT + f""",
-lv as (select *, {_LEVEL.format('source')} as sl, {_LEVEL.format('target')} as tl from w),
-gr as materialized (select *, least(sl, tl) as floor, greatest(sl, tl) as ceiling, least(source_humans, target_humans) as min_humans, source_humans + target_humans as sum_humans, least(source_relations, target_relations) as min_relations, source_relations + target_relations as sum_relations,
-  least(source_papers, target_papers) as min_papers, source_papers + target_papers as sum_papers, least(source_sentences, target_sentences) as min_sentences, source_sentences + target_sentences as sum_sentences,
-  case when source_relations > 0 and target_relations > 0 then 'A_dual_strict_syntax_candidates' when source_relations > 0 or target_relations > 0 then 'B_single_strict_syntax_candidate' else 'C_cooccurrence_only' end as tier,
-  case when source_relations > 0 and target_relations > 0 then 'both' when source_relations > 0 then 'source' when target_relations > 0 then 'target' else 'none' end as relation_side,
-  least(source_other, target_other) || '::' || greatest(source_other, target_other) as closure, substr(shared, 7, 1) in ('1', '2', '3') as focus from lv)
-select shared, source_pair, target_pair, floor, ceiling, case when floor >= 3 then 'G3_dual_human_confirmed_relations' when floor >= 2 then 'G2_dual_strict_syntax_candidates' when ceiling >= 2 then 'G1_single_strict_syntax_candidate' else 'G0_cooccurrence_only' end as grade,
-  case when floor >= 3 then 0 when floor >= 2 then 1 when ceiling >= 2 then 2 else 3 end as grade_order, tier, relation_side, closure, count(*) over (partition by closure) as closure_paths, count(*) over (partition by shared) as shared_paths,
-  row_number() over (partition by shared order by {_ORDER}) as node_rank, row_number() over (partition by shared, tier order by {_ORDER}) as tier_rank,
-  case when focus then row_number() over (partition by shared, focus order by {_ORDER}) end as focus_rank, case when focus then row_number() over (partition by shared, tier, focus order by {_ORDER}) end as focus_tier_rank from gr"""
+#: Counts become numbers of classes before the combinations are ordered, so that these are narrow.
+GRADED = f""",
+cl as materialized (select humans, relations, papers, sentences, row_number() over (order by humans, relations, papers, sentences)::int as c from (select distinct humans, relations, papers, sentences from en)),
+nm as (select pair, row_number() over (order by pair)::int as p from (select distinct pair from en)),
+ec as materialized (select layer, shared, other, c, p, not regexp_matches(other, '\\|[0-9]$') as ok from en join cl using (humans, relations, papers, sentences) join nm using (pair)),
+cc as (select a.c as sc, b.c as tc, {_LEVEL.format('a.').replace('a._', 'a.')} as sl, {_LEVEL.format('b.').replace('b._', 'b.')} as tl, least(a.humans, b.humans) as min_humans, a.humans + b.humans as sum_humans, least(a.relations, b.relations) as min_relations, a.relations + b.relations as sum_relations,
+  least(a.papers, b.papers) as min_papers, a.papers + b.papers as sum_papers, least(a.sentences, b.sentences) as min_sentences, a.sentences + b.sentences as sum_sentences,
+  case when a.relations > 0 and b.relations > 0 then 'A' when a.relations > 0 or b.relations > 0 then 'B' else 'C' end as tier, case when a.relations > 0 and b.relations > 0 then 'both' when a.relations > 0 then 'source' when b.relations > 0 then 'target' else 'none' end as relation_side from cl a, cl b),
+cf as (select *, least(sl, tl) as floor, greatest(sl, tl) as ceiling from cc),
+co as materialized (select sc, tc, floor, tier, relation_side, case when floor >= 3 then 0 when floor >= 2 then 1 when ceiling >= 2 then 2 else 3 end as grade_order, dense_rank() over (order by {_ORDER})::int as place from cf),
+gr as materialized (select a.shared, a.other as source_other, b.other as target_other, a.p as sp, b.p as tp, a.c as sc, b.c as tc, place, tier, a.ok and b.ok and substr(a.shared, 7, 1) in ('1', '2', '3') as focus from ec a join ec b on a.shared = b.shared and a.layer = 'source' and b.layer = 'target' and a.other <> b.other join co on co.sc = a.c and co.tc = b.c),
+rk as (select shared, source_other, target_other, sc, tc, count(*) over (partition by shared) as shared_paths, row_number() over (partition by shared order by place, sp, tp) as node_rank, row_number() over (partition by shared, tier order by place, sp, tp) as tier_rank,
+  case when focus then count(*) filter (focus) over (partition by shared order by place, sp, tp rows unbounded preceding) end as focus_rank, case when focus then count(*) filter (focus) over (partition by shared, tier order by place, sp, tp rows unbounded preceding) end as focus_tier_rank from gr)
+select shared, source_other, target_other, tier, relation_side, floor, grade_order, shared_paths, node_rank, tier_rank, focus_rank, focus_tier_rank from rk join co using (sc, tc)"""
 _SIDE = """case when {0} is null or len({0}) = 0 then {1} when list_contains({0}, 'accepted') then {2} when {0} = ['rejected'] then {3} else {4} end"""
-REVIEWED = f""", vd as (select layer, u, v, list_sort(list(distinct case st when 'F' then 'accepted' when 'P' then 'rejected' else 'pending' end)) as vs from el where hum or st = 'P' or year >= 2000 group by all),
-sb as (select b.u, b.v, coalesce(vs, []) as sv from bk b left join vd on vd.layer = b.layer and vd.u = b.u and vd.v = b.v where b.layer = 'source'), tb as (select b.u, b.v, coalesce(vs, []) as tv from bk b left join vd on vd.layer = b.layer and vd.u = b.u and vd.v = b.v where b.layer = 'target'),
+REVIEWED = f""", vd as materialized (select layer, u, v, list_sort(list(distinct case st when 'F' then 'accepted' when 'P' then 'rejected' else 'pending' end)) as vs from el where hum or st = 'P' or year >= 2000 group by all),
+sb as materialized (select b.u, b.v, coalesce(vs, []) as sv from bk b left join vd on vd.layer = b.layer and vd.u = b.u and vd.v = b.v where b.layer = 'source'), tb as materialized (select b.u, b.v, coalesce(vs, []) as tv from bk b left join vd on vd.layer = b.layer and vd.u = b.u and vd.v = b.v where b.layer = 'target'),
 j as (select u, v, sv, tv, {_SIDE.format('sv', 1, 2, 1, 2)} as source_level, {_SIDE.format('tv', 1, 2, 1, 2)} as target_level from sb full join tb using (u, v)),
 k as (select *, case when sv is null then 'n' when list_contains(sv, 'pending') then 'o' else 'i' end as s, case when tv is null then 'n' when list_contains(tv, 'pending') then 'o' else 'i' end as t from j)
 select u, v, source_level, {_SIDE.format('sv', "'cooccurrence_only'", "'direct_sentence_relation_accepted'", "'machine_relation_rejected_retain_cooccurrence_only'", "'strict_syntax_pending_semantic_review'")} as source_status,
@@ -131,7 +148,7 @@ select u, v, source_level, {_SIDE.format('sv', "'cooccurrence_only'", "'direct_s
   case when least(source_level, target_level) >= 2 then 'R2_dual_direct_sentence_relations' when greatest(source_level, target_level) >= 2 then 'R1_single_direct_sentence_relation' else 'R0_cooccurrence_only_or_rejected' end as grade,
   case when least(source_level, target_level) >= 2 then 1 when greatest(source_level, target_level) >= 2 then 2 else 3 end as grade_order,
   case when s = 'o' or t = 'o' then 'unknown_or_not_evaluated_quarantine' when s = 'n' and t = 'n' then 'both_not_observed_in_frozen_direct_corpora' when s = 'i' and t = 'n' then 'observed_in_source_only' when s = 'n' then 'observed_in_target_only' else 'observed_in_both_direct_corpora' end as bucket from k"""
-LINKS = CUT + """,
+LINKS = WEDGE + """,
 same as (select a.shared, a.other as source_other, a.pair as source_pair, a.papers as source_papers, a.first_year as source_first_year, b.other as target_other, b.pair as target_pair, b.papers as target_papers, b.first_year as target_first_year from en a join en b on a.shared = b.shared and a.pair = b.pair and a.layer = 'source' and b.layer = 'target' and a.shared < a.other),
 l0 as (select shared, source_other, source_pair, source_papers, source_first_year, target_other, target_pair, target_papers, target_first_year, false as same from w union all select *, true from same),
 df as (select concept_id, count(distinct paper_id) as n from facts where layer = 'target' group by 1), np as (select count(distinct paper_id)::double as total from facts where layer = 'target'),
@@ -143,16 +160,18 @@ l3 as (select *, round(least(0.99, (case link_type when 'direct_pair_overlap' th
   case when curated then 24 + (case when broad then 12 else 25 end) + (case when role in ('mechanism', 'structure_state') then 15 else 10 end) + 15 else 30 + (case role when 'mechanism' then 15 when 'intervention' then 15 when 'structure_state' then 10 when 'material_system' then 5 else 0 end) + 7 end
     + 4 + case when source_papers >= 5 then 5 when source_papers >= 3 then 4 when source_papers = 2 then 2 else 1 end as points from l2),
 l4 as materialized (select *, case when same then 0 when not curated then least(points - hub_penalty, 59) when broad then least(points - hub_penalty, 69) else least(points - hub_penalty, 100) end as transfer_score from l3),
-lk as materialized (select *, case when same then '' else source_other end as closure_source, case when same then '' else target_other end as closure_target, case when source_first_year <= target_first_year then 'source_precedes_or_same_year' else 'source_observed_after_target_pair' end as temporal_alignment,
+lk as (select *, case when same then '' else source_other end as closure_source, case when same then '' else target_other end as closure_target, case when source_first_year <= target_first_year then 'source_precedes_or_same_year' else 'source_observed_after_target_pair' end as temporal_alignment,
   case when same then 'exact_pair_overlap_is_precedent' when not curated then 'topological_hinge_without_directional_rule' when broad then 'broad_any_target_rule' else '' end as score_cap_reason,
   case when same then 'precedent_or_positive_control' when curated and transfer_score >= 75 and not broad then 'mechanistic_transfer_candidate' when curated then 'rule_bridge_needs_review' else 'topological_retrieval_only' end as inference_status,
   case when same then 'exact_target_pair_overlap' when curated and transfer_score >= 75 and not broad then 'direct_prior_art_upgrade_candidate' when curated then 'curated_status_requires_review' else 'not_assessed' end as novelty_status from l4)"""
 
 QUERIES = {
     "graded_candidates": (graded, BANKS + GRADED),
-    "gated_hinges": (gated_hinges, BANKS + ", gt as (select * from en where substr(split_part(pair, '~', 1), 7, 1) in ('1', '2', '3') and substr(split_part(pair, '~', 2), 7, 1) in ('1', '2', '3'))" + _CUT.format(en="gt") + " select shared, source_other, target_other, source_papers, target_papers from w"),
+    "closure_paths": (closures, BANKS + WEDGE + " select least(source_other, target_other) as a, greatest(source_other, target_other) as b, count(*) as paths from w group by all"),
+    "gated_hinges": (gated_hinges, BANKS + ", gt as (select * from en where substr(split_part(pair, '~', 1), 7, 1) in ('1', '2', '3') and substr(split_part(pair, '~', 2), 7, 1) in ('1', '2', '3'))" + _WEDGE.format(en=_BEST.format(en="gt")) + " select shared, source_other, target_other, source_papers, target_papers from w"),
     "reviewed_pairs": (reviewed, BANKS + REVIEWED),
     "transfer_links": (links, BANKS + LINKS + " select " + ", ".join(SHOWN) + " from lk"),
+    "link_statuses": (link_statuses, BANKS + LINKS + " select " + ", ".join(STATUSES) + ", count(*) as links, count(*) filter (closure_source = '' and closure_target = '') as closed from lk group by all"),
     "top_bridges": (
         bridges,
         BANKS + LINKS + ", us as (select * from lk where link_type not in ('direct_pair_overlap', 'shared_outcome_only') qualify row_number() over (partition by source_pair, target_pair order by curated desc, transfer_score desc, source_papers desc, target_papers desc, shared) = 1) select source_pair, target_pair, transfer_score,"

@@ -306,16 +306,64 @@ def test_greedy_choice_against_plain():
         assert concepts.choose(rows, 4) == [t[0] for t in taken]
 
 
-def test_assertions_and_risks():
-    at = lambda s: concepts.assertion_status(s, s.index("increases"))
+def test_stances(spark):
     cases = {
         "heat increases power": "observed_assertion", "heat never really increases power": "negated", "not only heat increases power": "observed_assertion", "built to increases power": "purpose_or_design", "was found to increases power": "observed_assertion",
-        "results suggest heat increases power": "hypothetical_or_epistemic", "this may be how heat increases power": "hypothetical_or_modal", "it may be; heat increases power": "observed_assertion",
+        "results suggest heat increases power": "hypothetical_or_epistemic", "this may be how heat increases power": "hypothetical_or_modal", "it may be; heat increases power": "observed_assertion", "it may be, but heat increases power": "observed_assertion",
+        "Without one two three four five increases": "negated", "without one two three four five six increases": "observed_assertion", "we will never say it increases": "negated", "to now, one may say that it fully increases": "hypothetical_or_modal", "increases": "observed_assertion",
     }
-    assert {s: at(s) for s in cases} == cases
-    s = "ion diffusion, while slow, increases in membrane power"
-    span = (s.index("increases"), s.index("increases") + 9)
-    assert concepts.risk_flags(s, span, "increase", (0, 13), (s.index("membrane"), len(s)), [span]) == ["nominal_predicate", "cross_clause"]
+    rows = spark.createDataFrame([(s, s[: s.index("increases")]) for s in cases], "s string, b string")
+    assert {r.s: r.x for r in rows.select("s", concepts.assertion(F.col("b")).alias("x")).collect()} == cases
+
+
+def test_doubts(spark):
+    """A sentence [source] ... <predicate> ... [target] a case; its other predicates in braces."""
+    import re
+
+    cases = {
+        "[heat] <increases> [power]": [],
+        "[heat] and the <limit> [power]": ["nominal_predicate", "compound_subject"],
+        "[heat] <limit> and so [power]": ["nominal_predicate"],
+        "[heat] <increase> in [power]": ["nominal_predicate"],
+        "[heat] the <change> of [power]": [],
+        "[heat] self-<limits> [power]": ["hyphenated_predicate"],
+        "[heat] <limit>-free [power]": ["hyphenated_predicate"],
+        "[heat], slow, <limits> [power]": ["cross_clause"],
+        "[heat] <limits>, whereas [power]": ["cross_clause"],
+        "[heat] <limits> what {limits} [power]": ["other_predicate_between"],
+        f"[heat] {'x' * 60} <limits> [power]": ["long_gap"],
+        f"[heat] <limits> {'x' * 58} [power]": [],
+        "cold {limits} it and [heat] <limits> [power]": ["inherited_subject"],
+        "cold {limits} [heat] <limits> [power]": [],
+        "[heat] between a and b <limits> [power]": [],
+        "[heat] and what is between it <limits> [power]": ["compound_subject"],
+        "[heat] <limits> new routes to [power]": ["intervening_head"],
+    }
+    rows = []
+    for case in cases:
+        spans, plain = {"[": [], "<": [], "{": []}, ""
+        for piece in re.split(r"([\[<{][^\]>}]*[\]>}])", case):
+            if piece[:1] in spans:
+                spans[piece[0]].append((len(plain), len(plain) + len(piece) - 2))
+                piece = piece[1:-1]
+            plain += piece
+        (a, b), (left, right) = spans["<"][0], (spans["["][0][1], spans["["][1][0])
+        verb = {"limits": "limit", "increases": "increase"}.get(plain[a:b], plain[a:b])
+        rows.append((case, plain, verb, a, b, left, right, sorted(spans["<"] + spans["{"])))
+    frame = spark.createDataFrame(rows, "c string, s string, n string, a int, b int, l int, r int, o array<struct<start:int,stop:int>>")
+    got = frame.select("c", concepts.doubts(*map(F.col, ("s", "n", "a", "b", "l", "r", "o"))).alias("x")).collect()
+    assert {r.c: r.x for r in got} == cases
+
+
+def test_ends_of_predicates(spark):
+    """Of several concepts the preferred category wins, then the nearest; beyond the reach there is none."""
+    docs = spark.createDataFrame([(1, "Membrane voltage and ion transport by a fast membrane increases cell voltage of an ion diffusion. It limits and increases.")], "id long, t string")
+    pick = [("ion transport", "mechanism_or_process"), ("fast membrane", "material_or_structure"), ("cell voltage", "outcome_or_property"), ("ion diffusion", "mechanism_or_process")]
+    text = docs.first().t
+    chosen = spark.createDataFrame([(1, 0, text.index(w), text.index(w) + len(w), w, c) for w, c in pick], "id long, sentence_id int, start int, stop int, label string, category string")
+    rel = lambda **kw: [(r.source, r.predicate, r.target, text[r.start : r.stop]) for r in concepts.relations(docs, "id", "t", chosen, LEXICON, **kw).collect()]
+    assert rel() == [("ion transport", "increase", "ion diffusion", "increases")]
+    assert rel(reach=20) == rel() and rel(reach=19) == [("fast membrane", "increase", "cell voltage", "increases")] and rel(reach=0) == []
 
 
 def test_relations_pairs_and_bank(spark):
