@@ -45,8 +45,37 @@ CAPACITY = 4096
 END = 1
 #: Large pieces are longer than the capacity over LARGE; they are planned with each of these numbers of groups.
 LARGE, GROUPS = 4, (8, 16, 32, 64, 128)
-#: Words whose ids a worker remembers, how many are encoded in one call, and bytes of texts handled at once.
-WORDS, SLICE, CHUNK = 1 << 20, 1 << 13, 4 << 20
+#: Words whose ids a worker remembers, how many are encoded as one line, and bytes of texts handled at once.
+WORDS, LINE, CHUNK = 1 << 21, 64, 8 << 20
+
+#: Marks of ASCII that may close a word; the apostrophe, which begins endings, is none of them.
+MARK, ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+MARK[[ord(c) for c in ",.;:!?)*]}\""]] = True
+ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = True
+
+
+def _parts(names: pa.Array) -> pa.Array:
+    """Each word as two strings that a tokenizer never joins: up to its last letter or digit of ASCII, and the marks after that, which may be none.
+
+    Words of ASCII alone are put into lower case, as the tokenizer does itself, so that fewer are distinct.
+    """
+    _, offs, data = names.buffers()
+    begin = np.frombuffer(offs, np.int64)[names.offset : names.offset + len(names) + 1]
+    text = np.frombuffer(data, np.uint8)[begin[0] : begin[-1]].copy()
+    begin = begin - begin[0]
+    size = np.diff(begin)
+    plain = np.repeat(np.maximum.reduceat(text, begin[:-1]) < 128, size)
+    text[plain] = tv.LOWER[text[plain]]
+    last = np.where(MARK[text], -1, np.arange(len(text)))
+    cut = np.maximum(np.maximum.reduceat(last, begin[:-1]) + 1, begin[:-1])  # after the last byte that is no mark
+    cut = np.where((cut > begin[:-1]) & ALNUM[text[np.maximum(cut - 1, 0)]], cut, begin[1:])
+    both = np.append(np.stack([begin[:-1], cut], 1).ravel(), begin[-1])
+    return pa.LargeStringArray.from_buffers(2 * len(names), pa.py_buffer(both), pa.py_buffer(text))
+
+
+def _gather(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[first:first+size] of each, one after another."""
+    return values[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
 class WordIds:
@@ -58,45 +87,80 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_str(file.decode()).encode_batch_fast
+        made = Tokenizer.from_str(file.decode())
+        self.encode = made.encode_batch_fast
+        self.closes = np.zeros(made.get_vocab_size(), bool)  # ids that end a run of letters
+        self.closes[[i for t, i in made.get_vocab().items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
         self.known = pa.array([], pa.large_string())
         self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.first = np.zeros(0, np.int64)
 
-    def __call__(self, names: pa.Array) -> np.ndarray:
-        """Where each word stands in the store."""
+    def _one_by_one(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.encode(words.to_pylist(), add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _fresh(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words not met before.  Words of small Latin letters alone are one run each, so many are encoded as one line and told apart by the ids that end a run."""
+        letters = pc.match_substring_regex(words, "^[a-zß-öø-ÿ]+$").to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)])
+        line = words.take(pa.array(order[: letters.sum()])).to_pylist()
+        got = self.encode(["\n".join(line[i : i + LINE]) for i in range(0, len(line), LINE)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32)
+        size = np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
+        if len(size) != len(line):  # a tokenizer of another kind
+            return self._one_by_one(words)
+        rest, more = self._one_by_one(words.take(pa.array(order[len(line) :])))
+        ids, size = np.append(ids, rest), np.append(size, more)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return _gather(ids, (np.cumsum(size) - size)[back], size[back]), size[back]
+
+    def __call__(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, how many each has)."""
         if len(self.known) > WORDS:
             self.forget()
-        at = pc.index_in(names, self.known).fill_null(-1).to_numpy().astype(np.int64)
+        if not len(names):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        parts = _parts(names).dictionary_encode()
+        at = pc.index_in(parts.dictionary, self.known).fill_null(-1).to_numpy().astype(np.int64)
         fresh = np.flatnonzero(at < 0)
         at[fresh] = len(self.known) + np.arange(len(fresh))
-        new = names.take(pa.array(fresh))
-        for i in range(0, len(new), SLICE):
-            got = [e.ids for e in self.encode(new.slice(i, SLICE).to_pylist(), add_special_tokens=False)]
-            self.size = np.append(self.size, np.fromiter(map(len, got), np.int64, len(got)))
-            self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(got), np.uint32))
+        new = parts.dictionary.take(pa.array(fresh))
+        ids, size = self._fresh(new)
+        self.ids, self.size = np.append(self.ids, ids), np.append(self.size, size)
         self.known = pa.concat_arrays([self.known, new])
-        self.first = np.cumsum(self.size) - self.size
-        return at
+        at = at[parts.indices.to_numpy()]
+        size = self.size[at]
+        return _gather(self.ids, (np.cumsum(self.size) - self.size)[at], size), size[::2] + size[1::2]
 
 
 def tokens(words: WordIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids of the texts, each closed by END, one after another; where each begins)."""
     word, names, ptr = tv.split(texts)
-    at = words(names)[word]
-    count = words.size[at]
+    flat, size = words(names)
+    count = size[word]
     begin = np.concatenate([[0], np.cumsum(count)])
     docs = begin[ptr] + np.arange(len(ptr))
     out = np.full(int(docs[-1]), END, np.uint32)
     into = np.ones(len(out), bool)
     into[docs[1:] - 1] = False
-    out[into] = words.ids[np.repeat(words.first[at] - begin[:-1], count) + np.arange(int(begin[-1]))]
+    out[into] = _gather(flat, (np.cumsum(size) - size)[word], count)
     return out, docs
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold CHUNK bytes, since each look into the store costs as much as the store is large."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, (None,)):
+        if held and (batch is None or sum(b.nbytes for b in held) >= CHUNK):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+        if batch is not None and len(batch):
+            held.append(batch)
+
+
 _open: dict[int, WordIds] = {}
 
 
@@ -113,7 +177,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = zlib.crc32(held.value)
         words = _open.get(name) or _open.setdefault(name, WordIds(held.value))
-        for batch in batches:
+        for batch in _joined(batches):
             column = batch.column("_text").cast(pa.large_string()).fill_null("")
             for a, b, _, _ in tv.chunks(column, CHUNK):
                 ids, begin = tokens(words, column.slice(a, b - a))
