@@ -203,15 +203,15 @@ def scored_links(links: DataFrame, target_papers: Column) -> DataFrame:
     curated, overlap, broad = F.col("curated"), F.col("link_type") == "direct_pair_overlap", F.coalesce(F.col("family") == "any", F.lit(False))
     has = lambda side, *roles: F.arrays_overlap(F.col(f"{side}_roles"), F.array(*[F.lit(r) for r in roles]))
     chain = has("source", "intervention") & has("source", "mechanism", "structure_state") & has("target", "material_system") & has("target", "mechanism", "structure_state")
-    c1 = F.when(curated, 24).otherwise(30)
-    c2 = F.when(curated & broad, 12).when(curated, 25).otherwise(0)
-    c3 = F.when(curated & F.coalesce(chain, F.lit(False)), 15).when(curated, 10).otherwise(lookup(F.col("role"), ROLE_POINTS, 0))
-    c4 = F.when(curated & F.coalesce(has("source", "intervention"), F.lit(False)), 15).when(curated, 10).otherwise(7)
+    # fixed values: points of the components, and the most that each kind of link may score
+    rule = F.when(curated & broad, 36).when(curated, 49).otherwise(30)
+    route = F.when(curated & F.coalesce(chain, F.lit(False)), 15).when(curated, 10).otherwise(lookup(F.col("role"), ROLE_POINTS, 0))
+    lever = F.when(curated & F.coalesce(has("source", "intervention"), F.lit(False)), 15).when(curated, 10).otherwise(7)
     penalty = F.when(curated | F.col("shared_df").isNull(), 0).otherwise(hub_penalty(F.col("shared_df"), target_papers))
-    raw = c1 + c2 + c3 + c4 + 4 + support_points(F.col("source_papers")) - penalty
-    cap = F.when(overlap, 0).when(~curated, F.least(raw, F.lit(59))).when(broad, F.least(raw, F.lit(69))).otherwise(F.least(raw, F.lit(100)))
+    most = F.when(overlap, 0).when(~curated, 59).when(broad, 69).otherwise(100)
     reason = F.when(overlap, "exact_pair_overlap_is_precedent").when(~curated, "topological_hinge_without_directional_rule").when(broad, "broad_any_target_rule").otherwise("")
-    out = links.withColumns({"hub_penalty": penalty, "transfer_score": cap, "score_cap_reason": reason})
+    out = links.withColumns({"hub_penalty": penalty, "score_cap_reason": reason})
+    out = out.withColumn("transfer_score", F.least(rule + route + lever + 4 + support_points(F.col("source_papers")) - F.col("hub_penalty"), most))
     control = F.coalesce(F.col("program_status").contains("positive_control"), F.lit(False))
     strong = (F.col("transfer_score") >= 75) & ~broad
     inference = F.when(overlap, "precedent_or_positive_control").when(curated & control, "known_positive_control").when(curated & strong, "mechanistic_transfer_candidate").when(curated, "rule_bridge_needs_review").otherwise("topological_retrieval_only")
@@ -236,14 +236,15 @@ def temporal_alignment(source_year: Column, target_year: Column) -> Column:
 def exact_links(source: DataFrame, target: DataFrame, roles: DataFrame, df: DataFrame) -> DataFrame:
     """Direct overlaps and shared-node links of two banks with their type, bridge score, closing ends and order in time.
 
-    `roles` has node and role, `df` node and shared_df (papers of the target that have it).
+    `roles` has node and role, `df` node and shared_df (papers of the target that have it).  What depends on
+    one end is made before the ends meet.
     """
-    far = wedge(source, target).withColumn("same", F.lit(False))
-    s, t = ends(source, "source"), ends(target, "target")
-    same = s.join(t, (s["shared"] == t["shared"]) & (s["source_pair"] == t["target_pair"])).drop(t["shared"]).where("shared < source_other").withColumn("same", F.lit(True))
-    links = far.unionByName(same).join(roles.select(F.col("node").alias("shared"), "role"), "shared", "left").join(df.select(F.col("node").alias("shared"), "shared_df"), "shared", "left")
-    kind = link_type(F.col("role"), F.col("same"))
-    links = links.withColumns({"link_type": kind, "source_strength": strength(F.col("source_papers")), "target_strength": strength(F.col("target_papers"))})
+    s = ends(source, "source").withColumn("source_strength", strength(F.col("source_papers")))
+    t = ends(target, "target").withColumn("target_strength", strength(F.col("target_papers")))
+    t = t.join(roles.select(F.col("node").alias("shared"), "role"), "shared", "left").join(df.select(F.col("node").alias("shared"), "shared_df"), "shared", "left")
+    same = F.col("source_pair") == F.col("target_pair")
+    links = met(s, t).where((F.col("source_other") != F.col("target_other")) | (F.col("shared") < F.col("source_other"))).withColumn("same", same)  # the whole pair once
+    links = links.withColumn("link_type", link_type(F.col("role"), F.col("same")))
     links = links.withColumn("bridge_score", bridge_score(F.col("link_type"), F.col("source_strength"), F.col("target_strength"), F.coalesce("shared_df", F.lit(1))))
     closing = lambda c: F.when(F.col("same"), "").otherwise(F.col(c))
     return links.withColumns({"closure_source": closing("source_other"), "closure_target": closing("target_other"), "temporal_alignment": temporal_alignment(F.col("source_first_year"), F.col("target_first_year"))})

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bipartite_queries, class_queries, evaluation_queries, link_queries, model_queries, pair_queries, retrieval_queries, review_queries, summary_queries, text_queries, transfer_queries, vocabulary_queries, workflow_queries
+from . import bipartite_queries, bridge_queries, class_queries, evaluation_queries, link_queries, model_queries, pair_queries, retrieval_queries, review_queries, summary_queries, text_queries, transfer_queries, vocabulary_queries, workflow_queries
 
 FLAGSHIP = "pair_evidence_summary"
-GROUPS = (bipartite_queries, class_queries, evaluation_queries, link_queries, model_queries, pair_queries, retrieval_queries, review_queries, summary_queries, text_queries, transfer_queries, vocabulary_queries, workflow_queries)
+GROUPS = (bipartite_queries, bridge_queries, class_queries, evaluation_queries, link_queries, model_queries, pair_queries, retrieval_queries, review_queries, summary_queries, text_queries, transfer_queries, vocabulary_queries, workflow_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
