@@ -1,4 +1,4 @@
-"""Evaluation beyond single metrics: curves, error classes, resampled intervals, audits, densities, samples, and weight search."""
+"""Evaluation beyond single metrics: curves, error classes, audits, densities, and samples."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metrics as M
-from .order import pct_ranks, running_sums
+from .order import running_sums
 from .review import draw
 
 #: Points that a density may be taken over by broadcast, at most.
@@ -48,31 +48,6 @@ def confusion_at_k(scored: DataFrame, by: Sequence[str], score: str, y: str, key
     return n.withColumns({"precision": p, "recall": r}).withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
-def poisson_weight(key: Column, rep: Column) -> Column:
-    """A resampling weight: Poisson(1) by the inverse distribution function of a hash of key and repetition."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), rep.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    cuts, total, p = [], 0.0, 0.36787944117144233
-    for k in range(8):
-        total += p
-        cuts.append(total)
-        p /= k + 1
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: u >= c))
-
-
-def bootstrap_metrics(scored: DataFrame, key: str, score: str, y: str, times: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """(metric, low, high, middle, valid): percentile intervals of AUC and AP over resamples of the rows; one-class resamples do not count.
-
-    Rows times resamples are made, but folded by score on the map side; an evaluation set is small.
-    """
-    reps = scored.select(F.col(key).alias("k"), F.col(score).alias("score"), F.col(y).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("rep"))
-    w = reps.withColumn("w", poisson_weight(F.col("k"), F.col("rep"))).where("w > 0")
-    ties = w.groupBy("rep", "score").agg(F.sum(F.col("w") * F.col("y")).alias("tp"), F.sum("w").alias("n"))
-    cum = running_sums(ties, [F.desc("score")], {"tp": "ctp", "n": "cn"}, ["rep"])
-    per = cum.groupBy("rep").agg(F.sum("tp").alias("p"), F.sum("n").alias("n"), F.sum((F.col("n") - F.col("tp")) * (F.col("ctp") - F.col("tp") / 2)).alias("u"), F.sum(F.col("tp") * F.col("ctp") / F.col("cn")).alias("a"))
-    ok = per.where("p > 0 and p < n").select("rep", F.explode(F.array(F.struct(F.lit("auc").alias("metric"), (F.col("u") / (F.col("p") * (F.col("n") - F.col("p")))).alias("x")), F.struct(F.lit("ap").alias("metric"), (F.col("a") / F.col("p")).alias("x")))).alias("m")).select("m.*")
-    return ok.groupBy("metric").agg(F.percentile("x", F.lit(low)).alias("low"), F.percentile("x", F.lit(high)).alias("high"), F.avg("x").alias("middle"), F.count("*").alias("valid"))  # `times` rows
-
-
 def contamination(scored: DataFrame, by: Sequence[str], ambiguous: Column, score: str = "score", y: str = "y") -> DataFrame:
     """AUC and AP of each group with all rows, and without the positives that are ambiguous."""
     rows = scored.withColumn("_odd", F.coalesce(ambiguous, F.lit(False)) & (F.col(y) == 1))
@@ -134,23 +109,6 @@ def yearly_sample(rows: DataFrame, year: str, y: str, score: str, key: Sequence[
     return rows.where(F.col(y) == 1).unionByName(kept)
 
 
-def dirichlet(names: Sequence[str], draws: int, seed: int) -> list[dict[str, float]]:
-    """Random weights that sum to 1, rounded to four digits."""
-    rng = np.random.default_rng(seed)
-    return [dict(zip(names, np.round(w, 4).tolist(), strict=True)) for w in rng.dirichlet(np.ones(len(names)), draws)]
-
-
-def weight_search(frame: DataFrame, key: Sequence[str], fold: str, y: str, candidates: Sequence[dict[str, float]]) -> DataFrame:
-    """(choice, mean_ap, spread, objective) of weighted rank sums over the folds, the best first: ranks are made once, choices are columns."""
-    names = sorted({c for w in candidates for c in w})
-    ranks = pct_ranks(frame, key, names, fold).join(frame.select(*key, fold, y), [*key, fold])
-    total = lambda w: F.round(sum((x * F.col(f"pr_{c}") for c, x in w.items()), F.lit(0.0)), 9)
-    each = ranks.select(fold, F.col(y).alias("y"), F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), total(w).alias("score")) for i, w in enumerate(candidates)])).alias("c")).select(fold, "y", "c.*")
-    ap = M.auc_ap(each, [fold, "choice"])
-    out = ap.groupBy("choice").agg(F.avg("ap").alias("mean_ap"), F.stddev_pop("ap").alias("spread"))
-    return out.withColumn("objective", F.col("mean_ap") - 0.1 * F.col("spread")).orderBy(F.desc(F.round("objective", 9)), "choice")
-
-
 def unified(a: DataFrame, b: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Rows of both sources without those of `b` that share any non-null key with `a`, each key's first row only; a null key is no key."""
     rest = b

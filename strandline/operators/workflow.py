@@ -213,33 +213,6 @@ def role_states(rows: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
     return out.withColumn("state", F.when(F.col("_o").isNotNull(), "override").when(F.col("model_role").isNotNull(), "model").otherwise("default")).withColumn("role", F.coalesce("_o", "model_role", F.lit("unassigned"))).drop("_o", "model_role")
 
 
-def pack(sizes: Sequence[tuple[object, Sequence[tuple[object, int]]]], most: int, budget: int) -> list[int]:
-    """The batch of each item in order: a batch ends before an item that would be one too many or take its distinct evidence beyond the budget."""
-    out, batch, held, pool = [], 0, 0, {}
-    for _, evidence in sizes:
-        grown = {**pool, **dict(evidence)}
-        if held and (held >= most or sum(grown.values()) > budget):
-            batch, held, grown = batch + 1, 0, dict(evidence)
-        pool, held = grown, held + 1
-        out.append(batch)
-    return out
-
-
-def packed(rows: DataFrame, by: str, item: str, evidence: str, size: str, most: int, budget: int, order: Sequence[str]) -> DataFrame:
-    """(by, item, batch): items with their evidence packed in order, one group (a domain's open items) at a time.
-
-    rows: one a (by, item, evidence) with the evidence's size.  Packing depends on what came before, so a group is one fold.
-    """
-    per = rows.groupBy(by, item, *[c for c in order if c not in (by, item)]).agg(F.array_sort(F.collect_set(F.struct(F.col(evidence).cast("string").alias("e"), F.col(size).cast("long").alias("s")))).alias("ev"))
-    schema = f"{by} {rows.schema[by].dataType.simpleString()}, {item} {rows.schema[item].dataType.simpleString()}, batch int"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values(list(order))
-        return pd.DataFrame({by: f[by], item: f[item], "batch": pack([(i, [(e["e"], e["s"]) for e in ev]) for i, ev in zip(f[item], f["ev"], strict=True)], most, budget)})
-
-    return per.groupBy(by).applyInPandas(run, schema)
-
-
 def resumable(rows: DataFrame, key: str, path: str, chunks: int, work: Callable[[DataFrame], DataFrame]) -> Iterator[int]:
     """Runs `work` over hashed chunks of the rows whose key has no result at `path` yet; each chunk is one atomic write.
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_key
 from ..operators import evaluation as V
+from ..operators import linkframe as L
 from ..operators import pairs as P
 from ..operators import retrieval as R
+from ..operators import search as X
 from ..operators import survival as S
 from ..operators.scratch import Scratch
 from ..session import table
@@ -17,6 +19,10 @@ from .pair_queries import FREEZE, KM, WITH, evidence
 from .review_queries import SCORED, scored
 
 
+#: Resamples of an interval.
+RESAMPLES = 2000
+
+
 def labelled(s: SparkSession, d: str) -> DataFrame:
     """Labelled documents: the logarithm of the length as score of quality, by language."""
     return scored(s, d).join(table(s, d, "documents").select("doc_id", "lang"), "doc_id")
@@ -35,7 +41,7 @@ def confusion(s: SparkSession, d: str) -> DataFrame:
 
 
 def intervals(s: SparkSession, d: str) -> DataFrame:
-    return K.rounded(V.bootstrap_metrics(scored(s, d), "doc_id", "score", "y", 100), "low", "high", "middle")
+    return K.rounded(X.resampled(scored(s, d), F.col("doc_id"), "score", "y", RESAMPLES), "low", "high", "middle")
 
 
 def contamination(s: SparkSession, d: str) -> DataFrame:
@@ -102,14 +108,25 @@ def survival_by_support(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
-CHOICES = V.dirichlet(["adamic_adar", "common_neighbors", "jaccard", "preferential_attachment", "recent_frequency_sum"], 12, 5)
+RANKS = tuple(L.GRAPH_SCORE)
+WEIGHTS = X.vectors([L.GRAPH_SCORE[c] for c in RANKS])
+#: The first vectors, which are not random: the baseline, equal weights and each rank alone.
+PLAIN = 2 + len(RANKS)
+
+
+def _ranked(s: SparkSession, d: str) -> DataFrame:
+    return K.scored(s, d, K.CUTOFFS).withColumn("closeness", -F.col("shortest_path"))
 
 
 def weight_search(s: SparkSession, d: str) -> DataFrame:
-    """Random weights of five ranks over the folds, best first."""
-    rows = K.scored(s, d, K.CUTOFFS)
-    out = V.weight_search(rows, ["u", "v"], "cutoff", "label", CHOICES)
-    return K.rounded(out, "mean_ap", "spread", "objective")
+    """The vectors that are not random, over the folds."""
+    out = X.search(_ranked(s, d), ["u", "v"], "cutoff", "label", RANKS, WEIGHTS[:PLAIN])
+    return K.rounded(out, *[c for c in out.columns if c != "choice"])
+
+
+def weight_search_full(s: SparkSession, d: str) -> DataFrame:
+    """All vectors over the folds."""
+    return X.search(_ranked(s, d), ["u", "v"], "cutoff", "label", RANKS, WEIGHTS)
 
 
 def by_distance(s: SparkSession, d: str) -> DataFrame:
@@ -121,8 +138,9 @@ def by_distance(s: SparkSession, d: str) -> DataFrame:
 
 
 _LAB = f"with {SCORED}, lb as (select sc.*, lang from sc join documents using (doc_id)), pl as (select *, row_number() over (partition by lang order by score desc, doc_id) as place from lb)"
-_POISSON = "(u >= 0.36787944117144233)::int + (u >= 0.7357588823428847)::int + (u >= 0.9196986029286058)::int + (u >= 0.9810118431238462)::int + (u >= 0.9963401531726563)::int + (u >= 0.9994058151824183)::int + (u >= 0.9999167588507120)::int + (u >= 0.9999897508033253)::int"
-_SEARCH = "".join(f", w{i} as (select cutoff, label as y, {i} as choice, round(" + " + ".join(f"{x}::double * {K.pct_sql(c, 'cutoff')}" for c, x in w.items()) + ", 9) as score from rows_)" for i, w in enumerate(CHOICES))
+_POISSON = " + ".join(f"(u >= {c!r}::double)::int" for c in X.poisson_cuts())
+_P = X.PRIME
+_SEARCH = "".join(f", w{i} as (select cutoff, u, v, label as y, {i}::int as choice, round(" + " + ".join(f"{float(x)!r}::double * {K.pct_sql('-shortest_path' if c == 'closeness' else c, 'cutoff')}" for c, x in zip(RANKS, w, strict=True)) + ", 9) as score from rows_)" for i, w in enumerate(WEIGHTS[:PLAIN]))
 
 QUERIES = {
     "precision_curve": (
@@ -137,7 +155,8 @@ QUERIES = {
     ),
     "bootstrap_metrics": (
         intervals,
-        f"with {SCORED}, us as (select doc_id, y, score, rep, ('0x' || substr(md5(doc_id || ':' || rep), 1, 8))::bigint / 4294967296.0::double as u from sc, range(100) r(rep)), ws as (select rep, y, score, {_POISSON} as w from us), ti as (select rep, score, sum(w * y)::bigint as tp, sum(w)::bigint as n from ws where w > 0 group by all),"
+        f"with {SCORED}, h0 as (select doc_id, y, score, rep, (doc_id % {_P} * 48271 + rep * 69621 + 12345) % {_P} as h from sc, range({RESAMPLES}) r(rep) where score is not null and y is not null), h1 as (select *, (h * h % {_P} + doc_id % {_P} + rep) % {_P} as h2 from h0), h3 as (select *, (h2 * h2 % {_P} + 7919 * rep) % {_P} as h4 from h1),"
+        f" us as (select rep, score, y, (h4 * 48271 % {_P})::double / {_P} as u from h3), ws as (select rep, y, score, {_POISSON} as w from us), ti as (select rep, score, sum(w * y)::bigint as tp, sum(w)::bigint as n from ws where w > 0 group by all),"
         " cu as (select *, sum(tp) over w as ctp, sum(n) over w as cn from ti window w as (partition by rep order by score desc rows unbounded preceding)), pr as (select rep, sum(tp) as p, sum(n) as n, sum((n - tp) * (ctp - tp / 2)) as u, sum(tp * ctp / cn) as a from cu group by 1), ok as (select * from pr where p > 0 and p < n),"
         " m as (select 'auc' as metric, u / (p * (n - p)) as x from ok union all select 'ap', a / p from ok) select metric, round(quantile_cont(x, 0.025), 9) as low, round(quantile_cont(x, 0.975), 9) as high, round(avg(x), 9) as middle, count(*) as valid from m group by 1",
     ),
@@ -176,10 +195,12 @@ QUERIES = {
     ),
     "weight_search": (
         weight_search,
-        K._FOLDS.rsplit(", folds as (", 1)[0] + ", rows_ as materialized (" + " union all ".join(f"select * from fx{c}" for c in K.CUTOFFS) + ")" + _SEARCH + ", al as (" + " union all ".join(f"select * from w{i}" for i in range(len(CHOICES))) + "),"
-        " tie as (select cutoff, choice, score, sum(y)::bigint as tp, count(*) as n from al group by all), cum as (select *, sum(tp) over w as ctp, sum(n) over w as cn from tie window w as (partition by cutoff, choice order by score desc rows unbounded preceding)), ap as (select cutoff, choice, sum(tp * ctp / cn) / sum(tp) as ap from cum group by all)"
-        " select choice, round(avg(ap), 9) as mean_ap, round(stddev_pop(ap), 9) as spread, round(avg(ap) - 0.1 * stddev_pop(ap), 9) as objective from ap group by 1",
+        K._FOLDS.rsplit(", folds as (", 1)[0] + ", rows_ as materialized (" + " union all ".join(f"select * from fx{c}" for c in K.CUTOFFS) + ")" + _SEARCH + ", al as materialized (" + " union all ".join(f"select * from w{i}" for i in range(PLAIN)) + "),"
+        " tie as (select cutoff, choice, score, sum(y)::bigint as tp, count(*) as n from al group by all), cum as (select *, sum(tp) over w as ctp, sum(n) over w as cn from tie window w as (partition by cutoff, choice order by score desc rows unbounded preceding)), ap as (select cutoff, choice, coalesce(sum(tp * ctp / cn) / nullif(sum(tp), 0), 0) as ap from cum group by all),"
+        " pl as (select cutoff, choice, y, row_number() over (partition by cutoff, choice order by score desc, u, v) as r from al), at as (select cutoff, choice, avg(y) filter (r <= 10) as p10, avg(y) filter (r <= 25) as p25, avg(y) filter (r <= 50) as p50 from pl group by all),"
+        " sc as (select *, 0.4::double * ap + 0.2::double * p10 + 0.2::double * p25 + 0.2::double * p50 as score from ap join at using (cutoff, choice)) select choice, round(avg(ap), 9) as mean_ap, round(avg(p10), 9) as mean_p10, round(avg(p25), 9) as mean_p25, round(avg(p50), 9) as mean_p50, round(avg(score), 9) as mean_score, round(avg(score) - 0.1::double * stddev_pop(score), 9) as objective from sc group by 1",
     ),
+    "weight_search_full": (weight_search_full, None),
     "metrics_by_distance": (
         by_distance,
         K.HEAD + K._frame_sql(K.SELF_CUTOFF, True) + f", sc as (select least(shortest_path, 4) as distance, label as y, round({K._SCORE}, 9) as score from fx{K.SELF_CUTOFF})" + K.auc_sql("distance", "sc"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pairs as P
 from ..operators import survival as S
+from ..operators import batching as T
 from ..operators import workflow as W
 from ..operators.scratch import Scratch
 from ..session import table
@@ -150,10 +151,18 @@ def roles(s: SparkSession, d: str) -> DataFrame:
     return W.role_states(rows, over, "p_partkey")
 
 
-def packed(s: SparkSession, d: str) -> DataFrame:
-    """Orders packed by customer segment under a budget of distinct parts' sizes."""
+def _evidence(s: SparkSession, d: str) -> DataFrame:
+    """Orders as items, by priority; their parts are evidence, as long as the part's size."""
     rows = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return W.packed(rows.select("o_orderpriority", "o_orderkey", "p_partkey", "p_size"), "o_orderpriority", "o_orderkey", "p_partkey", "p_size", 20, 1200, ["o_orderkey"])
+    return rows.select("o_orderpriority", "o_orderkey", F.lit(20).alias("own"), "p_partkey", "p_size")
+
+
+def packed(s: SparkSession, d: str) -> DataFrame:
+    return T.in_order(_evidence(s, d), "o_orderpriority", "o_orderkey", "p_partkey", "p_size", 20, 1200)
+
+
+def shared_batches(s: SparkSession, d: str) -> DataFrame:
+    return T.by_shared_evidence(_evidence(s, d), "o_orderpriority", "o_orderkey", "own", "p_partkey", "p_size", 20, 1200, 100)
 
 
 _ASM = "cl as (select l_orderkey * 10 + l_linenumber as claim, l_orderkey as paper, substr(p_brand, 1, 7) as lever, p_name as text, l_returnflag as flag from lineitem join part on l_partkey = p_partkey), rl as (select * from (values " + ", ".join(f"('P{i}', '{k}', '{p}')" for i, (k, p) in enumerate(RULES.items())) + ") r(program, lever, pattern)), am as (select program, paper, min(claim) as claim from cl join rl using (lever) where regexp_matches(text, pattern) and claim not in (select claim from cl where flag = 'R') group by all)"
@@ -224,4 +233,5 @@ m as (select e.u, e.v, support_year, paper_id, row_number() over (partition by e
         "with o as (select l_partkey as k, arg_max(l_returnflag, {'s': l_orderkey, 'r': l_returnflag}) as o from lineitem where l_quantity = 50 group by 1), r as (select p_partkey, case when p_size > 25 then p_type end as m, o from part left join o on k = p_partkey) select p_partkey, coalesce(o, m, 'unassigned') as role, case when o is not null then 'override' when m is not null then 'model' else 'default' end as state from r",
     ),
     "packed_batches": (packed, None),
+    "shared_batches": (shared_batches, None),
 }

@@ -430,27 +430,6 @@ def test_average_linkage_against_plain(spark):
     assert {r.i: (r.theme, r.medoid) for r in communities.themes(d, "g", "i", "v", 0.5).collect()} == {0: (0, 0), 1: (0, 0), 2: (2, 2), 3: (2, 2)}
 
 
-def test_packing_against_plain(spark):
-    import random
-
-    rng = random.Random(3)
-    for _ in range(50):
-        items = [(i, [(e, 10 + e) for e in rng.sample(range(12), rng.randrange(1, 5))]) for i in range(15)]
-        batches, current, pool = [], [], set()
-        for i, ev in items:
-            grown = pool | set(ev)
-            if current and (len(current) >= 4 or sum(n for _, n in grown) > 90):
-                batches.append(current)
-                current, grown = [], set(ev)
-            current.append(i)
-            pool = grown
-        batches.append(current)
-        assert workflow.pack(items, 4, 90) == [k for k, b in enumerate(batches) for _ in b]
-    rows = spark.createDataFrame([("g", i, e, 10) for i in range(9) for e in (i, i + 1)], "g string, i int, e int, s int")
-    got = {r.i: r.batch for r in workflow.packed(rows, "g", "i", "e", "s", 3, 10**6, ["i"]).collect()}
-    assert got == {i: i // 3 for i in range(9)}
-
-
 def test_resumable_chunks(spark, tmp_path):
     rows, path, seen = spark.range(200), f"file://{tmp_path}/out", []
 
