@@ -197,8 +197,8 @@ QUERIES = {
         weight_search,
         K._FOLDS.rsplit(", folds as (", 1)[0] + ", rows_ as materialized (" + " union all ".join(f"select * from fx{c}" for c in K.CUTOFFS) + ")" + _SEARCH + ", al as materialized (" + " union all ".join(f"select * from w{i}" for i in range(PLAIN)) + "),"
         " tie as (select cutoff, choice, score, sum(y)::bigint as tp, count(*) as n from al group by all), cum as (select *, sum(tp) over w as ctp, sum(n) over w as cn from tie window w as (partition by cutoff, choice order by score desc rows unbounded preceding)), ap as (select cutoff, choice, coalesce(sum(tp * ctp / cn) / nullif(sum(tp), 0), 0) as ap from cum group by all),"
-        " pl as (select cutoff, choice, y, row_number() over (partition by cutoff, choice order by score desc, u, v) as r from al), at as (select cutoff, choice, avg(y) filter (r <= 10) as p10, avg(y) filter (r <= 25) as p25, avg(y) filter (r <= 50) as p50 from pl group by all),"
-        " sc as (select *, 0.4::double * ap + 0.2::double * p10 + 0.2::double * p25 + 0.2::double * p50 as score from ap join at using (cutoff, choice)) select choice, round(avg(ap), 9) as mean_ap, round(avg(p10), 9) as mean_p10, round(avg(p25), 9) as mean_p25, round(avg(p50), 9) as mean_p50, round(avg(score), 9) as mean_score, round(avg(score) - 0.1::double * stddev_pop(score), 9) as objective from sc group by 1",
+        " pl as (select cutoff, choice, y, row_number() over (partition by cutoff, choice order by score desc, u, v) as r from al), pk as (select cutoff, choice, avg(y) filter (r <= 10) as p10, avg(y) filter (r <= 25) as p25, avg(y) filter (r <= 50) as p50 from pl group by all),"
+        " sc as (select *, 0.4::double * ap + 0.2::double * p10 + 0.2::double * p25 + 0.2::double * p50 as score from ap join pk using (cutoff, choice)) select choice, round(avg(ap), 9) as mean_ap, round(avg(p10), 9) as mean_p10, round(avg(p25), 9) as mean_p25, round(avg(p50), 9) as mean_p50, round(avg(score), 9) as mean_score, round(avg(score) - 0.1::double * stddev_pop(score), 9) as objective from sc group by 1",
     ),
     "weight_search_full": (weight_search_full, None),
     "metrics_by_distance": (
