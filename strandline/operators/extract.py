@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import positions
+from . import segment
 
 #: Fixed value: abbreviations whose full stop ends no sentence.
 ABBREVIATIONS = ("e.g.", "i.e.", "et al.", "Fig.", "vs.", "Dr.", "etc.", "No.")
@@ -34,16 +35,8 @@ def sentence_spans_of(text: str, guard: re.Pattern = _GUARD) -> list[tuple[int,
 
 
 def sentences(docs: DataFrame, key: str, text: str, abbreviations: Sequence[str] = ABBREVIATIONS) -> DataFrame:
-    """(key, sentence_id, start, stop, sentence): exact code-point spans, in Arrow batches."""
-    guard = re.compile("|".join(re.escape(a) for a in abbreviations))
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [(k, n, a, b, t[a:b]) for k, t in zip(f["k"], f["t"], strict=True) if t for n, (a, b) in enumerate(sentence_spans_of(t, guard))]
-            yield pd.DataFrame(out, columns=[key, "sentence_id", "start", "stop", "sentence"])
-
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} {kind}, sentence_id int, start int, stop int, sentence string")
+    """(key, sentence_id, start, stop, sentence): exact code-point spans."""
+    return segment.sentences(docs, key, text, abbreviations)
 
 
 def sentence_array(text: Column, least: int = 7) -> Column:

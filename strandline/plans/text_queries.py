@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import concepts as C
 from ..operators import extract as X
+from ..operators import segment as G
 from ..operators import retrieval as R
 from ..operators.scratch import Scratch
 from ..session import table
@@ -55,6 +56,12 @@ def sentence_spans(s: SparkSession, d: str) -> DataFrame:
     return X.sentences(table(s, d, "documents"), "doc_id", "text")
 
 
+def focused_context(s: SparkSession, d: str) -> DataFrame:
+    """The clause around the first long word of every document, or 80 words where it is longer."""
+    docs = table(s, d, "documents").select("doc_id", "text", F.regexp_extract("text", "[a-z]{9,}", 0).alias("label")).where("label <> ''")
+    return G.focused(docs, "text", "label").select("doc_id", "label", "at", "start", "stop", "method", F.md5(F.substring(F.col("text"), F.col("start") + 1, F.col("stop") - F.col("start"))).alias("context_md5"))
+
+
 def long_sentences(s: SparkSession, d: str) -> DataFrame:
     """Sentences of seven words or more."""
     return table(s, d, "documents").select("doc_id", F.explode(X.sentence_array(F.col("text"))).alias("sentence"))
@@ -153,6 +160,10 @@ def unpivoted(s: SparkSession, d: str) -> DataFrame:
     return p.unpivot("p_partkey", ["p_type", "p_brand"], "role", "value")
 
 
+_GUARDED = "t"
+for _a in X.ABBREVIATIONS:
+    _GUARDED = f"replace({_GUARDED}, '{_a}' || chr(1), '{_a}')"
+
 QUERIES = {
     "cue_flags": (
         cues,
@@ -188,7 +199,13 @@ QUERIES = {
         "with h as (select doc_id, text, regexp_extract_all(text, '[0-9]+') as h, regexp_split_to_array(text, '[0-9]+') as g from documents where text is not null), s as (select doc_id, text, list_transform(range(1, len(h) + 1), lambda i: {'at': list_sum(list_transform(g[1:i], lambda q: length(q))) + coalesce(list_sum(list_transform(h[1:i-1], lambda q: length(q))), 0), 'hit': h[i]}) as x from h)"
         " select doc_id, list_filter(x, lambda y: not (y.at > 0 and substr(text, y.at::bigint, 1) in ('-', '.')) and substr(text, (y.at + length(y.hit) + 1)::bigint, 1) not in ('%', '.'))[1].hit as number from s",
     ),
-    "sentence_spans": (sentence_spans, None),
+    "sentence_spans": (
+        sentence_spans,
+        "with m as (select doc_id, regexp_replace(text, '([.!?])(\\s)', '\\1' || chr(1) || '\\2', 'g') as t from documents where text <> ''), p as (select doc_id, string_split(" + _GUARDED + ", chr(1)) as ps from m), u as (select doc_id, unnest(ps) as piece, unnest(range(len(ps))) as i from p),"
+        " o as (select *, coalesce(sum(length(piece)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) + length(regexp_extract(piece, '^\\s*')) as a, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') as s from u)"
+        " select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as sentence_id, a::int as start, (a + length(s))::int as stop, s as sentence from o where s <> ''",
+    ),
+    "focused_context": (focused_context, None),
     "long_sentences": (
         long_sentences,
         "with s as (select doc_id, unnest(string_split(regexp_replace(text, '([.!?])\\s+([\\p{Lu}0-9])', '\\1' || chr(31) || '\\2', 'g'), chr(31))) as sentence from documents) select doc_id, sentence from s where len(regexp_split_to_array(sentence, '\\s+')) >= 7",
