@@ -7,8 +7,13 @@ from collections.abc import Sequence
 
 from .session import local_session
 
-#: Parameters that a run may change, the module that holds each, and its name there.
-PARAMETERS = {"freeze": ("pair_queries", "FREEZE", int), "cutoff": ("link_queries", "CUTOFF", int), "horizon": ("link_queries", "HORIZON", int), "self_cutoff": ("link_queries", "SELF_CUTOFF", int)}
+
+def _years(text: str) -> tuple[int, ...]:
+    return tuple(sorted(int(y) for y in text.split(",")))
+
+
+#: Parameters that a run may change: names in plans.settings, which plans read when they are run.
+PARAMETERS = {"freeze": int, "cutoff": int, "horizon": int, "self_cutoff": int, "cutoffs": _years}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -17,21 +22,18 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--data", required=True, help="folder of the tables")
     p.add_argument("--out", help="where the result goes as Parquet; shown if not given")
     p.add_argument("--cores", default="*")
-    for name, (_, _, kind) in PARAMETERS.items():
+    for name, kind in PARAMETERS.items():
         p.add_argument(f"--{name.replace('_', '-')}", type=kind)
     return p
 
 
 def main(argv: Sequence[str] | None = None) -> int:
-    import importlib
-
-    from .plans import catalogue
+    from .plans import catalogue, settings
 
     args = parser().parse_args(argv)
-    for name, (module, constant, _) in PARAMETERS.items():
-        value = getattr(args, name)
-        if value is not None:
-            setattr(importlib.import_module(f"strandline.plans.{module}"), constant, value)
+    for name in PARAMETERS:
+        if getattr(args, name) is not None:
+            setattr(settings, name.upper(), getattr(args, name))
     known = catalogue.queries()
     if args.name not in known:
         raise SystemExit(f"unknown query {args.name}; known: {', '.join(sorted(known))}")

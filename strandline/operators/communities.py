@@ -1,21 +1,24 @@
 """Typed graphs and their views, communities, themes and node adoption.
 
-Degrees, paths, modularity and agreement are aggregates over edge tables.  Louvain
-and average linkage are sequential; they take graphs and groups of a stated size
-and refuse larger ones.
+Degrees, paths, modularity and agreement are aggregates over edge tables.
+`spread_louvain` is steps over tables for a graph of any size; `louvain` is the
+sequential method, a task a seed, for many seeds over a graph of a stated size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Edges that one Louvain run takes, and rows of a group that average linkage takes, at most.
-EDGES, ROWS = 2_000_000, 4_000
+from .scratch import Scratch
+
+#: Edges that a sequential run takes at most.
+EDGES = 2_000_000
 
 
 def typed_degrees(edges: DataFrame, kinds: Sequence[str]) -> DataFrame:
@@ -157,51 +160,117 @@ def louvain(edges: DataFrame, seeds: Sequence[int], most: int = EDGES) -> DataFr
     return rows.mapInPandas(run, f"seed int, node {kind}, part {kind}")
 
 
-def average_linkage(vectors: np.ndarray, least: float) -> np.ndarray:
-    """Clusters of rows: the two whose mean cosine is largest merge while it is `least` or more; ties go to the smaller rows."""
-    n = len(vectors)
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-    sim = np.round(unit @ unit.T, 12)
-    np.fill_diagonal(sim, -np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-    while alive.sum() > 1:
-        at = int(sim.argmax())
-        i, j = sorted(divmod(at, n))
-        if sim[i, j] < least:
+def _moves(both: DataFrame, nodes: DataFrame, doubled: float, seed: int, turn: int) -> DataFrame:
+    """nodes (node, k, part) after one step: each allowed node goes to the neighbouring part with the largest gain, if it beats staying.
+
+    Half of the nodes, by a hash of node, seed and step, may move in a step, so that
+    neighbours seldom change places; of two single nodes the larger one moves.
+    """
+    totals = nodes.groupBy("part").agg(F.sum("k").alias("total"), F.count("*").alias("members"))
+    links = both.join(nodes.select(F.col("node").alias("b"), F.col("part").alias("p")), "b").groupBy("a", "p").agg(F.sum("w").alias("links"))
+    own = nodes.join(totals, "part").withColumns({"alone": F.col("members") == 1}).select(F.col("node").alias("a"), "k", F.col("part").alias("own"), F.col("total").alias("own_total"), "alone")
+    rows = links.join(own, "a").join(totals.select(F.col("part").alias("p"), "total", (F.col("members") == 1).alias("p_alone")), "p")
+    here = F.col("p") == F.col("own")
+    value = F.round(F.col("links") - F.col("k") * (F.col("total") - F.when(here, F.col("k")).otherwise(0)) / doubled, 9)
+    stay = F.round(-F.col("k") * (F.col("own_total") - F.col("k")) / doubled, 9)
+    fair = ~(F.col("alone") & F.col("p_alone") & (F.col("p") > F.col("own")))
+    best = rows.withColumn("value", value).groupBy("a").agg(F.min(F.when(~here & fair, F.struct((-F.col("value")).alias("v"), "p"))).alias("best"), F.max(F.when(here, F.col("value"))).alias("with_own"), F.first(stay).alias("without"))
+    better = best.where(-F.col("best.v") > F.coalesce("with_own", "without") + 1e-9)
+    allowed = F.pmod(F.xxhash64("a", F.lit(seed), F.lit(turn)), F.lit(2)) == 0
+    to = better.select(F.col("a").alias("node"), F.col("best.p").alias("to"), allowed.alias("go"))
+    return nodes.join(to, "node", "left").select("node", "k", F.when(F.col("go"), F.col("to")).otherwise(F.col("part")).alias("part"), F.col("to").isNotNull().alias("wants"))
+
+
+def _quality(both: DataFrame, loops: DataFrame, nodes: DataFrame, doubled: float) -> float:
+    part = lambda end: nodes.select(F.col("node").alias(end), F.col("part").alias(f"p_{end}"))
+    inside = both.join(part("a"), "a").join(part("b"), "b").where("p_a = p_b").agg(F.sum("w")).first()[0] or 0.0
+    looped = loops.agg(F.sum("w")).first()[0] or 0.0
+    squares = nodes.groupBy("part").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0
+    return (inside + 2 * looped) / doubled - squares / doubled**2
+
+
+def spread_louvain(edges: DataFrame, seed: int, steps: int = 30, patience: int = 3, least: float = 1e-6) -> DataFrame:
+    """(node, part): Louvain communities of undirected edges (u, v, weight) by synchronous steps over tables; a part is named by its smallest node.
+
+    No task and not the driver sees more than rows and sums.  A level ends when no
+    node wants to move or when `patience` steps raise modularity by less than `least`; the best
+    step counts.  Then parts become nodes, and inner edges loops, until a level gains nothing.
+    Repeated edges add up, loops are left out, a graph without edges gives no rows.
+    """
+    scratch = Scratch(edges.sparkSession, "louvain")
+    level = edges.where("u <> v").groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.sum(F.col("weight").cast("double")).alias("w"))
+    level = scratch.save(level, "level")
+    member = scratch.save(level.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("part", F.col("node")), "member")
+    doubled = 2 * (level.agg(F.sum("w")).first()[0] or 0.0)
+    reached = -1.0
+    while doubled:
+        between, loops = level.where("a <> b"), level.where("a = b")
+        both = scratch.save(between.unionByName(between.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "both")
+        k = both.select("a", "w").unionByName(loops.select("a", (2 * F.col("w")).alias("w"))).groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
+        nodes = scratch.save(k.select("node", "k", F.col("node").alias("part")), "nodes")
+        best, quality, idle = nodes, _quality(both, loops, nodes, doubled), 0
+        for turn in range(steps):
+            stepped = scratch.save(_moves(both, nodes, doubled, seed, turn), "step")
+            nodes = stepped.drop("wants")
+            now = _quality(both, loops, nodes, doubled)
+            idle = 0 if now > quality + least else idle + 1
+            if now > quality:
+                best, quality = nodes, now
+            if idle >= patience or not stepped.where("wants").head(1):
+                break
+        if quality <= reached + least:
             break
-        sim[i] = (size[i] * sim[i] + size[j] * sim[j]) / (size[i] + size[j])
-        sim[:, i] = sim[i]
-        sim[j], sim[:, j], sim[i, i] = -np.inf, -np.inf, -np.inf
-        size[i] += size[j]
-        alive[j] = False
-        label[label == j] = i
-    return label
+        reached = quality
+        named = scratch.save(best.groupBy("part").agg(F.min("node").alias("name")).join(best.select("node", "part"), "part").select("node", "name"), "named")
+        member = scratch.save(member.join(named.select(F.col("node").alias("part"), "name"), "part").select("node", F.col("name").alias("part")), "member")
+        to = lambda end: named.select(F.col("node").alias(end), F.col("name").alias(f"n_{end}"))
+        met = level.join(to("a"), "a").join(to("b"), "b")
+        level = scratch.save(met.groupBy(F.least("n_a", "n_b").alias("a"), F.greatest("n_a", "n_b").alias("b")).agg(F.sum("w").alias("w")), "level")
+    names = member.groupBy("part").agg(F.min("node").alias("name"))
+    return member.join(names, "part").select("node", F.col("name").alias("part"))
+
+
+def rand_indices(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """(by, n, ari): the adjusted Rand index of two partitions within each group, all groups in one pass."""
+    cells = rows.groupBy(by, a, b).agg(F.count("*").alias("n"))
+    two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    side = lambda c, name: cells.groupBy(by, c).agg(F.sum("n").alias("k")).groupBy(by).agg(two("k").alias(name))
+    flat = cells.groupBy(by).agg(two("n").alias("both"), F.sum("n").alias("n")).join(side(a, "x"), by).join(side(b, "y"), by)
+    expected, most = F.col("x") * F.col("y") / (F.col("n") * (F.col("n") - 1) / 2), (F.col("x") + F.col("y")) / 2
+    return flat.select(by, "n", F.when(F.col("n") < 2, 1.0).otherwise(F.when(most == expected, F.lit(1.0)).otherwise((F.col("both") - expected) / (most - expected))).alias("ari"))
 
 
-def themes(rows: DataFrame, by: str, key: str, vector: str, least: float, most: int = ROWS) -> DataFrame:
-    """(by, key, theme, medoid, to_medoid): average-linkage themes within each group; the medoid has the largest mean cosine to its theme.
+def stability(edges: DataFrame, nodes: DataFrame, thresholds: Sequence[float], seeds: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """How much communities depend on the seed and on the least weight of an edge.
 
-    A group is clustered in one task; groups of more than `most` rows are refused.
+    (threshold, nodes, edges, parts, parts_beyond_one, modularity_mean, modularity_sd, ari_mean, ari_min) against
+    the first seed, and (left, right, ari) between the best partitions of two thresholds: that
+    of largest modularity, then the smallest seed.  Nodes without an edge are parts of their own.
     """
-    worst = rows.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if worst > most:
-        raise ValueError(f"a group has {worst} rows, more than {most}")
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in (by, key)}
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values(key).reset_index(drop=True)
-        v = np.stack([np.asarray(x, float) for x in f[vector]])
-        label = average_linkage(v, least)
-        unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        sim = np.round(unit @ unit.T, 9)
-        medoid, near = f[key].to_numpy().copy(), np.ones(len(f))
-        for c in np.unique(label):
-            own = np.flatnonzero(label == c)
-            best = own[int(np.round(sim[np.ix_(own, own)].mean(1), 9).argmax())]
-            medoid[own], near[own] = f[key].iloc[best], sim[own, best]
-        return pd.DataFrame({by: f[by], key: f[key], "theme": f[key].to_numpy()[label], "medoid": medoid, "to_medoid": near})
-
-    return rows.select(by, key, vector).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {key} {kinds[key]}, theme {kinds[key]}, medoid {kinds[key]}, to_medoid double")
+    scratch = Scratch(edges.sparkSession, "stability")
+    edges = scratch.save(edges, "edges")
+    tables, best = [], {}
+    for t in thresholds:
+        kept = edges.where(F.col("weight") >= t)
+        runs = louvain(kept, seeds)
+        every = nodes.select("node").distinct().crossJoin(F.broadcast(edges.sparkSession.createDataFrame([(int(s),) for s in seeds], "seed int")))  # a row a seed
+        runs = scratch.save(every.join(runs, ["seed", "node"], "left").select("seed", "node", F.coalesce("part", "node").alias("part")), "runs")
+        of = lambda c: runs.select("seed", F.col("node").alias(c), F.col("part").alias(f"p_{c}"))
+        met = kept.join(of("u"), "u").join(of("v"), ["seed", "v"])
+        inside = met.groupBy("seed").agg(F.sum("weight").alias("m"), F.sum(F.when(F.col("p_u") == F.col("p_v"), F.col("weight")).otherwise(0)).alias("within"))
+        ends = met.select("seed", F.explode(F.array("p_u", "p_v")).alias("part"), "weight").groupBy("seed", "part").agg(F.sum("weight").alias("k")).groupBy("seed").agg(F.sum(F.col("k") * F.col("k")).alias("kk"))
+        quality = inside.join(ends, "seed").select("seed", F.round(F.col("within") / F.col("m") - F.col("kk") / (4 * F.col("m") * F.col("m")), 12).alias("modularity"))
+        first = runs.where(F.col("seed") == seeds[0]).select("node", F.col("part").alias("first"))
+        each = scratch.save(rand_indices(runs.join(first, "node"), "seed", "first", "part").join(quality, "seed", "left"), "each")
+        top = each.orderBy(F.desc_nulls_last("modularity"), "seed").first()
+        chosen = best[t] = runs.where(F.col("seed") == (seeds[0] if top is None else top.seed)).select("node", F.col("part").alias(f"part_{t}"))
+        parts = chosen.groupBy(f"part_{t}").agg(F.count("*").alias("n")).agg(F.count("*").alias("parts"), F.count_if(F.col("n") > 1).alias("parts_beyond_one"))
+        size = kept.agg(F.count("*").alias("edges"))
+        figures = each.agg(F.avg("modularity").alias("modularity_mean"), F.stddev_pop("modularity").alias("modularity_sd"), F.avg("ari").alias("ari_mean"), F.min("ari").alias("ari_min"))
+        tables.append(figures.crossJoin(parts).crossJoin(size).crossJoin(nodes.agg(F.count_distinct("node").alias("nodes"))).select(F.lit(float(t)).alias("threshold"), "nodes", "edges", "parts", "parts_beyond_one", "modularity_mean", "modularity_sd", "ari_mean", "ari_min"))
+    pairs = [rand_indices(best[a].join(best[b], "node").withColumn("by", F.lit(0)), "by", f"part_{a}", f"part_{b}").select(F.lit(float(a)).alias("left"), F.lit(float(b)).alias("right"), "ari") for i, a in enumerate(thresholds) for b in thresholds[i + 1 :]]
+    whole = lambda frames: reduce(lambda x, y: x.unionByName(y), frames)
+    return whole(tables), whole(pairs)
 
 
 def adoption_frame(nodes: DataFrame, edges: DataFrame, active: DataFrame, similar: DataFrame) -> DataFrame:

@@ -1,10 +1,9 @@
-"""Evaluation beyond single metrics: curves, error classes, audits, densities, and samples."""
+"""Evaluation beyond single metrics: curves, error classes, audits, and samples."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +11,6 @@ from . import metrics as M
 from .order import running_sums
 from .review import draw
 
-#: Points that a density may be taken over by broadcast, at most.
-POINTS = 200_000
-
-
 def placed(scored: DataFrame, by: Sequence[str], score: str, key: Sequence[str]) -> DataFrame:
     """Adds place: 1 for the best score of each group, ties by key, from running counts over a range partition."""
     one = scored.withColumn("_one", F.lit(1).cast("long"))
@@ -55,31 +50,6 @@ def contamination(scored: DataFrame, by: Sequence[str], ambiguous: Column, score
     return M.auc_ap(both, [*by, "audit"], score, y)
 
 
-def density(points: DataFrame, key: str, x: str, y: str, bandwidth: float, most: int = POINTS) -> DataFrame:
-    """(key, density): a Gaussian kernel density at each of at most `most` points, by blocks of points against all of them."""
-    held = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
-    n = held.count()
-    if n > most:
-        raise ValueError(f"{n} points, more than {most}")
-    t = held.toArrow()
-    every = points.sparkSession.sparkContext.broadcast(np.column_stack([t["x"].to_numpy(), t["y"].to_numpy()]) if n else np.zeros((0, 2)))
-    kind = points.schema[key].dataType.simpleString()
-
-    def run(frames):
-        p = every.value
-        for f in frames:
-            own = f[["x", "y"]].to_numpy()
-            out = np.zeros(len(f))
-            for a in range(0, len(f), 256):
-                d = ((own[a : a + 256, None, :] - p[None, :, :]) ** 2).sum(2)
-                out[a : a + 256] = np.exp(-d / (2 * bandwidth**2)).sum(1) / (2 * np.pi * bandwidth**2 * max(len(p), 1))
-            f["density"] = out
-            yield f[[key, "density"]]
-
-    rows = points.select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
-    return rows.mapInPandas(run, f"{key} {kind}, density double")
-
-
 def hash_sample(rows: DataFrame, key: str, size: int, seed: str, by: Sequence[str] = ()) -> DataFrame:
     """The first `size` rows of each group (or of all) in the order of a seeded hash."""
     w = Window.partitionBy(*by).orderBy(draw(key, seed), key)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from . import metrics as M
 from .order import pct_ranks
+from .scratch import Scratch
 
 
 #: The model families: the estimator and parameters that make it repeatable.
@@ -122,6 +123,23 @@ def hybrid(scored: DataFrame, model: str, graph: str, by: str, weight: float, ke
     return scored.join(ranks.select(*key, by, "hybrid"), [*key, by])
 
 
+def hybrid_weight(rows: DataFrame, name: str, features: Sequence[str], graph: str, fold: str, holdout: int, label: str = "y", key: Sequence[str] = ("u", "v"), steps: int = 20, **params) -> float:
+    """The share of a model in a hybrid with the graph score that the folds before the holdout choose, each judged by a model fitted on the folds before it.
+
+    One earlier fold at least is needed to fit; without a fold to judge, half.
+    """
+    folds = sorted(r[0] for r in rows.where(F.col(fold) < holdout).select(fold).distinct().collect())
+    scored = None
+    for f in folds[1:]:
+        got = fit_or_fallback(rows.where(F.col(fold) < f), rows.where(F.col(fold) == f), name, features, graph, label, **params).select(fold, *key, F.col(label).cast("int").alias("y"), name, graph)
+        scored = got if scored is None else scored.unionByName(got)
+    if scored is None:
+        return 0.5
+    each = fold_metrics(blends(Scratch(rows.sparkSession, "hybrid").save(scored, "scored"), name, graph, fold, key, steps), [fold, "blend"], key)
+    best = each.groupBy("blend").agg((F.avg("objective") - SPREAD * F.stddev_pop("objective")).alias("o")).orderBy(F.desc(F.round("o", 9)), "blend").first()
+    return float(best.blend)
+
+
 def type_priors(scored: DataFrame, a: str, b: str, score: str, priors: dict[tuple[str, str], float], default: float = 1.0) -> DataFrame:
     """Adds prior_score: the score times the prior of its unordered pair of types."""
     kind = F.concat_ws("+", F.least(a, b), F.greatest(a, b))

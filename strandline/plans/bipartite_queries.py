@@ -10,8 +10,9 @@ from ..operators import metrics as M
 from ..operators.scratch import Scratch
 from ..session import table
 from . import link_queries as K
+from . import settings as cfg
+from .settings import CUTOFF  # for the SQL
 
-CUTOFF, OBSERVED = 1998, 2000
 
 
 class Snapshot:
@@ -28,8 +29,8 @@ class Snapshot:
         self.papers = rows.where("o_orderpriority in ('4-NOT SPECIFIED', '5-LOW')").select("target", "paper", "year").distinct()
 
     def rows(self) -> DataFrame:
-        grid = self.scratch.save(B.snapshot(self.sources, self.adoptions, self.papers, CUTOFF, OBSERVED), "grid")
-        extra = B.bridges(grid, self.adoptions, self.adoptions, self.adoptions, self.adoptions, CUTOFF)
+        grid = self.scratch.save(B.snapshot(self.sources, self.adoptions, self.papers, cfg.CUTOFF, cfg.FREEZE), "grid")
+        extra = B.bridges(grid, self.adoptions, self.adoptions, self.adoptions, self.adoptions, cfg.CUTOFF)
         return self.scratch.save(grid.join(extra, ["lever", "target"]), "rows2")
 
     def scored(self) -> DataFrame:
@@ -60,10 +61,10 @@ def forecasts(s: SparkSession, d: str) -> DataFrame:
 def states(s: SparkSession, d: str) -> DataFrame:
     snap = Snapshot(s, d)
     ranked = B.forecast(snap.scored(), "fixed_graph", TIERS)
-    levers = snap.sources.where(F.col("year") <= CUTOFF).groupBy("lever").agg(F.count_distinct("paper").alias("lever_papers"))
-    targets = snap.papers.where(F.col("year") <= CUTOFF).groupBy("target").agg(F.count_distinct("paper").alias("target_papers"))
+    levers = snap.sources.where(F.col("year") <= cfg.CUTOFF).groupBy("lever").agg(F.count_distinct("paper").alias("lever_papers"))
+    targets = snap.papers.where(F.col("year") <= cfg.CUTOFF).groupBy("target").agg(F.count_distinct("paper").alias("target_papers"))
     first = snap.adoptions.groupBy("lever", "target").agg(F.min("year").alias("first_year"))
-    return B.state_matrix(levers, targets, first, ranked, CUTOFF, 3)
+    return B.state_matrix(levers, targets, first, ranked, cfg.CUTOFF, 3)
 
 
 def block_weights(s: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import linkframe as L
 from ..operators import pairs as P
 from ..operators import retrieval as R
 from ..operators import summaries as S
+from ..operators import vectors as N
 from ..operators import workflow as W
 from ..operators.scratch import Scratch
 from ..session import table
@@ -122,12 +123,36 @@ def agreement(s: SparkSession, d: str) -> DataFrame:
 
 
 def louvain(s: SparkSession, d: str) -> DataFrame:
-    """Communities of the source pairs with two papers or more, for three seeds."""
-    return C.louvain(_weighted(s, d).where("weight >= 2"), [0, 1, 2])
+    """Communities of the source pairs with two papers or more, by steps over tables."""
+    return C.spread_louvain(_weighted(s, d).where("weight >= 2"), 0)
+
+
+def _seeds(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    edges = Scratch(s, "seeds").save(_weighted(s, d), "edges")
+    return C.stability(edges, edges.select(F.explode(F.array("u", "v")).alias("node")), (1, 2, 3), range(100))
+
+
+def community_seeds(s: SparkSession, d: str) -> DataFrame:
+    """A hundred seeds at least weights of one to three papers."""
+    return _seeds(s, d)[0]
+
+
+def community_thresholds(s: SparkSession, d: str) -> DataFrame:
+    return _seeds(s, d)[1]
 
 
 def themes(s: SparkSession, d: str) -> DataFrame:
-    return C.themes(table(s, d, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding", 0.15).withColumn("to_medoid", F.round("to_medoid", 6))
+    return N.themes(table(s, d, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding", 0.15).withColumn("to_medoid", F.round("to_medoid", 6))
+
+
+def label_svd(s: SparkSession, d: str) -> DataFrame:
+    """Each part name's first four coordinates by the SVD of its TF-IDF of character grams; a coordinate's sign is that of its sum over all names."""
+    names = table(s, d, "part").select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("name")).distinct()
+    weights = R.gram_weights(names, "name", "name")
+    _, rows, _ = N.svd(weights, "name", "gram", "w", 4)
+    cs = [f"c{i}" for i in range(4)]
+    total = rows.agg(*[F.sum(c).alias(f"s_{c}") for c in cs])
+    return rows.join(F.broadcast(total)).select("name", *[F.round(F.col(c) * F.when(F.col(f"s_{c}") < 0, -1).otherwise(1), 6).alias(c) for c in cs])  # one row
 
 
 def adoption(s: SparkSession, d: str) -> DataFrame:
@@ -218,7 +243,10 @@ select p_partkey, case when regexp_matches(p_name, '^(small|large) ') then 'size
         "with c as (select o_orderstatus as a, substr(o_orderpriority, 1, 1) as b, count(*) as n from orders group by all), x as (select sum(k * (k - 1) / 2) as x from (select sum(n) as k from c group by a)), y as (select sum(k * (k - 1) / 2) as y from (select sum(n) as k from c group by b)), f as (select sum(n)::bigint as n, sum(n * (n - 1) / 2) as s from c) select n, round((s - x * y / (n * (n - 1) / 2)) / ((x + y) / 2 - x * y / (n * (n - 1) / 2)), 9) as ari from f, x, y",
     ),
     "louvain_partition": (louvain, None),
+    "community_seeds": (community_seeds, None),
+    "community_thresholds": (community_thresholds, None),
     "agglomerative_themes": (themes, None),
+    "label_svd": (label_svd, None),
     "node_adoption": (
         adoption,
         WITH + """, ac as (select distinct concept_id from facts where layer = 'target' and concept_type <> 'T3' and year <= 1995), nd as (select distinct concept_id as node from facts where layer = 'source' and year <= 1995), ed as (select u, v, count(distinct paper_id) as w from src where year <= 1995 group by all), bo as (select u as node, v as o, w from ed union all select v, u, w from ed),

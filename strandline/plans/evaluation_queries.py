@@ -12,11 +12,13 @@ from ..operators import pairs as P
 from ..operators import retrieval as R
 from ..operators import search as X
 from ..operators import survival as S
+from ..operators import vectors as N
 from ..operators.scratch import Scratch
 from ..session import table
 from . import link_queries as K
-from .pair_queries import FREEZE, KM, WITH, evidence
+from .pair_queries import KM, WITH, evidence
 from .review_queries import SCORED, scored
+from . import settings as cfg
 
 
 #: Resamples of an interval.
@@ -51,7 +53,7 @@ def contamination(s: SparkSession, d: str) -> DataFrame:
 
 def densities(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "embeddings").select("vec_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
-    return V.density(v, "vec_id", "x", "y", 0.1).withColumn("density", F.round("density", 6))
+    return N.density(v, "vec_id", "x", "y", 0.1).withColumn("density", F.round("density", 6))
 
 
 def cosine_flags(s: SparkSession, d: str) -> DataFrame:
@@ -103,7 +105,7 @@ def survival_by_support(s: SparkSession, d: str) -> DataFrame:
     src, tgt = scratch.save(evidence(s, d, "source"), "source"), scratch.save(evidence(s, d, "target"), "target")
     out = None
     for k in (1, 2, 3):
-        rows = S.at_horizons(S.kaplan_meier(S.event_table(src, tgt, FREEZE, k)), [1, 3, 5]).select(F.lit(k).alias("support"), "horizon", F.round("incidence", 9).alias("incidence"))
+        rows = S.at_horizons(S.kaplan_meier(S.event_table(src, tgt, cfg.FREEZE, k)), [1, 3, 5]).select(F.lit(k).alias("support"), "horizon", F.round("incidence", 9).alias("incidence"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -115,7 +117,7 @@ PLAIN = 2 + len(RANKS)
 
 
 def _ranked(s: SparkSession, d: str) -> DataFrame:
-    return K.scored(s, d, K.CUTOFFS).withColumn("closeness", -F.col("shortest_path"))
+    return K.scored(s, d, cfg.CUTOFFS).withColumn("closeness", -F.col("shortest_path"))
 
 
 def weight_search(s: SparkSession, d: str) -> DataFrame:
@@ -131,7 +133,7 @@ def weight_search_full(s: SparkSession, d: str) -> DataFrame:
 
 def by_distance(s: SparkSession, d: str) -> DataFrame:
     """Metrics of the self task by the distance of a pair."""
-    rows = K.scored_self(s, d).select(F.lit(K.SELF_CUTOFF).alias("cutoff"), F.least("shortest_path", F.lit(4)).alias("distance"), F.col("label").alias("y"), F.col("graph_score").alias("score"))
+    rows = K.scored_self(s, d).select(F.lit(cfg.SELF_CUTOFF).alias("cutoff"), F.least("shortest_path", F.lit(4)).alias("distance"), F.col("label").alias("y"), F.col("graph_score").alias("score"))
     from ..operators import metrics as M
 
     return K.rounded(M.auc_ap(rows, ["distance"]), "auc", "ap", "lift")

@@ -14,9 +14,9 @@ from ..operators import linkframe as L
 from ..operators import metrics as M
 from ..operators.scratch import Scratch
 from .pair_queries import FACTS, facts, pct_sql
+from . import settings as cfg
+from .settings import CUTOFF, CUTOFFS, HORIZON, SELF_CUTOFF  # for the SQL
 
-CUTOFF, HORIZON, CUTOFFS = 1998, 2, (1997, 1998, 1999)
-SELF_CUTOFF = 1996
 SOURCE, TARGET = ("source", "hybrid"), ("target", "hybrid")
 MATERIALS, MECHANISMS = ("T1", "T2"), ("T3", "T4", "T5")
 EXACT = ("jaccard", "adamic_adar", "resource_allocation", "semantic_similarity", "degree_balance", "frequency_balance", "trend_u", "trend_v")
@@ -33,34 +33,34 @@ class Tables:
         self.states = self.scratch.save(L.node_states(self.years, cutoffs), "states")
 
     def frame(self) -> DataFrame:
-        pairs = L.transfer_candidates(self.pairs, self.states, self.cutoffs, HORIZON)
+        pairs = L.transfer_candidates(self.pairs, self.states, self.cutoffs, cfg.HORIZON)
         return L.link_frame(pairs, L.cut_edges(self.pairs, self.cutoffs), self.states, G.label_vectors(self.facts), MATERIALS, MECHANISMS)
 
 
 def transfer(s: SparkSession, d: str) -> DataFrame:
-    t = Tables(s, d, CUTOFFS)
-    return L.transfer_candidates(t.pairs, t.states, CUTOFFS, HORIZON)
+    t = Tables(s, d, cfg.CUTOFFS)
+    return L.transfer_candidates(t.pairs, t.states, cfg.CUTOFFS, cfg.HORIZON)
 
 
 def selves(s: SparkSession, d: str) -> DataFrame:
-    t = Tables(s, d, (SELF_CUTOFF,))
-    return L.self_candidates(t.pairs, t.states, (SELF_CUTOFF,), HORIZON)
+    t = Tables(s, d, (cfg.SELF_CUTOFF,))
+    return L.self_candidates(t.pairs, t.states, (cfg.SELF_CUTOFF,), cfg.HORIZON)
 
 
 def link_frame(s: SparkSession, d: str) -> DataFrame:
-    out = Tables(s, d, (CUTOFF,)).frame()
+    out = Tables(s, d, (cfg.CUTOFF,)).frame()
     return out.withColumns({c: F.round(c, 9) for c in EXACT})
 
 
-def scored(s: SparkSession, d: str, cutoffs: tuple[int, ...] = (CUTOFF,)) -> DataFrame:
+def scored(s: SparkSession, d: str, cutoffs: tuple[int, ...] | None = None) -> DataFrame:
     """The frame with its graph score, written once."""
-    return Scratch(s, "scored").save(L.graph_score(Tables(s, d, cutoffs).frame()).withColumn("graph_score", F.round("graph_score", 9)), "rows")
+    return Scratch(s, "scored").save(L.graph_score(Tables(s, d, cutoffs or (cfg.CUTOFF,)).frame()).withColumn("graph_score", F.round("graph_score", 9)), "rows")
 
 
 def scored_self(s: SparkSession, d: str) -> DataFrame:
     """All unjoined pairs of frequent source concepts with path, component and graph score."""
-    t = Tables(s, d, (SELF_CUTOFF,))
-    pairs = L.self_candidates(t.pairs, t.states, t.cutoffs, HORIZON)
+    t = Tables(s, d, (cfg.SELF_CUTOFF,))
+    pairs = L.self_candidates(t.pairs, t.states, t.cutoffs, cfg.HORIZON)
     frame = L.link_frame(pairs, L.cut_edges(t.pairs, t.cutoffs), t.states, G.label_vectors(t.facts), MATERIALS, MECHANISMS)
     return L.graph_score(frame).select("u", "v", "label", "common_neighbors", "shortest_path", "same_component", F.round("graph_score", 9).alias("graph_score"))
 
@@ -70,7 +70,7 @@ def score_rank(s: SparkSession, d: str) -> DataFrame:
 
 
 def folds(s: SparkSession, d: str) -> DataFrame:
-    return scored(s, d, CUTOFFS).select("cutoff", "u", "v", "u_type", "v_type", F.col("label").alias("y"), F.col("graph_score").alias("score"))
+    return scored(s, d, cfg.CUTOFFS).select("cutoff", "u", "v", "u_type", "v_type", F.col("label").alias("y"), F.col("graph_score").alias("score"))
 
 
 def rounded(rows: DataFrame, *columns: str) -> DataFrame:
@@ -110,8 +110,8 @@ def risk_set(s: SparkSession, d: str) -> DataFrame:
     pairs = scratch.save(L.pair_years(rows, ("source",), ("target",)), "pairs")
     own = rows.where("layer = 'source'")
     papers = own.select("paper_id", "year", F.col("concept_id").alias("u")).join(own.select("paper_id", F.col("concept_id").alias("v")), "paper_id").where("u < v").groupBy("u", "v", "year").agg(F.count_distinct("paper_id").alias("n"))
-    states = scratch.save(L.node_states(L.concept_years(rows, ("target",), ("source",)), CUTOFFS), "states")
-    return rounded(L.risk_set(pairs, scratch.save(papers, "papers"), states, CUTOFFS), "readiness")
+    states = scratch.save(L.node_states(L.concept_years(rows, ("target",), ("source",)), cfg.CUTOFFS), "states")
+    return rounded(L.risk_set(pairs, scratch.save(papers, "papers"), states, cfg.CUTOFFS), "readiness")
 
 
 FACTS_IN = FACTS.split("\nev as")[0]
@@ -178,7 +178,7 @@ r{c} as (select {c} as cutoff, k.*, coalesce(cn, 0) as target_common_neighbors,
 
 def policies(s: SparkSession, d: str) -> DataFrame:
     """Candidates under each policy at two cutoffs, over exclusive source papers of finished years."""
-    t = Tables(s, d, (1995, SELF_CUTOFF))
+    t = Tables(s, d, (1995, cfg.SELF_CUTOFF))
     out = None
     for name in ("frontier", "near", "broad"):
         one = L.policy_candidates(t.pairs, t.states, t.cutoffs, name).select(F.lit(name).alias("policy"), "cutoff", "u", "v")

@@ -9,6 +9,7 @@ from ..operators import metrics as M
 from ..operators import models as L
 from ..operators.scratch import Scratch
 from . import link_queries as P
+from . import settings as cfg
 
 FEATURES = (
     "degree_min", "degree_max", "common_neighbors", "jaccard", "adamic_adar", "resource_allocation", "preferential_attachment", "shortest_path", "semantic_similarity",
@@ -18,13 +19,13 @@ FEATURES = (
 
 def frames(s: SparkSession, d: str) -> DataFrame:
     """Featured candidates of all cutoffs with the seven-term graph score, written once."""
-    return Scratch(s, "frames").save(P.scored(s, d, P.CUTOFFS).withColumnRenamed("label", "y"), "frames")
+    return Scratch(s, "frames").save(P.scored(s, d, cfg.CUTOFFS).withColumnRenamed("label", "y"), "frames")
 
 
 def link_prediction(s: SparkSession, d: str) -> DataFrame:
     """AUC and AP on the last cutoff of a logistic model, a forest and the graph score, trained on the ones before."""
     rows = frames(s, d)
-    train, test = rows.where(F.col("cutoff") < P.CUTOFFS[-1]), rows.where(F.col("cutoff") == P.CUTOFFS[-1])
+    train, test = rows.where(F.col("cutoff") < cfg.CUTOFFS[-1]), rows.where(F.col("cutoff") == cfg.CUTOFFS[-1])
     test = L.fit_or_fallback(train, test, "logistic", FEATURES, "graph_score", maxIter=50)
     test = L.fit_or_fallback(train, test, "forest", FEATURES, "graph_score", numTrees=20, maxDepth=5, seed=27)
     long = test.select("u", "v", "y", "logistic", "forest", "graph_score").unpivot(["u", "v", "y"], ["logistic", "forest", "graph_score"], "model", "score")
@@ -34,14 +35,14 @@ def link_prediction(s: SparkSession, d: str) -> DataFrame:
 def calibration(s: SparkSession, d: str) -> DataFrame:
     """Brier score of the graph score as it is and calibrated on the cutoffs before."""
     rows = frames(s, d)
-    train, test = rows.where(F.col("cutoff") < P.CUTOFFS[-1]), rows.where(F.col("cutoff") == P.CUTOFFS[-1])
+    train, test = rows.where(F.col("cutoff") < cfg.CUTOFFS[-1]), rows.where(F.col("cutoff") == cfg.CUTOFFS[-1])
     fitted = L.platt(train, test, "graph_score")
     return M.brier(fitted.withColumn("kind", F.lit("calibrated")), ["kind"]).unionByName(M.brier(test.withColumn("p", F.col("graph_score")).withColumn("kind", F.lit("raw")), ["kind"]))
 
 
 def blend_selection(s: SparkSession, d: str) -> DataFrame:
     """The blend of common neighbours and preferential attachment that the early cutoffs choose, on the last one."""
-    return L.select(L.blends(frames(s, d), "common_neighbors", "preferential_attachment", "cutoff"), "cutoff", "blend", P.CUTOFFS[-1])
+    return L.select(L.blends(frames(s, d), "common_neighbors", "preferential_attachment", "cutoff"), "cutoff", "blend", cfg.CUTOFFS[-1])
 
 
 def families(s: SparkSession, d: str) -> DataFrame:
@@ -49,8 +50,8 @@ def families(s: SparkSession, d: str) -> DataFrame:
     from ..operators.review import hard_negatives
 
     rows = frames(s, d)
-    train, test = rows.where(F.col("cutoff") < P.CUTOFFS[-1]), rows.where(F.col("cutoff") == P.CUTOFFS[-1])
-    few = Scratch(s, "train").save(hard_negatives(train, "y", "graph_score", ["cutoff", "u", "v"], 3).drop("kind"), "train")
+    train, test = rows.where(F.col("cutoff") < cfg.CUTOFFS[-1]), rows.where(F.col("cutoff") == cfg.CUTOFFS[-1])
+    few = Scratch(s, "train").save(hard_negatives(train, "y", "graph_score", ["cutoff", "u", "v"], 15).drop("kind"), "train")
     params = {"forest": {"numTrees": 20, "maxDepth": 4}, "boosted": {"maxIter": 5, "maxDepth": 3}, "machine": {"maxIter": 20, "factorSize": 2}, "perceptron": {"maxIter": 30}, "svm": {"maxIter": 20}}
     for name in L.FAMILIES:
         test = Scratch(s, "families").save(L.fit_or_fallback(few, test, name, FEATURES, "graph_score", **params.get(name, {})), name)
@@ -58,11 +59,31 @@ def families(s: SparkSession, d: str) -> DataFrame:
     return M.auc_ap(long.select("model", "score", F.col("y").cast("int").alias("y")), ["model"])
 
 
+#: Parameters that are tried for the tuned models.
+TRIED = {"logistic": ({"regParam": 0.0, "maxIter": 50}, {"regParam": 0.01, "maxIter": 50}, {"regParam": 0.1, "maxIter": 50}), "forest": ({"numTrees": 20, "maxDepth": 4, "seed": 27}, {"numTrees": 20, "maxDepth": 7, "seed": 27})}
+
+
+def tuned(s: SparkSession, d: str) -> DataFrame:
+    """AUC and AP on the last cutoff of a logistic model and a forest whose parameters, and of their hybrids whose shares, the earlier cutoffs choose."""
+    rows, last = frames(s, d), cfg.CUTOFFS[-1]
+    train, test = rows.where(F.col("cutoff") < last), rows.where(F.col("cutoff") == last)
+    names = []
+    for name, tried in TRIED.items():
+        best = L.tuned(rows, name, FEATURES, "cutoff", last, tried=tried)
+        share = L.hybrid_weight(rows, name, FEATURES, "graph_score", "cutoff", last, **best)
+        test = L.hybrid(L.fit_or_fallback(train, test, name, FEATURES, "graph_score", **best), name, "graph_score", "cutoff", share).withColumnRenamed("hybrid", f"{name}_hybrid")
+        test = Scratch(s, "tuned").save(test, name)
+        names += [name, f"{name}_hybrid"]
+    long = test.unpivot(["u", "v", "y"], [*names, "graph_score"], "model", "score")
+    return M.auc_ap(long.select("model", "score", F.col("y").cast("int").alias("y")), ["model"])
+
+
 def future(s: SparkSession, d: str) -> DataFrame:
-    """The last cutoff's pairs by a logistic model of the ones before, blended with the graph score and weighed by the types' priors: the best 100 of each pair layer that are not joined yet."""
+    """The last cutoff's pairs by a logistic model of the ones before, blended with the graph score by the share that the earlier cutoffs choose, and weighed by the types' priors: the best 100 of each pair layer that are not joined yet."""
     rows = frames(s, d)
-    train, test = rows.where(F.col("cutoff") < P.CUTOFFS[-1]), rows.where(F.col("cutoff") == P.CUTOFFS[-1])
-    out = L.hybrid(L.fit_or_fallback(train, test, "logistic", FEATURES, "graph_score", maxIter=50), "logistic", "graph_score", "cutoff", 0.6)
+    train, test = rows.where(F.col("cutoff") < cfg.CUTOFFS[-1]), rows.where(F.col("cutoff") == cfg.CUTOFFS[-1])
+    share = L.hybrid_weight(rows, "logistic", FEATURES, "graph_score", "cutoff", cfg.CUTOFFS[-1], maxIter=50)
+    out = L.hybrid(L.fit_or_fallback(train, test, "logistic", FEATURES, "graph_score", maxIter=50), "logistic", "graph_score", "cutoff", share)
     out = L.type_priors(out, "u_type", "v_type", "hybrid", {("T1", "T2"): 1.2, ("T1", "T1"): 0.8})
     from ..operators.bipartite import best_per_layer
 
@@ -88,4 +109,4 @@ def blend_query(s: SparkSession, d: str) -> DataFrame:
     return out.select("blend", *[F.round(c, 9).alias(c) for c in out.columns if c != "blend"])
 
 
-QUERIES = {"ml_link_prediction": (link_prediction, None), "ml_calibration_brier": (calibration, None), "ml_model_families": (families, None), "ml_future_pairs": (future, None), "blend_selection": (blend_query, BLEND_SQL)}
+QUERIES = {"ml_link_prediction": (link_prediction, None), "ml_calibration_brier": (calibration, None), "ml_model_families": (families, None), "ml_future_pairs": (future, None), "ml_tuned_models": (tuned, None), "blend_selection": (blend_query, BLEND_SQL)}

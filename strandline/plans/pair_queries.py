@@ -12,9 +12,7 @@ from ..operators.graph import connected_components
 from ..operators.order import ranked
 from ..operators.scratch import Scratch
 from ..session import table
-
-FREEZE = 2000
-CUTOFF = 1998
+from . import settings as cfg
 
 
 def facts(s: SparkSession, d: str) -> DataFrame:
@@ -55,7 +53,7 @@ km as (select t, at_risk, events, n - events as censored, product(case when t >
 
 
 def events(s: SparkSession, d: str, k: int = 1) -> DataFrame:
-    return S.event_table(evidence(s, d, "source"), evidence(s, d, "target"), FREEZE, k)
+    return S.event_table(evidence(s, d, "source"), evidence(s, d, "target"), cfg.FREEZE, k)
 
 
 def km_curve(s: SparkSession, d: str) -> DataFrame:
@@ -64,11 +62,11 @@ def km_curve(s: SparkSession, d: str) -> DataFrame:
 
 def competing(s: SparkSession, d: str) -> DataFrame:
     """First later event in target or hybrid papers; both in one year are ambiguous."""
-    sup = P.kth_support(evidence(s, d, "source"), 1).where(F.col("support_year") <= FREEZE)
-    first = lambda layer, name: P.pair_summary(evidence(s, d, layer)).where(F.col("first_year") <= FREEZE).select("u", "v", F.col("first_year").alias(name))
+    sup = P.kth_support(evidence(s, d, "source"), 1).where(F.col("support_year") <= cfg.FREEZE)
+    first = lambda layer, name: P.pair_summary(evidence(s, d, layer)).where(F.col("first_year") <= cfg.FREEZE).select("u", "v", F.col("first_year").alias(name))
     each = sup.join(first("target", "t"), ["u", "v"], "left").join(first("hybrid", "h"), ["u", "v"], "left").where("(t is null or t > support_year) and (h is null or h > support_year)")
     cause = F.when(F.col("t").isNull() & F.col("h").isNull(), None).when(F.col("h").isNull() | (F.col("t") < F.col("h")), "target").when(F.col("t").isNull() | (F.col("h") < F.col("t")), "hybrid").otherwise("ambiguous")
-    out = S.competing_risks(each.select(cause.alias("cause"), (F.coalesce(F.least("t", "h"), F.lit(FREEZE)) - F.col("support_year")).alias("duration")))
+    out = S.competing_risks(each.select(cause.alias("cause"), (F.coalesce(F.least("t", "h"), F.lit(cfg.FREEZE)) - F.col("support_year")).alias("duration")))
     return out.select("t", "at_risk", *[F.round(c, 9).alias(c) for c in out.columns if c not in ("t", "at_risk")])
 
 
@@ -162,7 +160,7 @@ select u, v, source_year, source_papers, target_year, target_papers, case when s
         WITH + ", x as (select * from facts where layer = 'source') select concept_type, count(*) as facts, count(distinct concept_id) as concepts from x where concept_id not in (select concept_id from x group by 1 having count(distinct paper_id) = 1) group by 1",
     ),
     "recent_previous_trend": (
-        lambda s, d: P.trend(facts(s, d), CUTOFF).withColumn("trend", F.round("trend", 9)),
+        lambda s, d: P.trend(facts(s, d), cfg.CUTOFF).withColumn("trend", F.round("trend", 9)),
         WITH + "select concept_id, count(distinct paper_id) as freq, count(distinct case when year between 1996 and 1998 then paper_id end) as recent, count(distinct case when year between 1993 and 1995 then paper_id end) as previous, round((count(distinct case when year between 1996 and 1998 then paper_id end) - count(distinct case when year between 1993 and 1995 then paper_id end)) / 3, 9) as trend, (1998 - min(year))::int as age from facts where year <= 1998 group by 1",
     ),
     "event_table": (events, WITH + EVENTS + "select * from ets"),
@@ -181,7 +179,7 @@ b as (select *, coalesce(lag(survival) over (order by t), 1.0) as before from sv
 select t, at_risk, round(survival, 9) as survival, round(sum(before * target / at_risk) over w, 9) as cif_target, round(sum(before * hybrid / at_risk) over w, 9) as cif_hybrid, round(sum(before * ambiguous / at_risk) over w, 9) as cif_ambiguous from b window w as (order by t rows unbounded preceding)""",
     ),
     "type_pair_rates_wilson": (
-        lambda s, d: (lambda o: o.select("type_pair", "n", "hits", *[F.round(c, 9).alias(c) for c in ("rate", "low", "high")]))(S.type_rates(events(s, d), facts(s, d).select("concept_id", "concept_type").distinct(), 3, FREEZE)),
+        lambda s, d: (lambda o: o.select("type_pair", "n", "hits", *[F.round(c, 9).alias(c) for c in ("rate", "low", "high")]))(S.type_rates(events(s, d), facts(s, d).select("concept_id", "concept_type").distinct(), 3, cfg.FREEZE)),
         WITH + EVENTS + """, ct as (select distinct concept_id, concept_type from facts), f as (select least(a.concept_type, b.concept_type) || '+' || greatest(a.concept_type, b.concept_type) as type_pair, (event = 1 and duration <= 3)::int as hit from ets join ct a on a.concept_id = u join ct b on b.concept_id = v where support_year + 3 <= 2000),
 w as (select type_pair, count(*) as n, sum(hit)::bigint as hits, sum(hit) / count(*) as p, 1.959963984540054 as z from f group by 1)
 select type_pair, n, hits, round(p, 9) as rate, round(greatest(0, (p + z*z/(2*n)) / (1 + z*z/n) - z * sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n)), 9) as low, round(least(1, (p + z*z/(2*n)) / (1 + z*z/n) + z * sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n)), 9) as high from w""",

@@ -10,7 +10,8 @@ from ..operators import pairs as P
 from ..operators import summaries as S
 from ..operators.scratch import Scratch
 from ..session import table
-from .pair_queries import CUTOFF, FREEZE, WITH, evidence, facts
+from .pair_queries import WITH, evidence, facts
+from . import settings as cfg
 
 
 def saved(s: SparkSession, d: str) -> DataFrame:
@@ -64,11 +65,11 @@ def paper_coverage(s: SparkSession, d: str) -> DataFrame:
     lines = table(s, d, "lineitem")
     claims = lines.where("l_quantity >= 10").select(F.col("l_orderkey").alias("paper_id"))
     programs = lines.where("l_returnflag = 'R'").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("paper_id"), F.col("p_brand").alias("program"))
-    return S.coverage_status(papers, claims, programs, FREEZE)
+    return S.coverage_status(papers, claims, programs, cfg.FREEZE)
 
 
 def emergent(s: SparkSession, d: str) -> DataFrame:
-    return S.emergent_edges(Scratch(s, "emergent").save(evidence(s, d, "target"), "evidence"), CUTOFF)
+    return S.emergent_edges(Scratch(s, "emergent").save(evidence(s, d, "target"), "evidence"), cfg.CUTOFF)
 
 
 def split_concepts(s: SparkSession, d: str) -> DataFrame:

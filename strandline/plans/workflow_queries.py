@@ -11,8 +11,9 @@ from ..operators import batching as T
 from ..operators import workflow as W
 from ..operators.scratch import Scratch
 from ..session import table
-from .pair_queries import FREEZE, WITH, evidence
+from .pair_queries import WITH, evidence
 from .review_queries import decisions
+from . import settings as cfg
 
 
 def promoted(s: SparkSession, d: str) -> DataFrame:
@@ -94,7 +95,7 @@ def overlay(s: SparkSession, d: str) -> DataFrame:
 def verification(s: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(s, "verify")
     src = scratch.save(evidence(s, d, "source"), "source")
-    events = S.event_table(src, evidence(s, d, "target"), FREEZE).where("event = 1").select("u", "v", "support_year")
+    events = S.event_table(src, evidence(s, d, "target"), cfg.FREEZE).where("event = 1").select("u", "v", "support_year")
     return W.verification_queue(events, src)
 
 

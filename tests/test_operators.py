@@ -412,24 +412,6 @@ def test_modularity_by_hand(spark):
     assert communities.adjusted_rand(rows, "a", "b").first().ari == pytest.approx(1)
 
 
-def test_average_linkage_against_plain(spark):
-    rng = np.random.default_rng(4)
-    for _ in range(20):
-        v = rng.normal(size=(9, 3))
-        u = v / np.linalg.norm(v, axis=1, keepdims=True)
-        groups = [[i] for i in range(9)]
-        while len(groups) > 1:
-            score, i, j = max((np.mean([u[a] @ u[b] for a in groups[i] for b in groups[j]]), -i, -j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
-            if score < 0.4:
-                break
-            groups[-i] += groups.pop(-j)
-        want = {frozenset(g) for g in groups}
-        label = communities.average_linkage(v, 0.4)
-        assert {frozenset(np.flatnonzero(label == c).tolist()) for c in np.unique(label)} == want
-    d = spark.createDataFrame([("g", i, [float(i < 2), float(i >= 2)]) for i in range(4)], "g string, i int, v array<double>")
-    assert {r.i: (r.theme, r.medoid) for r in communities.themes(d, "g", "i", "v", 0.5).collect()} == {0: (0, 0), 1: (0, 0), 2: (2, 2), 3: (2, 2)}
-
-
 def test_resumable_chunks(spark, tmp_path):
     rows, path, seen = spark.range(200), f"file://{tmp_path}/out", []
 
