@@ -671,7 +671,7 @@ def test_sql_of_queries(spark, sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("documents", "pages", "conversations"):
+    for name in ("documents", "pages", "conversations", "sale_lines"):
         con.sql(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, sf_dir).toPandas()
