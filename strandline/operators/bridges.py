@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import strength
 from ..functions.text import lookup
+from .order import running_sums
 from .transfer import REVIEWED, bridge_score, cross_bucket, ends, link_type, met
 
 #: The base of a program's bridge, what roles at either side add, the weights of support, and the most links of a program.
@@ -156,3 +157,30 @@ def overlaid(folded: DataFrame, source: DataFrame, target: DataFrame, keys: Data
     asked = keys.toDF("source_other", "target_other")
     rows = base_grade(s.join(asked, "source_other").join(t, ["shared", "target_other"]))
     return folded.join(keys, ["source_end", "target_end"], "left_anti").unionByName(fold(rows).select(*folded.columns))
+
+
+def incident_relations(source: DataFrame, target: DataFrame, in_focus: DataFrame, relations: DataFrame) -> DataFrame:
+    """(layer, shared, pair, relation_id, paths, dual_paths, review_order): relations of pairs that lie on paths in focus, in order of review.
+
+    relations: (layer, u, v, paper_id, relation_id).  A pair with a relation is on a path of the first
+    tier with every pair across that has one, and of the second with every other; these are counted from the
+    node's ends, less the pair's own far end, so no path is made.  Review goes by layer, node, paper and relation.
+    """
+    node_ok = in_focus.where("shared_focus").select(F.col("node").alias("shared"))
+    far_ok = in_focus.where("other_focus").select(F.col("node").alias("other"))
+
+    def side(bank: DataFrame) -> DataFrame:
+        e = ends(bank.select("u", "v", "relations"), "x").select("shared", F.col("x_other").alias("other"), F.col("x_pair").alias("pair"), (F.col("x_relations") > 0).cast("long").alias("has"))
+        return e.join(node_ok, "shared", "left_semi").join(far_ok, "other", "left_semi")
+
+    out = None
+    for layer, own, across in (("source", side(source), side(target)), ("target", side(target), side(source))):
+        totals = across.groupBy("shared").agg(F.count("*").alias("n"), F.sum("has").alias("nh"))
+        itself = across.select("shared", "other", F.lit(1).alias("mine"), F.col("has").alias("mine_has"))
+        rows = own.where("has = 1").join(totals, "shared").join(itself, ["shared", "other"], "left").na.fill(0, ["mine", "mine_has"])
+        rows = rows.select(F.lit(layer).alias("layer"), "shared", "pair", (F.col("n") - F.col("mine")).alias("paths"), (F.col("nh") - F.col("mine_has")).alias("dual_paths")).where("paths > 0")
+        out = rows if out is None else out.unionByName(rows)
+    said = relations.select("layer", F.concat_ws("~", "u", "v").alias("pair"), "paper_id", "relation_id")
+    rows = out.join(said, ["layer", "pair"]).withColumn("_one", F.lit(1).cast("long"))
+    order = [F.asc(c) for c in ("layer", "shared", "paper_id", "relation_id")]
+    return running_sums(rows, order, {"_one": "review_order"}).drop("_one")

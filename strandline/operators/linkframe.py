@@ -78,6 +78,12 @@ def transfer_candidates(pairs: DataFrame, states: DataFrame, cutoffs: Sequence[i
     return at.select("cutoff", "u", "v", _label("target_years", horizon).alias("label"))
 
 
+def _grid(u: DataFrame, v: DataFrame, parts: int = 64) -> DataFrame:
+    """All rows of `u` with all of `v` of one cutoff: `u` is dealt over parts and `v` copied to each, so that few cutoffs are not few tasks."""
+    dealt = u.withColumn("_p", F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int"))
+    return dealt.join(v.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["cutoff", "_p"]).drop("_p")
+
+
 def self_candidates(pairs: DataFrame, states: DataFrame, cutoffs: Sequence[int], horizon: int, least: int = 2, years: str = "source_years") -> DataFrame:
     """(cutoff, u, v, label): all pairs of frequent concepts that are not joined by the cutoff.
 
@@ -86,7 +92,7 @@ def self_candidates(pairs: DataFrame, states: DataFrame, cutoffs: Sequence[int],
     """
     u, v = _known(states, least, "u"), _known(states, least, "v")
     known = cut_edges(pairs, cutoffs, years)
-    every = u.join(v, "cutoff").where("u < v").join(known, ["cutoff", "u", "v"], "left_anti")
+    every = _grid(u, v).where("u < v").join(known, ["cutoff", "u", "v"], "left_anti")
     future = cutoff_rows(pairs, cutoffs).select("cutoff", "u", "v", _label(years, horizon).alias("label")).where("label = 1")
     return every.join(future, ["cutoff", "u", "v"], "left").na.fill(0, ["label"])
 
@@ -223,7 +229,7 @@ def policy_candidates(pairs: DataFrame, states: DataFrame, cutoffs: Sequence[int
         two = hop(both)
         grid = two.unionByName(hop(two)).distinct().where("u < v").join(end("u"), ["cutoff", "u"]).join(end("v"), ["cutoff", "v"])
     else:
-        grid = end("u").join(end("v"), "cutoff").where("u < v")
+        grid = _grid(end("u"), end("v")).where("u < v")
     if policy == "frontier":
         grid = grid.where((F.col("first_u") > F.col("cutoff") - 3) | (F.col("first_v") > F.col("cutoff") - 3))
     return grid.select("cutoff", "u", "v").join(edges, ["cutoff", "u", "v"], "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import lookup
 from ..operators import bridges as B
 from ..session import table
-from .transfer_queries import BANKS, ROLES, Banks
+from .transfer_queries import BANKS, ROLES, Banks, focus
 
 #: The year whose relations are reviewed again in the overlay.
 AGAIN = 1999
@@ -71,6 +71,13 @@ def overlay(s: SparkSession, d: str) -> DataFrame:
     return B.overlaid(folded, source, target, keys).drop("worst_grade")
 
 
+def incidents(s: SparkSession, d: str) -> DataFrame:
+    """Finished orders as relations of the pairs they hold; focus as in the graded candidates."""
+    b = Banks(s, d)
+    rel = b.evidence.where("rel").select("layer", "u", "v", "paper_id", F.concat_ws("/", "layer", "u", "v", F.col("paper_id").cast("string")).alias("relation_id"))
+    return B.incident_relations(b.source, b.target, focus(b), rel).select("layer", "shared", "pair", "paper_id", "paths", "dual_paths", "review_order")
+
+
 FAMILY = """,
 nd as (select distinct concept_id as c, split_part(concept_id, '|', 1) as b, split_part(concept_id, '|', 2)::int as z from facts),
 au as (select x.c as l, y.c as r, round(1.0::double - 1.0::double / (2 * x.z + 1), 4) as similarity from nd x join nd y on x.b = y.b and y.z = x.z + 1 where x.z % 10 = 9),
@@ -109,11 +116,16 @@ hb as (select shared, count(*) as hubness from pt group by 1)
 select {_FOLDED.replace('source_end, target_end', 'fd.source_end, fd.target_end', 1)}, case when x.u is null and y.u is null then 'both_not_observed_in_frozen_direct_corpora' when y.u is null then 'observed_in_source_only' when x.u is null then 'observed_in_target_only' else 'observed_in_both_direct_corpora' end as bucket, hubness, m.source_end is not null as mirrored
 from fd left join bk x on x.layer = 'source' and x.u = least(fd.source_end, fd.target_end) and x.v = greatest(fd.source_end, fd.target_end) left join bk y on y.layer = 'target' and y.u = least(fd.source_end, fd.target_end) and y.v = greatest(fd.source_end, fd.target_end)
 join hb on hb.shared = b.n left join (select source_end, target_end from fd) m on m.source_end = fd.target_end and m.target_end = fd.source_end"""
+INCIDENTS = """,
+fe as materialized (select * from en where substr(shared, 7, 1) in ('1', '2', '3') and not regexp_matches(other, '\\|[0-9]$')),
+pc as (select a.layer, a.shared, a.pair, count(*) as paths, count(*) filter (b.relations > 0) as dual_paths from fe a join fe b on a.shared = b.shared and a.layer <> b.layer and a.other <> b.other where a.relations > 0 group by all)
+select pc.layer, shared, pair, paper_id, paths, dual_paths, row_number() over (order by pc.layer, shared, paper_id, pc.layer || '/' || u || '/' || v || '/' || paper_id) as review_order from pc join el on el.layer = pc.layer and el.u || '~' || el.v = pair where rel"""
 OVERLAY = _fold_sql(f"case when year = {AGAIN} then 'accepted' else {_VERDICT} end") + f" select {_FOLDED}, case best_order when 1 then 'R2_dual_direct_sentence_relations' when 2 then 'R1_single_direct_sentence_relation' else 'R0_cooccurrence_only_or_rejected' end as best_grade from fd"
 
 QUERIES = {
     "family_links": (family, BANKS + FAMILY),
     "program_bridges": (programs, BANKS + PROGRAMS),
+    "relation_incidents": (incidents, BANKS + INCIDENTS),
     "endpoint_rollup": (rollup, BANKS + ROLLUP),
     "endpoint_overlay": (overlay, BANKS + OVERLAY),
 }

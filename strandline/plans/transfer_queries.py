@@ -47,12 +47,16 @@ class Banks:
         return X.scored_links(out, F.lit(float(total)))
 
 
+def focus(b: Banks) -> DataFrame:
+    """(node, shared_focus, other_focus): roles in focus; small sizes are no far ends in focus."""
+    nodes = b.facts.select(F.col("concept_id").alias("node"), F.col("concept_type").isin(*FOCUS).alias("shared_focus"), (~F.col("concept_id").rlike(r"\|[0-9]$")).alias("other_focus"))
+    return nodes.distinct()
+
+
 def graded(s: SparkSession, d: str) -> DataFrame:
-    """Every combination with its grade, tier and places; small sizes are no far ends in focus."""
+    """Every combination with its grade, tier and places."""
     b = Banks(s, d)
-    kind = F.col("concept_type").isin(*FOCUS)
-    nodes = b.facts.select(F.col("concept_id").alias("node"), kind.alias("shared_focus"), ~F.col("concept_id").rlike(r"\|[0-9]$")).distinct().toDF("node", "shared_focus", "other_focus")
-    out = X.graded_candidates(b.source, b.target, nodes)
+    out = X.graded_candidates(b.source, b.target, focus(b))
     return out.select("shared", "source_other", "target_other", F.substring("tier", 1, 1).alias("tier"), "relation_side", "floor", "grade_order", "shared_paths", "node_rank", "tier_rank", "focus_rank", "focus_tier_rank")
 
 

@@ -165,3 +165,24 @@ def test_rollup_and_overlay(spark):
     assert 0 < keys.count() < len(want)
     touched_by_hand = {k for k in want if want[k] != plain(second)[k]}
     assert touched_by_hand <= {tuple(r) for r in keys.collect()}
+
+
+def test_incident_relations_count_paths_without_making_them(spark):
+    rng = random.Random(9)
+    nodes = [f"n{i}" for i in range(9)]
+    source, target = bank(rng, nodes, 16), bank(rng, nodes, 17)
+    shared_ok, other_ok = set(nodes[:7]), set(nodes[2:])
+    focus = spark.createDataFrame([(n, n in shared_ok, n in other_ok) for n in nodes], "node string, shared_focus boolean, other_focus boolean")
+    rel = [(layer, u, v, i, f"{layer}{u}{v}{i}") for layer, rows in (("source", source), ("target", target)) for u, v, _, n, *_ in rows for i in range(n)]
+    frame = spark.createDataFrame(rel, "layer string, u string, v string, paper_id int, relation_id string")
+    got = B.incident_relations(spark.createDataFrame(source, BANK), spark.createDataFrame(target, BANK), focus, frame).collect()
+    want, a, b = {}, incident(source), incident(target)
+    for layer, own, across in (("source", a, b), ("target", b, a)):
+        for node in shared_ok & own.keys():
+            for x, p in own[node]:
+                met = [q for y, q in across.get(node, []) if y in other_ok and y != x]
+                if x in other_ok and p[3] and met:
+                    want[layer, node, "~".join(p[:2])] = (p[3], len(met), sum(q[3] > 0 for q in met))
+    assert {(r.layer, r.shared, r.pair): (r.paths, r.dual_paths) for r in got} == {k: v[1:] for k, v in want.items()}
+    assert len(got) == sum(v[0] for v in want.values())
+    assert [r.review_order for r in sorted(got, key=lambda r: (r.layer, r.shared, r.paper_id, r.relation_id))] == list(range(1, len(got) + 1))
