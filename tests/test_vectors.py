@@ -66,7 +66,7 @@ def test_svd_is_the_dense_one(spark):
     m = (rng.random((60, 25)) < 0.2) * rng.random((60, 25))
     m[:, 0] += 1
     rows = [(f"r{i}", j, float(m[i, j])) for i in range(60) for j in range(25) if m[i, j]]
-    value, left, right = vectors.svd(spark.createDataFrame(rows, "r string, c int, w double"), "r", "c", "w", 4, rounds=9, extra=10)
+    value, left, right = vectors.svd(spark.createDataFrame(rows, "r string, c int, w double"), "r", "c", "w", 4, rounds=5, extra=12)
     u, s, vt = np.linalg.svd(m)
     assert np.allclose(value, s[:4], rtol=1e-4)
     v = np.array([[r[f"v{i}"] for i in range(4)] for r in right.orderBy("c").collect()])
@@ -74,5 +74,5 @@ def test_svd_is_the_dense_one(spark):
     x = {r.r: [r[f"c{i}"] for i in range(4)] for r in left.collect()}
     assert np.allclose([x[f"r{i}"] for i in range(60)], m @ v, atol=1e-6)
     low = spark.createDataFrame([(i, j, float((i + 1) * (j + 1))) for i in range(6) for j in range(5)], "r int, c int, w double")
-    value, left, right = vectors.svd(low, "r", "c", "w", 3, extra=2)
+    value, left, right = vectors.svd(low, "r", "c", "w", 3, rounds=3, extra=2)
     assert value[0] == pytest.approx(np.linalg.norm(np.outer(range(1, 7), range(1, 6)))) and np.allclose(value[1:], 0, atol=1e-5)
