@@ -16,7 +16,7 @@ from ..operators import vectors as N
 from ..operators.scratch import Scratch
 from ..session import table
 from . import link_queries as K
-from .pair_queries import KM, WITH, evidence
+from .pair_queries import KM, WITH, evidence, parts
 from .review_queries import SCORED, scored
 from . import settings as cfg
 
@@ -105,7 +105,7 @@ def survival_by_support(s: SparkSession, d: str) -> DataFrame:
     src, tgt = scratch.save(evidence(s, d, "source"), "source"), scratch.save(evidence(s, d, "target"), "target")
     out = None
     for k in (1, 2, 3):
-        rows = S.at_horizons(S.kaplan_meier(S.event_table(src, tgt, cfg.FREEZE, k)), [1, 3, 5]).select(F.lit(k).alias("support"), "horizon", F.round("incidence", 9).alias("incidence"))
+        rows = S.at_horizons(S.kaplan_meier(S.event_table(src, tgt, cfg.FREEZE, k, parts(s, d))), [1, 3, 5]).select(F.lit(k).alias("support"), "horizon", F.round("incidence", 9).alias("incidence"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
