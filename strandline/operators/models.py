@@ -97,7 +97,9 @@ def select(scored: DataFrame, fold: str, choice: str, holdout: int) -> DataFrame
 
 
 def platt(train: DataFrame, rows: DataFrame, score_column: str, label: str = "y") -> DataFrame:
-    """`rows` with `p`: a logistic curve through the score, fitted on `train`."""
+    """`rows` with `p`: a logistic curve through the score, fitted on `train`; the score itself, 0 to 1, where there is nothing to fit it on."""
+    if train.isEmpty():
+        return rows.withColumn("p", F.col(score_column).cast("double"))
     model = make("logistic", [score_column], label).fit(train)
     return score(model, rows, "p")
 

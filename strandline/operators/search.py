@@ -45,7 +45,7 @@ def search(frame: DataFrame, key: Sequence[str], fold: str, y: str, names: Seque
     fold, and vectors are dealt over tasks, so that a vector costs one product and one
     sort a fold and nothing is shuffled.  More rows are scored as columns of the
     distributed frame, `chunk` vectors in one pass.  A fold without positives counts as
-    zero AP; scores are rounded to nine digits, and ties go by key.
+    zero AP; scores are rounded to nine digits, and ties go by key.  Without rows there are no folds, and no figures.
     """
     scratch = Scratch(frame.sparkSession, "search")
     ranks = pct_ranks(frame, key, names, fold).join(frame.select(*key, fold, F.col(y).cast("int").alias("y")), [*key, fold])
@@ -54,8 +54,8 @@ def search(frame: DataFrame, key: Sequence[str], fold: str, y: str, names: Seque
         return _by_columns(ranks, key, fold, names, weights, chunk)
     t = ranks.orderBy(fold, *key).toPandas()
     blocks = [(g[[f"pr_{c}" for c in names]].to_numpy(), g["y"].to_numpy()) for _, g in t.groupby(fold, sort=True)]
-    held = frame.sparkSession.sparkContext.broadcast(blocks)
     spark = frame.sparkSession
+    held = spark.sparkContext.broadcast(blocks)
     rows = spark.createDataFrame(pd.DataFrame({"choice": np.arange(len(weights)), "w": list(weights.tolist())}), "choice int, w array<double>")
     made = ["mean_ap", *[f"mean_p{k}" for k in PLACES], "mean_score", "objective"]
 
@@ -68,6 +68,7 @@ def search(frame: DataFrame, key: Sequence[str], fold: str, y: str, names: Seque
                 out.append((choice, *each.mean(0), score.mean(), score.mean() - SPREAD * score.std()))
             yield pd.DataFrame(out, columns=["choice", *made])
 
+    rows = rows if blocks else rows.limit(0)
     parts = max(1, min(len(weights), 4 * spark.sparkContext.defaultParallelism))
     return rows.repartition(parts, "choice").mapInPandas(run, "choice int, " + ", ".join(f"{c} double" for c in made))
 
