@@ -158,14 +158,12 @@ def axis_order(rows: DataFrame, end: str) -> DataFrame:
     return running_sums(n.withColumn("_one", F.lit(1).cast("long")), order, {"_one": "place"}).drop("_one")
 
 
-def bounded_ngrams(docs: DataFrame, key: str, words: Column, sizes: tuple[int, int], least: int, most_share: float, stop: Sequence[str]) -> DataFrame:
+def bounded_ngrams(docs: DataFrame, key: str, text: str, sizes: tuple[int, int], least: int, most_share: float, stop: Sequence[str]) -> DataFrame:
     """(gram, df) of word n-grams in `least` documents or more and at most a share of all; n-grams of stop words at either end are left out."""
-    from ..functions.text import word_ngrams
+    from ..functions.text import tokens
+    from . import grams
 
-    split = docs.select(key, words.alias("words"))  # once a text, not once an n-gram
-    grams = split.select(key, F.explode(F.array_distinct(word_ngrams(F.col("words"), *sizes))).alias("gram"))
-    parts = F.split("gram", " ")
-    grams = grams.where(~F.element_at(parts, 1).isin(*stop) & ~F.element_at(parts, -1).isin(*stop))
-    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    split = grams.dealt(docs, key, text).select(key, tokens(text).alias("words"))
+    df = grams.counted(grams.runs(split, [key], "words", sizes, stop), key, docs="df")
     total = docs.agg(F.count("*").alias("docs"))
     return df.crossJoin(F.broadcast(total)).where((F.col("df") >= least) & (F.col("df") <= F.col("docs") * most_share)).select("gram", "df")

@@ -101,7 +101,7 @@ STOP = ("the", "of", "and", "de", "der", "la", "le", "to", "in", "a")
 
 def bounded_ngrams(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").where("text is not null")
-    return S.bounded_ngrams(docs, "doc_id", tokens("text"), (2, 3), 3, 0.05, STOP)
+    return S.bounded_ngrams(docs, "doc_id", "text", (2, 3), 3, 0.05, STOP)
 
 
 _SUMS = "sx as (select u, v, papers from sums where layer = 'source'), tx as (select u, v, papers from sums where layer = 'target')"
