@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import split_claims
 from ..functions.text import stable_id, tokens, word_ngrams
 from .extract import sentence_spans_of, similar_labels
+from .grams import dealt, runs
 
 
 def clauses(text: Column) -> Column:
@@ -18,14 +19,16 @@ def clauses(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[.,;:!?()\[\]\n]+"), lambda c: F.trim(c) != "")
 
 
-def phrases(docs: DataFrame, key: str, text: str, sizes: tuple[int, int], stop: Sequence[str], domain: str | None = None) -> DataFrame:
-    """(key, phrase, times): word n-grams within a clause, no stop word at an end, with a word of the domain if one is given."""
+def phrase_runs(docs: DataFrame, key: str, text: str, sizes: tuple[int, int], stop: Sequence[str], domain: str | None = None) -> DataFrame:
+    """(key, phrase): word n-grams within a clause wherever they come, no stop word at an end, with a word of the domain if one is given."""
     each = docs.select(key, F.explode(clauses(F.col(text))).alias("clause")).select(key, tokens("clause").alias("words"))
-    each = each.select(key, F.explode(word_ngrams(F.col("words"), *sizes)).alias("phrase"))
-    parts = F.split("phrase", " ")
-    ok = ~F.element_at(parts, 1).isin(*stop) & ~F.element_at(parts, -1).isin(*stop)
-    each = each.where(ok & F.col("phrase").rlike(domain) if domain else ok)
-    return each.groupBy(key, "phrase").agg(F.count("*").alias("times"))
+    each = runs(each, [key], "words", sizes, stop, "phrase")
+    return each.where(F.col("phrase").rlike(domain)) if domain else each
+
+
+def phrases(docs: DataFrame, key: str, text: str, sizes: tuple[int, int], stop: Sequence[str], domain: str | None = None) -> DataFrame:
+    """(key, phrase, times): the phrases of each text, counted; rows lie by `key`."""
+    return phrase_runs(dealt(docs, key, text), key, text, sizes, stop, domain).groupBy(key, "phrase").agg(F.count("*").alias("times"))
 
 
 def vocabulary(found: DataFrame, key: str, least: int, most: int, top: int) -> DataFrame:
@@ -37,9 +40,9 @@ def vocabulary(found: DataFrame, key: str, least: int, most: int, top: int) -> D
 
 
 def assign(found: DataFrame, words: DataFrame, key: str, most: int) -> DataFrame:
-    """(key, phrase, place): each document's first `most` phrases of the vocabulary, in its order.  Phrases meet documents by equality, not by search."""
+    """(key, phrase, place): each document's first `most` phrases of the vocabulary, in its order.  Phrases meet documents by equality, not by search; a document may have one many times."""
     w = Window.partitionBy(key).orderBy("place")
-    met = found.select(key, "phrase").join(words.select("phrase", "place"), "phrase")
+    met = found.select(key, "phrase").join(words.select("phrase", "place"), "phrase").distinct()
     return met.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
 
 

@@ -11,17 +11,17 @@ from ..session import table
 from .summary_queries import STOP
 
 
-def found(s: SparkSession, d: str) -> DataFrame:
-    return Scratch(s, "phrases").save(V.phrases(table(s, d, "documents"), "doc_id", "text", (2, 4), STOP), "phrases")
+TEXTS = ("doc_id", "text", (2, 4), STOP)
 
 
 def vocabulary(s: SparkSession, d: str) -> DataFrame:
-    return V.vocabulary(found(s, d), "doc_id", 3, 60, 500).withColumn("place", F.col("place").cast("long"))
+    return V.vocabulary(V.phrases(table(s, d, "documents"), *TEXTS), "doc_id", 3, 60, 500).withColumn("place", F.col("place").cast("long"))
 
 
 def assigned(s: SparkSession, d: str) -> DataFrame:
-    rows = found(s, d)
-    return V.assign(rows, V.vocabulary(rows, "doc_id", 3, 60, 500), "doc_id", 10).withColumn("place", F.col("place").cast("long"))
+    """Texts are read twice, for the vocabulary and for who has it, so that their phrases are never written."""
+    words = Scratch(s, "phrases").save(vocabulary(s, d).select("phrase", "place"), "vocabulary")
+    return V.assign(V.phrase_runs(table(s, d, "documents"), *TEXTS), F.broadcast(words), "doc_id", 10)  # 500 rows
 
 
 def claim_units(s: SparkSession, d: str) -> DataFrame:
