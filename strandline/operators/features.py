@@ -57,6 +57,32 @@ def all_distances(edges: DataFrame, most: int = 8) -> DataFrame:
     return seen.select(F.col("s").alias("u"), F.col("x").alias("v"), F.col("d").alias("distance"))
 
 
+def twin_distances(nodes: DataFrame, node: str, group: list[str], place: str, reach: int, most: int = 8, block: int = 1000) -> DataFrame:
+    """(u, v, distance) as `all_distances` over the graph that joins nodes of one group whose places differ by `reach` at most.
+
+    Nodes with the same groups and places are twins: they are next to each other and as far from all others.  So
+    distances are found between kinds of twins, and nodes take them over last, in lists of about `block` by as many.
+    """
+    scratch = Scratch(nodes.sparkSession, "twins")
+    rows = nodes.select(node, *group, place).dropna()
+    held = scratch.save(rows.groupBy(F.col(node).alias("node")).agg(F.array_sort(F.collect_set(F.struct(*group, place))).alias("kind")), "nodes")
+    kinds = scratch.save(held.groupBy("kind").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "kinds")
+    each = kinds.select("id", F.explode("kind").alias("k")).select("id", "k.*")
+    a, b = each.select(F.col("id").alias("u"), *group, F.col(place).alias("_a")), each.select(F.col("id").alias("v"), *group, F.col(place).alias("_b"))
+    edges = scratch.save(a.join(b, group).where((F.col("u") < F.col("v")) & (F.abs(F.col("_a") - F.col("_b")) <= reach)).select("u", "v").distinct(), "edges")
+    twins = kinds.where("n > 1").select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(1).alias("distance"))
+    apart = scratch.save(all_distances(edges, most).where("u <> v").unionByName(twins), "apart")
+    members = held.join(kinds, "kind").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block)).cast("int"))
+    lists = scratch.save(members.groupBy("id", "part").agg(F.collect_list("node").alias("nodes")), "lists")
+    end = lambda c: lists.select(F.col("id").alias(c), F.col("part").alias(f"{c}_part"), F.col("nodes").alias(f"{c}_nodes"))
+    size = lambda c: kinds.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
+    total = apart.join(size("u"), "u").join(size("v"), "v").agg(F.sum(F.col("n_u") * F.col("n_v"))).first()[0] or 0
+    met = apart.join(end("u"), "u").join(end("v"), "v").repartition(max(1, -(-total // (4 * block * block))), "u", "v", "u_part", "v_part")
+    out = met.select(F.explode("u_nodes").alias("u"), "v_nodes", "distance").select("u", F.explode("v_nodes").alias("v"), "distance").where("u <> v")
+    itself = members.join(apart.select(F.col("u").alias("id")).distinct(), "id", "left_semi").select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0).alias("distance"))
+    return out.unionByName(itself)
+
+
 def cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """(u, v, cosine) of pairs over sparse vectors (node, dim, x); 0 where nothing is shared."""
     norm = vectors.groupBy("node").agg(F.sum(F.col("x") * F.col("x")).alias("q"))
