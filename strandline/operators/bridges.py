@@ -16,7 +16,7 @@ from ..functions.ranks import strength
 from ..functions.text import lookup
 from . import tiles
 from .order import running_sums
-from .transfer import REVIEWED, bridge_score, cross_bucket, ends, link_type, met
+from .transfer import FAMILY, REVIEWED, bridge_score, cross_bucket, ends, link_type, met
 
 #: The base of a program's bridge, what roles at either side add, the weights of support, and the most links of a program.
 PROGRAM_BASE = 0.79
@@ -40,17 +40,28 @@ def family_links(source: DataFrame, target: DataFrame, audit: DataFrame, roles:
     A link is known by both pairs, its type and its anchor: the target's end, or
     the whole pair where source and target pair are the same.  Of several ways to
     one link the most similar neighbour is kept, then the first by name.
+
+    An anchor has two ways to a source pair only if both of its ends are near, which is settled
+    between anchors and source pairs, before target pairs come in; two anchors have ways to one link only
+    if both pairs are the same.  So links are made without a shuffle of their own.
     """
-    t = ends(target, "target").withColumnRenamed("shared", "anchor_node")
-    near = t.join(both_ways(audit), F.col("anchor_node") == F.col("node")).drop("node").withColumnRenamed("near", "shared")
-    rows = met(ends(source, "source"), near)
-    rows = rows.join(roles.select(F.col("node").alias("anchor_node"), "role"), "anchor_node", "left").join(df.select(F.col("node").alias("anchor_node"), "shared_df"), "anchor_node", "left")
-    same = F.col("source_pair") == F.col("target_pair")
-    rows = rows.withColumns({"anchor": F.when(same, "__full_pair__").otherwise(F.col("anchor_node")), "link_type": link_type(F.col("role"), same, family=True), "near": F.col("shared")})
-    first = Window.partitionBy("target_pair", "source_pair", "link_type", "anchor").orderBy(F.desc("similarity"), "near", "anchor_node")  # as many rows as two pairs have ends
-    rows = rows.withColumn("_k", F.row_number().over(first)).where("_k = 1")
+    near = both_ways(audit)
+    value = lambda c: F.coalesce(F.col(c), F.lit(float("-inf")))
+    rival = near.select(F.col("node").alias("shared"), F.col("near").alias("source_other"), value("similarity").alias("_rival"))
+    kinds = roles.select(F.col("node").alias("shared"), "role", link_type(F.col("role"), F.lit(False), family=True).alias("link_type")).groupBy("shared", "link_type").agg(F.min("role").alias("role"))
+    ways = ends(source, "source").withColumnRenamed("shared", "near").join(near.withColumnRenamed("node", "shared"), "near").join(rival, ["shared", "source_other"], "left")
+    beaten = (F.col("_rival") > value("similarity")) | ((F.col("_rival") == value("similarity")) & (F.col("source_other") < F.col("near")))
+    ways = ways.where(~F.coalesce(beaten, F.lit(False))).drop("_rival")
+    ways = ways.join(kinds, "shared", "left").join(df.select(F.col("node").alias("shared"), "shared_df"), "shared", "left")
+    ways = ways.withColumn("link_type", F.coalesce("link_type", F.lit(FAMILY["outcome_property"])))
+    t = ends(target, "target")
+    other = met(ways, t).where("source_pair <> target_pair").withColumn("anchor", F.col("shared"))
+    same = ways.join(t, (ways["shared"] == t["shared"]) & (F.col("source_pair") == F.col("target_pair"))).drop(t["shared"])
+    first = Window.partitionBy("target_pair", "link_type").orderBy(F.desc("similarity"), "near", "shared")  # two rows at most
+    same = same.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k").withColumn("anchor", F.lit("__full_pair__"))
+    rows = other.unionByName(same).withColumnRenamed("shared", "anchor_node")
     score = bridge_score(F.col("link_type"), strength(F.col("source_papers")), strength(F.col("target_papers")), F.coalesce("shared_df", F.lit(1)), F.col("similarity"))
-    return rows.withColumn("bridge_score", score).drop("_k", "shared")
+    return rows.withColumn("bridge_score", score)
 
 
 def source_lane(programs: DataFrame, declared: DataFrame, source: DataFrame, evidence: DataFrame) -> DataFrame:
