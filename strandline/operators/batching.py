@@ -8,15 +8,30 @@ shared evidence holds one group's index of items by evidence.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def shared_batches(items: Sequence[tuple[int, Mapping[str, int]]], most: int, budget: int, start: int = 0) -> list[tuple[int, int]]:
-    """(batch, place within it) of each item, given in order as (own size, sizes of its evidence).
+    """(batch, place within it) of each item, given in order as (own size, sizes of its evidence); see `fold_shared`."""
+    codes: dict[str, int] = {}
+    begins = np.cumsum([0, *(len(evidence) for _, evidence in items)])
+    code = np.array([codes.setdefault(e, len(codes)) for _, evidence in items for e in evidence], np.int32)
+    size = np.array([n for _, evidence in items for n in evidence.values()], np.int64)
+    batch, place = fold_shared(np.array([own for own, _ in items], np.int64), begins, code, size, most, budget, start)
+    return list(zip(batch.tolist(), place.tolist(), strict=True))
+
+
+def fold_shared(own: np.ndarray, begins: np.ndarray, code: np.ndarray, size: np.ndarray, most: int, budget: int, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Batch of each item and place within it, from own sizes and the codes and sizes of the evidence of item i at begins[i] to begins[i + 1].
 
     A batch begins with the first item left.  Then the cheapest item joins that shares
     evidence with those in it, counting only evidence not yet pooled, earlier items
@@ -25,56 +40,94 @@ def shared_batches(items: Sequence[tuple[int, Mapping[str, int]]], most: int, bu
 
     The queue holds costs that may be too high: when evidence is pooled, the items that have it are
     entered again with what they cost now, and only an entry with the current cost counts.
+    Items and evidence are in flat arrays of both directions; an entry is one whole number of cost and item.
+    What is taken leaves the lists it is in when they are next read.
     """
-    having: dict[str, list[int]] = {}
-    for i, (_, evidence) in enumerate(items):
-        for e in evidence:
-            having.setdefault(e, []).append(i)
-    whole = [size + sum(evidence.values()) for size, evidence in items]
-    out: list[tuple[int, int] | None] = [None] * len(items)
+    n = len(own)
+    item_of = np.repeat(np.arange(n, dtype=np.int32), np.diff(begins))
+    by_code = np.argsort(code, kind="stable")
+    having = item_of[by_code]  # of each evidence its items in order
+    if np.any((np.diff(having) == 0) & (np.diff(code[by_code]) == 0)):
+        raise ValueError("evidence of an item has two sizes")
+    first_of = np.concatenate([[0], np.cumsum(np.bincount(code))]).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(size)])
+    whole = array("q", (own + total[begins[1:]] - total[begins[:-1]]).tobytes())
+    begins, first_of = array("q", begins.astype(np.int64).tobytes()), array("q", first_of.tobytes())
+    having, at_code, amount = array("i", having.tobytes()), array("i", code.astype(np.int32).tobytes()), array("q", size.astype(np.int64).tobytes())
+    until = first_of[1:]  # evidence's items that are still listed
+    taken = bytearray(n)
+    batches, places = array("i", bytes(4 * n)), array("i", bytes(4 * n))
     first, batch, done = 0, 0, 0
-    while done < len(items):
+    pop, push = heapq.heappop, heapq.heappush
+    wide = max(n, 1)
+    while done < n:
         used, place, pooled, queue, cost = start, 0, set(), [], {}
-        while done < len(items) and place < most:
-            while queue and (out[queue[0][1]] is not None or cost[queue[0][1]] != queue[0][0]):
-                heapq.heappop(queue)
-            if queue:
-                price, at = queue[0]
+        while done < n and place < most:
+            while queue:
+                price, at = divmod(queue[0], wide)
+                if taken[at] or cost[at] != price:
+                    pop(queue)
+                else:
+                    break
             else:
-                while out[first] is not None:
+                while taken[first]:
                     first += 1
-                price, at = cost.get(first, whole[first]), first
+                at = first
+                price = cost.get(at, whole[at])
             if used + price > budget:
                 break
             used += price
-            out[at] = (batch, place)
+            taken[at] = 1
+            batches[at], places[at] = batch, place
             place, done = place + 1, done + 1
-            for e, size in items[at][1].items():
+            changed = set()
+            for k in range(begins[at], begins[at + 1]):
+                e = at_code[k]
                 if e in pooled:
                     continue
                 pooled.add(e)
-                for i in having[e]:
-                    if out[i] is None:
-                        cost[i] = cost.get(i, whole[i]) - size
-                        heapq.heappush(queue, (cost[i], i))
+                less, lo, hi = amount[k], first_of[e], until[e]
+                left = [i for i in having[lo:hi] if not taken[i]]
+                if len(left) < hi - lo:
+                    having[lo : lo + len(left)] = array("i", left)
+                    until[e] = lo + len(left)
+                for i in left:
+                    cost[i] = (cost[i] if i in cost else whole[i]) - less
+                changed.update(left)
+            for i in changed:
+                push(queue, cost[i] * wide + i)
         if not place:
             raise ValueError("an item alone exceeds the budget")
         batch += 1
-    return out
+    return np.array(batches, np.int32), np.array(places, np.int32)
 
 
 def by_shared_evidence(rows: DataFrame, by: str, item: str, own: str, evidence: str, size: str, most: int, budget: int, start: int = 0) -> DataFrame:
-    """(by, item, batch, place): rows are one a (by, item, evidence), with the item's own size and the evidence's; items are taken in order of `item`."""
-    found = F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col(evidence).isNotNull(), F.struct(F.col(evidence).cast("string"), F.col(size).cast("long"))))))
-    per = rows.groupBy(by, item).agg(F.max(F.col(own).cast("long")).alias("own"), found.alias("ev"))
-    schema = f"{by} {rows.schema[by].dataType.simpleString()}, {item} {rows.schema[item].dataType.simpleString()}, batch int, place int"
+    """(by, item, batch, place): rows are one a (by, item, evidence), with the item's own size and the evidence's; items are taken in order of `item`.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values(item)
-        got = shared_batches([(int(o), dict(e)) for o, e in zip(f["own"], f["ev"], strict=True)], most, budget, start)
-        return pd.DataFrame({by: f[by], item: f[item], "batch": [b for b, _ in got], "place": [p for _, p in got]})
-
-    return per.groupBy(by).applyInPandas(run, schema)
+    Each choice depends on all before it, so a group is one fold; its rows come to it as flat columns in
+    order, and it holds some 40 bytes a row and 40 an item.
+    """
+    found = F.collect_set(F.when(F.col(evidence).isNotNull(), F.struct(F.col(evidence).alias("e"), F.col(size).cast("long").alias("s"))))
+    per = rows.groupBy(by, item).agg(F.max(F.col(own).cast("long")).alias("own"), found.alias("ev"))
+    schema = StructType([per.schema[by], per.schema[item], StructField("batch", IntegerType()), StructField("place", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).sort_by(item)
+        lists = table["ev"].combine_chunks()
+        lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+        begins = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+        flat = lists.flatten()
+        code, amount = pc.struct_field(flat, 0).dictionary_encode().indices.to_numpy().astype(np.int32), pc.struct_field(flat, 1).to_numpy()
+        sizes, group, names = table["own"].to_numpy(), table[by][0], table[item].combine_chunks()
+        del table, lists, flat
+        batch, place = fold_shared(sizes, begins, code, amount, most, budget, start)
+        for lo in range(0, len(batch), 1 << 17):
+            here = slice(lo, lo + (1 << 17))
+            own_names = names[here]
+            yield pa.record_batch([pa.repeat(group, len(own_names)), own_names, pa.array(batch[here]), pa.array(place[here])], names=schema.fieldNames())
+
+    return per.groupBy(by).applyInArrow(run, schema)
 
 
 def in_order(rows: DataFrame, by: str, item: str, evidence: str, size: str, most: int, budget: int) -> DataFrame:
